@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 #: Splits text into words before any merge; white space is the Unicode property.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: Words and pairs that a worker keeps; beyond that it starts anew, which costs time only.
-KEPT_WORDS, KEPT_PAIRS = 400_000, 1_000_000
+KEPT_WORDS, KEPT_PAIRS = 700_000, 1_000_000
 NEVER = 1 << 60
 
 
@@ -50,7 +50,7 @@ class Bpe:
         self.of_byte = np.array([self.id_of[bytes([b])] for b in range(256)], np.int64)
         # A token is proposed only if its own bytes merge to it.
         self.own = {b: self.id_of[b] for b, ids in zip(self.id_of, self.merge(list(self.id_of)), strict=True) if ids == [self.id_of[b]]}
-        self.known: dict[str | int, list[int]] = {i: [i] for i in self.added.values()}
+        self.forget()
         self.pairs: dict[int, bool] = {}
         self.lengths = np.zeros(self.size, np.int64)
         for i, b in self.bytes_of.items():
@@ -114,8 +114,19 @@ class Bpe:
             at = end
         return ids
 
+    def forget(self) -> None:
+        """known: the place of a word, or of an added token's id, in kept, which has all their ids in a row from first[place] on."""
+        self.known: dict[str | int, int] = {}
+        self.kept, self.first = np.zeros(0, "<u4"), np.zeros(1, np.int64)
+        self.keep(list(self.added.values()), [[i] for i in self.added.values()])
+
+    def keep(self, words: list, ids: list[list[int]]) -> None:
+        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
+        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))])
+        self.kept = np.concatenate([self.kept, np.array(list(chain.from_iterable(ids)), "<u4")])
+
     def encode_words(self, texts: list[str]) -> None:
-        """Puts the ids of new words into self.known. A split is what merging gives iff each adjacent pair alone merges to itself."""
+        """Keeps the ids of new words. A split is what merging gives iff each adjacent pair alone merges to itself."""
         words = [t.encode() for t in texts]
         proposed = list(map(self.greedy, words))
         sizes = np.fromiter(map(len, proposed), np.int64, len(proposed))
@@ -134,7 +145,7 @@ class Bpe:
         failing = np.unique(np.searchsorted(ends, left[~fits[place]], "right")).tolist()
         for k, ids in zip(failing, self.merge([words[k] for k in failing]), strict=True):
             proposed[k] = ids
-        self.known.update(zip(texts, proposed, strict=True))
+        self.keep(texts, proposed)
 
     def pieces(self, text: str) -> list:
         """Words; added tokens as their id."""
@@ -147,15 +158,20 @@ class Bpe:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.known) > KEPT_WORDS:
-            self.known = {i: [i] for i in self.added.values()}
+            self.forget()
         if len(self.pairs) > KEPT_PAIRS:
             self.pairs = {}
-        pieces = list(map(self.pieces, texts))
-        new = list(set(chain.from_iterable(pieces)) - self.known.keys())
+        each = list(map(self.pieces, texts))
+        pieces = list(chain.from_iterable(each))
+        new = list(set(pieces) - self.known.keys())
         if new:
             self.encode_words(new)
-        ids_of = self.known.__getitem__
-        return [np.array(list(chain.from_iterable(map(ids_of, ps))), "<u4") for ps in pieces]
+        place = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+        first, n = self.first[place], self.first[place + 1] - self.first[place]
+        ends = np.cumsum(n)
+        ids = self.kept[np.arange(int(n.sum())) + np.repeat(first - (ends - n), n)]
+        cuts = np.concatenate([[0], ends])[np.cumsum(list(map(len, each)))]
+        return np.split(ids, cuts[:-1])
 
     def decode(self, ids: np.ndarray) -> str:
         if not len(ids):

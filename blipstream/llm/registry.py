@@ -5,11 +5,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import bpe_round_trip
 from .chat_format import PART, format_chat, masked, read_back
 from .exact_dedup import exact_dedup
+from .jaccard_join import jaccard_groups
 from .line_dedup import ROLL, line_dedup
 from .mixing import mix_sources
 from .shared import table
+from .substring_dedup import substring_dedup
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,6 +50,25 @@ FROM made GROUP BY conv_id
 """
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = substring_dedup(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+OP3_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+w AS (SELECT doc_id, unnest(range(1, len(words) - 48)) AS at, words FROM d WHERE len(words) >= 50),
+h AS (SELECT doc_id, at, sha256(array_to_string(words[at:at + 49], ' ')) AS win FROM w),
+f AS (SELECT doc_id, at, min(doc_id) OVER (PARTITION BY win) AS least FROM h),
+g AS (SELECT DISTINCT doc_id, p FROM (SELECT doc_id, unnest(range(at, at + 50)) AS p FROM f WHERE least < doc_id)),
+k AS (SELECT d.doc_id, len(words) AS n_words, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS p FROM d),
+j AS (SELECT k.*, g.p IS NOT NULL AS gone FROM k LEFT JOIN g ON k.doc_id = g.doc_id AND k.p = g.p),
+r AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, string_agg(CASE WHEN NOT gone THEN word END, ' ' ORDER BY p) AS kept FROM j GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.words) AS BIGINT) AS n_words, CAST(coalesce(r.n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(r.kept, '')) AS kept_sha256
+FROM d LEFT JOIN r ON d.doc_id = r.doc_id
+"""
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_dedup(table(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_chunks", "n_cut", "chars_cut", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -69,6 +91,30 @@ FROM documents a LEFT JOIN r USING (doc_id)
 """
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_groups(table(spark, sf_dir, "documents")).drop("class_id")
+
+
+OP6_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+  ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) END) AS shingle FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both_have FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT i.a, i.b FROM i JOIN n x ON x.doc_id = i.a JOIN n y ON y.doc_id = i.b WHERE 100 * both_have >= 80 * (x.n + y.n - both_have)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(c.component_id, d.doc_id) AS component_id
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY a) c ON c.a = d.doc_id
+"""
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    done = bpe_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = exact_dedup(table(spark, sf_dir, "documents"))
     return done.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -82,8 +128,8 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_chat_format, op5_line_dedup, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_chat_format, op3_substring_dedup, op5_line_dedup, op6_jaccard_join, op9_bpe, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": OP2_SQL, "op5_line_dedup": OP5_SQL, "op10_exact_dedup": OP10_SQL}
+    return {"op2_chat_format": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op6_jaccard_join": OP6_SQL, "op5_line_dedup": OP5_SQL, "op10_exact_dedup": OP10_SQL}
