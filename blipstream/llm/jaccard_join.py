@@ -15,16 +15,18 @@ from .words import mix, text_bytes, window_hashes, window_rows, word_hashes
 
 #: One segment in so many also takes one-deletion neighbourhoods.
 DELETION_EVERY = 32
+#: Segments per threshold needed: the more there are, the more of a set's picks avoid what a whole family of texts shares.
+SPARE = 2.0
 
 
 @cache
 def bands(percent: int, upto: int) -> tuple[np.ndarray, np.ndarray]:
-    """First set size of each size band, and its number of segments: the bound of its largest set and a quarter more to choose from."""
+    """First set size of each size band, and its number of segments: SPARE times the thresholds that its largest set needs."""
     first = [1]
     while first[-1] <= upto:
         first.append(max(first[-1] + 1, first[-1] * 3 // 2))
     sizes = np.array(first)
-    segments = np.ceil(1.25 * (bound(sizes[1:] - 1, percent) + 1)).astype(np.int64) + 2
+    segments = np.ceil(SPARE * (bound(sizes[1:] - 1, percent) + 1)).astype(np.int64) + 2
     return sizes, np.append(segments, 0)
 
 
@@ -98,8 +100,8 @@ class Signatures:
         self.deletion = segment % DELETION_EVERY == 0
         self.total = total
 
-    def probes(self, cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Per signature: probe, index. cost: how many others have the signature.
+    def probes(self, cost: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Per signature: probe, index; per row: what its picks cost. cost: how many others have the signature.
 
         A set picks the cheapest segments until thresholds (one for content, two with deletions) exceed
         its bound; a like set then shares one pick. A set whose picks nobody shares is like no other.
@@ -120,7 +122,8 @@ class Signatures:
         owners = np.concatenate([self.item, self.item[self.del_slot]])
         live = np.zeros(len(self.row), bool)
         live[owners[probe]] = True
-        return probe, shared & live[owners]
+        spent = np.bincount(self.row[owner], price[order] * picked[order], minlength=rows).astype(np.int64)
+        return probe, shared & live[owners], spent
 
 
 def lists(values: np.ndarray, rows: np.ndarray, n: int) -> pa.ListArray:
@@ -161,7 +164,7 @@ def jaccard_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Rows with one shingle set form a class, named by its smallest id. Classes link when 100 * intersection
     >= percent * union; component_id is the smallest id reachable. How often each segment signature occurs
     is counted over all rows in a packed exchange; only sets whose cheapest sufficient segments are shared
-    stay candidates. Candidates first meet the smallest member of each shared signature; then members of
+    stay candidates. Candidates first meet the most central member of each shared signature; then members of
     different components that still share a signature are compared, so no link that joins components is lost
     while a group of copies gives about one comparison a member.
 
@@ -182,7 +185,7 @@ def jaccard_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         signatures = Signatures(sets, percent)
         keys, place, here = np.unique(bucket_keys(signatures.sig, groups), return_inverse=True, return_counts=True)
         cost = (answered(replies).astype(np.int64) - 1 + here - 1)[place] if len(keys) else np.zeros(0, np.int64)
-        probe, index = signatures.probes(cost)
+        probe, index, spent = signatures.probes(cost, len(table))
         owner = signatures.row[np.concatenate([signatures.item, signatures.item[signatures.del_slot]])]
         live = np.zeros(len(table), bool)
         live[owner[index]] = True
@@ -192,6 +195,7 @@ def jaccard_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 "__id": table["__id"].cast(pa.int64()),
                 "__n": pa.array(sets.size, pa.int64()),
                 "__digest": pa.array(sets.digest, pa.binary()),
+                "__cost": pa.array(spent, pa.int64()),
                 "__text": pa.compute.if_else(pa.array(live), texts, pa.scalar(None, texts.type)),
                 "__probe": lists(signatures.sig[probe], owner[probe], len(table)),
                 "__index": lists(signatures.sig[index], owner[index], len(table)),
@@ -201,7 +205,7 @@ def jaccard_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     counted = answer(by_group.applyInArrow(ask, BLOCKS), holders)
     chosen = materialise(
         by_group.cogroup(counted.groupBy("grp")).applyInArrow(
-            choose, "__id long, __n long, __digest binary, __text string, __probe array<long>, __index array<long>"
+            choose, "__id long, __n long, __digest binary, __cost long, __text string, __probe array<long>, __index array<long>"
         ),
         "shingle-sets",
     )
@@ -210,24 +214,29 @@ def jaccard_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         chosen.select("__id", "__n", "__digest").join(shared, "__digest", "left").select("__id", "__n", F.coalesce("__rep", "__id").alias("__rep")), "shingle-classes"
     )
     heads = chosen.where("__text is not null").join(shared, "__digest", "left").where("__id = coalesce(__rep, __id)").drop("__rep").withColumnRenamed("__id", "__rep")
-    heads = materialise(heads.select("__rep", "__text", "__probe", "__index"), "shingle-heads")
+    heads = materialise(heads.select("__rep", "__n", "__cost", "__text", "__probe", "__index"), "shingle-heads")
     texts = heads.select("__rep", "__text").dropDuplicates(["__rep"])
-    probes = heads.select("__rep", F.explode("__probe").alias("__sig"))
-    index = heads.select("__rep", F.explode("__index").alias("__sig"))
+    probes = heads.select("__rep", "__n", "__cost", F.explode("__probe").alias("__sig"))
+    index = heads.select("__rep", "__n", "__cost", F.size("__index").alias("__shared"), F.explode("__index").alias("__sig"))
 
-    first = index.groupBy("__sig").agg(F.min("__rep").alias("a"), F.max("__rep").alias("__max")).where("a < __max").drop("__max")
-    star = materialise(probes.join(first, "__sig").where("a <> __rep").select("a", F.col("__rep").alias("b")).distinct(), "shingle-stars")
+    # The member with most shared segments is nearest to what its group was copied from.
+    first = index.groupBy("__sig").agg(F.max_by("__rep", "__shared").alias("a"), F.max_by("__n", "__shared").alias("__m"), F.count("*").alias("__size")).where("__size > 1")
+    alike = f"100 * least(__n, __m) >= {percent} * greatest(__n, __m)"
+    star = materialise(probes.join(first, "__sig").where(f"a <> __rep and {alike}").select("a", F.col("__rep").alias("b")).distinct(), "shingle-stars")
     links = materialise(linked(star, texts, width, percent), "shingle-links")
     found = components(links)
 
+    # Two like sets find each other from either side, so the one whose picks are rarer is enough to ask.
+    cheaper = "(__cost < __theirs_cost or (__cost = __theirs_cost and __rep < __other))"
+
     def labelled(part: DataFrame) -> DataFrame:
-        return part.join(found.withColumnRenamed("node", "__rep"), "__rep", "left").select("__rep", "__sig", F.coalesce("component", "__rep").alias("__comp"))
+        return part.join(found.withColumnRenamed("node", "__rep"), "__rep", "left").select("__rep", "__n", "__cost", "__sig", F.coalesce("component", "__rep").alias("__comp"))
 
     apart = labelled(index)
     mixed = apart.groupBy("__sig").agg(F.min("__comp").alias("__lo"), F.max("__comp").alias("__hi")).where("__lo < __hi").select("__sig")
     left = labelled(probes).join(mixed, "__sig", "left_semi")
-    right = apart.join(mixed, "__sig", "left_semi").select(F.col("__rep").alias("__other"), "__sig", F.col("__comp").alias("__theirs"))
-    rest = left.join(right, "__sig").where("__comp <> __theirs").select(F.least("__rep", "__other").alias("a"), F.greatest("__rep", "__other").alias("b")).distinct()
+    right = apart.join(mixed, "__sig", "left_semi").select(F.col("__rep").alias("__other"), F.col("__n").alias("__m"), F.col("__cost").alias("__theirs_cost"), "__sig", F.col("__comp").alias("__theirs"))
+    rest = left.join(right, "__sig").where(f"__comp <> __theirs and {alike} and {cheaper}").select(F.least("__rep", "__other").alias("a"), F.greatest("__rep", "__other").alias("b")).distinct()
     rest = materialise(rest.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "shingle-rest")
     more = materialise(linked(rest, texts, width, percent), "shingle-links")
     if not more.isEmpty():

@@ -2,7 +2,7 @@
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import bpe_round_trip
@@ -11,8 +11,11 @@ from .exact_dedup import exact_dedup
 from .jaccard_join import jaccard_groups
 from .line_dedup import ROLL, line_dedup
 from .mixing import mix_sources
+from .search import bm25_top_k
+from .secret_scan import scan_secrets
 from .shared import table
 from .substring_dedup import substring_dedup
+from .toxicity import score_toxicity
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,10 +60,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP3_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
-w AS (SELECT doc_id, unnest(range(1, len(words) - 48)) AS at, words FROM d WHERE len(words) >= 50),
-h AS (SELECT doc_id, at, sha256(array_to_string(words[at:at + 49], ' ')) AS win FROM w),
-f AS (SELECT doc_id, at, min(doc_id) OVER (PARTITION BY win) AS least FROM h),
-g AS (SELECT DISTINCT doc_id, p FROM (SELECT doc_id, unnest(range(at, at + 50)) AS p FROM f WHERE least < doc_id)),
+w AS (SELECT doc_id, unnest(range(1, len(words) - 48)) AS pos, words FROM d WHERE len(words) >= 50),
+h AS (SELECT doc_id, pos, sha256(array_to_string(words[pos:pos + 49], ' ')) AS win FROM w),
+f AS (SELECT doc_id, pos, min(doc_id) OVER (PARTITION BY win) AS least FROM h),
+g AS (SELECT DISTINCT doc_id, p FROM (SELECT doc_id, unnest(range(pos, pos + 50)) AS p FROM f WHERE least < doc_id)),
 k AS (SELECT d.doc_id, len(words) AS n_words, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS p FROM d),
 j AS (SELECT k.*, g.p IS NOT NULL AS gone FROM k LEFT JOIN g ON k.doc_id = g.doc_id AND k.p = g.p),
 r AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, string_agg(CASE WHEN NOT gone THEN word END, ' ' ORDER BY p) AS kept FROM j GROUP BY doc_id)
@@ -69,6 +72,16 @@ FROM d LEFT JOIN r ON d.doc_id = r.doc_id
 """
 
 
+def joined(spans: Column) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = scan_secrets(table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    return done.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_dedup(table(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_chunks", "n_cut", "chars_cut", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -108,6 +121,27 @@ FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN (SELECT a, min(b) AS compone
 """
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")).drop("text")
+
+
+def op8_bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bm25_top_k(table(spark, sf_dir, "documents"))
+
+
+OP8_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+g AS (SELECT count(*) AS n, sum(len(words)) / count(*) AS average FROM d),
+t AS (SELECT doc_id, word, count(*) AS tf FROM (SELECT doc_id, unnest(words) AS word FROM d) GROUP BY doc_id, word),
+f AS (SELECT word, count(*) AS df, ln(1 + (max(g.n) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM t, g GROUP BY word),
+q AS (SELECT * FROM (SELECT t.doc_id AS query_id, t.word, f.idf, row_number() OVER (PARTITION BY t.doc_id ORDER BY round(tf * f.idf, 12) DESC, t.word) AS nth
+  FROM t JOIN f USING (word) WHERE t.doc_id % 50 = 0) WHERE nth <= 16),
+s AS (SELECT q.query_id, t.doc_id, round(sum(q.idf * t.tf * 2.2 / (t.tf + 1.2 * (0.25 + 0.75 * len(d.words) / g.average))), 9) AS score
+  FROM q JOIN t USING (word) JOIN d ON d.doc_id = t.doc_id, g GROUP BY q.query_id, t.doc_id)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 10
+"""
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -128,8 +162,8 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_chat_format, op3_substring_dedup, op5_line_dedup, op6_jaccard_join, op9_bpe, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_chat_format, op3_substring_dedup, op4_secret_scan, op5_line_dedup, op6_jaccard_join, op7_toxicity, op8_bm25_search, op9_bpe, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op6_jaccard_join": OP6_SQL, "op5_line_dedup": OP5_SQL, "op10_exact_dedup": OP10_SQL}
+    return {"op2_chat_format": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op6_jaccard_join": OP6_SQL, "op8_bm25_search": OP8_SQL, "op5_line_dedup": OP5_SQL, "op10_exact_dedup": OP10_SQL}
