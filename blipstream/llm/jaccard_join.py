@@ -100,8 +100,8 @@ class Signatures:
         self.deletion = segment % DELETION_EVERY == 0
         self.total = total
 
-    def probes(self, cost: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Per signature: probe, index; per row: what its picks cost. cost: how many others have the signature.
+    def probes(self, cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Per signature: probe, index. cost: how many others have the signature.
 
         A set picks the cheapest segments until thresholds (one for content, two with deletions) exceed
         its bound; a like set then shares one pick. A set whose picks nobody shares is like no other.
@@ -122,8 +122,7 @@ class Signatures:
         owners = np.concatenate([self.item, self.item[self.del_slot]])
         live = np.zeros(len(self.row), bool)
         live[owners[probe]] = True
-        spent = np.bincount(self.row[owner], price[order] * picked[order], minlength=rows).astype(np.int64)
-        return probe, shared & live[owners], spent
+        return probe, shared & live[owners]
 
 
 def lists(values: np.ndarray, rows: np.ndarray, n: int) -> pa.ListArray:
@@ -158,15 +157,56 @@ def linked(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Data
     return both.select("a", "b", "at", "bt").mapInArrow(verify, "a long, b long")
 
 
-def jaccard_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, group_bytes: int = 8 << 20) -> DataFrame:
+def across(table: pa.Table, width: int, percent: int) -> pa.Table:
+    """Links between members of one or two blocks that are in different components; one for each pair of components it joins.
+
+    Shared shingles are counted by hash through an inverted index of the members here; what passes is compared word by word.
+    """
+    blocks_ = table["__mine"].to_numpy()
+    ids, texts = table["b"].to_pylist(), table["__text"].to_pylist()
+    group = {c: c for c in set(table["__comp"].to_pylist())}
+    comps = table["__comp"].to_pylist()
+
+    def root(c: int) -> int:
+        while group[c] != c:
+            group[c] = group[group[c]]
+            c = group[c]
+        return c
+
+    hashes, words = word_hashes(*text_bytes(table["__text"]), lower=True)
+    at, rows = window_rows(words, width)
+    keys, place = np.unique(window_hashes(hashes, width)[at], return_inverse=True)
+    flat = np.unique(place.astype(np.int64) * len(ids) + rows)
+    element, holder = flat // len(ids), flat % len(ids)
+    starts = np.searchsorted(element, np.arange(len(keys) + 1))
+    order = np.argsort(holder, kind="stable")
+    size = np.bincount(holder, minlength=len(ids))
+    cut = np.concatenate([[0], np.cumsum(size)])
+    two_blocks, a_out, b_out = blocks_.min(initial=0) != blocks_.max(initial=0), [], []
+    for k in range(len(ids)):
+        own = element[order[cut[k] : cut[k + 1]]]
+        n = starts[own + 1] - starts[own]
+        post = np.arange(int(n.sum())) + np.repeat(starts[own] - (np.cumsum(n) - n), n)
+        same = np.bincount(holder[post], minlength=len(ids))
+        for j in np.flatnonzero((same > 0) & (100 * same >= percent * (size[k] + size - same))).tolist():
+            if j > k and root(comps[j]) != root(comps[k]) and (not two_blocks or blocks_[j] != blocks_[k]):
+                one, two = shingle_set(texts[k], width), shingle_set(texts[j], width)
+                if 100 * len(one & two) >= percent * len(one | two):
+                    group[root(comps[j])] = root(comps[k])
+                    a_out.append(ids[k])
+                    b_out.append(ids[j])
+    return pa.table({"a": pa.array(a_out, pa.int64()), "b": pa.array(b_out, pa.int64())})
+
+
+def jaccard_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, group_bytes: int = 8 << 20, block_members: int = 256) -> DataFrame:
     """One row per input row: id, n_shingles, class_id, component_id.
 
     Rows with one shingle set form a class, named by its smallest id. Classes link when 100 * intersection
     >= percent * union; component_id is the smallest id reachable. How often each segment signature occurs
     is counted over all rows in a packed exchange; only sets whose cheapest sufficient segments are shared
-    stay candidates. Candidates first meet the most central member of each shared signature; then members of
-    different components that still share a signature are compared, so no link that joins components is lost
-    while a group of copies gives about one comparison a member.
+    stay candidates. Candidates first meet the most central member of each signature that some set asks for;
+    then members of such a group that are in different components meet in blocks of ``block_members``, so no
+    link that joins components is lost, no pairs are emitted, and no task gets more than two blocks.
 
     Null and word-free texts have an empty set, link with nothing and are their own component; so are null
     ids whose set no row with an id has. Texts shorter than ``width`` words are one shingle. Rows that repeat
@@ -185,7 +225,7 @@ def jaccard_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         signatures = Signatures(sets, percent)
         keys, place, here = np.unique(bucket_keys(signatures.sig, groups), return_inverse=True, return_counts=True)
         cost = (answered(replies).astype(np.int64) - 1 + here - 1)[place] if len(keys) else np.zeros(0, np.int64)
-        probe, index, spent = signatures.probes(cost, len(table))
+        probe, index = signatures.probes(cost)
         owner = signatures.row[np.concatenate([signatures.item, signatures.item[signatures.del_slot]])]
         live = np.zeros(len(table), bool)
         live[owner[index]] = True
@@ -195,7 +235,6 @@ def jaccard_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 "__id": table["__id"].cast(pa.int64()),
                 "__n": pa.array(sets.size, pa.int64()),
                 "__digest": pa.array(sets.digest, pa.binary()),
-                "__cost": pa.array(spent, pa.int64()),
                 "__text": pa.compute.if_else(pa.array(live), texts, pa.scalar(None, texts.type)),
                 "__probe": lists(signatures.sig[probe], owner[probe], len(table)),
                 "__index": lists(signatures.sig[index], owner[index], len(table)),
@@ -205,7 +244,7 @@ def jaccard_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     counted = answer(by_group.applyInArrow(ask, BLOCKS), holders)
     chosen = materialise(
         by_group.cogroup(counted.groupBy("grp")).applyInArrow(
-            choose, "__id long, __n long, __digest binary, __cost long, __text string, __probe array<long>, __index array<long>"
+            choose, "__id long, __n long, __digest binary, __text string, __probe array<long>, __index array<long>"
         ),
         "shingle-sets",
     )
@@ -214,31 +253,34 @@ def jaccard_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         chosen.select("__id", "__n", "__digest").join(shared, "__digest", "left").select("__id", "__n", F.coalesce("__rep", "__id").alias("__rep")), "shingle-classes"
     )
     heads = chosen.where("__text is not null").join(shared, "__digest", "left").where("__id = coalesce(__rep, __id)").drop("__rep").withColumnRenamed("__id", "__rep")
-    heads = materialise(heads.select("__rep", "__n", "__cost", "__text", "__probe", "__index"), "shingle-heads")
+    heads = materialise(heads.select("__rep", "__n", "__text", "__probe", "__index"), "shingle-heads")
     texts = heads.select("__rep", "__text").dropDuplicates(["__rep"])
-    probes = heads.select("__rep", "__n", "__cost", F.explode("__probe").alias("__sig"))
-    index = heads.select("__rep", "__n", "__cost", F.size("__index").alias("__shared"), F.explode("__index").alias("__sig"))
-
-    # The member with most shared segments is nearest to what its group was copied from.
-    first = index.groupBy("__sig").agg(F.max_by("__rep", "__shared").alias("a"), F.max_by("__n", "__shared").alias("__m"), F.count("*").alias("__size")).where("__size > 1")
-    alike = f"100 * least(__n, __m) >= {percent} * greatest(__n, __m)"
-    star = materialise(probes.join(first, "__sig").where(f"a <> __rep and {alike}").select("a", F.col("__rep").alias("b")).distinct(), "shingle-stars")
+    probes = heads.select("__rep", F.explode("__probe").alias("__sig"))
+    index = heads.select("__rep", "__n", F.size("__index").alias("__shared"), F.explode("__index").alias("__sig"))
+
+    # A signature that some set asks for gathers its members around the one with most shared segments, which is
+    # nearest to what the group was copied from.
+    asked = probes.select("__sig").distinct()
+    hubs = index.join(asked, "__sig", "left_semi").groupBy("__sig").agg(F.max_by("__rep", "__shared").alias("a"), F.count("*").alias("__size")).where("__size > 1")
+    members = materialise(index.join(hubs, "__sig").select("a", F.col("__rep").alias("b"), "__n").distinct(), "shingle-members")
+    sizes = heads.select(F.col("__rep").alias("a"), F.col("__n").alias("__m"))
+    star = members.where("a <> b").join(sizes, "a").where(f"100 * least(__n, __m) >= {percent} * greatest(__n, __m)").select("a", "b").distinct()
     links = materialise(linked(star, texts, width, percent), "shingle-links")
     found = components(links)
 
-    # Two like sets find each other from either side, so the one whose picks are rarer is enough to ask.
-    cheaper = "(__cost < __theirs_cost or (__cost = __theirs_cost and __rep < __other))"
+    # What the hub alone doesn't join is compared in blocks: a member meets its group's other blocks, a task two of them.
+    labelled = members.join(found.withColumnRenamed("node", "b"), "b", "left").select("a", "b", F.coalesce("component", "b").alias("__comp"))
+    mixed = labelled.groupBy("a").agg(F.count("*").alias("__members"), F.min("__comp").alias("__lo"), F.max("__comp").alias("__hi")).where("__lo < __hi")
+    dealt = labelled.join(mixed.select("a", F.ceil(F.col("__members") / block_members).alias("__blocks")), "a").withColumn("__mine", F.pmod(F.xxhash64("b"), "__blocks"))
+    met = dealt.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1))).select(
+        "a", F.least("__mine", "__other").alias("__i"), F.greatest("__mine", "__other").alias("__j"), "b", "__comp", "__mine"
+    )
+    texts_b = texts.withColumnRenamed("__rep", "b")
 
-    def labelled(part: DataFrame) -> DataFrame:
-        return part.join(found.withColumnRenamed("node", "__rep"), "__rep", "left").select("__rep", "__n", "__cost", "__sig", F.coalesce("component", "__rep").alias("__comp"))
+    def compare(table: pa.Table) -> pa.Table:
+        return across(table, width, percent)
 
-    apart = labelled(index)
-    mixed = apart.groupBy("__sig").agg(F.min("__comp").alias("__lo"), F.max("__comp").alias("__hi")).where("__lo < __hi").select("__sig")
-    left = labelled(probes).join(mixed, "__sig", "left_semi")
-    right = apart.join(mixed, "__sig", "left_semi").select(F.col("__rep").alias("__other"), F.col("__n").alias("__m"), F.col("__cost").alias("__theirs_cost"), "__sig", F.col("__comp").alias("__theirs"))
-    rest = left.join(right, "__sig").where(f"__comp <> __theirs and {alike} and {cheaper}").select(F.least("__rep", "__other").alias("a"), F.greatest("__rep", "__other").alias("b")).distinct()
-    rest = materialise(rest.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "shingle-rest")
-    more = materialise(linked(rest, texts, width, percent), "shingle-links")
+    more = materialise(met.join(texts_b, "b").groupBy("a", "__i", "__j").applyInArrow(compare, "a long, b long"), "shingle-links")
     if not more.isEmpty():
         found = components(links.unionByName(more))
     return classes.join(found.withColumnRenamed("node", "__rep"), "__rep", "left").select(
