@@ -2,14 +2,18 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
+from blipstream.plans import signal_queries, table_queries
+
+MODULES = [signal_queries, table_queries]
+
 
 def queries():
-    return {}
+    return {k: f for m in MODULES for k, f in m.Q.items()}
 
 
 def oracle_sql():
-    return {}
+    return {k: s for m in MODULES for k, s in m.SQL.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return signal_queries.flagship_report(spark, sf_dir)

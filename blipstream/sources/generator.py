@@ -1,0 +1,66 @@
+"""Synthetic traces with known particles, seeded per frame so that any task can be run again."""
+
+import math
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def particles(spark: SparkSession, frames: int, frame_s: float, rate: float, mean: float, sd: float, seed: int = 1, pdf: str = "lognormal", tasks: int = 8) -> DataFrame:
+    """GEN2: (frame, time_s, counts): exponential waiting times within each frame; lognormal, normal or exponential intensities."""
+    sigma2 = math.log1p((sd / mean) ** 2)
+
+    def draw(batches):
+        for batch in batches:
+            for frame in batch["frame"]:
+                rng = np.random.default_rng([seed, int(frame)])
+                gaps = rng.exponential(1 / rate, max(8, int(rate * frame_s * 2 + 40)))
+                t = np.cumsum(gaps)
+                t = t[t < frame_s]
+                if pdf == "lognormal":
+                    counts = rng.lognormal(math.log(mean) - sigma2 / 2, math.sqrt(sigma2), len(t))
+                else:
+                    counts = rng.exponential(mean, len(t)) if pdf == "exponential" else np.maximum(0, rng.normal(mean, sd, len(t)))
+                yield pd.DataFrame({"frame": int(frame), "time_s": t, "counts": counts})
+
+    return spark.range(0, frames, 1, tasks).select(F.col("id").alias("frame")).mapInPandas(draw, "frame long, time_s double, counts double")
+
+
+def peak_shape(t: np.ndarray, width_s: float, skew: float = 2.0) -> np.ndarray:
+    """GEN3: diffusion peak t**-1.5 * exp(-(1 - t)**2 * skew / t) in units of the width, area 1 over the grid."""
+    x = np.maximum(t / width_s, 1e-9)
+    y = x**-1.5 * np.exp(-((1 - x) ** 2) * skew / x)
+    return y / y.sum()
+
+
+def frames(found: DataFrame, n_frames: int, frame_s: float, dt: float, background: float, width_s: float, seed: int = 2, shape: float = 0.0, kind: str = "steady") -> DataFrame:
+    """GEN1, GEN3 to GEN7: points of each frame: peaks on a background (steady, sine, linear), Poisson or compound-Poisson counts."""
+    n = int(frame_s / dt)
+
+    def draw(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        rng = np.random.default_rng([seed, int(key[0])])
+        t = (np.arange(n) + 1) * dt
+        wave = {"steady": np.ones(n), "sine": 1 + 0.5 * np.sin(2 * np.pi * t / frame_s), "linear": 0.5 + t / frame_s}[kind]
+        mean = background * wave / wave.mean()
+        k = max(2, int(4 * width_s / dt))
+        pulse = peak_shape((np.arange(k) + 0.5) * dt, width_s)
+        for at, counts in zip(part["time_s"].dropna(), part["counts"].dropna(), strict=True):
+            i = int(at / dt)
+            mean[i : i + k] += counts * pulse[: max(0, min(k, n - i))]
+        y = rng.poisson(mean).astype(float)
+        if shape:
+            total = np.where(y > 0, y, 1)
+            s2 = np.log1p(np.expm1(shape * shape) / total)
+            y = np.where(y > 0, y * rng.lognormal(-s2 / 2, np.sqrt(s2)), 0.0)
+        return pd.DataFrame({"frame": int(key[0]), "idx": np.arange(n, dtype=np.int32), "time_s": t, "intensity": y})
+
+    every = found.sparkSession.range(n_frames).select(F.col("id").alias("frame")).join(found, "frame", "left")
+    return every.groupBy("frame").applyInPandas(draw, "frame long, idx int, time_s double, intensity double")
+
+
+def truth(found: DataFrame, dt: float, width_s: float) -> DataFrame:
+    """GEN9: the interval that each particle covers; GEN8 keeps particles of equal mass apart."""
+    start = F.floor(F.col("time_s") / dt).cast("int")
+    return found.select(F.lit("sim").alias("sample_id"), F.col("frame").cast("string").alias("channel"), start.alias("start_idx"), (start + int(2 * width_s / dt)).alias("end_idx"), "counts")
