@@ -23,6 +23,15 @@ def unescape(text: Column) -> Column:
     return text
 
 
+def escape_role(role: Column) -> Column:
+    """A role also loses its bars, which CLOSE begins with."""
+    return F.replace(escape(role), F.lit("|"), F.lit("\\p"))
+
+
+def unescape_role(role: Column) -> Column:
+    return unescape(F.replace(role, F.lit("\\p"), F.lit("|")))
+
+
 def part_tokens(part: Column) -> Column:
     """Tokens that a placeholder stands for: image patches, audio at a fixed rate, document pages; text: none."""
     return (
@@ -40,7 +49,7 @@ def is_text(part: Column) -> Column:
 
 def part_body(part: Column, at: Column) -> Column:
     """The visitor: text is escaped; any other part leaves a placeholder with its type and place in the turn."""
-    return F.when(is_text(part), escape(F.coalesce(part["text"], F.lit("")))).otherwise(F.concat(F.lit("<|"), escape(part["type"]), F.lit(":"), at.cast("string"), F.lit("|>")))
+    return F.when(is_text(part), escape(F.coalesce(part["text"], F.lit("")))).otherwise(F.concat(F.lit("<|"), escape_role(part["type"]), F.lit(":"), at.cast("string"), F.lit("|>")))
 
 
 def text_parts(text: Column) -> Column:
@@ -66,7 +75,7 @@ def format_chat(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn"
         F.coalesce(F.col(role_col), F.lit("")).alias("__role"),
         F.array_join(F.transform(parts, part_body), "").alias("__body"),
         F.transform(parts, lambda p, i: F.struct(i.alias("part"), p["type"].alias("type"), p["ref"].alias("ref"), part_tokens(p).alias("tokens"), is_text(p).alias("text"))).alias("__parts"),
-    ).withColumn("__piece", F.concat(F.lit(HEAD), escape(F.col("__role")), F.lit(CLOSE), F.col("__body"), F.lit(END)))
+    ).withColumn("__piece", F.concat(F.lit(HEAD), escape_role(F.col("__role")), F.lit(CLOSE), F.col("__body"), F.lit(END)))
     turns = Window.partitionBy("__conv").orderBy("__turn", "__role", "__body")
     placed = row.withColumn("__at", F.row_number().over(turns) - 1).withColumn(
         "__start", F.sum(F.length("__piece")).over(turns.rowsBetween(Window.unboundedPreceding, 0)) - F.length("__body") - len(END)
@@ -97,7 +106,7 @@ def read_back(formatted: Column) -> Column:
     return F.transform(
         pieces,
         lambda x: F.struct(
-            unescape(F.substring_index(F.substr(x, F.lit(len(HEAD) + 1)), CLOSE, 1)).alias("role"),
+            unescape_role(F.substring_index(F.substr(x, F.lit(len(HEAD) + 1)), CLOSE, 1)).alias("role"),
             unescape(F.substr(x, F.locate(CLOSE, x) + F.lit(len(CLOSE)))).alias("text"),
         ),
     )
