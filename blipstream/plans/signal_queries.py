@@ -7,6 +7,7 @@ from blipstream.operators import baseline, events, kernels, scan, search, traces
 
 from .inputs import COUNT_POINTS, EVENT_POINTS, count_points, event_points, table
 from .method import find, with_thresholds
+from .stored import stored
 
 Q, SQL = {}, {}
 Z, OFFSET = 1.0, 0.5
@@ -48,13 +49,13 @@ FOUND = f"WITH {EVENT_POINTS}, {clip_sql(5)}, {THR}, {RUNS}"
 
 
 def model(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    points = event_points(spark, sf_dir)
-    return points, baseline.clipped(points.withColumn("slice_idx", F.lit(0))).drop("slice_idx", "n_kept")
+    points = stored(event_points(spark, sf_dir), "points")
+    return points, stored(baseline.clipped(points.withColumn("slice_idx", F.lit(0))).drop("slice_idx", "n_kept"), "baselines")
 
 
 def found(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     points, location = model(spark, sf_dir)
-    return points, location, find(points, location, OFFSET, Z)
+    return points, location, stored(find(points, location, OFFSET, Z), "events")
 
 
 @query(FOUND + """ SELECT channel, count(*) AS n_events, round(sum(area - greatest(0.1, location) * n_points), 6) AS net_area, round(avg(height), 6) AS mean_height,

@@ -9,6 +9,7 @@ from blipstream.sources import generator, sinks
 
 from .inputs import COUNT_POINTS, EVENT_POINTS, count_points, event_points, table
 from .signal_queries import QUARTILES
+from .stored import stored
 
 Q, SQL = {}, {}
 
@@ -25,7 +26,7 @@ def query(sql: str | None = None):
 
 def high_runs(spark, sf_dir, level: float) -> DataFrame:
     """Maximal runs of points at or above level: simple interval tables for the joins."""
-    p = event_points(spark, sf_dir)
+    p = stored(event_points(spark, sf_dir), "points")
     flat = p.withColumns({k: F.lit(level) for k in ("start_thr", "stop_thr", "height_thr")})
     return search.hysteresis_points(flat).groupBy("sample_id", "channel", "island").agg(F.min("idx").alias("start_idx"), F.max("idx").alias("end_idx")).drop("island")
 
