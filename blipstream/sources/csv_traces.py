@@ -42,7 +42,7 @@ def agilent(spark: SparkSession, path: str, gap_s: float = 5.0) -> DataFrame:
     data = lines.where("line > 3").withColumn("t", F.try_element_at("cells", F.lit(1)).try_cast("double")).where("t is not null")
     w = Window.partitionBy("file").orderBy("line")
     parts = data.withColumn("__new", (F.col("t") - F.lag("t").over(w) > gap_s).cast("int")).withColumn("part", F.sum(F.coalesce("__new", F.lit(0))).over(w))
-    step = parts.withColumn("d", F.round(F.col("t") - F.lag("t").over(Window.partitionBy("file", "part").orderBy("line")), 9)).where("d is not null").groupBy("file", "part").agg(F.mode("d").alias("dt"))
+    step = parts.withColumn("d", F.round(F.col("t") - F.lag("t").over(Window.partitionBy("file", "part").orderBy("line")), 9)).where("d is not null").groupBy("file", "part").agg(F.mode("d", True).alias("dt"))
     long = long_points(parts.select("file", "line", "part", "cells", "t"), header, F.col("t"), 1)
     long = long.join(parts.select("file", "line", "part"), ["file", "line"]).join(step, ["file", "part"], "left").join(unit, "file", "left")
     counts = long.withColumn("intensity", F.when(F.col("cps") & F.col("dt").isNotNull(), F.col("intensity") * F.col("dt")).otherwise(F.col("intensity")))
