@@ -14,33 +14,42 @@ def simple_search(points: DataFrame) -> DataFrame:
     return points.where("intensity > height_thr and intensity > 0").select(*TRACE, F.col("idx").alias("start_idx"), F.col("idx").alias("end_idx"), F.col("idx").alias("peak_idx"))
 
 
-def hysteresis_points(points: DataFrame) -> DataFrame:
-    """SEQ4a up to the height test: the points of every opened run, with island (the run's key).
+def keyed_runs(points: DataFrame) -> DataFrame:
+    """points with island (the key of a run and of the point that closes it), __break and __open (the run's first index at or above start).
 
-    points carry start_thr, stop_thr and height_thr. A point below both start and stop (or not positive)
-    breaks the trace; the running count of breaks names the island. In an island the run opens at its
-    first point at or above start. Only the count of breaks crosses islands, and it is a blocked sum.
+    A point below both start and stop (or not positive) breaks the trace; the running count of breaks names
+    the island, and a break belongs to the island it closes. Only that count crosses islands, and it is a
+    blocked sum; all else is partitioned by island.
     """
     brk = (F.col("intensity") < F.col("start_thr")) & ((F.col("intensity") < F.col("stop_thr")) | (F.col("intensity") <= 0))
-    marked = running_sum(points, brk.cast("long"), "island").withColumn("__break", brk)
-    inside = marked.where(~F.col("__break"))
-    opened = inside.where("intensity >= start_thr").groupBy(*TRACE, "island").agg(F.min("idx").alias("__open"))
-    return inside.join(opened, [*TRACE, "island"]).where("idx >= __open").drop("__open", "__break")
+    marked = running_sum(points, brk.cast("long"), "__count").withColumn("__break", brk)
+    keyed = marked.withColumn("island", F.col("__count") - F.col("__break").cast("long")).drop("__count")
+    first = F.min(F.when(~F.col("__break") & (F.col("intensity") >= F.col("start_thr")), F.col("idx")))
+    return keyed.withColumn("__open", first.over(Window.partitionBy(*TRACE, "island")))
+
+
+def hysteresis_points(points: DataFrame) -> DataFrame:
+    """SEQ4a up to the height test: the points of every opened run, with island. points carry start_thr, stop_thr and height_thr."""
+    return keyed_runs(points).where("not __break and idx >= __open").drop("__open", "__break")
 
 
 def hysteresis_search(points: DataFrame) -> DataFrame:
-    """SEQ4a: events (start_idx, end_idx, peak_idx, n_points, area, height) whose height exceeds the threshold at the closing index."""
-    runs = hysteresis_points(points).groupBy(*TRACE, "island").agg(
-        F.min("idx").alias("start_idx"),
-        F.max("idx").alias("end_idx"),
-        F.count("*").alias("n_points"),
-        F.sum("intensity").alias("area"),
-        F.max("intensity").alias("height"),
-        F.min_by("idx", F.struct(-F.col("intensity"), "idx")).alias("peak_idx"),
-        F.max_by("height_thr", "idx").alias("__own"),
+    """SEQ4a: events (start_idx, end_idx, peak_idx, n_points, area, height) whose height exceeds the threshold at the closing index, or at the last one of the trace."""
+    inside = ~F.col("__break")
+
+    def of_run(column: str) -> Column:
+        return F.when(inside, F.col(column))
+
+    runs = keyed_runs(points).where("__break or idx >= __open").groupBy(*TRACE, "island").agg(
+        F.min(of_run("idx")).alias("start_idx"),
+        F.max(of_run("idx")).alias("end_idx"),
+        F.count(of_run("idx")).alias("n_points"),
+        F.sum(of_run("intensity")).alias("area"),
+        F.max(of_run("intensity")).alias("height"),
+        F.min_by("idx", F.when(inside, F.struct(-F.col("intensity"), "idx"))).alias("peak_idx"),
+        F.max_by("height_thr", "idx").alias("__closing"),
     )
-    closing = points.select(*TRACE, (F.col("idx") - 1).cast("int").alias("end_idx"), F.col("height_thr").alias("__close"))
-    return runs.join(closing, [*TRACE, "end_idx"], "left").where(F.col("height") > F.coalesce("__close", "__own")).drop("__close", "__own", "island")
+    return runs.where(F.col("height") > F.col("__closing")).drop("__closing", "island")
 
 
 def numbered(events: DataFrame) -> DataFrame:
