@@ -1,11 +1,12 @@
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from blipstream.llm.exact_dedup import exact_dedup
 
-from .helpers import frame
+from .helpers import awkward, frame
 from .test_dedup import expected_groups, expected_lines
 
 SF = "/root/testdata/sf0.001"
@@ -54,3 +55,17 @@ def test_empty_documents(spark):
 
 def test_exact_dedup_columns(spark):
     assert exact_dedup(frame(spark, [(1, "a")])).columns == ["doc_id", "keep_id", "group_size", "kept", "digest"]
+
+
+def test_awkward_documents(spark):
+    """Nulls in every column, empty and very long texts, repeated rows and extra columns pass every stage."""
+    rows = [(i, t, None if k % 2 else "en", None if k % 3 == 0 else f"s{k % 4}", None) for k, (i, t) in enumerate(awkward())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumns({"score": F.lit(1.0), "n_cut": F.lit("x"), "copies": F.lit(3), "held_out": F.lit(None).cast("boolean")})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        docs = spark.createDataFrame(out.collect(), docs.schema)
+    ids = {r.doc_id for r in docs.collect()}
+    assert ids <= {i for i, _ in awkward()} and 7 in ids
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == docs.count()
