@@ -12,6 +12,8 @@ from .shared import materialise
 from .words import mix
 
 BLOCK_BITS = 12
+#: Texts that are Python strings at once while scoring.
+SLICE_ROWS = 500
 
 
 @dataclass(frozen=True)
@@ -168,14 +170,10 @@ def score_toxicity(
             total[a:b] += np.bincount((keys >> np.uint64(32)).astype(np.int64), table[(keys & np.uint64(0xFFFFFFFF)).astype(np.int64)], minlength=b - a)
         return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
 
-    carried = [c for c in df.columns if c not in ("held_out", "score", "predicted")]
+    @F.arrow_udf(T.DoubleType())
+    def scored(column: pa.Array) -> pa.Array:
+        parts = [score([t or "" for t in column.slice(at, SLICE_ROWS).to_pylist()]) for at in range(0, len(column), SLICE_ROWS)]
+        return pa.array(np.concatenate(parts) if parts else [], pa.float64())
 
-    def run(batches):
-        for batch in batches:
-            names = batch.schema.names
-            texts = [t or "" for t in batch.column(names.index("__text")).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(names.index(c)) for c in carried), pa.array(score(texts), pa.float64())], [*carried, "score"])
-
-    source = df.select(*[F.col(f"`{c}`") for c in carried], F.col(text_col).alias("__text"))
-    schema = T.StructType([*(df.schema[c] for c in carried), T.StructField("score", T.DoubleType())])
-    return source.mapInArrow(run, schema).withColumn("held_out", held_out(F.col(id_col))).withColumn("predicted", (F.col("score") >= cut).cast("int"))
+    kept = df.drop("held_out", "score", "predicted")
+    return kept.withColumn("score", scored(F.col(text_col))).withColumn("held_out", held_out(F.col(id_col))).withColumn("predicted", (F.col("score") >= cut).cast("int"))
