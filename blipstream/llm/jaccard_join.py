@@ -1,11 +1,12 @@
 """Exact set similarity join on word shingles: universe partition with a pigeonhole bound."""
 
+from contextlib import contextmanager
 from functools import cache
 from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
@@ -136,6 +137,18 @@ def shingle_set(text: str, width: int) -> set:
     return set(zip(*(words[i:] for i in range(width)), strict=False)) if len(words) >= width else {tuple(words)}
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 500):
+    """Rows with two whole texts each go to Python few at a time; the setting returns to what it was."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def linked(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Of the candidate pairs (a, b), those whose shingle sets really are like enough; compared word by word."""
     both = pairs.join(texts.withColumnsRenamed({"__rep": "b", "__text": "bt"}), "b").join(texts.withColumnsRenamed({"__rep": "a", "__text": "at"}), "a")
@@ -198,7 +211,7 @@ def across(table: pa.Table, width: int, percent: int) -> pa.Table:
     return pa.table({"a": pa.array(a_out, pa.int64()), "b": pa.array(b_out, pa.int64())})
 
 
-def jaccard_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, group_bytes: int = 8 << 20, block_members: int = 256) -> DataFrame:
+def jaccard_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, group_bytes: int = 3 << 20, block_members: int = 256) -> DataFrame:
     """One row per input row: id, n_shingles, class_id, component_id.
 
     Rows with one shingle set form a class, named by its smallest id. Classes link when 100 * intersection
@@ -261,11 +274,14 @@ def jaccard_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # A signature that some set asks for gathers its members around the one with most shared segments, which is
     # nearest to what the group was copied from.
     asked = probes.select("__sig").distinct()
-    hubs = index.join(asked, "__sig", "left_semi").groupBy("__sig").agg(F.max_by("__rep", "__shared").alias("a"), F.count("*").alias("__size")).where("__size > 1")
+    # The order is total (ties by a hash), so that a task run again after a loss picks the same member.
+    central = F.shiftleft(F.col("__shared").cast("long"), 40) + F.pmod(F.xxhash64("__rep"), F.lit(1 << 40))
+    hubs = index.join(asked, "__sig", "left_semi").groupBy("__sig").agg(F.max_by("__rep", central).alias("a"), F.count("*").alias("__size")).where("__size > 1")
     members = materialise(index.join(hubs, "__sig").select("a", F.col("__rep").alias("b"), "__n").distinct(), "shingle-members")
     sizes = heads.select(F.col("__rep").alias("a"), F.col("__n").alias("__m"))
     star = members.where("a <> b").join(sizes, "a").where(f"100 * least(__n, __m) >= {percent} * greatest(__n, __m)").select("a", "b").distinct()
-    links = materialise(linked(star, texts, width, percent), "shingle-links")
+    with small_batches(df.sparkSession):
+        links = materialise(linked(star, texts, width, percent), "shingle-links")
     found = components(links)
 
     # What the hub alone doesn't join is compared in blocks: a member meets its group's other blocks, a task two of them.
