@@ -261,7 +261,9 @@ def jaccard_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         ),
         "shingle-sets",
     )
-    shared = chosen.where("__digest is not null").groupBy("__digest").agg(F.min("__id").alias("__rep"), F.count("*").alias("__copies")).where("__copies > 1").drop("__copies")
+    copies = chosen.where("__digest is not null").groupBy("__digest").agg(F.min("__id").alias("__rep"), F.count("*").alias("__copies"))
+    # Written out, so that joins with it stay plain and Spark can split a huge class of copies.
+    shared = materialise(copies.where("__copies > 1").drop("__copies"), "shingle-copies")
     classes = materialise(
         chosen.select("__id", "__n", "__digest").join(shared, "__digest", "left").select("__id", "__n", F.coalesce("__rep", "__id").alias("__rep")), "shingle-classes"
     )
