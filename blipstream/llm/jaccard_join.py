@@ -288,8 +288,9 @@ def jaccard_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     # What the hub alone doesn't join is compared in blocks: a member meets its group's other blocks, a task two of them.
     labelled = members.join(found.withColumnRenamed("node", "b"), "b", "left").select("a", "b", F.coalesce("component", "b").alias("__comp"))
-    mixed = labelled.groupBy("a").agg(F.count("*").alias("__members"), F.min("__comp").alias("__lo"), F.max("__comp").alias("__hi")).where("__lo < __hi")
-    dealt = labelled.join(mixed.select("a", F.ceil(F.col("__members") / block_members).alias("__blocks")), "a").withColumn("__mine", F.pmod(F.xxhash64("b"), "__blocks"))
+    groups_ = labelled.groupBy("a").agg(F.count("*").alias("__members"), F.min("__comp").alias("__lo"), F.max("__comp").alias("__hi")).where("__lo < __hi")
+    mixed = materialise(groups_.select("a", F.ceil(F.col("__members") / block_members).alias("__blocks")), "shingle-mixed")
+    dealt = labelled.join(mixed, "a").withColumn("__mine", F.pmod(F.xxhash64("b"), "__blocks"))
     met = dealt.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1))).select(
         "a", F.least("__mine", "__other").alias("__i"), F.greatest("__mine", "__other").alias("__j"), "b", "__comp", "__mine"
     )
