@@ -172,6 +172,16 @@ def test_search(spark):
     assert bm25_top_k(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_search_uses_every_word_of_the_row(spark):
+    rng = random.Random(19)
+    vocab = vocabulary(300)
+    rows = [(i, text(rng, vocab, rng.randint(30, 120))) for i in range(200)] + [(210, " ".join(f"own{i}" for i in range(40)) + " shared"), (211, "shared")]
+    got = sorted((r.query_id, r["rank"], r.doc_id, r.score) for r in bm25_top_k(frame(spark, rows), every=10, k=5, group_bytes=8000).collect())
+    want = expected_search(rows, 10, 5, None)
+    assert [g[:3] for g in got] == [w[:3] for w in want] and (210, 2, 211) in [g[:3] for g in got]
+    assert all(abs(g[3] - w[3]) < 1e-8 for g, w in zip(got, want, strict=True))
+
+
 def test_bpe_equals_library(spark):
     rng = random.Random(10)
     parts = [*"abcdeth ing'sRS.,!?0123456789\n\t \r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0 　 éßñ日本語🙂́١Ⅷ²ſK\x00", "<|endoftext|>", "'ll", "  ", " the"]
