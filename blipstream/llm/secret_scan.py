@@ -14,11 +14,12 @@ ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 TOKEN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}")
-#: Alphabets in the order in which they are tried; a token needs a digit, and a letter of each case that its alphabet has.
+#: A token needs a digit and a letter; base64 needs letters of both cases, the others (by the first alphabet that holds the token: hex, base32, base36) are of one case, either one.
 ALPHABETS = {
     "random_hex": "0123456789abcdef",
     "random_base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
     "random_base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
+    "random_base36": "0123456789abcdefghijklmnopqrstuvwxyz",
 }
 KINDS = ("assign", "access", "hex", *ALPHABETS)
 #: p-values are kept as whole steps of -log10(p), rounded down (so towards larger p), up to the last.
@@ -41,13 +42,13 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def encoding(token: str) -> str | None:
     if not any(c.isdigit() for c in token):
         return None
-    letters = set(token)
-    if letters <= set("0123456789abcdefABCDEF") and token != token.upper() != token.lower() and token in (token.upper(), token.lower()):
-        return "random_hex"
-    if token.lower() != token == token.upper() and letters <= set(ALPHABETS["random_base32"]):
-        return "random_base32"
-    if token != token.upper() and token != token.lower() and not ({"+", "/"} & letters and {"-", "_"} & letters):
-        return "random_base64"
+    upper, lower = token.upper(), token.lower()
+    if token not in (upper, lower):
+        return None if {"+", "/"} & set(token) and {"-", "_"} & set(token) else "random_base64"
+    if upper != lower:
+        for kind in ("random_hex", "random_base32", "random_base36"):
+            if set(lower) <= set(ALPHABETS[kind].lower()):
+                return kind
     return None
 
 
@@ -58,7 +59,7 @@ def normal_tail(z: float) -> float:
 def randomness_p(token: str, kind: str) -> float:
     """Fisher's combination of three tests of 'each symbol is uniform and independent'; small means not random."""
     alphabet = ALPHABETS[kind]
-    token = token.lower() if kind == "random_hex" else token.replace("-", "+").replace("_", "/")
+    token = token.replace("-", "+").replace("_", "/") if kind == "random_base64" else token.upper() if kind == "random_base32" else token.lower()
     x = np.array([alphabet.index(c) for c in token], float)
     n, k = len(x), len(alphabet)
     chi = float(((np.bincount(x.astype(int), minlength=k) - n / k) ** 2).sum() * k / n)
@@ -121,7 +122,7 @@ def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .withColumn("of", F.sum("count").over(group))
         .where(F.pow(F.lit(10.0), -F.col("step") * STEP) <= rate * F.col("at_most") / F.col("of"))
     )
-    # One row per encoding and power of two: at most 3 * 32.
+    # One row per encoding and power of two: at most 4 * 32.
     limits = {(r["kind"], r["band"]): r["step"] for r in ranked.groupBy("kind", "band").agg(F.min("step").alias("step")).collect()}
     cuts = F.create_map(*[F.lit(x) for (k, b), s in sorted(limits.items()) for x in (f"{k}:{b}", s)]) if limits else None
 

@@ -13,7 +13,7 @@ from blipstream.llm.chat_format import PART, format_chat, masked, read_back
 from blipstream.llm.components import components
 from blipstream.llm.mixing import flight, mix_sources
 from blipstream.llm.search import bm25_top_k
-from blipstream.llm.secret_scan import ALPHABETS, randomness_p, scan_secrets
+from blipstream.llm.secret_scan import ALPHABETS, encoding, randomness_p, scan_secrets
 from blipstream.llm.toxicity import score_toxicity
 
 from .helpers import awkward, frame, text, vocabulary, words_of
@@ -113,6 +113,23 @@ def test_secrets(spark):
     assert scan_secrets(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_secrets_of_each_encoding_and_case(spark):
+    rng = random.Random(14)
+    shapes = [("random_hex", str.upper), ("random_base32", str.upper), ("random_base32", str.lower), ("random_base36", str.lower), ("random_base36", str.upper), ("random_base64", str)]
+    planted = []
+    for kind, case in shapes:
+        while sum(x[0] == (kind, case) for x in planted) < 40:
+            token = case("".join(rng.choice(ALPHABETS[kind]) for _ in range(rng.choice([32, 40, 64]))))
+            if encoding(token) == kind:
+                planted.append(((kind, case), token))
+    assert encoding(hashlib.sha256(b"x").hexdigest().upper()) == "random_hex"
+    assert encoding("1" * 30) is encoding("a" * 30) is encoding("two-words-and-2-more-words") is None
+    got = {r.doc_id: r.spans for r in scan_secrets(frame(spark, [(i, f"see {t} there") for i, (_, t) in enumerate(planted)])).collect()}
+    for shape in shapes:
+        found = [[(s.kind, s.start, s.end) for s in got[i]] == [(shape[0], 4, 4 + len(t))] for i, (of, t) in enumerate(planted) if of == shape]
+        assert len(found) == 40 and sum(found) >= 36, shape
+
+
 def test_randomness_p_is_level():
     rng = random.Random(6)
     for kind, letters in ALPHABETS.items():
