@@ -1,5 +1,6 @@
 """Exact set similarity join on word shingles: universe partition with a pigeonhole bound."""
 
+from collections.abc import Callable
 from contextlib import contextmanager
 from functools import cache
 from hashlib import blake2b
@@ -170,9 +171,11 @@ def linked(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Data
     return both.select("a", "b", "at", "bt").mapInArrow(verify, "a long, b long")
 
 
-def across(table: pa.Table, width: int, percent: int) -> pa.Table:
+def across(table: pa.Table, width: int, percent: int, all_links: bool = False) -> pa.Table:
     """Links between members of one or two blocks that are in different components; one for each pair of components it joins.
 
+    With all_links, every link between them, whatever their components.
+
     Shared shingles are counted by hash through an inverted index of the members here; what passes is compared word by word.
     """
     blocks_ = table["__mine"].to_numpy()
@@ -195,14 +198,14 @@ def across(table: pa.Table, width: int, percent: int) -> pa.Table:
     order = np.argsort(holder, kind="stable")
     size = np.bincount(holder, minlength=len(ids))
     cut = np.concatenate([[0], np.cumsum(size)])
-    two_blocks, a_out, b_out = blocks_.min(initial=0) != blocks_.max(initial=0), [], []
+    two_blocks, a_out, b_out = len(np.unique(blocks_)) > 1, [], []
     for k in range(len(ids)):
         own = element[order[cut[k] : cut[k + 1]]]
         n = starts[own + 1] - starts[own]
         post = np.arange(int(n.sum())) + np.repeat(starts[own] - (np.cumsum(n) - n), n)
         same = np.bincount(holder[post], minlength=len(ids))
         for j in np.flatnonzero((same > 0) & (100 * same >= percent * (size[k] + size - same))).tolist():
-            if j > k and root(comps[j]) != root(comps[k]) and (not two_blocks or blocks_[j] != blocks_[k]):
+            if j > k and (all_links or root(comps[j]) != root(comps[k])) and (not two_blocks or blocks_[j] != blocks_[k]):
                 one, two = shingle_set(texts[k], width), shingle_set(texts[j], width)
                 if 100 * len(one & two) >= percent * len(one | two):
                     group[root(comps[j])] = root(comps[k])
@@ -211,20 +214,8 @@ def across(table: pa.Table, width: int, percent: int) -> pa.Table:
     return pa.table({"a": pa.array(a_out, pa.int64()), "b": pa.array(b_out, pa.int64())})
 
 
-def jaccard_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, group_bytes: int = 3 << 20, block_members: int = 256) -> DataFrame:
-    """One row per input row: id, n_shingles, class_id, component_id.
-
-    Rows with one shingle set form a class, named by its smallest id. Classes link when 100 * intersection
-    >= percent * union; component_id is the smallest id reachable. How often each segment signature occurs
-    is counted over all rows in a packed exchange; only sets whose cheapest sufficient segments are shared
-    stay candidates. Candidates first meet the most central member of each signature that some set asks for;
-    then members of such a group that are in different components meet in blocks of ``block_members``, so no
-    link that joins components is lost, no pairs are emitted, and no task gets more than two blocks.
-
-    Null and word-free texts have an empty set, link with nothing and are their own component; so are null
-    ids whose set no row with an id has. Texts shorter than ``width`` words are one shingle. Rows that repeat
-    an id are one node. An empty table gives an empty result. Other columns are ignored.
-    """
+def gathered(df: DataFrame, id_col: str, text_col: str, width: int, percent: int, group_bytes: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """classes (__id, __n, __rep), heads (one row per class that may link) and members (a hub, b): two classes that link meet under some hub."""
     rows, groups = grouped(df, id_col, text_col, group_bytes)
     by_group = rows.groupBy("__grp")
 
@@ -269,7 +260,6 @@ def jaccard_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     heads = chosen.where("__text is not null").join(shared, "__digest", "left").where("__id = coalesce(__rep, __id)").drop("__rep").withColumnRenamed("__id", "__rep")
     heads = materialise(heads.select("__rep", "__n", "__text", "__probe", "__index"), "shingle-heads")
-    texts = heads.select("__rep", "__text").dropDuplicates(["__rep"])
     probes = heads.select("__rep", F.explode("__probe").alias("__sig"))
     index = heads.select("__rep", "__n", F.size("__index").alias("__shared"), F.explode("__index").alias("__sig"))
 
@@ -280,28 +270,75 @@ def jaccard_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     central = F.shiftleft(F.col("__shared").cast("long"), 40) + F.pmod(F.xxhash64("__rep"), F.lit(1 << 40))
     hubs = index.join(asked, "__sig", "left_semi").groupBy("__sig").agg(F.max_by("__rep", central).alias("a"), F.count("*").alias("__size")).where("__size > 1")
     members = materialise(index.join(hubs, "__sig").select("a", F.col("__rep").alias("b"), "__n").distinct(), "shingle-members")
+    return classes, heads, members
+
+
+def in_blocks(dealt: DataFrame, texts: DataFrame, compare: Callable[[pa.Table], pa.Table]) -> DataFrame:
+    """Links that compare finds between rows (a, b, __comp, __blocks) of one group: a member meets its group's other blocks, a task two of them."""
+    met = dealt.withColumn("__mine", F.pmod(F.xxhash64("b"), "__blocks")).withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1))).select(
+        "a", F.least("__mine", "__other").alias("__i"), F.greatest("__mine", "__other").alias("__j"), "b", "__comp", "__mine"
+    )
+    return met.join(texts.withColumnRenamed("__rep", "b"), "b").groupBy("a", "__i", "__j").applyInArrow(compare, "a long, b long")
+
+
+def jaccard_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, group_bytes: int = 3 << 20, block_members: int = 256) -> DataFrame:
+    """One row per input row: id, n_shingles, class_id, component_id.
+
+    Rows with one shingle set form a class, named by its smallest id. Classes link when 100 * intersection
+    >= percent * union; component_id is the smallest id reachable. How often each segment signature occurs
+    is counted over all rows in a packed exchange; only sets whose cheapest sufficient segments are shared
+    stay candidates. Candidates first meet the most central member of each signature that some set asks for;
+    then members of such a group that are in different components meet in blocks of ``block_members``, so no
+    link that joins components is lost, no pairs are emitted, and no task gets more than two blocks.
+
+    Null and word-free texts have an empty set, link with nothing and are their own component; so are null
+    ids whose set no row with an id has. Texts shorter than ``width`` words are one shingle. Rows that repeat
+    an id are one node. An empty table gives an empty result. Other columns are ignored.
+    """
+    classes, heads, members = gathered(df, id_col, text_col, width, percent, group_bytes)
+    texts = heads.select("__rep", "__text").dropDuplicates(["__rep"])
     sizes = heads.select(F.col("__rep").alias("a"), F.col("__n").alias("__m"))
     star = members.where("a <> b").join(sizes, "a").where(f"100 * least(__n, __m) >= {percent} * greatest(__n, __m)").select("a", "b").distinct()
     with small_batches(df.sparkSession):
         links = materialise(linked(star, texts, width, percent), "shingle-links")
     found = components(links)
 
-    # What the hub alone doesn't join is compared in blocks: a member meets its group's other blocks, a task two of them.
+    # What the hub alone doesn't join is compared in blocks.
     labelled = members.join(found.withColumnRenamed("node", "b"), "b", "left").select("a", "b", F.coalesce("component", "b").alias("__comp"))
     groups_ = labelled.groupBy("a").agg(F.count("*").alias("__members"), F.min("__comp").alias("__lo"), F.max("__comp").alias("__hi")).where("__lo < __hi")
     mixed = materialise(groups_.select("a", F.ceil(F.col("__members") / block_members).alias("__blocks")), "shingle-mixed")
-    dealt = labelled.join(mixed, "a").withColumn("__mine", F.pmod(F.xxhash64("b"), "__blocks"))
-    met = dealt.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1))).select(
-        "a", F.least("__mine", "__other").alias("__i"), F.greatest("__mine", "__other").alias("__j"), "b", "__comp", "__mine"
-    )
-    texts_b = texts.withColumnRenamed("__rep", "b")
 
     def compare(table: pa.Table) -> pa.Table:
         return across(table, width, percent)
 
-    more = materialise(met.join(texts_b, "b").groupBy("a", "__i", "__j").applyInArrow(compare, "a long, b long"), "shingle-links")
+    more = materialise(in_blocks(labelled.join(mixed, "a"), texts, compare), "shingle-links")
     if not more.isEmpty():
         found = components(links.unionByName(more))
     return classes.join(found.withColumnRenamed("node", "__rep"), "__rep", "left").select(
         F.col("__id").alias(id_col), F.col("__n").alias("n_shingles"), F.col("__rep").alias("class_id"), F.coalesce("component", "__rep").alias("component_id")
     )
+
+
+def jaccard_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, group_bytes: int = 3 << 20, block_members: int = 256) -> tuple[DataFrame, DataFrame]:
+    """The join itself: pairs (a < b) of classes that link, by class_id, and n_links of each row (id, class_id, n_links).
+
+    Every two members of a hub's group are compared in blocks of ``block_members``, linked already or not. n_links is
+    the number of other ids whose set is like enough: those of the own class and all of each linked class, so both
+    ends count. Classes, links, null and repeated ids are as in jaccard_groups; null ids aren't counted, and a row
+    without an id has the links of its class. Pairs grow with the square of a family of different texts.
+    """
+    classes, heads, members = gathered(df, id_col, text_col, width, percent, group_bytes)
+    texts = heads.select("__rep", "__text").dropDuplicates(["__rep"])
+    blocks_ = members.groupBy("a").agg(F.ceil(F.count("*") / block_members).alias("__blocks"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        return across(table, width, percent, all_links=True)
+
+    met = in_blocks(members.join(blocks_, "a").select("a", "b", F.col("b").alias("__comp"), "__blocks"), texts, compare)
+    pairs = materialise(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "shingle-pairs")
+    sizes = classes.where("__n > 0 and __rep is not null").groupBy("__rep").agg(F.countDistinct("__id").alias("__size"))
+    ends = pairs.select(F.col("a").alias("__rep"), F.col("b").alias("__to")).union(pairs.select("b", "a"))
+    others = ends.join(sizes.withColumnRenamed("__rep", "__to"), "__to").groupBy("__rep").agg(F.sum("__size").alias("__far"))
+    near = F.greatest(F.coalesce("__size", F.lit(1)) - F.when(F.col("__id").isNull(), 0).otherwise(1), F.lit(0))
+    counted = classes.join(sizes, "__rep", "left").join(others, "__rep", "left")
+    return pairs, counted.select(F.col("__id").alias(id_col), F.col("__rep").alias("class_id"), F.when(F.col("__rep").isNull(), 0).otherwise(near + F.coalesce("__far", F.lit(0))).cast("long").alias("n_links"))

@@ -3,11 +3,12 @@ import random
 import re
 from collections import defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from blipstream.llm.exact_dedup import exact_dedup
-from blipstream.llm.jaccard_join import jaccard_groups, shingle_set
+from blipstream.llm.jaccard_join import across, jaccard_groups, jaccard_links, shingle_set
 from blipstream.llm.line_dedup import line_dedup
 from blipstream.llm.substring_dedup import substring_dedup
 
@@ -168,3 +169,31 @@ def test_jaccard_awkward(spark):
         by[r.doc_id].add((r.n_shingles, r.component_id))
     assert by[1] == {(0, 1)} and by[2] == {(0, 2)} and by[4] == {(1, 4)} and by[5] == {(1, 4)} and by[7] == {(1, 7)}
     assert jaccard_groups(frame(spark, awkward()).limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("group_bytes,block_members", [(1 << 20, 256), (4000, 8)])
+def test_jaccard_links_are_all_pairs(spark, group_bytes, block_members):
+    rng, vocab, rows = random.Random(23), vocabulary(), []
+    for base in range(3):
+        words = text(rng, vocab, 90).split()
+        for v in range(14):
+            changed = list(words)
+            changed[rng.randrange(len(words))] = f"variant{base}x{v}"
+            rows += [(100 * base + 3 * v + c, " ".join(changed)) for c in range(1 + v % 3)]
+    rows += [(900 + i, text(rng, vocab, rng.randint(1, 60))) for i in range(20)] + [(990, None), (991, ""), (None, rows[0][1]), (0, rows[0][1])]
+    pairs, counted = jaccard_links(frame(spark, rows), group_bytes=group_bytes, block_members=block_members)
+    sets = {i: shingle_set(t, 5) if t else set() for i, t in rows if i is not None}
+    like = {(i, j) for i in sets for j in sets if i != j and sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    got = counted.collect()
+    named = {r.doc_id: r.class_id for r in got if r.doc_id is not None}
+    found = [(r.a, r.b) for r in pairs.collect()]
+    assert len(found) == len(set(found)) and set(found) == {(named[i], named[j]) for i, j in like if named[i] < named[j]}
+    assert len(got) == len(rows) and all(r.n_links == (sum(i == r.doc_id for i, _ in like) if r.doc_id is not None else 1 + sum(i == 0 for i, _ in like)) for r in got)
+    assert len(found) > 3 * 14
+
+
+def test_links_inside_each_block_are_found():
+    words = [f"w{i}" for i in range(60)]
+    for block in (0, 1):
+        cell = pa.table({"b": [1, 2], "__comp": [1, 2], "__mine": [block, block], "__text": [" ".join(words), " ".join(words[1:])]})
+        assert across(cell, 5, 80).num_rows == 1
