@@ -1,9 +1,11 @@
 """Packed fingerprint exchange: rows meet in groups, fingerprints of groups meet in buckets, answers return.
 
-A plain shuffle of one row per fingerprint would cost tens of bytes each. Here each group of rows sends one
-sorted binary block per bucket, a bucket answers each block with one small value per entry, and groups read
-the answers in the order they asked. A fingerprint that a third of all rows share is sent once per group,
-so no bucket grows with a hot key.
+A plain shuffle of one row per fingerprint would cost tens of bytes each, several times the text. Here each group
+of rows sends one sorted binary block per bucket, a bucket answers each block with one small value per entry, and
+groups read the answers in the order they asked. A fingerprint that a third of all rows share is sent once per
+group, so no bucket grows with a hot key. Buckets follow from the volume of fingerprints alone and are many times
+larger than groups, so a block keeps hundreds of entries up to some terabytes; beyond, both sizes should grow with
+the executors' memory.
 """
 
 from collections.abc import Callable
@@ -17,12 +19,12 @@ BLOCKS = "bucket int, grp int, data binary"
 ANSWERS = "grp int, bucket int, data binary"
 
 
-def grouped(df: DataFrame, id_col: str, text_col: str, group_bytes: int) -> tuple[DataFrame, int]:
-    """(__grp, __id, __text) and the number of groups: about group_bytes of text each, dealt by hashed id."""
+def grouped(df: DataFrame, id_col: str, text_col: str, group_bytes: int, bucket_bytes: int) -> tuple[DataFrame, int, int]:
+    """(__grp, __id, __text) in groups of about group_bytes of text, dealt by hashed id and text; the number of groups, and that of buckets: one for the fingerprints of each bucket_bytes of text."""
     size = df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     groups = max(1, -(-size // group_bytes))
-    keyed = df.select(F.pmod(F.xxhash64(id_col), F.lit(groups)).cast("int").alias("__grp"), F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-    return keyed, groups
+    keyed = df.select(F.pmod(F.xxhash64(id_col, text_col), F.lit(groups)).cast("int").alias("__grp"), F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
+    return keyed, groups, max(1, -(-size // bucket_bytes))
 
 
 def bucket_keys(hashes: np.ndarray, buckets: int) -> np.ndarray:

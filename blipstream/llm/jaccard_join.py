@@ -1,19 +1,18 @@
 """Exact set similarity join on word shingles: universe partition with a pigeonhole bound."""
 
 from collections.abc import Callable
-from contextlib import contextmanager
 from functools import cache
 from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
 from .exchange import BLOCKS, answer, answered, blocks, bucket_keys, grouped, holders, key_of
 from .shared import materialise
-from .words import mix, text_bytes, window_hashes, window_rows, word_hashes
+from .words import mix, shingle_hashes, text_bytes, window_rows, word_hashes
 
 #: One segment in so many also takes one-deletion neighbourhoods.
 DELETION_EVERY = 32
@@ -38,29 +37,21 @@ def bound(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 class Sets:
-    """The shingle sets of one group of rows as sorted 64-bit hashes."""
+    """The shingle sets of some texts as sorted 64-bit hashes; a text of fewer words than a shingle is one element, and has no hashes."""
 
-    def __init__(self, table: pa.Table, width: int):
-        data, limits = text_bytes(table["__text"])
-        hashes, words = word_hashes(data, limits, lower=True)
+    def __init__(self, texts: pa.ChunkedArray, width: int):
+        hashes, words = word_hashes(*text_bytes(texts), lower=True)
         at, rows = window_rows(words, width)
-        shingles = window_hashes(hashes, width)[at]
-        ends = np.cumsum(words)
-        short = np.flatnonzero((words > 0) & (words < width))
-        whole = [int(mix(np.bitwise_xor.reduce(mix(hashes[ends[r] - words[r] : ends[r]] + np.arange(words[r], dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)))[None])[0]) for r in short]
+        shingles = shingle_hashes(hashes, width)[at]
         cuts = np.searchsorted(rows, np.arange(len(words) + 1))
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             shingles[a:b].sort()
         new = np.ones(len(shingles), bool)
         new[1:] = (shingles[1:] != shingles[:-1]) | (rows[1:] != rows[:-1])
         self.items, self.rows = shingles[new], rows[new]
-        self.size = np.bincount(self.rows, minlength=len(words))
-        self.start = np.cumsum(self.size) - self.size
-        self.digest: list[bytes | None] = [
-            blake2b(self.items[a : a + n].tobytes(), digest_size=16).digest() if n else None for a, n in zip(self.start, self.size, strict=True)
-        ]
-        for r, h in zip(short, whole, strict=True):
-            self.size[r], self.digest[r] = 1, blake2b(h.to_bytes(8, "little"), digest_size=16, person=b"short").digest()
+        self.count = np.bincount(self.rows, minlength=len(words))
+        self.start = np.cumsum(self.count) - self.count
+        self.size = np.where((words > 0) & (words < width), 1, self.count)
 
 
 class Signatures:
@@ -71,10 +62,11 @@ class Signatures:
     deletion kind add the content less one element, for each element.
     """
 
-    def __init__(self, sets: Sets, percent: int):
-        n = np.where(np.array([d is not None for d in sets.digest], bool), sets.size, 0)
+    def __init__(self, sets: Sets, percent: int, named: np.ndarray):
+        """named: which sets are nodes; the others get no signatures."""
+        n = sets.count
         first, segments = bands(percent, int(max(n.max(initial=1), 1)) * 2)
-        able = np.flatnonzero((bound(n, percent) > 0) & (np.bincount(sets.rows, minlength=len(n)) > 0))
+        able = np.flatnonzero(named & (n > 0))
         band = np.searchsorted(first, n[able], "right") - 1
         up = able[n[able] * 100 // percent >= first[band + 1]]
         self.row = np.concatenate([able, up])
@@ -138,40 +130,51 @@ def shingle_set(text: str, width: int) -> set:
     return set(zip(*(words[i:] for i in range(width)), strict=False)) if len(words) >= width else {tuple(words)}
 
 
-@contextmanager
-def small_batches(spark: SparkSession, rows: int = 500):
-    """Rows with two whole texts each go to Python few at a time; the setting returns to what it was."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, rows)
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
+def sequence(text: str | None) -> bytes | None:
+    """BLAKE2b-128 of a text's lower-cased words; None without words."""
+    words = (text or "").encode().lower().split()
+    return blake2b(b" ".join(words), digest_size=16).digest() if words else None
 
 
-def linked(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Of the candidate pairs (a, b), those whose shingle sets really are like enough; compared word by word."""
-    both = pairs.join(texts.withColumnsRenamed({"__rep": "b", "__text": "bt"}), "b").join(texts.withColumnsRenamed({"__rep": "a", "__text": "at"}), "a")
+def heads_of(table: pa.Table, gone: set[bytes]) -> tuple[pa.Table, list[bytes]]:
+    """The rows with words that aren't copies of others (gone: digest and id), each once, and their digests."""
+    keep, digests, seen = [], [], set(gone)
+    for k, (i, text) in enumerate(zip(table["__id"].to_pylist(), table["__text"].to_pylist(), strict=True)):
+        if digest := sequence(text):
+            key = digest + str("" if i is None else i).encode()
+            if key not in seen:
+                seen.add(key)
+                keep.append(k)
+                digests.append(digest)
+    return table.take(pa.array(keep, pa.int64())), digests
 
-    def verify(batches):
-        last, one = None, set()
-        for batch in batches:
-            a, b, at, bt = (batch.column(batch.schema.get_field_index(c)) for c in ("a", "b", "at", "bt"))
-            keep = []
-            for k in range(len(batch)):
-                if a[k].as_py() != last:
-                    last, one = a[k].as_py(), shingle_set(at[k].as_py(), width)
-                two = shingle_set(bt[k].as_py(), width)
+
+def cells(table: pa.Table, compare: Callable[[pa.Table], list[tuple[int, int]]]) -> pa.Table:
+    """The links that compare finds in each cell (a, __i, __j) of a table of many."""
+    table = table.sort_by([("a", "ascending"), ("__i", "ascending"), ("__j", "ascending")])
+    keys = np.stack([table[c].to_numpy() for c in ("a", "__i", "__j")])
+    cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1
+    found = [pair for x, y in zip([0, *cuts], [*cuts, table.num_rows], strict=True) for pair in compare(table.slice(x, y - x))]
+    return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
+
+def spokes(table: pa.Table, width: int, percent: int) -> list[tuple[int, int]]:
+    """Links of a cell's hub with its other members; sets are compared word by word."""
+    hub, found = table["a"][0].as_py(), []
+    ids, texts = table["b"].to_pylist(), table["__text"].to_pylist()
+    centres = [shingle_set(t, width) for i, t in zip(ids, texts, strict=True) if i == hub]
+    for i, text in zip(ids, texts, strict=True):
+        if i != hub:
+            two = shingle_set(text, width)
+            for one in centres:
                 same = len(one & two)
                 if 100 * same >= percent * (len(one) + len(two) - same):
-                    keep.append(k)
-            yield pa.RecordBatch.from_arrays([a.take(pa.array(keep, pa.int64())), b.take(pa.array(keep, pa.int64()))], ["a", "b"])
-
-    return both.select("a", "b", "at", "bt").mapInArrow(verify, "a long, b long")
+                    found.append((hub, i))
+                    break
+    return found
 
 
-def across(table: pa.Table, width: int, percent: int, all_links: bool = False) -> pa.Table:
+def across(table: pa.Table, width: int, percent: int, all_links: bool = False) -> list[tuple[int, int]]:
     """Links between members of one or two blocks that are in different components; one for each pair of components it joins.
 
     With all_links, every link between them, whatever their components.
@@ -180,8 +183,8 @@ def across(table: pa.Table, width: int, percent: int, all_links: bool = False) -
     """
     blocks_ = table["__mine"].to_numpy()
     ids, texts = table["b"].to_pylist(), table["__text"].to_pylist()
-    group = {c: c for c in set(table["__comp"].to_pylist())}
     comps = table["__comp"].to_pylist()
+    group = {c: c for c in comps}
 
     def root(c: int) -> int:
         while group[c] != c:
@@ -191,135 +194,155 @@ def across(table: pa.Table, width: int, percent: int, all_links: bool = False) -
 
     hashes, words = word_hashes(*text_bytes(table["__text"]), lower=True)
     at, rows = window_rows(words, width)
-    keys, place = np.unique(window_hashes(hashes, width)[at], return_inverse=True)
+    keys, place = np.unique(shingle_hashes(hashes, width)[at], return_inverse=True)
     flat = np.unique(place.astype(np.int64) * len(ids) + rows)
     element, holder = flat // len(ids), flat % len(ids)
     starts = np.searchsorted(element, np.arange(len(keys) + 1))
     order = np.argsort(holder, kind="stable")
     size = np.bincount(holder, minlength=len(ids))
     cut = np.concatenate([[0], np.cumsum(size)])
-    two_blocks, a_out, b_out = len(np.unique(blocks_)) > 1, [], []
+    two_blocks, found = len(np.unique(blocks_)) > 1, []
     for k in range(len(ids)):
         own = element[order[cut[k] : cut[k + 1]]]
         n = starts[own + 1] - starts[own]
         post = np.arange(int(n.sum())) + np.repeat(starts[own] - (np.cumsum(n) - n), n)
         same = np.bincount(holder[post], minlength=len(ids))
         for j in np.flatnonzero((same > 0) & (100 * same >= percent * (size[k] + size - same))).tolist():
-            if j > k and (all_links or root(comps[j]) != root(comps[k])) and (not two_blocks or blocks_[j] != blocks_[k]):
+            if j > k and ids[j] != ids[k] and (all_links or root(comps[j]) != root(comps[k])) and (not two_blocks or blocks_[j] != blocks_[k]):
                 one, two = shingle_set(texts[k], width), shingle_set(texts[j], width)
                 if 100 * len(one & two) >= percent * len(one | two):
                     group[root(comps[j])] = root(comps[k])
-                    a_out.append(ids[k])
-                    b_out.append(ids[j])
-    return pa.table({"a": pa.array(a_out, pa.int64()), "b": pa.array(b_out, pa.int64())})
+                    found.append((ids[k], ids[j]))
+    return found
 
 
-def gathered(df: DataFrame, id_col: str, text_col: str, width: int, percent: int, group_bytes: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """classes (__id, __n, __rep), heads (one row per class that may link) and members (a hub, b): two classes that link meet under some hub."""
-    rows, groups = grouped(df, id_col, text_col, group_bytes)
+def gathered(df: DataFrame, id_col: str, text_col: str, width: int, percent: int, group_bytes: int, bucket_bytes: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """ids (__id, __digest), heads (one row per class: __digest, __rep, __n, __text where it may link) and members (a hub and its size, b and its size): two classes that link meet under some hub."""
+    rows, groups, buckets = grouped(df, id_col, text_col, group_bytes, bucket_bytes)
     by_group = rows.groupBy("__grp")
 
-    def ask(key: tuple, table: pa.Table) -> pa.Table:
-        keys = np.unique(bucket_keys(Signatures(Sets(table, width), percent).sig, groups))
+    def digested(batches):
+        for batch in batches:
+            names = batch.schema.names
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(names.index("__id")).cast(pa.int64()), batch.column(names.index("__grp")), pa.array([sequence(t) for t in batch.column(names.index("__text")).to_pylist()], pa.binary())], ["__id", "__grp", "__digest"]
+            )
+
+    ids = materialise(rows.mapInArrow(digested, "__id long, __grp int, __digest binary"), "shingle-ids")
+    # Written out, so that joins with it stay plain and Spark can split a huge class of copies.
+    copies = materialise(
+        ids.where("__digest is not null").groupBy("__digest").agg(F.min("__id").alias("__rep"), F.count("*").alias("__copies")).where("__copies > 1 and __rep is not null").drop("__copies"), "shingle-copies"
+    )
+    # Copies come to their groups as answers of a bucket that isn't one.
+    dropped = ids.join(copies, "__digest").where("not __id <=> __rep").select(F.col("__grp").alias("grp"), F.lit(-1).alias("bucket"), F.expr("concat(__digest, cast(coalesce(cast(__id as string), '') as binary))").alias("data"))
+
+    def of_group(table: pa.Table, replies: pa.Table):
+        copy = pa.compute.equal(replies["bucket"], -1)
+        heads, digests = heads_of(table, set(replies.filter(copy)["data"].to_pylist()))
+        sets = Sets(heads["__text"], width)
+        signatures = Signatures(sets, percent, heads["__id"].is_valid().to_numpy(zero_copy_only=False))
+        return heads, digests, sets, signatures, replies.filter(pa.compute.invert(copy))
+
+    def ask(key: tuple, table: pa.Table, replies: pa.Table) -> pa.Table:
+        keys = np.unique(bucket_keys(of_group(table, replies)[3].sig, buckets))
         low = (keys & np.uint64(0xFFFFFFFF)).astype("<u4")
         return blocks(key_of(key), keys, lambda a, b: low[a:b].tobytes())
 
     def choose(key: tuple, table: pa.Table, replies: pa.Table) -> pa.Table:
-        sets = Sets(table, width)
-        signatures = Signatures(sets, percent)
-        keys, place, here = np.unique(bucket_keys(signatures.sig, groups), return_inverse=True, return_counts=True)
-        cost = (answered(replies).astype(np.int64) - 1 + here - 1)[place] if len(keys) else np.zeros(0, np.int64)
+        heads, digests, sets, signatures, answers = of_group(table, replies)
+        keys, place, here = np.unique(bucket_keys(signatures.sig, buckets), return_inverse=True, return_counts=True)
+        cost = (answered(answers).astype(np.int64) - 1 + here - 1)[place] if len(keys) else np.zeros(0, np.int64)
         probe, index = signatures.probes(cost)
         owner = signatures.row[np.concatenate([signatures.item, signatures.item[signatures.del_slot]])]
-        live = np.zeros(len(table), bool)
+        live = np.zeros(len(heads), bool)
         live[owner[index]] = True
-        texts = table["__text"].combine_chunks()
+        texts = heads["__text"].combine_chunks()
         return pa.table(
             {
-                "__id": table["__id"].cast(pa.int64()),
+                "__digest": pa.array(digests, pa.binary()),
+                "__rep": heads["__id"].cast(pa.int64()),
                 "__n": pa.array(sets.size, pa.int64()),
-                "__digest": pa.array(sets.digest, pa.binary()),
                 "__text": pa.compute.if_else(pa.array(live), texts, pa.scalar(None, texts.type)),
-                "__probe": lists(signatures.sig[probe], owner[probe], len(table)),
-                "__index": lists(signatures.sig[index], owner[index], len(table)),
+                "__probe": lists(signatures.sig[probe], owner[probe], len(heads)),
+                "__index": lists(signatures.sig[index], owner[index], len(heads)),
             }
         )
 
-    counted = answer(by_group.applyInArrow(ask, BLOCKS), holders)
-    chosen = materialise(
-        by_group.cogroup(counted.groupBy("grp")).applyInArrow(
-            choose, "__id long, __n long, __digest binary, __text string, __probe array<long>, __index array<long>"
-        ),
-        "shingle-sets",
-    )
-    copies = chosen.where("__digest is not null").groupBy("__digest").agg(F.min("__id").alias("__rep"), F.count("*").alias("__copies"))
-    # Written out, so that joins with it stay plain and Spark can split a huge class of copies.
-    shared = materialise(copies.where("__copies > 1").drop("__copies"), "shingle-copies")
-    classes = materialise(
-        chosen.select("__id", "__n", "__digest").join(shared, "__digest", "left").select("__id", "__n", F.coalesce("__rep", "__id").alias("__rep")), "shingle-classes"
+    counted = answer(by_group.cogroup(dropped.groupBy("grp")).applyInArrow(ask, BLOCKS), holders)
+    heads = materialise(
+        by_group.cogroup(counted.unionByName(dropped).groupBy("grp")).applyInArrow(choose, "__digest binary, __rep long, __n long, __text string, __probe array<long>, __index array<long>"),
+        "shingle-heads",
     )
-    heads = chosen.where("__text is not null").join(shared, "__digest", "left").where("__id = coalesce(__rep, __id)").drop("__rep").withColumnRenamed("__id", "__rep")
-    heads = materialise(heads.select("__rep", "__n", "__text", "__probe", "__index"), "shingle-heads")
-    probes = heads.select("__rep", F.explode("__probe").alias("__sig"))
-    index = heads.select("__rep", "__n", F.size("__index").alias("__shared"), F.explode("__index").alias("__sig"))
-
     # A signature that some set asks for gathers its members around the one with most shared segments, which is
-    # nearest to what the group was copied from.
-    asked = probes.select("__sig").distinct()
+    # nearest to what the group was copied from. Tables are written so that joins with a hot signature can be split.
+    asked = heads.select(F.explode("__probe").alias("__sig")).distinct()
+    index = heads.select("__rep", "__n", F.size("__index").alias("__shared"), F.explode("__index").alias("__sig"))
+    hits = materialise(index.join(asked, "__sig", "left_semi"), "shingle-hits")
     # The order is total (ties by a hash), so that a task run again after a loss picks the same member.
-    central = F.shiftleft(F.col("__shared").cast("long"), 40) + F.pmod(F.xxhash64("__rep"), F.lit(1 << 40))
-    hubs = index.join(asked, "__sig", "left_semi").groupBy("__sig").agg(F.max_by("__rep", central).alias("a"), F.count("*").alias("__size")).where("__size > 1")
-    members = materialise(index.join(hubs, "__sig").select("a", F.col("__rep").alias("b"), "__n").distinct(), "shingle-members")
-    return classes, heads, members
+    central = F.shiftleft(F.col("__shared").cast("long"), 40) + F.pmod(F.xxhash64("__rep", "__n"), F.lit(1 << 40))
+    hubs = materialise(
+        hits.groupBy("__sig").agg(F.max_by("__rep", central).alias("a"), F.max_by("__n", central).alias("__m"), F.count("*").alias("__size")).where("__size > 1").drop("__size"), "shingle-hubs"
+    )
+    members = materialise(hits.join(hubs, "__sig").select("a", "__m", F.col("__rep").alias("b"), "__n").distinct(), "shingle-members")
+    return ids, heads, members
+
 
+def met(cells_: DataFrame, heads: DataFrame, compare: Callable[[pa.Table], list[tuple[int, int]]], bin_rows: int = 1000) -> DataFrame:
+    """(a, b): links that compare finds in the cells (a, __i, __j) of rows (b, ..), with b's text; small cells share a task's call."""
+    cells_ = materialise(cells_, "shingle-cells")
+    bins = max(1, cells_.count() // bin_rows)
+    binned = cells_.join(heads.where("__text is not null").select(F.col("__rep").alias("b"), "__text"), "b").withColumn("__bin", F.pmod(F.xxhash64("a", "__i", "__j"), F.lit(bins)))
+    return binned.groupBy("__bin").applyInArrow(lambda table: cells(table, compare), "a long, b long")
 
-def in_blocks(dealt: DataFrame, texts: DataFrame, compare: Callable[[pa.Table], pa.Table]) -> DataFrame:
-    """Links that compare finds between rows (a, b, __comp, __blocks) of one group: a member meets its group's other blocks, a task two of them."""
-    met = dealt.withColumn("__mine", F.pmod(F.xxhash64("b"), "__blocks")).withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1))).select(
+
+def in_blocks(dealt: DataFrame) -> DataFrame:
+    """The cells of rows (a, b, __comp, __blocks): a member meets its group's other blocks, a cell has two of them."""
+    return dealt.withColumn("__mine", F.pmod(F.xxhash64("b"), "__blocks")).withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1))).select(
         "a", F.least("__mine", "__other").alias("__i"), F.greatest("__mine", "__other").alias("__j"), "b", "__comp", "__mine"
     )
-    return met.join(texts.withColumnRenamed("__rep", "b"), "b").groupBy("a", "__i", "__j").applyInArrow(compare, "a long, b long")
 
 
-def jaccard_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, group_bytes: int = 3 << 20, block_members: int = 256) -> DataFrame:
+def jaccard_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, group_bytes: int = 3 << 20, bucket_bytes: int = 32 << 20, block_members: int = 256) -> DataFrame:
     """One row per input row: id, n_shingles, class_id, component_id.
 
-    Rows with one shingle set form a class, named by its smallest id. Classes link when 100 * intersection
-    >= percent * union; component_id is the smallest id reachable. How often each segment signature occurs
-    is counted over all rows in a packed exchange; only sets whose cheapest sufficient segments are shared
-    stay candidates. Candidates first meet the most central member of each signature that some set asks for;
-    then members of such a group that are in different components meet in blocks of ``block_members``, so no
-    link that joins components is lost, no pairs are emitted, and no task gets more than two blocks.
+    Rows with the same words form a class, named by its smallest id; only that row goes on. Classes link when
+    100 * intersection >= percent * union of their shingle sets; component_id is the smallest id reachable. How
+    often each segment signature occurs is counted over all classes in a packed exchange; only sets whose cheapest
+    sufficient segments are shared stay candidates. Candidates first meet the most central member of each signature
+    that some set asks for, in cells of ``block_members`` with a copy of it; then members of such a group that are
+    in different components meet in blocks of that size, so no link that joins components is lost, no pairs are
+    emitted, and no cell gets more than two blocks. Hashes only find candidates: classes are told apart by BLAKE2b
+    of their words, links by the words themselves.
 
     Null and word-free texts have an empty set, link with nothing and are their own component; so are null
-    ids whose set no row with an id has. Texts shorter than ``width`` words are one shingle. Rows that repeat
-    an id are one node. An empty table gives an empty result. Other columns are ignored.
+    ids whose words no row with an id has. Texts shorter than ``width`` words are one shingle. Rows that repeat
+    an id are one node, with the links of all its texts. An empty table gives an empty result. Other columns are ignored.
     """
-    classes, heads, members = gathered(df, id_col, text_col, width, percent, group_bytes)
-    texts = heads.select("__rep", "__text").dropDuplicates(["__rep"])
-    sizes = heads.select(F.col("__rep").alias("a"), F.col("__n").alias("__m"))
-    star = members.where("a <> b").join(sizes, "a").where(f"100 * least(__n, __m) >= {percent} * greatest(__n, __m)").select("a", "b").distinct()
-    with small_batches(df.sparkSession):
-        links = materialise(linked(star, texts, width, percent), "shingle-links")
+    ids, heads, members = gathered(df, id_col, text_col, width, percent, group_bytes, bucket_bytes)
+    sized = materialise(members.groupBy("a").agg(F.ceil(F.count("*") / block_members).alias("__blocks")), "shingle-groups")
+    star = members.where(f"a <> b and 100 * least(__n, __m) >= {percent} * greatest(__n, __m)").select("a", "b").distinct()
+    tips = star.join(sized, "a").select("a", F.pmod(F.xxhash64("b"), "__blocks").alias("__i"), F.lit(0).cast("long").alias("__j"), "b")
+    centres = sized.select("a", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)).alias("__i"), F.lit(0).cast("long").alias("__j"), F.col("a").alias("b"))
+    links = materialise(met(tips.unionByName(centres), heads, lambda table: spokes(table, width, percent)), "shingle-links")
     found = components(links)
 
     # What the hub alone doesn't join is compared in blocks.
-    labelled = members.join(found.withColumnRenamed("node", "b"), "b", "left").select("a", "b", F.coalesce("component", "b").alias("__comp"))
-    groups_ = labelled.groupBy("a").agg(F.count("*").alias("__members"), F.min("__comp").alias("__lo"), F.max("__comp").alias("__hi")).where("__lo < __hi")
-    mixed = materialise(groups_.select("a", F.ceil(F.col("__members") / block_members).alias("__blocks")), "shingle-mixed")
-
-    def compare(table: pa.Table) -> pa.Table:
-        return across(table, width, percent)
-
-    more = materialise(in_blocks(labelled.join(mixed, "a"), texts, compare), "shingle-links")
+    labelled = members.select("a", "b").distinct().join(found.withColumnRenamed("node", "b"), "b", "left").select("a", "b", F.coalesce("component", "b").alias("__comp"))
+    mixed = labelled.groupBy("a").agg(F.min("__comp").alias("__lo"), F.max("__comp").alias("__hi")).where("__lo < __hi").select("a")
+    mixed = materialise(mixed.join(sized, "a"), "shingle-mixed")
+    more = materialise(met(in_blocks(labelled.join(mixed, "a")), heads, lambda table: across(table, width, percent)), "shingle-links")
     if not more.isEmpty():
         found = components(links.unionByName(more))
-    return classes.join(found.withColumnRenamed("node", "__rep"), "__rep", "left").select(
-        F.col("__id").alias(id_col), F.col("__n").alias("n_shingles"), F.col("__rep").alias("class_id"), F.coalesce("component", "__rep").alias("component_id")
+    # Null ids have a row in each group that holds their words; a class has one size.
+    named = heads.groupBy("__digest").agg(F.min("__rep").alias("__rep"), F.max("__n").alias("__n"))
+    named = materialise(named.join(found.withColumnRenamed("node", "__rep"), "__rep", "left").select("__digest", "__rep", "__n", "component"), "shingle-classes")
+    own = F.coalesce("__rep", "__id")
+    return ids.join(named, "__digest", "left").select(
+        F.col("__id").alias(id_col), F.coalesce("__n", F.lit(0)).cast("long").alias("n_shingles"), own.alias("class_id"), F.coalesce("component", own).alias("component_id")
     )
 
 
-def jaccard_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, group_bytes: int = 3 << 20, block_members: int = 256) -> tuple[DataFrame, DataFrame]:
+def jaccard_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, group_bytes: int = 3 << 20, bucket_bytes: int = 32 << 20, block_members: int = 256) -> tuple[DataFrame, DataFrame]:
     """The join itself: pairs (a < b) of classes that link, by class_id, and n_links of each row (id, class_id, n_links).
 
     Every two members of a hub's group are compared in blocks of ``block_members``, linked already or not. n_links is
@@ -327,16 +350,13 @@ def jaccard_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ends count. Classes, links, null and repeated ids are as in jaccard_groups; null ids aren't counted, and a row
     without an id has the links of its class. Pairs grow with the square of a family of different texts.
     """
-    classes, heads, members = gathered(df, id_col, text_col, width, percent, group_bytes)
-    texts = heads.select("__rep", "__text").dropDuplicates(["__rep"])
-    blocks_ = members.groupBy("a").agg(F.ceil(F.count("*") / block_members).alias("__blocks"))
-
-    def compare(table: pa.Table) -> pa.Table:
-        return across(table, width, percent, all_links=True)
-
-    met = in_blocks(members.join(blocks_, "a").select("a", "b", F.col("b").alias("__comp"), "__blocks"), texts, compare)
-    pairs = materialise(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "shingle-pairs")
-    sizes = classes.where("__n > 0 and __rep is not null").groupBy("__rep").agg(F.countDistinct("__id").alias("__size"))
+    ids, heads, members = gathered(df, id_col, text_col, width, percent, group_bytes, bucket_bytes)
+    sized = materialise(members.groupBy("a").agg(F.ceil(F.count("*") / block_members).alias("__blocks")), "shingle-groups")
+    dealt = members.select("a", "b").distinct().join(sized, "a").select("a", "b", F.col("b").alias("__comp"), "__blocks")
+    found = met(in_blocks(dealt), heads, lambda table: across(table, width, percent, all_links=True))
+    pairs = materialise(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "shingle-pairs")
+    classes = ids.join(heads.groupBy("__digest").agg(F.min("__rep").alias("__rep")), "__digest", "left").select("__id", F.coalesce("__rep", "__id").alias("__rep"), F.col("__digest").isNotNull().alias("__some"))
+    sizes = classes.where("__some and __rep is not null").groupBy("__rep").agg(F.countDistinct("__id").alias("__size"))
     ends = pairs.select(F.col("a").alias("__rep"), F.col("b").alias("__to")).union(pairs.select("b", "a"))
     others = ends.join(sizes.withColumnRenamed("__rep", "__to"), "__to").groupBy("__rep").agg(F.sum("__size").alias("__far"))
     near = F.greatest(F.coalesce("__size", F.lit(1)) - F.when(F.col("__id").isNull(), 0).otherwise(1), F.lit(0))

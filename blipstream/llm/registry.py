@@ -135,8 +135,7 @@ WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCD
 g AS (SELECT count(*) AS n, sum(len(words)) / count(*) AS average FROM d),
 t AS (SELECT doc_id, word, count(*) AS tf FROM (SELECT doc_id, unnest(words) AS word FROM d) GROUP BY doc_id, word),
 f AS (SELECT word, count(*) AS df, ln(1 + (max(g.n) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM t, g GROUP BY word),
-q AS (SELECT * FROM (SELECT t.doc_id AS query_id, t.word, f.idf, row_number() OVER (PARTITION BY t.doc_id ORDER BY round(tf * f.idf, 12) DESC, t.word) AS nth
-  FROM t JOIN f USING (word) WHERE t.doc_id % 50 = 0) WHERE nth <= 16),
+q AS (SELECT t.doc_id AS query_id, t.word, f.idf FROM t JOIN f USING (word) WHERE t.doc_id % 50 = 0),
 s AS (SELECT q.query_id, t.doc_id, round(sum(q.idf * t.tf * 2.2 / (t.tf + 1.2 * (0.25 + 0.75 * len(d.words) / g.average))), 9) AS score
   FROM q JOIN t USING (word) JOIN d ON d.doc_id = t.doc_id, g GROUP BY q.query_id, t.doc_id)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 10

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .exchange import BLOCKS, answer, answered, blocks, bucket_keys, grouped, holders, key_of
-from .words import text_bytes, window_hashes, window_rows, word_hashes
+from .words import Joined, text_bytes, window_hashes, window_rows, word_hashes
 
 NO_ID = np.int64((1 << 63) - 1)
 
@@ -22,23 +22,24 @@ def from_planes(data: bytes) -> np.ndarray:
 
 
 class Windows:
-    """The windows of one group of rows: two independent hashes, rows, ids, and each distinct window's smallest id."""
+    """The windows of one group of rows: Rabin-Karp hashes, rows, ids, and each distinct window's smallest id."""
 
     def __init__(self, table: pa.Table, width: int):
+        self.width = width
         self.data, self.bounds = text_bytes(table["__text"])
-        self.hashes, self.counts = word_hashes(self.data, self.bounds)
+        words, self.counts = word_hashes(self.data, self.bounds)
         self.at, self.rows = window_rows(self.counts, width)
         self.ids = table["__id"].cast(pa.int64()).fill_null(int(NO_ID)).to_numpy()
-        self.one = window_hashes(self.hashes, width, 1)[self.at]
+        self.hashes = window_hashes(words, width)[self.at]
 
     def keys(self, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-        """First exchange: distinct bucket keys of the windows of rows with an id, and each window's place in them."""
-        return np.unique(bucket_keys(self.one, buckets), return_inverse=True)
+        """First exchange: distinct bucket keys of the windows, and each window's place in them."""
+        return np.unique(bucket_keys(self.hashes, buckets), return_inverse=True)
 
-    def exact(self, repeated: np.ndarray, width: int, buckets: int):
-        """Of the windows marked: indices, their distinct 128-bit hashes (sorted by bucket key) with the smallest id, and each one's place."""
+    def exact(self, repeated: np.ndarray, buckets: int):
+        """Of the windows marked: indices, digests of their distinct words (sorted by bucket key) with the smallest id, and each one's place."""
         pick = np.flatnonzero(repeated)
-        one, two = self.one[pick], window_hashes(self.hashes, width, 2)[self.at[pick]]
+        one, two = Joined(self.data, self.bounds).digests(self.at[pick], self.width).T
         keys = bucket_keys(one, buckets)
         order = np.lexsort((two, one, keys))
         new = np.ones(len(pick), bool)
@@ -52,7 +53,7 @@ class Windows:
 
 
 def smaller_elsewhere(data: list[bytes]) -> list[bytes]:
-    """For blocks of (hash, hash, id): whether another block has the hashes with a smaller id."""
+    """For blocks of (digest, id): whether another block has the digest with a smaller id."""
     parts = []
     for x in data:
         n = len(x) // 24
@@ -67,34 +68,35 @@ def smaller_elsewhere(data: list[bytes]) -> list[bytes]:
     return [x.tobytes() for x in np.split(found, np.cumsum([len(p[0]) for p in parts])[:-1])]
 
 
-def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 50, group_bytes: int = 8 << 20) -> DataFrame:
+def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 50, group_bytes: int = 8 << 20, bucket_bytes: int = 32 << 20) -> DataFrame:
     """One row per input row: id, kept_text (kept words joined by one space), n_words, n_removed, spans.
 
     A word goes if some window of ``width`` words around it also starts in a row with a smaller id; spans
     are the maximal removed intervals as word positions, end exclusive. Rabin-Karp hashes of every window
     are counted in two exchanges: 32 bits and a bucket tell which windows can be in more than one group
-    of rows, then those and the ones repeated inside a group are compared by 128 bits with the smallest id.
+    of rows, then the words of those and of the ones repeated inside a group are compared by their BLAKE2b-128
+    digests with the smallest id, so windows whose hashes collide stay apart.
 
     Null text has no words. Rows with null ids lose words to rows with ids, never the other way round, and
     none to each other; neither do repeated rows of one id. Texts shorter than a window keep all words.
     An empty table gives an empty result. Other columns are ignored.
     """
-    rows, groups = grouped(df, id_col, text_col, group_bytes)
+    rows, _, buckets = grouped(df, id_col, text_col, group_bytes, bucket_bytes)
     by_group = rows.groupBy("__grp")
 
     def ask(key: tuple, table: pa.Table) -> pa.Table:
-        keys, _ = Windows(table, width).keys(groups)
+        keys, _ = Windows(table, width).keys(buckets)
         low = (keys & np.uint64(0xFFFFFFFF)).astype("<u4")
         return blocks(key_of(key), keys, lambda a, b: low[a:b].tobytes())
 
     def repeated(windows: Windows, table: pa.Table) -> np.ndarray:
-        keys, place = windows.keys(groups)
+        keys, place = windows.keys(buckets)
         more = answered(table) > 1 if len(keys) else np.zeros(0, bool)
         return (more | (np.bincount(place, minlength=len(keys)) > 1))[place]
 
     def ask_exactly(key: tuple, table: pa.Table, counts: pa.Table) -> pa.Table:
         windows = Windows(table, width)
-        _, keys, one, two, least, _ = windows.exact(repeated(windows, counts), width, groups)
+        _, keys, one, two, least, _ = windows.exact(repeated(windows, counts), buckets)
         return blocks(key_of(key), keys, lambda a, b: one[a:b].astype("<u8").tobytes() + two[a:b].astype("<u8").tobytes() + planes(least[a:b]))
 
     counted = answer(by_group.applyInArrow(ask, BLOCKS), holders)
@@ -106,12 +108,12 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         windows = Windows(table, width)
         bucket = replies["bucket"].to_numpy()
         first, second = replies.filter(pa.array(bucket >= 0)), replies.filter(pa.array(bucket < 0))
-        pick, keys, _, _, least, place = windows.exact(repeated(windows, first), width, groups)
+        pick, keys, _, _, least, place = windows.exact(repeated(windows, first), buckets)
         # Second answers come with descending sign-flipped buckets: undo that before reading them in order.
         second = second.set_column(second.schema.get_field_index("bucket"), "bucket", pa.array(-1 - second["bucket"].to_numpy(), pa.int32()))
         elsewhere = answered(second).astype(bool) if len(keys) else np.zeros(0, bool)
         gone = pick[(windows.ids[windows.rows[pick]] > least[place]) | elsewhere[place]]
-        cover = np.zeros(len(windows.hashes) + 1, np.int64)
+        cover = np.zeros(int(windows.counts.sum()) + 1, np.int64)
         np.add.at(cover, windows.at[gone], 1)
         np.add.at(cover, windows.at[gone] + width, -1)
         removed = np.cumsum(cover[:-1]) > 0

@@ -196,4 +196,45 @@ def test_links_inside_each_block_are_found():
     words = [f"w{i}" for i in range(60)]
     for block in (0, 1):
         cell = pa.table({"b": [1, 2], "__comp": [1, 2], "__mine": [block, block], "__text": [" ".join(words), " ".join(words[1:])]})
-        assert across(cell, 5, 80).num_rows == 1
+        assert across(cell, 5, 80) == [(1, 2)]
+
+
+def twins():
+    """Two words of 1,024 letters that any sum of letters times powers modulo 2**64 takes for one."""
+    one = "a"
+    for _ in range(10):
+        one += one.translate(str.maketrans("ab", "ba"))
+    return one, one.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_polynomials_confuse(spark):
+    u, v = twins()
+    tail = " ".join(f"x{i}" for i in range(60))
+    rows = [(1, f"{u} {tail}"), (2, f"{v} {tail}"), (3, f"{u} y"), (4, f"{v} y"), (5, f"{u} {v} {u} {v} {u}"), (6, f"{v} {u} {v} {u} {v}")]
+    got = substring_dedup(frame(spark, rows)).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in got) == expected_windows(rows, 50)
+    groups = jaccard_groups(frame(spark, rows)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in groups} == expected_groups(rows, 80)
+
+
+def test_windows_with_one_hash_are_told_apart(spark, monkeypatch):
+    """Whatever the hashes say, only equal words are removed."""
+    import blipstream.llm.substring_dedup as module
+
+    rng, vocab = random.Random(41), vocabulary(30)
+    rows = [(i, text(rng, vocab, 20)) for i in range(12)] + [(50, text(random.Random(41), vocab, 20))]
+    windows = module.Windows(pa.table({"__id": [i for i, _ in rows], "__text": [t for _, t in rows]}), 8)
+    windows.hashes[:] = 7
+    pick, _, one, two, _, place = windows.exact([True] * len(windows.hashes), 1)
+    distinct = {tuple(t.split()[k : k + 8]) for _, t in rows for k in range(13)}
+    assert len(pick) == 13 * 13 and len(one) == len(distinct) == len(set(zip(one.tolist(), two.tolist(), strict=True))) and place.max() + 1 == len(one)
+
+
+def test_repeated_and_null_ids_in_the_join(spark):
+    rng, vocab = random.Random(43), vocabulary()
+    base = text(rng, vocab, 80)
+    other = text(rng, vocab, 80)
+    rows = [(1, base), (None, base + " more"), (None, None), (None, other + " end"), (7, base + " more"), (7, other), (9, other + " tail"), (7, other), (8, "a a a a a"), (6, "a a a a a a a")]
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_groups(frame(spark, rows)).collect()), key=str)
+    n = {t: len(shingle_set(t, 5)) for _, t in rows if t}
+    assert got == sorted([(1, n[base], 1), (None, n[base + " more"], 1), (None, 0, None), (None, n[other + " end"], None), (7, n[base + " more"], 1), (7, n[other], 1), (7, n[other], 1), (9, n[other + " tail"], 1), (8, 1, 6), (6, 1, 6)], key=str)
