@@ -52,46 +52,72 @@ def part_body(part: Column, at: Column) -> Column:
     return F.when(is_text(part), escape(F.coalesce(part["text"], F.lit("")))).otherwise(F.concat(F.lit("<|"), escape_role(part["type"]), F.lit(":"), at.cast("string"), F.lit("|>")))
 
 
-def text_parts(text: Column) -> Column:
-    return F.array(F.struct(F.lit("text").alias("type"), text.alias("text")).cast("struct<type:string,text:string>")).cast(
-        "array<struct<type:string,text:string>>"
+#: Parts that are summed one by one; longer lists are summed in two levels.
+STRIDE = 64
+
+
+def with_starts(df: DataFrame, lengths: str, name: str) -> DataFrame:
+    """df with the sum of all lengths before each one; n of them take about n * STRIDE steps."""
+    add = "(x, y) -> x + y"
+    return (
+        df.withColumn("__sums", F.expr(f"transform(sequence(0, size({lengths}) div {STRIDE}), b -> aggregate(slice({lengths}, b * {STRIDE} + 1, {STRIDE}), 0L, {add}))"))
+        .withColumn("__ahead", F.expr(f"transform(__sums, (x, b) -> aggregate(slice(__sums, 1, b), 0L, {add}))"))
+        .withColumn(name, F.expr(f"transform({lengths}, (x, i) -> get(__ahead, i div {STRIDE}) + aggregate(slice({lengths}, (i div {STRIDE}) * {STRIDE} + 1, i % {STRIDE}), 0L, {add}))"))
+        .drop("__sums", "__ahead")
     )
 
 
 def format_chat(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", parts_col: str = "parts", learn: str = "assistant") -> DataFrame:
     """One row per conversation: conv id, formatted, loss_mask, attachments, n_turns.
 
-    ``parts_col`` is an array of PART structs. loss_mask lists (start, length) in code points of
-    ``formatted`` for the bodies of ``learn`` turns; attachments lists turn (0-based), part, type, ref and
-    expanded tokens in order. Turns follow turn_col, nulls first; ties follow role, then body, so reruns
-    agree. Null conversation ids form one conversation; null roles are empty; null or empty part lists and
-    null texts give an empty body. An empty table gives an empty result. Other columns are ignored.
-    A conversation becomes one string, so its rows meet in one task; nothing larger than it does.
+    ``parts_col`` is an array of PART structs. loss_mask lists (start, length) in code points of ``formatted``,
+    one for each text part of ``learn`` turns, so placeholders are never learned; attachments lists turn
+    (0-based), part, type, ref and expanded tokens in order. Turns follow turn_col, nulls first; ties follow role,
+    then body, so reruns agree. Null conversation ids form one conversation; null roles are empty; null or empty
+    part lists and null texts give an empty body; a part of null type is text. An empty table gives an empty
+    result. Other columns are ignored. A conversation becomes one string, so its rows meet in one task; nothing
+    larger than it does.
     """
     parts = F.coalesce(F.col(parts_col), F.array().cast(df.schema[parts_col].dataType))
     row = df.select(
         F.col(conv_col).alias("__conv"),
         F.col(turn_col).alias("__turn"),
         F.coalesce(F.col(role_col), F.lit("")).alias("__role"),
-        F.array_join(F.transform(parts, part_body), "").alias("__body"),
+        F.transform(parts, part_body).alias("__bodies"),
         F.transform(parts, lambda p, i: F.struct(i.alias("part"), p["type"].alias("type"), p["ref"].alias("ref"), part_tokens(p).alias("tokens"), is_text(p).alias("text"))).alias("__parts"),
+    ).withColumn("__lengths", F.transform("__bodies", F.length))
+    row = with_starts(row, "__lengths", "__starts").select(
+        "__conv",
+        "__turn",
+        "__role",
+        F.array_join("__bodies", "").alias("__body"),
+        F.filter("__parts", lambda p: ~p["text"]).alias("__others"),
+        F.when(
+            F.col("__role") == learn,
+            F.filter(
+                F.transform("__parts", lambda p, i: F.struct(p["text"].alias("text"), F.get("__starts", i).alias("start"), F.get("__lengths", i).cast("long").alias("length"))), lambda p: p["text"]
+            ),
+        ).alias("__learned"),
     ).withColumn("__piece", F.concat(F.lit(HEAD), escape_role(F.col("__role")), F.lit(CLOSE), F.col("__body"), F.lit(END)))
     turns = Window.partitionBy("__conv").orderBy("__turn", "__role", "__body")
     placed = row.withColumn("__at", F.row_number().over(turns) - 1).withColumn(
         "__start", F.sum(F.length("__piece")).over(turns.rowsBetween(Window.unboundedPreceding, 0)) - F.length("__body") - len(END)
     )
-    gathered = placed.groupBy("__conv").agg(
-        F.array_sort(F.collect_list(F.struct("__at", "__piece", "__role", "__start", F.length("__body").alias("__len"), "__parts"))).alias("__turns")
-    )
+    gathered = placed.groupBy("__conv").agg(F.array_sort(F.collect_list(F.struct("__at", "__piece", "__start", "__learned", "__others"))).alias("__turns"))
     return gathered.select(
         F.col("__conv").alias(conv_col),
         F.array_join(F.transform("__turns", lambda t: t["__piece"]), "").alias("formatted"),
-        F.transform(F.filter("__turns", lambda t: t["__role"] == learn), lambda t: F.struct(t["__start"].alias("start"), t["__len"].cast("long").alias("length"))).alias("loss_mask"),
+        F.flatten(
+            F.transform(
+                F.filter("__turns", lambda t: t["__learned"].isNotNull()),
+                lambda t: F.transform(t["__learned"], lambda p: F.struct((t["__start"] + p["start"]).alias("start"), p["length"].alias("length"))),
+            )
+        ).alias("loss_mask"),
         F.flatten(
             F.transform(
                 "__turns",
                 lambda t: F.transform(
-                    F.filter(t["__parts"], lambda p: ~p["text"]),
+                    t["__others"],
                     lambda p: F.struct(t["__at"].alias("turn"), p["part"].alias("part"), p["type"].alias("type"), p["ref"].alias("ref"), p["tokens"].alias("tokens")),
                 ),
             )

@@ -302,7 +302,7 @@ def in_blocks(dealt: DataFrame) -> DataFrame:
     )
 
 
-def jaccard_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, group_bytes: int = 3 << 20, bucket_bytes: int = 32 << 20, block_members: int = 256) -> DataFrame:
+def jaccard_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, group_bytes: int = 3 << 20, bucket_bytes: int = 16 << 20, block_members: int = 256) -> DataFrame:
     """One row per input row: id, n_shingles, class_id, component_id.
 
     Rows with the same words form a class, named by its smallest id; only that row goes on. Classes link when
@@ -342,7 +342,7 @@ def jaccard_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
-def jaccard_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, group_bytes: int = 3 << 20, bucket_bytes: int = 32 << 20, block_members: int = 256) -> tuple[DataFrame, DataFrame]:
+def jaccard_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, group_bytes: int = 3 << 20, bucket_bytes: int = 16 << 20, block_members: int = 256) -> tuple[DataFrame, DataFrame]:
     """The join itself: pairs (a < b) of classes that link, by class_id, and n_links of each row (id, class_id, n_links).
 
     Every two members of a hub's group are compared in blocks of ``block_members``, linked already or not. n_links is

@@ -32,38 +32,23 @@ def with_chunks(df: DataFrame, text_col: str, divisor: int) -> DataFrame:
     )
 
 
-def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", divisor: int = 4, min_lines: int = 2) -> DataFrame:
-    """df with repeated chunks cut from its texts, and n_chunks, n_cut, chars_cut added.
-
-    A chunk ends after a line at which a rolling hash over the last three line hashes is a multiple of
-    ``divisor``, and at the end of the text, so an inserted line moves only nearby boundaries. Chunks of
-    at least ``min_lines`` non-blank lines are counted over all rows; of equal ones (whole texts compared)
-    the first stays: smallest id, then first in its text. What remains is joined by line breaks.
-
-    Null text stays null and has no chunks to cut; empty text has one chunk of one line. Null ids come
-    last. Equal chunks in repeated rows of one id stay in each of them. Texts without a cut are returned
-    unchanged. An empty table gives an empty result. Names that start with two underscores are reserved;
-    all other columns pass through, but those named like an added one.
-    """
-    row = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
+def cut_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", divisor: int = 4, min_lines: int = 2) -> DataFrame:
+    """Each row of df as __doc, with __kept (the text that is left), __n_chunks and __n_cut; see line_dedup."""
+    row = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("__doc"), F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
     last = F.lit((1 << 63) - 1)
     chunked = with_chunks(row.where(F.col("__text").isNotNull()), "__text", divisor)
+    # Equal chunks of one text stand beside each other once sorted; all but the first in the text come again.
+    ordered = chunked.select(
+        F.coalesce("__id", last).alias("__id"), F.xxhash64("__text").alias("__text_hash"), F.sort_array(F.transform("__chunks", lambda c, k: F.struct(c.alias("c"), k.alias("k")))).alias("__order")
+    )
     spots = (
-        chunked.select(
-            F.coalesce("__id", last).alias("__id"),
-            F.xxhash64("__text").alias("__text_hash"),
-            F.posexplode(F.transform("__chunks", lambda c, k: F.struct(c.alias("c"), (F.array_position("__chunks", c) <= k).alias("again")))).alias("__at", "__spot"),
-        )
-        .select("__id", "__text_hash", "__at", F.col("__spot.c").alias("__chunk"), F.col("__spot.again").alias("__again"))
+        ordered.select("__id", "__text_hash", F.explode(F.expr("transform(__order, (s, i) -> struct(s.c as c, s.k as k, coalesce(get(__order, i - 1).c = s.c, false) as again))")).alias("__spot"))
+        .select("__id", "__text_hash", F.col("__spot.k").alias("__at"), F.col("__spot.c").alias("__chunk"), F.col("__spot.again").alias("__again"))
         .where(F.size(F.filter(F.split("__chunk", "\n", -1), lambda x: F.trim(x) != "")) >= min_lines)
         .withColumn("__key", F.xxhash64("__chunk"))
     )
     # Whole chunk texts are compared where they are counted; a key that stands for one text then stands for its bytes.
-    counted = (
-        spots.groupBy("__key", "__chunk")
-        .agg(F.min("__id").alias("__first"), F.count("*").alias("__n"))
-        .withColumn("__bytes", F.octet_length("__chunk"))
-    )
+    counted = spots.groupBy("__key", "__chunk").agg(F.min("__id").alias("__first"), F.count("*").alias("__n"))
     clash_free = (
         counted.repartition("__key")
         .withColumn("__texts", F.count("*").over(Window.partitionBy("__key")))
@@ -75,21 +60,34 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", di
     clashes = repeated.where("__chunk is not null and __n > 1")
     if not clashes.isEmpty():
         keyed = keyed.unionByName(spots.join(clashes, ["__key", "__chunk"]).drop("__chunk"))
-    cuts = (
-        keyed.where("__id > __first or __again")
-        .groupBy("__id", "__text_hash")
-        .agg(F.collect_set("__at").alias("__cut"))
+    cuts = keyed.where("__id > __first or __again").groupBy("__id", "__text_hash").agg(F.collect_set("__at").alias("__cut"))
+    joined = row.withColumn("__id", F.coalesce("__id", last)).withColumn("__text_hash", F.xxhash64("__text")).join(cuts, ["__id", "__text_hash"], "left")
+    left = F.expr("array_join(transform(array_except(sequence(0, size(__chunks) - 1), __cut), k -> get(__chunks, k)), '\n')")
+    return with_chunks(joined, "__text", divisor).select(
+        "__doc",
+        F.when(F.col("__cut").isNull() | F.col("__text").isNull(), F.col("__text")).otherwise(left).alias("__kept"),
+        F.when(F.col("__text").isNull(), 0).otherwise(F.size("__chunks")).cast("long").alias("__n_chunks"),
+        F.coalesce(F.when(F.col("__text").isNotNull(), F.size("__cut")), F.lit(0)).cast("long").alias("__n_cut"),
     )
-    joined = df.withColumn("__id", F.coalesce(F.col(id_col), last)).withColumn("__text_hash", F.xxhash64(text_col)).join(cuts, ["__id", "__text_hash"], "left")
-    done = with_chunks(joined, text_col, divisor).withColumn(
-        "__kept",
-        F.when(F.col("__cut").isNull() | F.col(text_col).isNull(), F.col(text_col)).otherwise(
-            F.array_join(F.expr("filter(__chunks, (c, k) -> not array_contains(__cut, k))"), "\n")
-        ),
-    )
-    return done.select(
-        *[F.col("__kept").alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns if c not in ADDED],
-        F.when(F.col(text_col).isNull(), 0).otherwise(F.size("__chunks")).cast("long").alias("n_chunks"),
-        F.coalesce(F.when(F.col(text_col).isNotNull(), F.size("__cut")), F.lit(0)).cast("long").alias("n_cut"),
-        (F.coalesce(F.length(text_col), F.lit(0)) - F.coalesce(F.length("__kept"), F.lit(0))).cast("long").alias("chars_cut"),
+
+
+def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", divisor: int = 4, min_lines: int = 2) -> DataFrame:
+    """df with repeated chunks cut from its texts, and n_chunks, n_cut, chars_cut added.
+
+    A chunk ends after a line at which a rolling hash over the last three line hashes is a multiple of
+    ``divisor``, and at the end of the text, so an inserted line moves only nearby boundaries. Chunks of
+    at least ``min_lines`` non-blank lines are counted over all rows; of equal ones (whole texts compared)
+    the first stays: smallest id, then first in its text. What remains is joined by line breaks.
+
+    Null text stays null and has no chunks to cut; empty text has one chunk of one line. Null ids come
+    last. Equal chunks in repeated rows of one id stay in each of them. Texts without a cut are returned
+    unchanged. An empty table gives an empty result. All other columns pass through, whatever their names;
+    columns named like an added one are replaced.
+    """
+    doc, text = F.col("__doc"), F.col("__doc").getField(text_col)
+    return cut_lines(df, id_col, text_col, divisor, min_lines).select(
+        *[F.col("__kept").alias(c) if c == text_col else doc.getField(c).alias(c) for c in df.columns if c not in ADDED],
+        F.col("__n_chunks").alias("n_chunks"),
+        F.col("__n_cut").alias("n_cut"),
+        (F.coalesce(F.length(text), F.lit(0)) - F.coalesce(F.length("__kept"), F.lit(0))).cast("long").alias("chars_cut"),
     )

@@ -5,7 +5,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import materialise
@@ -22,10 +22,10 @@ ALPHABETS = {
     "random_base36": "0123456789abcdefghijklmnopqrstuvwxyz",
 }
 KINDS = ("assign", "access", "hex", *ALPHABETS)
-#: p-values are kept as whole steps of -log10(p), rounded down (so towards larger p), up to the last.
-STEP, LAST = 0.05, 2000
+#: p-values are kept as whole hundredths, rounded down.
+CELLS = 100
 SPAN = "struct<start:int,rank:int,kind:string,end:int>"
-CANDIDATE = "struct<start:int,rank:int,kind:string,end:int,band:int,step:int>"
+CANDIDATE = "struct<start:int,rank:int,kind:string,end:int,band:int,cell:int>"
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -74,26 +74,41 @@ def randomness_p(token: str, kind: str) -> float:
     return math.exp(-half) * (1 + half + half * half / 2)
 
 
-def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[dict]:
-    """Encoded tokens that no base span touches, with the length band (powers of two) and p step."""
+def candidates(text: str) -> list[dict]:
+    """All encoded tokens, with the length band (powers of two) and the cell of their p-value."""
     found = []
     for m in TOKEN.finditer(text):
-        kind = encoding(m[0])
-        if kind and not any(a < m.end() and m.start() < b for a, _, b in taken):
-            p = randomness_p(m[0], kind)
-            step = LAST if p <= 0 else min(LAST, int(-math.log10(min(1.0, p)) / STEP))
-            found.append({"start": m.start(), "rank": KINDS.index(kind), "kind": kind, "end": m.end(), "band": len(m[0]).bit_length(), "step": step})
+        if kind := encoding(m[0]):
+            cell = min(CELLS - 1, int(randomness_p(m[0], kind) * CELLS))
+            found.append({"start": m.start(), "rank": KINDS.index(kind), "kind": kind, "end": m.end(), "band": len(m[0]).bit_length(), "cell": cell})
     return found
 
 
-def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = 0.05) -> DataFrame:
+def least_cell(counts: np.ndarray, rate: float, clear: float, least: float = 0.01) -> int:
+    """The lowest cell from which tokens are reported: at most ``rate`` of them are then expected not to be random.
+
+    Random tokens have uniform p-values and others small ones, so the cells from ``clear`` on tell how many random
+    tokens there are (Storey's estimate), and 1 - t of those are reported from a p of t on; what is reported beyond
+    them is false, up to two standard errors of that difference. No token with a p below ``least`` is reported, however few there are; CELLS: none at all.
+    """
+    above = np.append(np.cumsum(counts[::-1])[::-1], 0)
+    random = min(float(above[0]), above[round(clear * CELLS)] / (1 - clear))
+    for cell in range(math.ceil(least * CELLS), CELLS):
+        t = cell / CELLS
+        error = 2 * math.sqrt(random * max(0.0, clear - t) * (1 - t) / (1 - clear))
+        if above[cell] and above[cell] - random * (1 - t) <= rate * above[cell] + error + 1e-9:
+            return cell
+    return CELLS
+
+
+def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = 0.05, clear: float = 0.2) -> DataFrame:
     """One row per input row: id, base and spans (arrays of SPAN by start, then kind; code points, end exclusive).
 
-    base has the fixed patterns. spans adds tokens of 20 and more symbols whose inferred encoding passes a
-    battery for randomness: chi-squared uniformity over the alphabet, runs about the middle, and lag-one
-    serial correlation, combined by Fisher. Over all tokens of the table, Benjamini-Hochberg at ``rate``
-    within each encoding and length band rejects the ones that aren't random; longer tokens, whose tests
-    are sharper, so never lend false rejections to short ones. What isn't rejected is reported.
+    base has the fixed patterns. spans adds every token of 20 and more symbols, within a base span or not, whose
+    inferred encoding passes a battery for randomness: chi-squared uniformity over the alphabet, runs about the
+    middle, and lag-one serial correlation, combined by Fisher. The p-values of all tokens of the table are counted
+    per encoding and length band, as the tests of longer tokens are sharper; in each band the tokens reported are
+    those from the lowest p at which at most ``rate`` of them are expected to be false (see least_cell).
 
     Null text counts as empty. Null ids and repeated rows pass, each row on its own. An empty table gives an
     empty result. Other columns are ignored.
@@ -104,30 +119,24 @@ def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             names = batch.schema.names
             base, found = [], []
             for text in batch.column(names.index(text_col)).to_pylist():
-                spans = base_spans(text or "")
-                base.append([{"start": a, "rank": r, "kind": KINDS[r], "end": b} for a, r, b in spans])
-                found.append(candidates(text or "", spans))
+                base.append([{"start": a, "rank": r, "kind": KINDS[r], "end": b} for a, r, b in base_spans(text or "")])
+                found.append(candidates(text or ""))
             span = [("start", pa.int32()), ("rank", pa.int32()), ("kind", pa.string()), ("end", pa.int32())]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(names.index(id_col)), pa.array(base, pa.list_(pa.struct(span))), pa.array(found, pa.list_(pa.struct([*span, ("band", pa.int32()), ("step", pa.int32())])))],
+                [batch.column(names.index(id_col)), pa.array(base, pa.list_(pa.struct(span))), pa.array(found, pa.list_(pa.struct([*span, ("band", pa.int32()), ("cell", pa.int32())])))],
                 ["__id", "base", "found"],
             )
 
     kind = df.schema[id_col].dataType.simpleString()
     scanned = materialise(df.select(id_col, text_col).mapInArrow(run, f"__id {kind}, base array<{SPAN}>, found array<{CANDIDATE}>"), "secret-spans")
-    counts = scanned.select(F.explode("found").alias("c")).groupBy("c.kind", "c.band", "c.step").count()
-    group = Window.partitionBy("kind", "band")
-    ranked = (
-        counts.withColumn("at_most", F.sum("count").over(group.orderBy(F.desc("step")).rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("of", F.sum("count").over(group))
-        .where(F.pow(F.lit(10.0), -F.col("step") * STEP) <= rate * F.col("at_most") / F.col("of"))
-    )
-    # One row per encoding and power of two: at most 4 * 32.
-    limits = {(r["kind"], r["band"]): r["step"] for r in ranked.groupBy("kind", "band").agg(F.min("step").alias("step")).collect()}
-    cuts = F.create_map(*[F.lit(x) for (k, b), s in sorted(limits.items()) for x in (f"{k}:{b}", s)]) if limits else None
+    # One row per encoding, power of two and hundredth: at most 4 * 32 * CELLS.
+    bands: dict[str, np.ndarray] = {}
+    for r in scanned.select(F.explode("found").alias("c")).groupBy("c.kind", "c.band", "c.cell").count().collect():
+        bands.setdefault(f"{r['kind']}:{r['band']}", np.zeros(CELLS, np.int64))[r["cell"]] = r["count"]
+    cuts = F.create_map(*[F.lit(x) for name in sorted(bands) for x in (name, least_cell(bands[name], rate, clear))]) if bands else None
 
     def kept(c):
-        return F.lit(True) if cuts is None else c["step"] < F.coalesce(F.try_element_at(cuts, F.concat_ws(":", c["kind"], c["band"].cast("string"))), F.lit(LAST + 1))
+        return F.lit(False) if cuts is None else c["cell"] >= F.try_element_at(cuts, F.concat_ws(":", c["kind"], c["band"].cast("string")))
 
     random = F.transform(F.filter("found", kept), lambda c: F.struct(c["start"].alias("start"), c["rank"].alias("rank"), c["kind"].alias("kind"), c["end"].alias("end")))
     return scanned.select(F.col("__id").alias(id_col), "base", F.array_sort(F.concat("base", random)).alias("spans"))

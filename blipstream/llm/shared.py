@@ -1,31 +1,17 @@
 """Tables in the folder that driver and executors share, and the text rules that several operators use."""
 
-import tempfile
-import uuid
-from functools import cache
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.stored import stored
+
 #: Words are maximal runs of code points outside this set.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-@cache
-def _own_dir(app_id: str) -> str:
-    return tempfile.mkdtemp(prefix="spark-")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; a fresh local folder only where none is set (tests, local mode)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_dir(spark.sparkContext.applicationId)
-
-
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Cuts lineage: writes df once to the shared folder and reads it back, so a lost executor costs no recomputation."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return stored(df, name)
 
 
 def one_space(text: Column) -> Column:

@@ -68,7 +68,7 @@ def smaller_elsewhere(data: list[bytes]) -> list[bytes]:
     return [x.tobytes() for x in np.split(found, np.cumsum([len(p[0]) for p in parts])[:-1])]
 
 
-def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 50, group_bytes: int = 8 << 20, bucket_bytes: int = 32 << 20) -> DataFrame:
+def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 50, group_bytes: int = 8 << 20, bucket_bytes: int = 16 << 20) -> DataFrame:
     """One row per input row: id, kept_text (kept words joined by one space), n_words, n_removed, spans.
 
     A word goes if some window of ``width`` words around it also starts in a row with a smaller id; spans

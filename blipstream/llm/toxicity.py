@@ -1,5 +1,6 @@
 """Toxicity scores from character n-grams: a linear classifier over features scaled by naive Bayes log-count ratios."""
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -58,10 +59,15 @@ def presence(texts: list[str], grams: Grams):
         yield from np.split((keys & np.uint64(0xFFFFFFFF)).astype(np.uint32), np.searchsorted(keys, np.arange(1, b - a, dtype=np.uint64) << np.uint64(32)))
 
 
-def train_rows(labels: DataFrame, id_col: str, label_col: str, most: int) -> DataFrame:
-    """At most ``most`` labelled rows whose crc32(id as text) mod 3 is not 1, the first by hashed id."""
+def train_rows(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most: int) -> DataFrame:
+    """(__id, __text, __label) of at most ``most`` rows: the first by hashed id and text that are labelled and whose crc32(id as text) mod 3 is not 1."""
     usable = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & ~held_out(F.col(id_col)))
-    return usable.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__label")).orderBy(F.xxhash64("__id"), "__id", "__label").limit(most)
+    first = F.xxhash64("__id"), "__id", "__label"
+    taught = usable.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__label")).distinct().orderBy(*first).limit(most)  # most bounds what is broadcast
+    rows = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).withColumn("__hash", F.xxhash64("__text"))
+    # An id may be on many rows: what they teach is bounded too, before any text moves.
+    chosen = rows.select("__id", "__hash").join(F.broadcast(taught), "__id").distinct().orderBy(*first, "__hash").limit(most)
+    return rows.join(F.broadcast(chosen), ["__id", "__hash"]).dropDuplicates(["__id", "__hash", "__label"]).select("__id", "__text", "__label")
 
 
 def held_out(id_: Column) -> Column:
@@ -115,34 +121,23 @@ def fit(present: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray, penalt
     return w * ratio, float(bias)
 
 
-def score_toxicity(
+def toxicity_scorer(
     df: DataFrame,
     labels: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "toxic",
-    cut: float = 0.7,
     most_train_rows: int = 20_000,
     keep: int = 8192,
     min_rows: int = 5,
     penalty: float = 1e-4,
     steps: int = 200,
     grams: Grams = Grams(),
-) -> DataFrame:
-    """df with held_out, score and predicted added (columns of those names are replaced).
-
-    Rows whose crc32(id as text) mod 3 is 1 never teach; of the others at most ``most_train_rows`` labelled
-    ones do, the first by hashed id. Their n-gram counts give log-count ratios on Spark; the ``keep`` surest
-    features scale a logistic regression, which is small enough for the driver. Only text is scored.
-
-    Null text is scored as empty. Null ids are not held out and never teach; null or other labels are
-    ignored, rows labelled twice teach twice. Without labels every score is 0.5. An empty table gives an
-    empty result. Other columns pass through.
-    """
-    taught = F.broadcast(train_rows(labels, id_col, label_col, most_train_rows))  # most_train_rows bounds it
-    train = materialise(
-        df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(taught, "__id").select("__id", "__text", "__label"), "toxicity-train"
-    ).repartition(16, "__id")
+) -> Callable[[Column], Column]:
+    """Trains on the labelled rows of df and gives the function of a text column that scores it; see score_toxicity."""
+    if keep > 1 << 16:
+        raise ValueError("features are numbered in 16 bits: keep at most 65536")
+    train = materialise(train_rows(df, labels, id_col, text_col, label_col, most_train_rows), "toxicity-train").repartition(16, "__id")
     ratios = log_count_ratios(train, grams, min_rows, keep)
     chosen, ratio = np.array(sorted(ratios), np.int64), np.array([ratios[f] for f in sorted(ratios)])
     slot = np.full(1 << grams.bits, -1, np.int32)
@@ -152,12 +147,12 @@ def score_toxicity(
         for batch in batches:
             names = batch.schema.names
             texts = [t or "" for t in batch.column(names.index("__text")).to_pylist()]
-            found = [(s := slot[f])[s >= 0] for f in presence(texts, grams)]
-            yield pa.RecordBatch.from_arrays([batch.column(names.index("__id")), batch.column(names.index("__label")), pa.array(found, pa.list_(pa.int32()))], ["id", "label", "found"])
+            found = [np.sort((s := slot[f])[s >= 0]).astype("<u2").tobytes() for f in presence(texts, grams)]
+            yield pa.RecordBatch.from_arrays([batch.column(names.index("__label")), pa.array(found, pa.binary())], ["label", "found"])
 
-    kind = df.schema[id_col].dataType.simpleString()
-    rows = sorted(train.mapInArrow(pick, f"id {kind}, label int, found array<int>").collect(), key=lambda r: (r["id"], r["label"], r["found"]))
-    weights, bias = fit([np.array(r["found"], np.int64) for r in rows], np.array([r["label"] for r in rows], float), ratio, penalty, steps)
+    # At most most_train_rows rows of two bytes for each of at most ``keep`` features.
+    rows = sorted((bytes(r["found"]), r["label"]) for r in train.mapInArrow(pick, "label int, found binary").collect())
+    weights, bias = fit([np.frombuffer(x, "<u2").astype(np.int64) for x, _ in rows], np.array([y for _, y in rows], float), ratio, penalty, steps)
     table = np.zeros(1 << grams.bits, np.float32)
     table[chosen] = weights
     chosen_flag = slot >= 0
@@ -175,5 +170,22 @@ def score_toxicity(
         parts = [score([t or "" for t in column.slice(at, SLICE_ROWS).to_pylist()]) for at in range(0, len(column), SLICE_ROWS)]
         return pa.array(np.concatenate(parts) if parts else [], pa.float64())
 
-    kept = df.drop("held_out", "score", "predicted")
-    return kept.withColumn("score", scored(F.col(text_col))).withColumn("held_out", held_out(F.col(id_col))).withColumn("predicted", (F.col("score") >= cut).cast("int"))
+    return scored
+
+
+def score_toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", cut: float = 0.7, **training) -> DataFrame:
+    """df with held_out, score and predicted added (columns of those names are replaced).
+
+    Rows whose crc32(id as text) mod 3 is 1 never teach; of the others at most ``most_train_rows`` labelled
+    ones do, the first by hashed id. Their n-gram counts give log-count ratios on Spark; the ``keep`` surest
+    features scale a logistic regression, which is small enough for the driver. Only text is scored. ``training``
+    takes the parameters of toxicity_scorer.
+
+    Null text is scored as empty. Null ids are not held out and never teach; null or other labels are ignored;
+    equal rows and equal labels teach once, an id with both labels teaches both. Without labels every score is 0.5.
+    An empty table gives an empty result. Other columns pass through, whatever their names.
+    """
+    score = toxicity_scorer(df, labels, id_col, text_col, label_col, **training)
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in ("held_out", "score", "predicted")]
+    out = df.select(*kept, score(F.col(text_col)).alias("score"), held_out(F.col(id_col)).alias("held_out"))
+    return out.withColumn("predicted", (F.col("score") >= cut).cast("int"))

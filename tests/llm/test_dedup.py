@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import defaultdict
 
 import pyarrow as pa
@@ -78,6 +79,14 @@ def test_line_dedup(spark):
     assert any(r.n_cut for r in got.values()) and all(r.chars_cut >= 0 for r in got.values())
 
 
+def test_line_dedup_of_very_many_lines(spark):
+    rng = random.Random(6)
+    body = "\n".join(rng.choice(["alpha beta", "gamma", "", "delta x", f"line {i}"]) for i in range(120_000))
+    began = time.time()
+    got = {r.doc_id: r for r in line_dedup(frame(spark, [(1, body), (2, body)])).collect()}
+    assert {i: r.text for i, r in got.items()} == expected_lines([(1, body), (2, body)]) and time.time() - began < 40
+
+
 def test_line_dedup_awkward(spark):
     df = frame(spark, awkward()).repartition(3)
     got = line_dedup(df).collect()

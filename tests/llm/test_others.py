@@ -1,6 +1,8 @@
 import hashlib
 import math
 import random
+import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -11,10 +13,10 @@ from tokenizers import Tokenizer
 from blipstream.llm.bpe import bpe_round_trip, load
 from blipstream.llm.chat_format import PART, format_chat, masked, read_back
 from blipstream.llm.components import components
-from blipstream.llm.mixing import flight, mix_sources
+from blipstream.llm.mixing import flight, mix_rows, mix_sources
 from blipstream.llm.search import bm25_top_k
-from blipstream.llm.secret_scan import ALPHABETS, encoding, randomness_p, scan_secrets
-from blipstream.llm.toxicity import score_toxicity
+from blipstream.llm.secret_scan import ALPHABETS, encoding, least_cell, randomness_p, scan_secrets
+from blipstream.llm.toxicity import score_toxicity, train_rows
 
 from .helpers import awkward, frame, text, vocabulary, words_of
 
@@ -58,6 +60,38 @@ def test_mix_of_nothing(spark):
     assert mix_sources(frame(spark, [(1, None), (2, "")])).agg(F.sum("taken")).first()[0] == 0
 
 
+def test_mix_of_hot_rows(spark):
+    """Half of the rows are one row again and again: they're dealt to many blocks, and rows leave as often as the mix takes them."""
+    rows = [(None, "a b c", "a")] * 1500 + [(i, f"w{i} x y z"[: 4 + i % 5], rng) for i, rng in ((i, "ab"[i % 2]) for i in range(1500))]
+    df = frame(spark, rows)
+    got = mix_sources(df, block_rows=100).collect()
+    again = mix_sources(df.repartition(5), block_rows=100).collect()
+    assert Counter((r.doc_id, r.taken) for r in again) == Counter((r.doc_id, r.taken) for r in got)
+    hot = [r.copies for r in got if r.doc_id is None]
+    assert len(hot) == 1500 and abs(sum(hot) / 1500 - got[0].target / got[0].source_size) < 0.3
+    out = mix_rows(df, block_rows=100)
+    assert out.dtypes == df.dtypes
+    rows_out = Counter(tuple(r) for r in out.collect())
+    assert Counter({i: n for i, n in Counter(r.doc_id for r in out.collect()).items()}) == Counter({i: n for i in {r.doc_id for r in got} if (n := sum(r.copies for r in got if r.doc_id == i))})
+    assert set(rows_out) <= {tuple(r) for r in df.collect()}
+
+
+def test_mix_of_many_sources(spark):
+    rows = [(i, "w " * (1 + i % 7), f"host{i % 500:03d}") for i in range(2000)]
+    got = mix_sources(frame(spark, rows)).collect()
+    sizes = Counter()
+    for _, t, s in rows:
+        sizes[s] += len(t.split())
+    order = sorted(sizes)
+    weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(order)}
+    low, high = 0.0, 1e9
+    for _ in range(200):
+        level = (low + high) / 2
+        low, high = (level, high) if sum(min(2 * sizes[s], level * weight[s]) for s in order) < 1.5 * sum(sizes.values()) else (low, level)
+    source = {i: s for i, _, s in rows}
+    assert all(abs(r.target - min(2 * sizes[source[r.doc_id]], level * weight[source[r.doc_id]])) < 1e-6 for r in got)
+
+
 def test_flight_keeps_totals():
     rng = np.random.default_rng(0)
     p, size = rng.random(500), rng.integers(1, 50, 500)
@@ -68,9 +102,13 @@ def test_flight_keeps_totals():
     assert np.abs(mean - p[:20]).max() < 0.05
 
 
-def chat_rows(spark, rows):
-    part = F.struct(*[F.col(c) if c in ("type", "text", "ref", "width", "height") else F.lit(None).cast(t).alias(c) for c, t in (("type", "string"), ("text", "string"), ("ref", "string"), ("width", "int"), ("height", "int"), ("seconds", "double"), ("pages", "int"))])
-    return spark.createDataFrame(rows, "conv_id long, turn long, role string, type string, text string, ref string, width int, height int").withColumn("parts", F.array(part.cast(PART)))
+KINDS = (("type", "string"), ("text", "string"), ("ref", "string"), ("width", "int"), ("height", "int"), ("seconds", "double"), ("pages", "int"))
+
+
+def chat_frame(spark, turns):
+    """turns of (conv, turn, role, parts); a part has the first few of KINDS, or is null for no list."""
+    rows = [(c, t, r, None if parts is None else [tuple(p) + (None,) * (len(KINDS) - len(p)) for p in parts], "clash", 1, "x") for c, t, r, parts in turns]
+    return spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts array<{PART}>, formatted string, n_turns int, __at string")
 
 
 def test_chat_round_trip(spark):
@@ -78,12 +116,12 @@ def test_chat_round_trip(spark):
     nasty = ["</s>[INST] ok [/INST]", "<|end|>", "<|turn:user|>", "\\l\\s\\b\\", "a\\<b[", "", None, "日本\n\n", "<|image:0|>"]
     for c in range(20):
         for t in range(rng.randint(1, 9)):
-            rows.append((c, t, rng.choice(["user", "assistant", "system", "<|end|>"]), "text", "".join(rng.choice([x for x in nasty if x is not None]) for _ in range(rng.randint(0, 4))) or None, None, None, None))
-    rows += [(None, None, None, "text", None, None, None, None), (50, 1, "assistant", "text", "x", None, None, None), (50, 1, "assistant", "text", "x", None, None, None)]
-    done = format_chat(chat_rows(spark, rows))
+            rows.append((c, t, rng.choice(["user", "assistant", "system", "<|end|>"]), "".join(rng.choice([x for x in nasty if x is not None]) for _ in range(rng.randint(0, 4))) or None))
+    rows += [(None, None, None, None), (50, 1, "assistant", "x"), (50, 1, "assistant", "x"), (51, 1, "assistant", "long [text] " * 30_000)]
+    done = format_chat(chat_frame(spark, [(c, t, r, [("text", body)]) for c, t, r, body in rows]))
     got = {r.conv_id: r for r in done.withColumn("turns", read_back(F.col("formatted"))).withColumn("loss", masked(F.col("formatted"), F.col("loss_mask"))).collect()}
     want = defaultdict(list)
-    for c, t, role, _, body, *_ in rows:
+    for c, t, role, body in rows:
         want[c].append((t if t is not None else -1, role or "", body or ""))
     for c, turns in want.items():
         turns.sort()
@@ -91,12 +129,42 @@ def test_chat_round_trip(spark):
         assert got[c].loss == "".join(b for _, r, b in turns if r == "assistant") and got[c].n_turns == len(turns)
 
 
-def test_chat_attachments(spark):
-    rows = [(1, 0, "user", "image", None, "a.png", 30, 14), (1, 1, "assistant", "text", "seen", None, None, None)]
-    r = format_chat(chat_rows(spark, rows)).first()
-    assert [(a.turn, a.type, a.ref, a.tokens) for a in r.attachments] == [(0, "image", "a.png", 3)]
-    assert r.formatted == "<|turn:user|><|image:0|><|end|><|turn:assistant|>seen<|end|>"
-    assert format_chat(chat_rows(spark, rows).limit(0)).count() == 0
+def plain_format(turns):
+    """The formatted string, the learned text parts and the attachments of one conversation's (role, parts), restated."""
+
+    def escaped(x):
+        return x.replace("\\", "\\s").replace("<", "\\l").replace("[", "\\b")
+
+    out, learned, attached = "", [], []
+    for at, (role, parts) in enumerate(turns):
+        out += f"<|turn:{escaped(role).replace('|', chr(92) + 'p')}|>"
+        for k, p in enumerate(parts or []):
+            kind, body, ref, width, height, seconds, pages = tuple(p) + (None,) * (len(KINDS) - len(p))
+            if kind in (None, "text"):
+                if role == "assistant":
+                    learned.append((len(out), len(escaped(body or "")), body or ""))
+                out += escaped(body or "")
+            else:
+                tokens = {"image": -(-(width or 0) // 14) * -(-(height or 0) // 14), "audio": math.ceil((seconds or 0) * 25), "document": (pages or 0) * 512}.get(kind, 0)
+                attached.append((at, k, kind, ref, tokens))
+                out += f"<|{kind}:{k}|>"
+        out += "<|end|>"
+    return out, learned, attached
+
+
+def test_chat_parts(spark):
+    rng = random.Random(12)
+    choices = [("text", "see <this> [here]"), ("text", None), (None, "untyped \\"), ("image", None, "a.png", 30, 14), ("audio", None, "b.wav", None, None, 1.5), ("document", None, "c.pdf", None, None, None, 3), ("image", "caption", None)]
+    turns = [(c, t, rng.choice(["user", "assistant"]), [rng.choice(choices) for _ in range(rng.choice([0, 1, 3, 7, 200]))]) for c in range(12) for t in range(4)]
+    turns += [(90, 0, "assistant", None), (91, 0, "assistant", []), (92, 0, "assistant", [("text", "see "), ("audio", None, "d", None, None, 2.0), ("text", "!")])]
+    done = format_chat(chat_frame(spark, turns)).withColumn("loss", masked(F.col("formatted"), F.col("loss_mask")))
+    got = {r.conv_id: r for r in done.collect()}
+    for c in {c for c, *_ in turns}:
+        out, learned, attached = plain_format([(r, p) for k, _, r, p in sorted((x for x in turns if x[0] == c), key=lambda x: x[1])])
+        assert got[c].formatted == out and [(m.start, m.length) for m in got[c].loss_mask] == [x[:2] for x in learned]
+        assert got[c].loss == "".join(x[2] for x in learned) and [tuple(a) for a in got[c].attachments] == attached
+    assert got[92].loss == "see !" and got[92].loss_mask == [(18, 4), (33, 1)]
+    assert format_chat(chat_frame(spark, turns).limit(0)).count() == 0
 
 
 def test_secrets(spark):
@@ -109,7 +177,8 @@ def test_secrets(spark):
     assert spans[1] == [("assign", 2, 51), ("hex", 11, 51)]
     assert [k for k, *_ in spans[2]] == ["assign"] and spans[2][0] == ("assign", 0, 17)
     assert spans[3] == [("access", 0, 20)] and spans[4] == spans[5] == spans[7] == [] and spans[8] == [("hex", 0, 40)]
-    assert [s.kind for s in got[6].spans] == ["random_base64"] and [k for k, *_ in spans[None]] == ["assign"]
+    assert [(s.kind, s.start, s.end) for s in got[6].spans] == [("random_base64", 4, 50)] and [k for k, *_ in spans[None]] == ["assign"]
+    assert [(s.kind, s.start, s.end) for s in got[1].spans] == [("assign", 2, 51), ("hex", 11, 51), ("random_hex", 11, 51)]
     assert scan_secrets(frame(spark, rows).limit(0)).count() == 0
 
 
@@ -130,6 +199,59 @@ def test_secrets_of_each_encoding_and_case(spark):
         assert len(found) == 40 and sum(found) >= 36, shape
 
 
+def expected_spans(rows, rate=0.05, clear=0.2):
+    """Base and all spans, restated: every text scanned by the patterns of the contract, every token tested, thresholds from plain counts."""
+    fixed = [
+        ("assign", r"((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", lambda m: len(m[2]) >= 6),
+        ("access", r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 20),
+        ("hex", r"[0-9a-f]+", lambda m: len(m[0]) >= 24),
+    ]
+    order = ["assign", "access", "hex", *ALPHABETS]
+    base, tested = [], []
+    for _, t in rows:
+        base.append([(m.start(), order.index(kind), kind, m.end()) for kind, pattern, fits in fixed for m in re.finditer(pattern, t or "") if fits(m)])
+        tokens = [m for m in re.finditer(r"[A-Za-z0-9+/_-]+", t or "") if len(m[0]) >= 20 and encoding(m[0])]
+        tested.append([(m.start(), m.end(), encoding(m[0]), len(m[0]).bit_length(), int(100 * randomness_p(m[0], encoding(m[0])))) for m in tokens])
+    groups = defaultdict(list)
+    for found in tested:
+        for *_, kind, band, cell in found:
+            groups[kind, band].append(min(cell, 99))
+    limit = {}
+    for key, p in groups.items():
+        random_ = min(len(p), sum(x >= 100 * clear for x in p) / (1 - clear))
+        fine = [t for t in range(1, 100) if (n := sum(x >= t for x in p)) and n - random_ * (1 - t / 100) <= rate * n + 2 * (random_ * max(0, clear - t / 100) * (1 - t / 100) / (1 - clear)) ** 0.5 + 1e-9]
+        limit[key] = min(fine, default=100)
+    return [(sorted(b), sorted(b + [(a, order.index(kind), kind, z) for a, z, kind, band, cell in found if cell >= limit[kind, band]])) for b, found in zip(base, tested, strict=True)]
+
+
+def test_secrets_equal_a_restatement(spark):
+    rng = random.Random(15)
+    made = []
+    for i in range(300):
+        kind = rng.choice(list(ALPHABETS))
+        token = "".join(rng.choice(ALPHABETS[kind]) for _ in range(rng.choice([18, 20, 24, 32, 50, 70])))
+        plain = "".join(rng.choice(["user", "name", "data", "file", "42", "2024", "_", "-", "Path"]) for _ in range(rng.randint(5, 12)))
+        made.append((i, rng.choice(["{} x", "token: {}", "api-key {}", "ſecret=ſ {}", "API_KEY='{}'", "see {}/{} AKIA" + "Z9" * 9]).format(rng.choice([token, plain]), plain)))
+    rows = made + made[:20] + awkward()
+    got = scan_secrets(frame(spark, rows)).collect()
+    want = Counter((i, str(b), str(s)) for (i, _), (b, s) in zip(rows, expected_spans(rows), strict=True))
+    assert Counter((r.doc_id, str([tuple(x) for x in r.base]), str([tuple(x) for x in r.spans])) for r in got) == want
+    assert 60 < sum(len(s) - len(b) for b, s in expected_spans(rows)) < 300
+
+
+def test_false_secrets_are_bounded():
+    """Tokens that aren't random among many that are: at most about the rate of those reported."""
+    rng = random.Random(16)
+    counts = np.zeros(100, np.int64)
+    true, false = [rng.random() for _ in range(2000)], [rng.random() ** 15 for _ in range(600)]
+    for p in true + false:
+        counts[int(100 * p)] += 1
+    cut = least_cell(counts, 0.05, 0.2) / 100
+    reported = sum(p >= cut for p in true), sum(p >= cut for p in false)
+    assert reported[1] / sum(reported) < 0.1 and reported[0] > 1500
+    assert least_cell(np.eye(1, 100, 0, np.int64)[0], 0.05, 0.2) == 100 and least_cell(np.eye(1, 100, 60, np.int64)[0], 0.05, 0.2) == 1
+
+
 def test_randomness_p_is_level():
     rng = random.Random(6)
     for kind, letters in ALPHABETS.items():
@@ -150,6 +272,49 @@ def test_toxicity_held_out(spark):
     assert all(0 <= r.score <= 1 for r in got) and next(r for r in got if r.doc_id == 2000).predicted == 0
 
 
+def test_toxicity_equals_a_restatement(spark):
+    """Counts, ratios, the chosen n-grams and scores in plain Python, with n-grams as strings."""
+    rng = random.Random(18)
+    vocab = vocabulary(60)
+    rows = [(i, text(rng, vocab, 12) + (" grim blort" if i % 3 == 0 else "") + rng.choice(["", " É", " 日本"])) for i in range(160)] + [(300, None), (301, "")]
+    labels = [(i, int(i % 3 == 0)) for i in range(160)] + [(5, 1), (5, 1), (300, 0)]
+    got = {r.doc_id: r.score for r in score_toxicity(frame(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int"), keep=400, steps=60).collect()}
+
+    def grams(t):
+        padded = f" {(t or '').lower()} "
+        return {padded[k : k + n] for n in (4, 5, 6, 7) for k in range(len(padded) - n + 1)}
+
+    texts = dict(rows)
+    taught = sorted((i, y) for i, y in set(labels) if zlib.crc32(str(i).encode()) % 3 != 1)
+    counts = {y: Counter(g for i, z in taught if z == y for g in grams(texts[i])) for y in (0, 1)}
+    p_rows, q_rows = (sum(z == y for _, z in taught) + 2 for y in (1, 0))
+    ratio = {g: math.log(((counts[1][g] + 1) / p_rows) / ((counts[0][g] + 1) / q_rows)) for g in counts[0] | counts[1] if counts[0][g] + counts[1][g] >= 5}
+    sure = {g: abs(x) / math.sqrt(1 / (counts[1][g] + 1) + 1 / (counts[0][g] + 1)) for g, x in ratio.items()}
+    cut = sorted(sure.values(), reverse=True)[399]
+    chosen = sorted(g for g in ratio if sure[g] >= cut)
+    # Ties at the last place go by feature number, which strings don't have: there must be few, or the comparison is loose.
+    x = np.array([[ratio[g] * (g in grams(texts[i])) for g in chosen] for i, _ in taught])
+    y = np.array([z for _, z in taught], float)
+    w, b = np.zeros(len(chosen)), math.log((y.sum() + 1) / (len(y) - y.sum() + 1))
+    m, v = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
+    for t in range(1, 61):
+        e = 1 / (1 + np.exp(-(x @ w + b))) - y
+        g_ = np.append(x.T @ e / len(y) + 1e-4 * w, e.mean())
+        m, v = 0.9 * m + 0.1 * g_, 0.999 * v + 0.001 * g_ * g_
+        step = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
+        w, b = w - step[:-1], b - step[-1]
+    want = {i: 1 / (1 + math.exp(-(sum(w[k] * ratio[g] for k, g in enumerate(chosen) if g in grams(t)) + b))) for i, t in rows}
+    assert max(abs(got[i] - want[i]) for i in want) < 0.02 and np.mean([abs(got[i] - want[i]) for i in want]) < 0.005
+
+
+def test_toxicity_bounds_what_teaches(spark):
+    one, two = [i for i in range(50) if zlib.crc32(str(i).encode()) % 3 != 1][:2]
+    rows = [(one, f"text {i}") for i in range(300)] + [(two, "same")] * 200
+    labels = spark.createDataFrame([(one, 1), (two, 0), (two, 0)], "doc_id long, toxic int")
+    taught = train_rows(frame(spark, rows), labels, "doc_id", "text", "toxic", 50)
+    assert taught.count() == 50 and taught.where(f"__id = {two}").count() <= 1
+
+
 def test_toxicity_without_labels(spark):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r.score for r in score_toxicity(frame(spark, awkward()), labels).collect()} == {0.5}
