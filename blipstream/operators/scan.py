@@ -1,8 +1,12 @@
-"""Running sums that don't put a whole trace into one task."""
+"""Numbers and running sums that don't put a whole trace into one task."""
+
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.stored import stored
+
 TRACE = ["sample_id", "channel"]
 BLOCK = 1 << 16
 
@@ -26,3 +30,26 @@ def neighbours(df: DataFrame, column: str, name: str, by: int = -1, keys: list[s
     keys = keys or TRACE
     other = df.select(*keys, (F.col("idx") - by).cast("int").alias("idx"), F.col(column).alias(name))
     return df.join(other, [*keys, "idx"], "left")
+
+
+def numbered(df: DataFrame, order: Sequence[Column], name: str = "idx", keys: Sequence[str] = ()) -> DataFrame:
+    """df with each row's number (from 0) in ``order`` within keys, without a window over a whole key.
+
+    Rows are dealt by ranges of (keys, order), sorted and written once with their place. A row's number is its
+    place in its range, less the first place of its key there, plus the key's rows in earlier ranges: a table of
+    one row per key and range. Rows that tie in all of order keep any order among themselves, the same one in
+    every later read.
+    """
+    by = [*(F.col(k).asc_nulls_first() for k in keys), *order]
+    placed = stored(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__at", F.monotonically_increasing_id()), "numbered")
+    placed = placed.withColumn("__range", F.shiftright("__at", 33)).withColumn("__place", F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)))
+    ahead = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        placed.groupBy(*keys, "__range")
+        .agg(F.count("*").alias("__n"), F.min("__place").alias("__first"))
+        .select(*(F.col(k).alias(f"__of_{k}") for k in keys), F.col("__range").alias("__of"), (F.coalesce(F.sum("__n").over(ahead), F.lit(0)) - F.col("__first")).alias("__ahead"))
+    )
+    same = F.col("__range") == F.col("__of")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__of_{k}"))
+    return placed.join(offsets, same).select(*df.columns, (F.col("__place") + F.col("__ahead")).alias(name))

@@ -1,20 +1,35 @@
 """Tables that several steps of a plan read: written once to the folder that driver and executors share."""
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from functools import cache
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 @cache
 def _own_dir(app_id: str) -> str:
-    return tempfile.mkdtemp(prefix="spark-")
+    path = tempfile.mkdtemp(prefix="spark-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The cluster's spark.checkpoint.dir; only in local mode, where one machine is all there is, a temporary folder, removed at exit."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return _own_dir(spark.sparkContext.applicationId)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table under spark.checkpoint.dir (a fresh local folder where none is set): later steps scan it instead of repeating its windows and joins."""
+    """df as a Parquet table in the shared folder: later steps scan it instead of repeating its windows and joins, and a lost executor costs no recomputation."""
     spark = df.sparkSession
-    path = f"{spark.conf.get('spark.checkpoint.dir', None) or _own_dir(spark.sparkContext.applicationId)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -6,41 +6,49 @@ from pyspark.sql import functions as F
 
 from blipstream.llm.bpe import bpe_round_trip
 from blipstream.llm.jaccard_join import jaccard_groups
-from blipstream.llm.line_dedup import line_dedup
-from blipstream.llm.mixing import mix_sources
+from blipstream.llm.line_dedup import cut_lines
+from blipstream.llm.mixing import mix_rows
 from blipstream.llm.shared import materialise, table
-from blipstream.llm.toxicity import score_toxicity
+from blipstream.llm.toxicity import toxicity_scorer
 
 #: Toxicity is learned, the cube method draws and the tokens come from a vocabulary file: SQL can't state the rows.
 ORACLE_SQL = None
+#: The score from which a text is rejected.
+TOXIC = 0.7
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier doesn't reject. Null and empty texts are scored as empty."""
-    return score_toxicity(docs, table(spark, sf_dir, "labels")).where("predicted = 0").select(*docs.columns)
+    """Documents that the classifier doesn't reject, with all their columns. Null and empty texts are scored as empty; no documents give none."""
+    score = toxicity_scorer(docs, table(spark, sf_dir, "labels"))
+    return docs.where(score(F.col("text")) < TOXIC)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without passages of lines that an earlier document or line has; n_chars follows the text."""
-    done = line_dedup(docs).withColumn("n_chars", F.when(F.col("n_cut") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return done.select(*docs.columns)
+    """All documents, without passages of lines that an earlier document or line has; where some went, n_chars follows the text.
+
+    All other columns keep their values, whatever their names. Null texts stay null; no documents give none.
+    """
+    doc, size = F.col("__doc"), F.length("__kept").cast(docs.schema["n_chars"].dataType)
+    new = {"text": F.col("__kept"), "n_chars": F.when(F.col("__n_cut") > 0, size).otherwise(doc.getField("n_chars"))}
+    return cut_lines(docs).select(*(new.get(c, doc.getField(c)).alias(c) for c in docs.columns))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of like documents; rows without an id stay."""
-    first = jaccard_groups(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.where("doc_id is null").unionByName(docs.join(first, "doc_id", "left_semi")).select(*docs.columns)
+    """The document with the smallest id of each group of like documents; rows without an id stay, rows that repeat a kept id too.
+
+    Columns keep their values, whatever their names; no documents give none.
+    """
+    first = jaccard_groups(docs.select("doc_id", "text")).where("doc_id = component_id").select("doc_id").distinct()
+    return docs.where("doc_id is null").unionByName(docs.join(first, "doc_id", "left_semi")).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; repeated rows of one id are taken equally often."""
-    copies = mix_sources(docs).groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").alias("__copies"))
-    taken = docs.join(copies, docs["doc_id"].eqNullSafe(copies["__id"])).where("__copies > 0")
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    """Each row with all its columns as often as the mix takes it, also rows without an id or with a repeated one; no documents give none."""
+    return mix_rows(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and digests of the ids and of the text decoded from them."""
+    """doc_id, n_tokens and digests of the ids and of the text decoded from them, a row for each; other columns are ignored. Null texts are encoded as empty; no documents give none."""
     done = bpe_round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"))
     return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
