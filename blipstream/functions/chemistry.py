@@ -2,6 +2,7 @@
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,3 +80,34 @@ def parse_formula(formula: str) -> dict[str, float]:
 def mass_fraction(formula: str, element: str, masses: dict[str, float]) -> float:
     atoms = parse_formula(formula)
     return atoms.get(element, 0.0) * masses[element] / sum(n * masses[e] for e, n in atoms.items())
+
+
+def mass_fractions(df: DataFrame, formula: str, element: str, masses: dict[str, float], name: str = "fraction") -> DataFrame:
+    """SC12 for a column of formulas: each distinct one is parsed once, in Arrow batches on the executors; null where it isn't a formula or an element has no mass."""
+
+    def fraction(text: str | None) -> float | None:
+        try:
+            return mass_fraction(text or "", element, masses)
+        except (ValueError, KeyError):
+            return None
+
+    @F.pandas_udf("double")
+    def run(formulas: pd.Series) -> pd.Series:
+        return formulas.map(fraction)
+
+    known = df.select(formula).distinct().withColumn(name, run(formula))
+    return df.join(known, formula)
+
+
+def density(text: Column, known: list[tuple[str, float]]) -> Column:
+    """SC21: the density of the first substance of the caller's table that text contains, in any case."""
+    return F.coalesce(*[F.when(F.lower(text).contains(k.lower()), F.lit(d)) for k, d in known])
+
+
+def interpolate(x: Column, table: list[tuple[float, float]]) -> Column:
+    """SC8: linear between the points of a small table (sorted by x), its ends beyond."""
+    points = sorted(table)
+    out = F.when(x <= points[0][0], F.lit(points[0][1]))
+    for (x0, y0), (x1, y1) in zip(points, points[1:], strict=False):
+        out = out.when(x <= x1, y0 + (x - x0) * ((y1 - y0) / (x1 - x0)))
+    return out.otherwise(F.lit(points[-1][1]))

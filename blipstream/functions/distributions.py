@@ -72,6 +72,80 @@ def poisson_mid_p(y: float, mean: float) -> float:
     return gamma_p(k + 1, mean) + 0.5 * math.exp(k * math.log(mean) - mean - math.lgamma(k + 1))
 
 
+def poisson_mid_ps(y: np.ndarray, mean: np.ndarray) -> np.ndarray:
+    """poisson_mid_p of arrays: masses are summed upwards from k, or downwards if k lies below the mean, all rows at once."""
+    k = np.floor(y)
+    valid = k >= 0
+    k = np.maximum(k, 0)
+    log_mass = k * np.log(mean) - mean - np.array([math.lgamma(x + 1) for x in k])
+    high = k >= mean
+    term, total, at, live = np.ones(len(k)), np.zeros(len(k)), k.copy(), np.arange(len(k))
+    while len(live):
+        up = high[live]
+        term[live] *= np.where(up, mean[live] / (at[live] + 1), at[live] / mean[live])
+        at[live] += np.where(up, 1, -1)
+        total[live] += term[live]
+        live = live[(term[live] > 1e-17 * np.maximum(total[live], 1)) & (high[live] | (at[live] > 0))]
+    mass = np.exp(log_mass)
+    p = np.where(high, mass * (total + 0.5), 1 - mass * (total + 0.5))
+    return np.where(valid, np.clip(p, 0, 1), 1.0)
+
+
+def gamma_tails(a: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Upper regularised incomplete gamma of arrays: series below a + 1, continued fraction above, all rows at once."""
+    out = np.ones(len(x))
+    lead = np.exp(a * np.log(np.maximum(x, 1e-300)) - x - np.array([math.lgamma(v) for v in a]))
+    low = np.flatnonzero((x > 0) & (x < a + 1))
+    term = total = 1 / a[low]
+    n = a[low].copy()
+    while len(low) and (np.abs(term) > 1e-16 * np.abs(total)).any():
+        n += 1
+        term = term * x[low] / n
+        total = total + term
+    out[low] = 1 - np.minimum(1, total * lead[low])
+    high = np.flatnonzero(x >= a + 1)
+    b, c = x[high] + 1 - a[high], np.full(len(high), 1e300)
+    d = 1 / b
+    h = d.copy()
+    for i in range(1, 10_000):
+        if not len(high):
+            break
+        an = -i * (i - a[high])
+        b = b + 2
+        d = 1 / np.where(an * d + b == 0, 1e-300, an * d + b)
+        c = np.where(b + an / c == 0, 1e-300, b + an / c)
+        h = h * d * c
+        if (np.abs(d * c - 1) < 1e-15).all():
+            break
+    out[high] = lead[high] * h
+    return np.clip(out, 0, 1)
+
+
+def ks_p(d: float, n: int, m: int) -> float:
+    """P(D > d) of two samples: by counting lattice paths below 10,000 pairs, else by Kolmogorov's series."""
+    if n * m >= 10_000:
+        x = d * math.sqrt(n * m / (n + m))
+        if x < 0.04:
+            return 1.0
+        return float(min(1.0, max(0.0, 2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * x * x) for k in range(1, 200)))))
+    if n < m:
+        n, m = m, n
+    # share[j]: of the paths to (i, j), the part that never left the band, scaled so that the last is the probability.
+    share = np.array([1.0 if j / m <= d + 1e-12 else 0.0 for j in range(m + 1)])
+    share = np.cumprod(share)
+    for i in range(1, n + 1):
+        row = np.zeros(m + 1)
+        for j in range(m + 1):
+            if abs(i / n - j / m) <= d + 1e-12:
+                row[j] = share[j] * i / (i + j) + (row[j - 1] * j / (i + j) if j else 0.0)
+        share = row
+    return float(1 - share[m])
+
+
+def normal_tail(z: float) -> float:
+    return 0.5 * math.erfc(z / math.sqrt(2))
+
+
 def t_quantile(p: float, dof: float) -> float:
     lo, hi = 0.0, 1e6
     for _ in range(200):

@@ -1,9 +1,10 @@
 """Joins between events: overlap matching, alignment across channels, nearest m/z, isobars."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scan import TRACE
+from .components import components
+from .scan import TRACE, numbered, running_sum
 from .search import merge_intervals, spread_over
 
 
@@ -45,24 +46,21 @@ def by_coverage(events: DataFrame) -> DataFrame:
     return merge_intervals(events.select("sample_id", F.lit("*").alias("channel"), "start_idx", "end_idx"), touch=1)
 
 
-def by_connection(events: DataFrame, rounds: int = 30) -> DataFrame:
+def by_connection(events: DataFrame) -> DataFrame:
     """JOI6: hulls of events of a sample that are linked by one shared index (either has at most 3 points) or two (both have more).
 
-    On a line, linked events form runs in start order once each event knows the furthest end it links to;
-    links are found by the binned overlap join and components by repeatedly taking the least label.
+    Links are found by the binned overlap join; what they connect, over any number of steps, are the components of
+    the links between numbered events.
     """
-    keyed = events.select("sample_id", F.lit("*").alias("channel"), "start_idx", "end_idx").distinct()
+    keyed = numbered(events.select("sample_id", F.lit("*").alias("channel"), "start_idx", "end_idx").distinct(), [F.col("sample_id"), F.col("start_idx"), F.col("end_idx")], "node")
+    names = keyed.select(*TRACE, "start_idx", "end_idx", F.col("node").alias("a"))
     shared = F.least("end_idx", "other_end") - F.greatest("start_idx", "other_start") + 1
     short = (F.col("end_idx") - F.col("start_idx") < 3) | (F.col("other_end") - F.col("other_start") < 3)
     links = overlaps(keyed, keyed).where(F.when(short, shared >= 1).otherwise(shared >= 2))
-    label = keyed.withColumn("label", F.struct("start_idx", "end_idx"))
-    for _ in range(rounds):
-        theirs = label.select(*TRACE, F.col("start_idx").alias("other_start"), F.col("end_idx").alias("other_end"), F.col("label").alias("__theirs"))
-        new = links.join(theirs, [*TRACE, "other_start", "other_end"]).groupBy(*TRACE, "start_idx", "end_idx").agg(F.min("__theirs").alias("label")).checkpoint()
-        if new.join(label.withColumnRenamed("label", "__old"), [*TRACE, "start_idx", "end_idx"]).where("label <> __old").isEmpty():
-            break
-        label = new
-    return label.groupBy(*TRACE, "label").agg(F.min("start_idx").alias("start_idx"), F.max("end_idx").alias("end_idx")).drop("label")
+    theirs = names.withColumnsRenamed({"start_idx": "other_start", "end_idx": "other_end", "a": "b"})
+    pairs = links.join(names, [*TRACE, "start_idx", "end_idx"]).join(theirs, [*TRACE, "other_start", "other_end"]).where("a < b").select("a", "b")
+    joined = keyed.join(components(pairs), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    return joined.groupBy(*TRACE, "component").agg(F.min("start_idx").alias("start_idx"), F.max("end_idx").alias("end_idx")).drop("component")
 
 
 def broadcast_to_channels(intervals: DataFrame, points: DataFrame) -> DataFrame:
@@ -99,8 +97,11 @@ def numbered_ratio(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def rank_average(df: DataFrame, value: str) -> DataFrame:
-    """SEQ19: ranks over the whole table, ties averaged: distinct values are counted first, so the window holds them only."""
-    values = df.groupBy(value).agg(F.count("*").alias("__n"))
-    before = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = values.withColumn("rank", F.coalesce(F.sum("__n").over(before), F.lit(0)) + (F.col("__n") + 1) / 2).drop("__n")
+    """SEQ19: ranks over the whole table, ties averaged; null has none.
+
+    Distinct values are counted, numbered by ranges and summed by blocks, so no task holds them all.
+    """
+    values = numbered(df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("__n")), [F.col(value)], "__at").withColumn("__all", F.lit(1))
+    summed = running_sum(values, F.col("__n"), "__upto", ["__all"], "__at")
+    ranked = summed.select(value, (F.col("__upto") - F.col("__n") + (F.col("__n") + 1) / 2).alias("rank"))
     return df.join(ranked, value)

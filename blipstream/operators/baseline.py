@@ -96,16 +96,56 @@ def limits(location: Column, spread: Column, z: float) -> dict[str, tuple[Column
     }
 
 
-def poisson_limit(location: Column, alpha: float, upto: int = 400, eps: float = 0.5) -> Column:
-    """DIS1: smallest k with P(X <= k) >= 1 - alpha for mean location + eps, by summing the mass in one fold."""
+def log_gamma(x: Column) -> Column:
+    """ln of the gamma function for x >= 1: Stirling's series ten above, brought down by the product of the ten factors; good to 1e-13."""
+    z = x + 10
+    inverse = 1 / (z * z)
+    series = (F.lit(1 / 12) - inverse * (F.lit(1 / 360) - inverse * (F.lit(1 / 1260) - inverse * F.lit(1 / 1680)))) / z
+    product = F.lit(1.0)
+    for k in range(10):
+        product = product * (x + k)
+    return (z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi) + series - F.log(product)
+
+
+def poisson_limit(location: Column, alpha: float, eps: float = 0.5) -> Column:
+    """DIS1: smallest k with P(X > k) <= alpha for mean location + eps, whatever the mean.
+
+    The upper tail is summed downwards in one fold, from where a Chernoff bound puts less than alpha * 1e-17 above to
+    twelve spreads below the mean, with logarithms of the masses, so nothing underflows and small terms come first.
+    """
     mean = location + F.lit(eps)
-    start = F.struct(F.exp(-mean).alias("mass"), F.exp(-mean).alias("total"), F.lit(-1.0).alias("found"))
+    rare = math.log(1 / alpha) + 40
+    top = F.ceil(mean + rare / 3 + F.sqrt(F.lit(rare * rare / 9) + 2 * rare * mean))
+    low = F.greatest(F.lit(0), F.floor(mean - 12 * F.sqrt(mean) - 12))
+    start = F.struct((top * F.log(mean) - mean - log_gamma(top + 1.0)).alias("mass"), F.lit(0.0).alias("above"), F.lit(-1.0).alias("found"))
 
     def step(acc: Column, k: Column) -> Column:
-        mass = acc["mass"] * mean / (k + 1)
-        return F.struct(mass.alias("mass"), (acc["total"] + mass).alias("total"), F.when((acc["found"] < 0) & (acc["total"] >= 1 - alpha), k.cast("double")).otherwise(acc["found"]).alias("found"))
+        above = acc["above"] + F.exp(acc["mass"])
+        return F.struct(
+            (acc["mass"] + F.log(F.greatest(k, F.lit(1)) / mean)).alias("mass"),
+            above.alias("above"),
+            F.when((acc["found"] < 0) & (above > alpha), k.cast("double")).otherwise(acc["found"]).alias("found"),
+        )
+
+    return F.aggregate(F.sequence(top, low, F.lit(-1).cast("long")), start, step, lambda acc: F.greatest(acc["found"], F.lit(0.0)))
+
+
+def normal_tail(z: Column) -> Column:
+    """P(N > z): erfc by Chebyshev fit, good to 1.2e-7 of its value."""
+    x = F.abs(z) / math.sqrt(2)
+    t = 1 / (1 + 0.5 * x)
+    # Fixed values of the fit, lowest power first.
+    fit = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
+    total = F.lit(0.0)
+    for c in reversed(fit):
+        total = total * t + c
+    tail = 0.5 * t * F.exp(-x * x + total)
+    return F.when(z >= 0, tail).otherwise(1 - tail)
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(upto)), start, step, lambda acc: F.when(acc["found"] < 0, F.lit(float(upto))).otherwise(acc["found"]))
+
+def upper_p(location: Column, spread: Column, y: Column) -> dict[str, Column]:
+    """DIS2 and DIS3: p-value of y under each distribution that needs no table; DIS4 takes DIS1's."""
+    return {"gaussian": normal_tail((y - location) / spread), "poisson_normal": normal_tail((y - location) / F.sqrt(location))}
 
 
 def fisher_tail(half: Column, terms: Column) -> Column:
@@ -120,9 +160,27 @@ def fisher_tail(half: Column, terms: Column) -> Column:
     return F.exp(-half) * F.aggregate(js, start, step, lambda acc: acc["total"])
 
 
-def model_choice(slices: DataFrame, cutoff: float = 10.0) -> DataFrame:
-    """SEQ1 THRESHOLD: Poisson below a median cutoff, Gaussian from it on."""
-    return slices.withColumn("distr", F.when(F.col("median") < cutoff, "POISSON").otherwise("GAUSSIAN"))
+MODELS = ("PESSIMISTIC", "THRESHOLD", "GAUSSIAN", "POISSON")
+
+
+def model_choice(points: DataFrame, model: str = "PESSIMISTIC", cutoff: float = 10.0, z: float = 3.0, rounds: int = 5, poisson_offset: float = 2.71) -> DataFrame:
+    """SEQ1: location, spread, n_kept and distr per slice. PESSIMISTIC fits both and takes the Gaussian where its critical limit at z is the larger; THRESHOLD takes Poisson below a median cutoff of the raw slice; else the one named."""
+    if model not in MODELS:
+        raise ValueError(f"no baseline model {model!r}")
+    fits = {
+        "GAUSSIAN": lambda: clipped(points, rounds).withColumn("distr", F.lit("GAUSSIAN")),
+        "POISSON": lambda: clipped(points, rounds, poisson=True, offset=poisson_offset).withColumn("distr", F.lit("POISSON")),
+    }
+    if model in fits:
+        return fits[model]()
+    both = fits["GAUSSIAN"]().unionByName(fits["POISSON"]())
+    row = F.struct("distr", "location", "spread", "n_kept")
+    if model == "THRESHOLD":
+        wanted = points.groupBy(*SLICE).agg(F.when(F.expr("percentile(intensity, 0.5)") < cutoff, "POISSON").otherwise("GAUSSIAN").alias("distr"))
+        return both.join(wanted, [*SLICE, "distr"]).select(*SLICE, "location", "spread", "n_kept", "distr")
+    limit = F.when(F.col("distr") == "GAUSSIAN", limits(F.col("location"), F.col("spread"), z)["gaussian"][0]).otherwise(limits(F.col("location"), F.col("spread"), z)["poisson_normal"][0])
+    best = both.withColumn("__limit", limit).groupBy(*SLICE).agg(F.max_by(row, F.struct("__limit", "distr")).alias("__m"))
+    return best.select(*SLICE, "__m.location", "__m.spread", "__m.n_kept", "__m.distr")
 
 
 def interpolated(points: DataFrame, slices: DataFrame, value: str = "threshold") -> DataFrame:

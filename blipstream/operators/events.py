@@ -1,9 +1,9 @@
 """Event metrics, background correction, gates and filters."""
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scan import TRACE, running_sum
+from .scan import TRACE, numbered, running_sum
 from .search import spread_over
 
 
@@ -55,17 +55,17 @@ def net_of_window(events: DataFrame, points: DataFrame, half: int, block: int =
 
 
 def legacy_percentiles(df: DataFrame, by: list[str], value: str, at: dict[str, float]) -> DataFrame:
-    """Percentiles at position p * (n + 1), clamped to the ends, one column per name."""
-    w = Window.partitionBy(*by).orderBy(value)
-    ranked = df.where(F.col(value).isNotNull()).select(*by, value, F.row_number().over(w).alias("__r"), F.count("*").over(Window.partitionBy(*by)).alias("__n"))
-    out = []
-    for name, p in at.items():
-        pos = p * (F.col("__n") + 1)
-        lo = F.least(F.greatest(F.floor(pos), F.lit(1)), F.col("__n"))
-        hi = F.least(F.greatest(F.floor(pos) + 1, F.lit(1)), F.col("__n"))
-        x = F.max(F.when(F.col("__r") == lo, F.col(value)))
-        out.append((x + F.max(pos - F.floor(pos)) * (F.max(F.when(F.col("__r") == hi, F.col(value))) - x)).alias(name))
-    return ranked.groupBy(*by).agg(*out)
+    """Percentiles at position p * (n + 1), clamped to the ends, one column per name; values are numbered by ranges, no group is sorted whole."""
+    ranked = numbered(df.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("__v")), [F.col("__v")], "__r", by)
+    n = ranked.groupBy(*by).agg(F.count("*").alias("__n"))
+    wanted = n.select(*by, "__n", F.explode(F.array(*(F.struct(F.lit(k).alias("name"), (F.lit(p) * (F.col("__n") + 1)).alias("pos")) for k, p in at.items()))).alias("__w")).select(*by, "__n", "__w.name", "__w.pos")
+    low = F.least(F.greatest(F.floor("pos"), F.lit(1)), F.col("__n"))
+    places = wanted.withColumn("__lo", low).withColumn("__hi", F.least(low + 1, F.col("__n"))).withColumn("__part", F.when(F.col("pos") < 1, 0.0).otherwise(F.col("pos") - F.floor("pos")))
+    both = places.select(*by, "name", "__part", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("__lo").alias("nth")), F.struct(F.lit(1).alias("side"), F.col("__hi").alias("nth")))).alias("__s"))
+    met = both.select(*by, "name", "__part", "__s.side", (F.col("__s.nth") - 1).alias("__r")).join(ranked, [*by, "__r"])
+    value_at = met.groupBy(*by, "name", "__part").agg(F.max(F.when(F.col("side") == 0, F.col("__v"))).alias("lo"), F.max(F.when(F.col("side") == 1, F.col("__v"))).alias("hi"))
+    line = F.col("lo") + F.col("__part") * (F.col("hi") - F.col("lo"))
+    return value_at.groupBy(*by).agg(*(F.max(F.when(F.col("name") == k, line)).alias(k) for k in at))
 
 
 def percentile_roi(df: DataFrame, by: list[str], value: str, start: float, stop: float) -> DataFrame:
@@ -113,9 +113,9 @@ def over_range(events: DataFrame, flagged: DataFrame) -> DataFrame:
     return events.join(hit, [*TRACE, "start_idx"], "left").withColumn("population", F.when(F.col("__hit"), "OvRng").otherwise("InRng")).drop("__hit")
 
 
-def remove_channels(events: DataFrame, seconds: DataFrame, most_rate: float | None = None, least_count: int | None = None, least_net: float | None = None) -> DataFrame:
-    """FIL19: drops channels by event rate, count, or largest net area."""
-    s = events.groupBy(*TRACE).agg(F.count("*").alias("n"), F.max("net_area").alias("top")).join(seconds, TRACE)
+def remove_channels(events: DataFrame, seconds: DataFrame, most_rate: float | None = None, least_count: int | None = None, least_net: float | None = None, by: str = "max") -> DataFrame:
+    """FIL19: drops channels by event rate, count, or net area: that of their largest event (``by`` max) or of their smallest (min)."""
+    s = events.groupBy(*TRACE).agg(F.count("*").alias("n"), {"max": F.max, "min": F.min}[by]("net_area").alias("top")).join(seconds, TRACE)
     keep = F.lit(True)
     if most_rate is not None:
         keep = keep & (F.col("n") / F.col("seconds") <= most_rate)
@@ -140,3 +140,65 @@ def aligned_filter(spectra: DataFrame, channels: list[str], low: float, high: fl
     """FIL17: event ordinals whose value lies in bounds in all listed channels; survivors keep every channel."""
     ok = spectra.where(F.col("channel").isin(channels)).groupBy("sample_id", "event_ord").agg(F.bool_and(F.col("intensity").between(low, high)).alias("__ok"), F.count("*").alias("__n"))
     return spectra.join(ok.where(F.col("__ok") & (F.col("__n") == len(channels))).select("sample_id", "event_ord"), ["sample_id", "event_ord"], "left_semi")
+
+
+def manual_roi(events: DataFrame, parameter: str, start: float, stop: float, label: str) -> DataFrame:
+    """FIL2: events with population: each keeps its own (main), and those whose parameter lies in [start, stop] are once more in MRoi(label)."""
+    main = events.withColumn("population", F.lit("main"))
+    return main.unionByName(events.where(F.col(parameter).between(start, stop)).withColumn("population", F.lit(f"MRoi({label})")))
+
+
+def roi(df: DataFrame, parameter: str, start: float, stop: float, include: bool = True) -> DataFrame:
+    """FIL3: the closed interval, or what lies strictly outside; nulls are in neither."""
+    inside = F.col(parameter).between(start, stop)
+    return df.where(inside if include else ~inside)
+
+
+SELECTIONS = ("ALL_LOADED", "SELECTED", "POSITIVE_LIST", "NEGATIVE_LIST")
+
+
+def select_channels(df: DataFrame, mode: str, channels: list[str] | None = None) -> DataFrame:
+    """FIL20: rows of all channels, of the selected or listed ones, or of all but the listed ones."""
+    if mode not in SELECTIONS:
+        raise ValueError(f"no selection {mode!r}")
+    if mode == "ALL_LOADED":
+        return df
+    listed = F.col("channel").isin(channels or [])
+    return df.where(~listed if mode == "NEGATIVE_LIST" else listed)
+
+
+def statistics(events: DataFrame) -> DataFrame:
+    """AGG7: per trace, mean, SD and median of net area, mean and SD of height and of duration."""
+    one = {f"{k}_{c}": f(c) for c in ("net_area", "height", "duration_us") for k, f in (("mean", F.avg), ("sd", F.stddev_samp))}
+    return events.groupBy(*TRACE).agg(F.count("*").alias("n"), *(e.alias(k) for k, e in one.items()), F.expr("percentile(net_area, 0.5)").alias("median_net_area"))
+
+
+def profiles(events: DataFrame, points: DataFrame) -> DataFrame:
+    """AGG24: for each number of points, the profile of the trace's last event of that length, as shares of its area."""
+    last = events.groupBy(*TRACE, "n_points").agg(F.max(F.struct("start_idx", "end_idx", "area")).alias("__e"))
+    spread = spread_over(last.select(*TRACE, "n_points", "__e.start_idx", "__e.end_idx", "__e.area")).join(points.select(*TRACE, "idx", "intensity"), [*TRACE, "idx"])
+    return spread.select(*TRACE, "n_points", (F.col("idx") - F.col("start_idx")).alias("offset"), (F.col("intensity") / F.col("area")).alias("share"))
+
+
+def summed_order(spectra: DataFrame) -> DataFrame:
+    """SRT2: event ordinals of a sample with nth, by their sum over channels, largest first; ties by ordinal."""
+    total = spectra.groupBy("sample_id", "event_ord").agg(F.sum("intensity").alias("total"))
+    return numbered(total, [F.col("total").desc(), F.col("event_ord")], "nth", ["sample_id"])
+
+
+def trimmed(points: DataFrame) -> DataFrame:
+    """SRT7: the traces of a sample cut to the length of its shortest."""
+    ends = points.groupBy(*TRACE).agg(F.max("idx").alias("__end")).groupBy("sample_id").agg(F.min("__end").alias("__end"))
+    return points.join(ends, "sample_id").where(F.col("idx") <= F.col("__end")).drop("__end")
+
+
+def mapped_channels(left: DataFrame, right: DataFrame, isotope: str = "isotope") -> DataFrame:
+    """JOI8: the channels of two samples that measure the same isotope; channels without one meet each other."""
+    a, b = left.select(isotope, F.col("channel").alias("left_channel")), right.select(F.col(isotope).alias("__other"), F.col("channel").alias("right_channel"))
+    return a.join(b, F.col(isotope).eqNullSafe(F.col("__other"))).drop("__other")
+
+
+def reconciled(loaded: DataFrame, imported: DataFrame) -> DataFrame:
+    """SET5: after importing a sample anew: its traces that are still there keep their loaded points, those that went go, new ones come in."""
+    there, now = loaded.select(*TRACE).distinct(), imported.select(*TRACE).distinct()
+    return loaded.join(now, TRACE, "left_semi").unionByName(imported.join(there, TRACE, "left_anti"))

@@ -4,7 +4,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from blipstream.functions import distributions as dist
@@ -77,7 +77,7 @@ def poisson_p(points: DataFrame, mean: str = "location") -> DataFrame:
 
     @F.pandas_udf("double")
     def p(y: pd.Series, m: pd.Series) -> pd.Series:
-        return pd.Series([dist.poisson_mid_p(a, b) for a, b in zip(y, m, strict=True)])
+        return pd.Series(dist.poisson_mid_ps(y.to_numpy(), m.to_numpy()))
 
     keyed = points.withColumn("__y", F.round("intensity", 3)).withColumn("__m", F.greatest(F.lit(0.01), F.round(mean, 2)))
     return keyed.join(keyed.select("__y", "__m").distinct().withColumn("p", p("__y", "__m")), ["__y", "__m"]).drop("__y", "__m")
@@ -93,49 +93,61 @@ def savitzky_golay(points: DataFrame, width: int, order: int = 3, block: int = 1
     return kernel_smooth(points, weights.tolist())
 
 
-def multi_particles(event_points: DataFrame, z: float = 1.0, z_segment: float = 3.0) -> DataFrame:
-    """SEQ10: particles in an event: rising segments of its (smoothed) differences whose height exceeds z_segment * sqrt(length * background + 1/2).
+def multi_particles(event_points: DataFrame, z: float = 1.0, z_segment: float = 3.0, period: int = 3, raw: bool = False) -> DataFrame:
+    """SEQ10: n_particles of each event: rising segments whose height exceeds z_segment * sqrt(length * background + 1/2).
 
-    event_points carry island, idx, intensity and background; an event is a small group.
+    event_points carry island, idx, intensity and background (per point). Differences within z * sqrt(y + 1/2) are left
+    out; the rest, or with ``raw`` the intensities before, are smoothed by a trailing mean over ``period``. A segment
+    ends where the sign changes; a fall too small for its length ends it too, even if the next difference falls as well.
+    The last segment doesn't count unless a fall ends it. Events of three points or fewer are one particle. An event is
+    a short array, folded by built-in functions.
     """
+    root = "sqrt({0} + 0.5D)"
 
-    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("idx")
-        y, bg = part["intensity"].to_numpy(), float(part["background"].iloc[0])
-        d = np.diff(np.concatenate([[0.0], y, [0.0]]))
-        d[np.abs(d) <= z * np.sqrt(np.maximum(0, np.concatenate([y, [0.0]])) + 0.5)] = 0
-        d = np.convolve(d, [0.5, 0.5])[: len(d)]
-        count = length = 0
-        height = 0.0
-        for v in [*d, -1.0]:
-            if v > 0:
-                length, height = length + 1, height + v
-            else:
-                count += length > 0 and height > z_segment * math.sqrt(length * bg + 0.5)
-                length, height = 0, 0.0
-        return pd.DataFrame([[*key, max(1, count)]], columns=[*TRACE, "island", "n_particles"])
-
-    return event_points.select(*TRACE, "island", "idx", "intensity", "background").groupBy(*TRACE, "island").applyInPandas(run, "sample_id string, channel string, island long, n_particles int")
+    def smoothed(column: str) -> Column:
+        return F.expr(f"transform({column}, (x, i) -> aggregate(slice({column}, greatest(i - {period - 2}, 1), least(i + 1, {period})), 0D, (a, v) -> a + v) / least(i + 1, {period}))")
 
+    events = event_points.groupBy(*TRACE, "island").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "intensity"))), lambda p: p["intensity"].cast("double")).alias("__y"), F.first("background").cast("double").alias("__bg"))
+    values = events.withColumn("__v", smoothed("__y") if raw and period > 1 else F.col("__y"))
+    kept = values.withColumn("__d", F.expr(f"filter(transform(slice(__v, 2, size(__v)), (x, i) -> struct(x - __v[i] as d, {z}D * {root.format('x')} as limit)), p -> abs(p.d) > p.limit).d"))
+    steps = kept.withColumn("__s", smoothed("__d") if not raw and period > 1 else F.col("__d"))
+    limit = lambda acc: z_segment * F.sqrt(acc["length"] * F.col("__bg") + 0.5)
+    start = F.struct(F.lit(False).alias("falls"), F.lit(0.0).alias("total"), F.lit(0.0).alias("length"), F.lit(0).alias("found"))
 
-def peak_asymmetry(event_points: DataFrame, at: float = 0.1) -> DataFrame:
-    """SEQ17: back width over front width at a tenth of the height, interpolated; null if a side doesn't fall that low."""
+    def step(acc: Column, d: Column) -> Column:
+        falls = d < 0
+        steep = ~(falls & (acc["total"] < 0)) | (-acc["total"] > limit(acc))
+        same = steep & (falls == acc["falls"])
+        return F.struct(
+            falls.alias("falls"),
+            F.when(same, acc["total"] + d).otherwise(d).alias("total"),
+            F.when(same, acc["length"] + 1.0).otherwise(F.lit(1.0)).alias("length"),
+            (acc["found"] + F.when(~same & (acc["total"] > limit(acc)), 1).otherwise(0)).alias("found"),
+        )
 
-    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        y = part.sort_values("idx")["intensity"].to_numpy()
-        top, level = int(y.argmax()), at * float(y.max())
+    count = F.when(F.size("__y") <= 3, 1).otherwise(F.aggregate("__s", start, step, lambda acc: acc["found"]))
+    return steps.select(*TRACE, "island", count.alias("n_particles"))
 
-        def cross(side: np.ndarray) -> float | None:
-            low = np.flatnonzero(side < level)
-            if not len(low):
-                return None
-            k = int(low[0])
-            return k - (level - side[k]) / (side[k - 1] - side[k]) if k else 0.0
 
-        front, back = cross(y[top::-1]), cross(y[top:])
-        return pd.DataFrame([[*key, back / front if front and back else None]], columns=[*TRACE, "island", "asymmetry_10"])
+def multi_populations(counted: DataFrame, pooled: bool = False) -> DataFrame:
+    """FIL15: the population that each event goes to by its n_particles: 1 is the main branch; more go to one for each number, or pooled to one; events of none go nowhere."""
+    n = F.col("n_particles")
+    return counted.where(n > 0).withColumn("population", F.when(n == 1, "1").otherwise(F.lit(">1") if pooled else n.cast("string")))
 
-    return event_points.select(*TRACE, "island", "idx", "intensity").groupBy(*TRACE, "island").applyInPandas(run, "sample_id string, channel string, island long, asymmetry_10 double")
+
+def peak_asymmetry(event_points: DataFrame, at: float = 0.1) -> DataFrame:
+    """SEQ17: back width over front width at a tenth of the height, interpolated; null if a side doesn't fall that low. An event is a short array."""
+    events = event_points.groupBy(*TRACE, "island").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "intensity"))), lambda p: p["intensity"].cast("double")).alias("__y"))
+    y = F.col("__y")
+    top = F.array_position(y, F.array_max(y)).cast("int")
+    sides = events.select(*TRACE, "island", (at * F.array_max(y)).alias("__level"), F.reverse(F.slice(y, 1, top)).alias("__front"), F.slice(y, top, F.size(y)).alias("__back"))
+
+    def width(side: str) -> Column:
+        low = F.array_position(F.transform(side, lambda x: x < F.col("__level")), True).cast("int")
+        here, before = F.get(side, low - 1), F.get(side, low - 2)
+        return F.when(low > 1, low - 1 - (F.col("__level") - here) / (before - here))
+
+    return sides.select(*TRACE, "island", (width("__back") / width("__front")).alias("asymmetry_10"))
 
 
 def empirical_shape(points: DataFrame) -> DataFrame:

@@ -1,11 +1,17 @@
 """Regressions, test statistics, clustering and similarity."""
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from blipstream.functions.distributions import chi2_tail, f_tail, ks_p, normal_tail, t_tail
+
+from ..plans.stored import stored
 from .align import rank_average
+from .scan import neighbours, numbered, running_sum
 
 
 def ols(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
@@ -34,38 +40,102 @@ def collapse_x(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     return df.groupBy(*by, F.round(x, 8).alias(x)).agg(F.avg(y).alias(y), F.count("*").alias("n"))
 
 
+def p_column(function: Callable[..., float], *columns: Column) -> Column:
+    """A special function of one row of results (a test has one), as an Arrow batch function; null without all arguments."""
+
+    @F.pandas_udf("double")
+    def run(*values: pd.Series) -> pd.Series:
+        return pd.Series([None if any(pd.isna(x) for x in row) else function(*row) for row in zip(*values, strict=True)], dtype="float64")
+
+    return run(*columns)
+
+
+def value_counts(df: DataFrame, group: str, a: str, b: str, value: str) -> DataFrame:
+    """One row per distinct value: how many of each sample have it (ca, cb) and how many at most it (sa, sb); numbered by ranges and summed by blocks."""
+    counts = df.where(F.col(group).isin(a, b) & F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.sum((F.col(group) == a).cast("long")).alias("ca"), F.sum((F.col(group) == b).cast("long")).alias("cb"))
+    at = numbered(counts, [F.col("v")], "idx").withColumn("all", F.lit(1))
+    return stored(running_sum(running_sum(at, F.col("ca"), "sa", ["all"]), F.col("cb"), "sb", ["all"]), "value-counts")
+
+
 def two_samples(df: DataFrame, group: str, a: str, b: str, value: str) -> DataFrame:
-    """MOD11, MOD12: KS distance, Mann-Whitney U, Welch t and the earth mover's distance of two groups, by running counts over distinct values."""
-    pair = df.where(F.col(group).isin(a, b))
-    ranked = rank_average(pair.select(group, value), value)
-    n = {k: F.sum((F.col(group) == g).cast("long")) for k, g in (("na", a), ("nb", b))}
-    base = ranked.agg(
-        n["na"].alias("na"), n["nb"].alias("nb"), F.sum(F.when(F.col(group) == a, F.col("rank"))).alias("ra"),
-        *[f(F.when(F.col(group) == g, F.col(value))).alias(k) for k, f, g in (("ma", F.avg, a), ("mb", F.avg, b), ("va", F.var_samp, a), ("vb", F.var_samp, b))],
+    """MOD11, MOD12: Kolmogorov-Smirnov distance, Mann-Whitney U, Welch t, Brunner-Munzel W and the earth mover's distance of two groups, each test with its p.
+
+    p of U is the normal one without corrections; a test without spread has null p.
+    """
+    c = value_counts(df, group, a, b, value)
+    moments = [f(F.when(F.col(group) == g, F.col(value))).alias(k) for k, f, g in (("ma", F.avg, a), ("mb", F.avg, b), ("va", F.var_samp, a), ("vb", F.var_samp, b))]
+    base = c.agg(F.sum("ca").alias("na"), F.sum("cb").alias("nb"))
+    n = base.first()
+    na, nb = float(n["na"] or 0), float(n["nb"] or 0)
+    if not na or not nb:
+        raise ValueError(f"no values of {a!r} or {b!r}")
+    less_a, less_b = max(na - 1, 1.0), max(nb - 1, 1.0)
+    m = df.where(F.col(group).isin(a, b)).agg(*moments).first()
+    ahead = neighbours(c, "v", "next", 1, ["all"])
+    d = F.abs(F.col("sa") / na - F.col("sb") / nb)
+    rank = F.col("sa") + F.col("sb") - (F.col("ca") + F.col("cb") - 1) / 2
+    below_a, below_b = (F.col("sb") - F.col("cb") / 2) / nb, (F.col("sa") - F.col("ca") / 2) / na
+    s = ahead.agg(
+        F.max(d).alias("ks"),
+        F.sum(d * F.coalesce(F.col("next") - F.col("v"), F.lit(0.0))).alias("emd"),
+        (F.sum(F.col("ca") * rank) - na * (na + 1) / 2).alias("u"),
+        *[F.sum(F.col(w) * f).alias(k) for k, w, f in (("p1", "ca", below_a), ("p2", "ca", below_a * below_a), ("q1", "cb", below_b), ("q2", "cb", below_b * below_b))],
+    )
+    va, vb = (F.lit(m[k]).cast("double") / x for k, x in (("va", na), ("vb", nb)))
+    t, t_dof = F.try_divide(F.lit(m["ma"]).cast("double") - F.lit(m["mb"]).cast("double"), F.sqrt(va + vb)), F.try_divide((va + vb) * (va + vb), va * va / less_a + vb * vb / less_b)
+    sx, sy = ((F.col(f"{k}2") - F.col(f"{k}1") * F.col(f"{k}1") / x) / less / x for k, x, less in (("p", na, less_a), ("q", nb, less_b)))
+    w, w_dof = F.try_divide(F.col("p1") / na - 0.5, F.sqrt(sx + sy)), F.try_divide((sx + sy) * (sx + sy), sx * sx / less_a + sy * sy / less_b)
+    u_z = (F.least(F.col("u"), na * nb - F.col("u")) - na * nb / 2) / F.sqrt(F.lit(na * nb * (na + nb + 1) / 12))
+    return s.select("ks", "emd", "u", t.alias("t"), t_dof.alias("t_dof"), F.when(sx + sy > 0, w).alias("w"), F.when(sx + sy > 0, w_dof).alias("w_dof"), u_z.alias("u_z")).select(
+        "ks",
+        p_column(lambda x: ks_p(x, int(na), int(nb)), F.col("ks")).alias("ks_p"),
+        "emd",
+        "u",
+        p_column(lambda z: 2 * normal_tail(-z), F.col("u_z")).alias("u_p"),
+        "t",
+        p_column(t_tail, F.col("t"), F.col("t_dof")).alias("t_p"),
+        "w",
+        p_column(t_tail, F.col("w"), F.col("w_dof")).alias("w_p"),
     )
-    counts = pair.groupBy(value).agg(F.sum((F.col(group) == a).cast("long")).alias("ca"), F.sum((F.col(group) == b).cast("long")).alias("cb"))
-    w = Window.orderBy(value)
-    steps = counts.crossJoin(F.broadcast(base)).withColumn("d", F.sum("ca").over(w) / F.col("na") - F.sum("cb").over(w) / F.col("nb")).withColumn("dx", F.lead(value).over(w) - F.col(value))  # one row
-    curve = steps.agg(F.max(F.abs("d")).alias("ks"), F.sum(F.abs("d") * F.coalesce("dx", F.lit(0.0))).alias("emd"))
-    t = (F.col("ma") - F.col("mb")) / F.sqrt(F.col("va") / F.col("na") + F.col("vb") / F.col("nb"))
-    return base.crossJoin(F.broadcast(curve)).select("ks", "emd", (F.col("ra") - F.col("na") * (F.col("na") + 1) / 2).alias("u"), t.alias("t"))  # one row each
+
+
+def wilcoxon(df: DataFrame, group: str, a: str, b: str, value: str, order: str, thin: Column | None = None) -> DataFrame:
+    """MOD11: signed ranks of the differences of two samples paired in ``order``: n, w (the larger rank sum) and the normal p with continuity.
+
+    Unequal samples are thinned to the smaller one's size without replacement, by the smallest MD5 of order unless
+    ``thin`` says otherwise, so reruns agree.
+    """
+    thin = F.md5(F.col(order).cast("string")) if thin is None else thin
+    both = df.where(F.col(group).isin(a, b) & F.col(value).isNotNull()).select(F.col(group).alias("g"), F.col(order).alias("o"), F.col(value).alias("x"), thin.alias("m"))
+    sizes = {r["g"]: r["count"] for r in both.groupBy("g").count().collect()}  # two rows
+    least = min(sizes.get(a, 0), sizes.get(b, 0))
+    kept = numbered(both, [F.col("m"), F.col("o")], "nth", ["g"]).where(F.col("nth") < least)
+    placed = numbered(kept, [F.col("o"), F.col("m")], "pair", ["g"])
+    one, two = (placed.where(F.col("g") == g).select("pair", F.col("x").alias(k)) for g, k in ((a, "xa"), (b, "xb")))
+    gaps = stored(one.join(two, "pair").select(F.abs(F.col("xb") - F.col("xa")).alias("gap"), (F.col("xb") > F.col("xa")).alias("up")), "pairs")
+    s = rank_average(gaps, "gap").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.when(F.col("up"), F.col("rank"))), F.lit(0.0)).alias("plus"))
+    total = F.col("n") * (F.col("n") + 1) / 2
+    w = F.greatest(F.col("plus"), total - F.col("plus"))
+    z = (total - w - total / 2 - 0.5) / F.sqrt(total / 2 * (2 * F.col("n") + 1) / 6)
+    return s.select("n", w.alias("w"), z.alias("z")).select("n", "w", p_column(lambda x: 2 * normal_tail(-x), F.col("z")).alias("p"))
 
 
 def kruskal_wallis(df: DataFrame, group: str, value: str) -> DataFrame:
-    """MOD11: H with tie correction, in doubles."""
-    ranked = rank_average(df.select(group, value), value)
+    """MOD11: H with tie correction, in doubles, and its p."""
+    ranked = stored(rank_average(df.select(group, value), value), "ranks")
     n = ranked.count() * 1.0
     per = ranked.groupBy(group).agg(F.sum("rank").alias("r"), F.count("*").alias("k"))
-    ties = df.groupBy(value).agg(F.count("*").alias("t")).agg(F.sum(F.pow("t", F.lit(3)) - F.col("t")).alias("ties"))
-    h = per.agg((12 / (n * (n + 1)) * F.sum(F.col("r") * F.col("r") / F.col("k")) - 3 * (n + 1)).alias("h"))
-    return h.crossJoin(F.broadcast(ties)).select((F.col("h") / (1 - F.col("ties") / (n * n * n - n))).alias("h"))
+    ties = df.groupBy(value).agg(F.count("*").alias("t")).agg(F.sum(F.pow("t", F.lit(3)) - F.col("t"))).first()[0] or 0.0
+    h = per.agg(((12 / (n * (n + 1)) * F.sum(F.col("r") * F.col("r") / F.col("k")) - 3 * (n + 1)) / (1 - ties / (n * n * n - n))).alias("h"), F.count("*").alias("groups"))
+    return h.select("h", p_column(lambda x, k: chi2_tail(x, k - 1), F.col("h"), F.col("groups")).alias("p"))
 
 
 def anova(df: DataFrame, group: str, value: str) -> DataFrame:
-    """MOD11: one-way F from group counts, means and variances."""
+    """MOD11: one-way F from group counts, means and variances, and its p."""
     g = df.groupBy(group).agg(F.count("*").alias("n"), F.avg(value).alias("m"), F.var_samp(value).alias("v"))
     s = g.agg(F.count("*").alias("k"), F.sum("n").alias("N"), F.sum(F.col("n") * F.col("m")).alias("t"), F.sum(F.col("n") * F.col("m") * F.col("m")).alias("q"), F.sum((F.col("n") - 1) * F.col("v")).alias("w"))
-    return s.select((((F.col("q") - F.col("t") * F.col("t") / F.col("N")) / (F.col("k") - 1)) / (F.col("w") / (F.col("N") - F.col("k")))).alias("f"))
+    f = ((F.col("q") - F.col("t") * F.col("t") / F.col("N")) / (F.col("k") - 1)) / (F.col("w") / (F.col("N") - F.col("k")))
+    return s.select(f.alias("f"), "k", "N").select("f", p_column(lambda x, k, n: f_tail(x, k - 1, n - k), F.col("f"), F.col("k"), F.col("N")).alias("p"))
 
 
 def stars(p: Column) -> Column:

@@ -5,6 +5,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .models import slope_only
+
 
 def quantify(events: DataFrame, calibration: DataFrame, value: str = "net_area") -> DataFrame:
     """PRJ3, SC10: mass in fg, equivalent diameter in nm.
@@ -47,13 +49,20 @@ def efficiency(np_response: Column, ionic: Column) -> Column:
     return 100 * ionic / np_response
 
 
-def dead_time(rate: Column, tau: float, paralysing: bool) -> Column:
-    """GEN5."""
-    return rate * F.exp(-rate * tau) if paralysing else rate / (1 + rate * tau)
-
-
 def lognormal_sum(mean: Column, sd: Column, n: Column) -> Column:
     """SC19: mu and sigma of the lognormal with the mean and variance of n independent ones."""
     total, var = mean * n, sd * sd * n
     sigma2 = F.log(1 + var / (total * total))
     return F.struct((F.log(total) - sigma2 / 2).alias("mu"), F.sqrt(sigma2).alias("sigma"))
+
+
+def calibrated(standards: DataFrame, ionic: DataFrame) -> DataFrame:
+    """MOD5: per channel, the response to particles (slope of net signal over mass) and to ions (slope of counts over mass flow), both through the origin, and the aerosol efficiency in percent that follows."""
+    np_ = slope_only(standards, ["channel"], "mass_fg", "net_signal").withColumnRenamed("slope", "np_cts_per_fg")
+    free = slope_only(ionic, ["channel"], "flow_fg_s", "cps").withColumnRenamed("slope", "ionic_cts_per_fg")
+    return np_.join(free, "channel").withColumn("aerosol_te_pct", efficiency(F.col("np_cts_per_fg"), F.col("ionic_cts_per_fg")))
+
+
+def across_channels(per_channel: DataFrame) -> DataFrame:
+    """AGG16: over channels (n_events, drift): mean events, rounded up, and the drift halfway between mean and largest."""
+    return per_channel.agg(F.ceil(F.avg("n_events")).alias("mean_events"), (0.5 * (F.max("drift") + F.avg("drift"))).alias("drift"))

@@ -43,7 +43,7 @@ def numbered(df: DataFrame, order: Sequence[Column], name: str = "idx", keys: Se
     by = [*(F.col(k).asc_nulls_first() for k in keys), *order]
     placed = stored(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__at", F.monotonically_increasing_id()), "numbered")
     placed = placed.withColumn("__range", F.shiftright("__at", 33)).withColumn("__place", F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)))
-    ahead = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.partitionBy(*(keys or [F.lit(1)])).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         placed.groupBy(*keys, "__range")
         .agg(F.count("*").alias("__n"), F.min("__place").alias("__first"))
@@ -53,3 +53,17 @@ def numbered(df: DataFrame, order: Sequence[Column], name: str = "idx", keys: Se
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"__of_{k}"))
     return placed.join(offsets, same).select(*df.columns, (F.col("__place") + F.col("__ahead")).alias(name))
+
+
+def haloed(points: DataFrame, before: int, after: int, block: int = BLOCK) -> DataFrame:
+    """points with __block: each block of the index also gets the ``before`` points ahead of it and the ``after`` behind, so frames of that reach stay within a block."""
+    return points.withColumn("__block", F.explode(F.sequence(F.floor((F.col("idx") - after) / block), F.floor((F.col("idx") + before) / block))))
+
+
+def in_block(keys: Sequence[str] | None = None):
+    return Window.partitionBy(*(keys or TRACE), "__block").orderBy("idx")
+
+
+def own(df: DataFrame, block: int = BLOCK) -> DataFrame:
+    """haloed rows without the halo."""
+    return df.where(F.floor(F.col("idx") / block) == F.col("__block")).drop("__block")

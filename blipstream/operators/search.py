@@ -3,12 +3,24 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .baseline import fisher_tail
-from .scan import TRACE, running_sum
+from ..plans.stored import stored
+from .scan import TRACE, numbered as in_order, running_sum
+from .traces import is_integer, moving_average
 
 EVENT = [*TRACE, "event_ord"]
 
 
+def rounded(points: DataFrame) -> DataFrame:
+    """Searches see integer traces rounded, half up; measures stay those of the recorded values, which are kept as gross."""
+    kinds = is_integer(points).where("is_integer")
+    joined = points.withColumn("gross", F.col("intensity")).join(kinds, TRACE, "left")
+    return joined.withColumn("intensity", F.when(F.col("is_integer"), F.floor(F.col("intensity") + 0.5).cast("double")).otherwise(F.col("intensity"))).drop("is_integer")
+
+
+def gross(points: DataFrame) -> Column:
+    return F.col("gross" if "gross" in points.columns else "intensity")
+
+
 def simple_search(points: DataFrame) -> DataFrame:
     """SEQ3: every positive point above its threshold is an event of one point."""
     return points.where("intensity > height_thr and intensity > 0").select(*TRACE, F.col("idx").alias("start_idx"), F.col("idx").alias("end_idx"), F.col("idx").alias("peak_idx"))
@@ -35,7 +47,7 @@ def hysteresis_points(points: DataFrame) -> DataFrame:
 
 def hysteresis_search(points: DataFrame) -> DataFrame:
     """SEQ4a: events (start_idx, end_idx, peak_idx, n_points, area, height) whose height exceeds the threshold at the closing index, or at the last one of the trace."""
-    inside = ~F.col("__break")
+    inside, measured = ~F.col("__break"), gross(points)
 
     def of_run(column: str) -> Column:
         return F.when(inside, F.col(column))
@@ -44,26 +56,34 @@ def hysteresis_search(points: DataFrame) -> DataFrame:
         F.min(of_run("idx")).alias("start_idx"),
         F.max(of_run("idx")).alias("end_idx"),
         F.count(of_run("idx")).alias("n_points"),
-        F.sum(of_run("intensity")).alias("area"),
-        F.max(of_run("intensity")).alias("height"),
-        F.min_by("idx", F.when(inside, F.struct(-F.col("intensity"), "idx"))).alias("peak_idx"),
+        F.sum(F.when(inside, measured)).alias("area"),
+        F.max(F.when(inside, measured)).alias("height"),
+        F.max(of_run("intensity")).alias("__seen"),
+        F.min_by("idx", F.when(inside, F.struct(-measured, "idx"))).alias("peak_idx"),
         F.max_by("height_thr", "idx").alias("__closing"),
     )
-    return runs.where(F.col("height") > F.col("__closing")).drop("__closing", "island")
+    return runs.where(F.col("__seen") > F.col("__closing")).drop("__closing", "__seen", "island")
 
 
 def numbered(events: DataFrame) -> DataFrame:
     """event_ord: 0, 1, ... along each trace."""
-    return events.withColumn("event_ord", (F.row_number().over(Window.partitionBy(*TRACE).orderBy("start_idx")) - 1).cast("int"))
+    return in_order(events, [F.col("start_idx"), F.col("end_idx")], "event_ord", TRACE).withColumn("event_ord", F.col("event_ord").cast("int"))
 
 
 def merge_intervals(intervals: DataFrame, touch: int = 0) -> DataFrame:
-    """Maximal unions of (start_idx, end_idx) per trace; next.start <= end + touch belongs to the same one."""
-    order = Window.partitionBy(*TRACE).orderBy("start_idx", "end_idx")
-    ahead = F.max("end_idx").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    marked = intervals.withColumn("__new", F.when(F.col("start_idx") <= ahead + touch, 0).otherwise(1))
-    grouped = marked.withColumn("__grp", F.sum("__new").over(order))
-    return grouped.groupBy(*TRACE, "__grp").agg(F.min("start_idx").alias("start_idx"), F.max("end_idx").alias("end_idx")).drop("__grp")
+    """Maximal unions of (start_idx, end_idx) per trace; next.start <= end + touch belongs to the same one.
+
+    A union begins where all intervals that began before have ended. Each distinct index holds the numbers that begin
+    and end there (an end counts touch + 1 later), so the open ones are a blocked running sum and no trace is in one task.
+    """
+    begins = F.struct(F.col("start_idx").alias("at"), F.lit(1).alias("begins"), F.lit(0).alias("ends"), F.col("end_idx").alias("last"))
+    ends = F.struct((F.col("end_idx") + touch + 1).alias("at"), F.lit(0).alias("begins"), F.lit(1).alias("ends"), F.lit(None).cast("int").alias("last"))
+    steps = intervals.select(*TRACE, F.explode(F.array(begins, ends)).alias("__s"))
+    spots = steps.groupBy(*TRACE, F.col("__s.at").alias("idx")).agg(F.sum("__s.begins").alias("__begins"), F.sum("__s.ends").alias("__ends"), F.max("__s.last").alias("__last"))
+    open_ = running_sum(stored(spots, "interval-spots"), F.col("__begins") - F.col("__ends"), "__open").where("__begins > 0")
+    new = (F.col("__open") == F.col("__begins")).cast("long")
+    named = running_sum(stored(open_, "interval-begins"), new, "__grp")
+    return named.groupBy(*TRACE, "__grp").agg(F.min("idx").cast("int").alias("start_idx"), F.max("__last").cast("int").alias("end_idx")).drop("__grp")
 
 
 def window_search(points: DataFrame, widen: int, bonus: float) -> DataFrame:
@@ -93,20 +113,5 @@ def peaks(intervals: DataFrame, points: DataFrame) -> DataFrame:
 
 def smooth_search(points: DataFrame, width: int) -> DataFrame:
     """SEQ4c with the trailing average: searches max(ceil(smooth), intensity)."""
-    over = Window.partitionBy(*TRACE).orderBy("idx").rowsBetween(-(width - 1), 0)
-    smooth = points.withColumn("intensity", F.greatest(F.ceil(F.round(F.avg("intensity").over(over), 9)).cast("double"), F.col("intensity")))
-    return hysteresis_search(smooth)
-
-
-def accumulated_p(points: DataFrame, start_p: float, height_p: float) -> DataFrame:
-    """SEQ5: p-values of all channels at an index combine by Fisher; regions with combined p <= start_p stay if their least p <= height_p."""
-    joint = points.groupBy("sample_id", "idx").agg(F.sum(-F.log("p")).alias("half"), F.count("*").alias("k")).withColumn("p", fisher_tail(F.col("half"), F.col("k")))
-    keyed = running_sum(joint.withColumn("channel", F.lit("*")), (F.col("p") > start_p).cast("long"), "island")
-    regions = keyed.where(F.col("p") <= start_p).groupBy("sample_id", "island").agg(F.min("idx").alias("start_idx"), F.max("idx").alias("end_idx"), F.min("p").alias("least_p"))
-    return regions.where(F.col("least_p") <= height_p).drop("island")
-
-
-def chernoff_p(location: Column) -> Column:
-    """Chernoff bound of the Poisson upper tail at the intensity: exp(y - m - y * log(y / m)) above the mean, 1 below."""
-    y = F.greatest(F.col("intensity"), location)
-    return F.exp(y - location - y * F.log(y / location))
+    smooth = moving_average(points, width)
+    return hysteresis_search(smooth.withColumn("intensity", F.greatest(F.ceil(F.round("smooth", 9)).cast("double"), F.col("intensity"))).drop("smooth"))

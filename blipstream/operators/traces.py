@@ -1,9 +1,11 @@
 """Operators on points: time cuts, re-binning, unit decisions, averages and summaries of traces."""
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scan import TRACE
+from .scan import TRACE, haloed, in_block, numbered, own, running_sum
 
 
 def in_order():
@@ -39,9 +41,10 @@ def rebin(points: DataFrame, k: int) -> DataFrame:
 
 def cps_to_counts(points: DataFrame) -> DataFrame:
     """PRJ4: rate times the time since the point before; the first two points use the third difference."""
-    t0, t1, t2 = (F.max(F.when(F.col("idx") == i, F.col("time_s"))).over(Window.partitionBy(*TRACE)) for i in (0, 1, 2))
-    dt = F.when(F.col("idx") < 2, t2 - t1).otherwise(F.col("time_s") - F.lag("time_s").over(in_order()))
-    return points.withColumn("counts", F.col("intensity") * dt)
+    early = points.groupBy(*TRACE).agg((F.max(F.when(F.col("idx") == 2, F.col("time_s"))) - F.max(F.when(F.col("idx") == 1, F.col("time_s")))).alias("__dt"))
+    steps = own(haloed(points, 1, 0).withColumn("__step", F.col("time_s") - F.lag("time_s").over(in_block())))
+    dt = F.when(F.col("idx") < 2, F.col("__dt")).otherwise(F.col("__step"))
+    return steps.join(early, TRACE).withColumn("counts", F.col("intensity") * dt).drop("__dt", "__step")
 
 
 def dwell_times(points: DataFrame) -> DataFrame:
@@ -53,9 +56,8 @@ def dwell_times(points: DataFrame) -> DataFrame:
 
 
 def is_integer(points: DataFrame, first: int = 10_000, limit: float = 0.15) -> DataFrame:
-    """Whether the mean distance of the first non-zero values from whole numbers is below limit."""
-    rank = F.row_number().over(in_order())
-    used = points.where("intensity <> 0").withColumn("__rank", rank).where(F.col("__rank") <= first)
+    """Whether the mean distance of the first non-zero values from whole numbers is below limit. That only the first count is the rule itself."""
+    used = running_sum(points, (F.col("intensity") != 0).cast("long"), "__rank").where(F.col("intensity") != 0).where(F.col("__rank") <= first)
     return used.groupBy(*TRACE).agg((F.avg(F.abs(F.floor(F.col("intensity") + 0.5) - F.col("intensity"))) < limit).alias("is_integer"))
 
 
@@ -91,34 +93,69 @@ def mode(points: DataFrame) -> DataFrame:
 
 def rmsd(points: DataFrame) -> DataFrame:
     """AGG17: root mean square of successive differences."""
-    step = points.withColumn("d", F.col("intensity") - F.lag("intensity").over(in_order()))
+    step = own(haloed(points, 1, 0).withColumn("d", F.col("intensity") - F.lag("intensity").over(in_block())))
     return step.groupBy(*TRACE).agg(F.sqrt(F.avg(F.col("d") * F.col("d"))).alias("rmsd"))
 
 
 def moving_average(points: DataFrame, width: int) -> DataFrame:
     """SEQ12: trailing moving average with a partial head."""
-    return points.withColumn("smooth", F.avg("intensity").over(in_order().rowsBetween(-(width - 1), 0)))
+    return own(haloed(points, width - 1, 0).withColumn("smooth", F.avg("intensity").over(in_block().rowsBetween(-(width - 1), 0))))
 
 
 def kernel_smooth(points: DataFrame, weights: list[float]) -> DataFrame:
-    """SEQ12: symmetric kernel with mirrored edges: every point sends its weighted value to the points it touches, itself or mirrored."""
+    """SEQ12: symmetric kernel with mirrored edges, for traces longer than half of it: a weighted sum of a frame within a block, whose halo and mirrored ends are the only copies."""
     half = len(weights) // 2
-    n = points.groupBy(*TRACE).agg(F.count("*").alias("__n"))
-    sent = points.join(n, TRACE).withColumn("__j", F.explode(F.sequence(F.lit(-2 * half), F.lit(2 * half))))
-    target = F.col("idx") + F.col("__j")
-    weight = F.element_at(F.array(*map(F.lit, map(float, weights))), F.col("__k"))
-    # A point at position q serves target t directly, from its mirror image -q below 0, and from 2(n-1)-q beyond the end.
-    images = F.array(F.col("idx"), -F.col("idx"), 2 * (F.col("__n") - 1) - F.col("idx"))
-    reached = sent.where(target.between(0, F.col("__n") - 1)).withColumn("__t", target).select(*TRACE, "__t", "intensity", F.explode(F.array_distinct(images)).alias("__q"))
-    used = reached.withColumn("__k", (F.col("__q") - F.col("__t") + half + 1).cast("int")).where(F.col("__k").between(1, len(weights)))
-    return used.groupBy(*TRACE, F.col("__t").cast("int").alias("idx")).agg((F.sum(F.col("intensity") * weight) / sum(weights)).alias("smooth"))
-
-
-def time_average(points: DataFrame, width: float) -> DataFrame:
-    """SEQ11: tumbling windows from the first time stamp; mean, count per second and the centre's time."""
-    first = points.groupBy(*TRACE).agg(F.min("time_s").alias("__t0"))
-    binned = points.join(first, TRACE).withColumn("bin", F.floor((F.col("time_s") - F.col("__t0")) / width))
-    return binned.groupBy(*TRACE, "bin").agg(F.avg("intensity").alias("mean"), (F.count("*") / F.lit(width)).alias("per_second"), (F.first("__t0") + (F.col("bin") + 0.5) * width).alias("centre_s"))
+    ends = points.groupBy(*TRACE).agg(F.count("*").alias("__n"))
+    n, i = F.col("__n"), F.col("idx")
+    places = F.array_distinct(F.filter(F.array(i, F.when(i.between(1, half), -i), F.when(i.between(n - 1 - half, n - 2), 2 * (n - 1) - i)), lambda x: x.isNotNull()))
+    mirrored = points.join(ends, TRACE).select(*TRACE, "intensity", "__n", F.explode(places).alias("idx"))
+    blocks = haloed(mirrored, half, half)
+    around = [(w, F.coalesce(F.lag("intensity", half - k).over(in_block()) if k < half else F.lead("intensity", k - half).over(in_block()), F.lit(0.0))) for k, w in enumerate(weights)]
+    total = sum((w * v for w, v in around[1:]), around[0][0] * around[0][1]) / sum(weights)
+    smooth = own(blocks.withColumn("smooth", total)).where(i.between(0, n - 1))
+    return smooth.select(*TRACE, i.cast("int").alias("idx"), "smooth")
+
+
+def gaussian_weights(sigma: float) -> list[float]:
+    """SEQ12: a Gaussian kernel out to three sigma."""
+    half = math.ceil(3 * sigma)
+    return [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-half, half + 1)]
+
+
+def sinc_weights(degree: int, half: int) -> list[float]:
+    """SEQ12: sinc times a Gaussian, by the distance from the centre in units of half + 1."""
+
+    def at(x: float) -> float:
+        turn = math.pi * 0.5 * (degree + 4) * x
+        return (math.sin(turn) / turn if turn else 1.0) * math.exp(-4 * x * x)
+
+    return [at(abs(k) / (half + 1)) for k in range(-half, half + 1)]
+
+
+def time_average(points: DataFrame, width: float, filtered: bool = False, least: int = 10) -> DataFrame:
+    """SEQ11: windows of ``width`` seconds from the first time stamp: bin, n, mean, per_second and the centre's time.
+
+    Windows are the least number that reaches the last stamp; a stamp on the last edge is outside, and so are negative
+    ones, as the first window begins at 0. Of over two windows, a last one of fewer than ``least`` points joins the one
+    before. filtered: the mean is that of values strictly within one MAD of the window's median. Empty windows have mean 0.
+    """
+    span = points.groupBy(*TRACE).agg(F.min("time_s").alias("__t0"), F.ceil((F.max("time_s") - F.min("time_s")) / width).alias("__bins"))
+    binned = points.join(span, TRACE).withColumn("bin", F.floor((F.col("time_s") - F.col("__t0")) / width)).where((F.col("bin") < F.col("__bins")) & (F.col("time_s") >= 0))
+    last = binned.where(F.col("bin") == F.col("__bins") - 1).groupBy(*TRACE).agg(F.count("*").alias("__tail"))
+    edges = span.join(last, TRACE, "left").withColumn("__merged", (F.col("__bins") > 2) & (F.coalesce("__tail", F.lit(0)) < least)).withColumn("__left", F.col("__bins") - F.col("__merged").cast("int"))
+    final = binned.join(edges.select(*TRACE, "__left"), TRACE).withColumn("bin", F.least("bin", F.col("__left") - 1)).select(*TRACE, "bin", "intensity")
+    kept = final
+    if filtered:
+        middle = final.groupBy(*TRACE, "bin").agg(F.expr("percentile(intensity, 0.5)").alias("__m"))
+        away = final.join(middle, [*TRACE, "bin"]).withColumn("__d", F.abs(F.col("intensity") - F.col("__m")))
+        mad = away.groupBy(*TRACE, "bin").agg(F.expr("percentile(__d, 0.5)").alias("__mad"))
+        kept = away.join(mad, [*TRACE, "bin"]).where("__d < __mad")
+    means = kept.groupBy(*TRACE, "bin").agg(F.count("*").alias("n"), F.avg("intensity").alias("mean"))
+    every = edges.where("__left > 0").select(*TRACE, "__t0", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__left") - 1)).alias("bin"))
+    n = F.coalesce("n", F.lit(0))
+    return every.join(means, [*TRACE, "bin"], "left").select(
+        *TRACE, "bin", n.alias("n"), F.coalesce("mean", F.lit(0.0)).alias("mean"), (n / F.lit(width)).alias("per_second"), (F.col("__t0") + (F.col("bin") + 0.5) * width).alias("centre_s")
+    )
 
 
 def prefilter(points: DataFrame) -> DataFrame:
@@ -140,7 +177,38 @@ def channel_sum(points: DataFrame, groups: Column) -> DataFrame:
     return points.groupBy("sample_id", groups.alias("channel"), "idx").agg(F.sum("intensity").alias("intensity"))
 
 
-def drift_steps(points: DataFrame, width: int = 9, every: int = 3) -> DataFrame:
-    """AGG15's series: trailing mean over width points, every third point, with the sign of the change."""
-    smooth = moving_average(points, width).where(F.col("idx") % every == 0)
-    return smooth.withColumn("rise", F.signum(F.col("smooth") - F.lag("smooth").over(in_order())))
+def renumbered(points: DataFrame) -> DataFrame:
+    """idx without gaps."""
+    return numbered(points.withColumnRenamed("idx", "__was"), [F.col("__was")], "idx", TRACE).drop("__was")
+
+
+def sampled_average(points: DataFrame, width: int, every: int) -> DataFrame:
+    """The trailing mean over width of all but the first and last point, at every ``every``-th of them; nothing for traces of three points or fewer."""
+    ends = points.groupBy(*TRACE).agg(F.count("*").alias("__n"))
+    inner = points.join(ends, TRACE).where((F.col("__n") > 3) & F.col("idx").between(1, F.col("__n") - 2)).withColumn("idx", F.col("idx") - 1).drop("__n")
+    return moving_average(inner, width).where((F.col("idx") + 1) % every == 0).withColumn("idx", F.floor(F.col("idx") / every))
+
+
+def drift_factor(averages: DataFrame, width: int = 9, every: int = 3) -> DataFrame:
+    """AGG15: how far the background of a trace drifts, from its short averages (points): a range, a spread and a trend term, multiplied.
+
+    Range: 1 + (max - min) / (mean + 1) of what lies from one root below to a quarter root above the mean, with the root
+    of mean + 1. Spread: 100 SD / (mean + 1) of the trailing means of what is left of that and not zero. Trend: 1 plus
+    the share of strictly rising or falling runs of four among every third trailing mean, less 0.25, at least 1. A term
+    without enough values is 1.
+    """
+    s = averages.groupBy(*TRACE).agg(F.count("*").alias("__count"), F.avg("intensity").alias("__mean"))
+    root = F.sqrt(F.col("__mean") + 1)
+    near = averages.join(s, TRACE).where((F.col("__count") <= 3) | F.col("intensity").between(F.col("__mean") - root, F.col("__mean") + 0.25 * root))
+    reach = near.where("__count > 3").groupBy(*TRACE).agg((1 + (F.max("intensity") - F.min("intensity")) / (F.first("__mean") + 1)).alias("range_term"))
+    rest = renumbered(near.where("intensity <> 0").select(*TRACE, "idx", "intensity"))
+    spread = sampled_average(rest, width, 1).groupBy(*TRACE).agg(F.when(F.count("*") > 1, 100 * F.stddev_samp("smooth") / (F.avg("smooth") + 1)).alias("rsd_term"))
+    steps = sampled_average(averages.select(*TRACE, "idx", "intensity"), width, every)
+    before = [F.lag("smooth", k).over(in_block()) for k in (3, 2, 1)]
+    runs = own(haloed(steps, 3, 0).withColumns({"__a": before[0], "__b": before[1], "__c": before[2]}))
+    rising = (F.col("__a") < F.col("__b")) & (F.col("__b") < F.col("__c")) & (F.col("__c") < F.col("smooth"))
+    falling = (F.col("__a") > F.col("__b")) & (F.col("__b") > F.col("__c")) & (F.col("__c") > F.col("smooth"))
+    trend = runs.groupBy(*TRACE).agg(F.when(F.count("*") > 1, F.greatest(F.lit(1.0), 0.75 + F.sum((rising | falling).cast("int")) / F.count("*"))).alias("trend_term"))
+    terms = s.select(*TRACE).join(reach, TRACE, "left").join(spread, TRACE, "left").join(trend, TRACE, "left")
+    filled = terms.select(*TRACE, *[F.coalesce(c, F.lit(1.0)).alias(c) for c in ("range_term", "rsd_term", "trend_term")])
+    return filled.withColumn("drift", F.col("range_term") * F.col("rsd_term") * F.col("trend_term"))

@@ -48,7 +48,7 @@ def with_thresholds(points: DataFrame, location: DataFrame, offset: float, z: fl
 
 
 def find(points: DataFrame, location: DataFrame, offset: float, z: float) -> DataFrame:
-    return events.net_of_baseline(search.numbered(search.hysteresis_search(with_thresholds(points, location, offset, z))), location)
+    return events.net_of_baseline(search.numbered(search.hysteresis_search(with_thresholds(search.rounded(points), location, offset, z))), location)
 
 
 def read_method(xml: str) -> list[dict]:

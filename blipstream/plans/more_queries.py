@@ -1,9 +1,13 @@
 """Populations, spectra, limits and small functions, with their SQL."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blipstream.functions import chemistry, parsing
-from blipstream.operators import align, baseline, quant, search, spectra
+from blipstream.operators import align, events, kernels, quant, spectra
+from blipstream.sources import sinks
 
 from .inputs import COUNT_POINTS, EVENT_POINTS, count_points, event_points, table
 from .signal_queries import FOUND, Z, clip_sql, found, model
@@ -23,27 +27,17 @@ def query(sql: str | None = None):
     return add
 
 
-@query(FOUND + " SELECT channel, start_idx, 'MRoi(a)' AS population FROM e WHERE height BETWEEN 60 AND 120")
+@query(FOUND + " SELECT channel, start_idx, 'main' AS population FROM e UNION ALL SELECT channel, start_idx, 'MRoi(a)' FROM e WHERE height BETWEEN 60 AND 120")
 def fil2_event_range(spark, sf_dir):
     _, _, e = found(spark, sf_dir)
-    return e.where("height between 60 and 120").select("channel", "start_idx", F.lit("MRoi(a)").alias("population"))
+    return events.manual_roi(e, "height", 60, 120, "a").select("channel", "start_idx", "population")
 
 
-@query("SELECT event_id, value BETWEEN 20 AND 60 AS included, NOT (value BETWEEN 20 AND 60) AS excluded FROM events")
+@query(FOUND + " SELECT channel, start_idx, n_points BETWEEN 2 AND 4 AS included FROM e")
 def fil3_include_exclude(spark, sf_dir):
-    inside = F.col("value").between(20, 60)
-    return table(spark, sf_dir, "events").select("event_id", inside.alias("included"), (~inside).alias("excluded"))
-
-
-@query(f"""WITH {COUNT_POINTS}, m AS (SELECT channel, avg(intensity) AS m FROM pts GROUP BY channel), q AS (SELECT channel, idx // 5 AS event, greatest(intensity, m) AS y, m FROM pts JOIN m USING (channel)),
-h AS (SELECT channel, event, sum(-ln(exp(y - m - y * ln(y / m)))) AS half, count(*) AS k FROM q GROUP BY 1, 2)
-SELECT channel, CAST(event AS INTEGER) AS event, round(exp(-half) * list_sum(list_transform(range(0, k), lambda j: half ** j / factorial(CAST(j AS INTEGER)))), 9) AS p FROM h
-WHERE exp(-half) * list_sum(list_transform(range(0, k), lambda j: half ** j / factorial(CAST(j AS INTEGER)))) < 0.01""")
-def fil14_accumulated_p_gate(spark, sf_dir):
-    p = count_points(spark, sf_dir)
-    p = p.join(p.groupBy("sample_id", "channel").agg(F.avg("intensity").alias("m")), ["sample_id", "channel"]).withColumn("p", search.chernoff_p(F.col("m")))
-    e = p.groupBy("channel", F.floor(F.col("idx") / 5).cast("int").alias("event")).agg(F.sum(-F.log("p")).alias("half"), F.count("*").alias("k"))
-    return e.withColumn("p", baseline.fisher_tail(F.col("half"), F.col("k"))).where("p < 0.01").select("channel", "event", F.round("p", 9).alias("p"))
+    _, _, e = found(spark, sf_dir)
+    inside, outside = (events.roi(e, "n_points", 2, 4, k).select("channel", "start_idx", F.lit(k).alias("included")) for k in (True, False))
+    return inside.unionByName(outside)
 
 
 @query(PAIRS + """ SELECT y.channel, y.a AS start_idx, CASE WHEN EXISTS (SELECT 1 FROM x WHERE x.channel = y.channel AND x.a <= y.z AND x.z >= y.a) THEN 'Matched' ELSE 'FPos' END AS population FROM y
@@ -54,9 +48,12 @@ def fil18_simulation_match(spark, sf_dir):
     return hit.unionByName(align.first_match(truth, seen).where("match_start is null").select("channel", "start_idx", F.lit("Fneg").alias("population")))
 
 
-@query(f"WITH {EVENT_POINTS} SELECT channel, count(*) AS n FROM pts WHERE channel NOT IN ('click', 'view') GROUP BY channel")
+@query(f"""WITH {EVENT_POINTS}, m AS (SELECT unnest(['ALL_LOADED', 'SELECTED', 'POSITIVE_LIST', 'NEGATIVE_LIST']) AS mode)
+SELECT mode, channel, count(*) AS n FROM pts, m WHERE mode = 'ALL_LOADED' OR (mode = 'NEGATIVE_LIST') = (channel NOT IN ('click', 'view')) GROUP BY 1, 2""")
 def fil20_channel_selection(spark, sf_dir):
-    return event_points(spark, sf_dir).where(~F.col("channel").isin("click", "view")).groupBy("channel").agg(F.count("*").alias("n"))
+    p = event_points(spark, sf_dir)
+    made = [events.select_channels(p, m, ["click", "view"]).groupBy("channel").agg(F.count("*").alias("n")).withColumn("mode", F.lit(m)) for m in events.SELECTIONS]
+    return reduce(DataFrame.unionByName, made)
 
 
 @query("SELECT vec_id, CAST(len(list_filter(embedding, lambda x: x <> 0)) AS INTEGER) AS nonzero, CAST(len(list_filter(embedding, lambda x: x > 0)) AS INTEGER) AS positive, CAST(len(list_filter(embedding, lambda x: x BETWEEN -0.1::FLOAT AND 0.1::FLOAT)) AS INTEGER) AS inside FROM embeddings")
@@ -79,10 +76,13 @@ def agg13_raw_cps(spark, sf_dir):
     return p.select("channel", F.round(F.col("m") / 7.69e-5, 4).alias("mean_cps"), F.round(F.col("d") / 7.69e-5, 4).alias("median_cps"))
 
 
-@query(FOUND + " SELECT CAST(ceil(avg(n)) AS BIGINT) AS mean_events, round(0.5 * (max(n) + avg(n)), 6) AS upper FROM (SELECT channel, count(*) AS n FROM e GROUP BY channel)")
+@query(FOUND + """, n AS (SELECT channel, count(*) AS n FROM e GROUP BY channel), r AS (SELECT channel, 1 + (max(intensity) - min(intensity)) / (avg(intensity) + 1) AS d FROM pts GROUP BY channel)
+SELECT CAST(ceil(avg(n)) AS BIGINT) AS mean_events, round(0.5 * (max(d) + avg(d)), 6) AS drift FROM n JOIN r USING (channel)""")
 def agg16_averages(spark, sf_dir):
-    _, _, e = found(spark, sf_dir)
-    return e.groupBy("channel").count().agg(F.ceil(F.avg("count")).alias("mean_events"), F.round(0.5 * (F.max("count") + F.avg("count")), 6).alias("upper"))
+    """Over the channels: mean events, rounded up, and the middle between the mean and the largest of a drift (here its range over all points)."""
+    p, _, e = found(spark, sf_dir)
+    drift = p.groupBy("channel").agg((1 + (F.max("intensity") - F.min("intensity")) / (F.avg("intensity") + 1)).alias("drift"))
+    return quant.across_channels(e.groupBy("channel").agg(F.count("*").alias("n_events")).join(drift, "channel")).select("mean_events", F.round("drift", 6).alias("drift"))
 
 
 SPECTRA = f"""WITH {EVENT_POINTS}, {runs_sql('x', 90)}, {COVER}, ev AS (SELECT *, row_number() OVER (ORDER BY start_idx) - 1 AS event_ord FROM m),
@@ -92,7 +92,7 @@ fr AS (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY idx) - 1 AS nt
 
 def covered(spark, sf_dir):
     intervals = stored(align.by_coverage(high_runs(spark, sf_dir, 90)), "intervals")
-    points = stored(event_points(spark, sf_dir), "points")
+    points = event_points(spark, sf_dir)
     return intervals, points, spectra.event_spectra(intervals, points)
 
 
@@ -109,10 +109,45 @@ def agg20_element_sum(spark, sf_dir):
     return s.groupBy("event_ord", F.substring("channel", 1, 1).alias("element")).agg(F.round(F.sum("intensity"), 5).alias("intensity"))
 
 
-@query(FOUND + " SELECT channel, n_points, count(*) AS n, round(avg(area), 5) AS mean_area FROM e GROUP BY channel, n_points")
-def agg24_by_length(spark, sf_dir):
-    _, _, e = found(spark, sf_dir)
-    return e.groupBy("channel", "n_points").agg(F.count("*").alias("n"), F.round(F.avg("area"), 5).alias("mean_area"))
+@query(FOUND + """, l AS (SELECT channel, n_points, max(start_idx) AS start_idx FROM e GROUP BY channel, n_points)
+SELECT e.channel, e.n_points, CAST(p.idx - e.start_idx AS INTEGER) AS "offset", round(p.intensity / e.area, 7) AS share FROM l JOIN e USING (channel, n_points, start_idx) JOIN pts p ON p.channel = e.channel AND p.idx BETWEEN e.start_idx AND e.end_idx""")
+def agg24_profiles(spark, sf_dir):
+    p, _, e = found(spark, sf_dir)
+    return events.profiles(e, p).select("channel", "n_points", "offset", F.round("share", 7).alias("share"))
+
+
+@query(SPECTRA + ", s AS (SELECT event_ord, sum(intensity) AS total FROM sp GROUP BY event_ord) SELECT event_ord::INTEGER AS event_ord, row_number() OVER (ORDER BY round(total, 6) DESC, event_ord) - 1 AS nth FROM s")
+def srt2_summed_order(spark, sf_dir):
+    _, _, s = covered(spark, sf_dir)
+    return events.summed_order(s.withColumn("intensity", F.col("intensity").cast("decimal(20,6)"))).select("event_ord", "nth")
+
+
+@query(f"WITH {EVENT_POINTS}, n AS (SELECT min(n) AS n FROM (SELECT count(*) AS n FROM pts GROUP BY channel)) SELECT channel, count(*) AS n, round(sum(intensity), 4) AS total FROM pts, n WHERE idx < n.n GROUP BY channel")
+def srt7_trimmed(spark, sf_dir):
+    return events.trimmed(event_points(spark, sf_dir)).groupBy("channel").agg(F.count("*").alias("n"), F.round(F.sum("intensity"), 4).alias("total"))
+
+
+@query("""SELECT metric, value FROM (SELECT 'events' AS metric, 0 AS pos, count(*)::DOUBLE AS value FROM events UNION ALL SELECT 'mean', 1, round(avg(value), 6) FROM events UNION ALL SELECT 'largest', 2, max(value) FROM events) ORDER BY pos""")
+def srt8_declared_order(spark, sf_dir):
+    """Results in the order in which the report declares them."""
+    e = table(spark, sf_dir, "events").agg(F.count("*").cast("double").alias("events"), F.round(F.avg("value"), 6).alias("mean"), F.max("value").alias("largest"))
+    return sinks.declared_rows(e, ["events", "mean", "largest"])
+
+
+@query("SELECT x.s_suppkey, y.n_nationkey FROM (SELECT s_suppkey, CASE WHEN s_nationkey > 0 THEN s_nationkey END AS i FROM supplier) x JOIN (SELECT n_nationkey, CASE WHEN n_nationkey > 0 THEN n_nationkey END AS i FROM nation) y ON x.i IS NOT DISTINCT FROM y.i")
+def joi8_channel_map(spark, sf_dir):
+    """Channels of two samples by isotope, null-safe; nation 0 stands for no isotope."""
+    s = table(spark, sf_dir, "supplier").select(F.when(F.col("s_nationkey") > 0, F.col("s_nationkey")).alias("isotope"), F.col("s_suppkey").alias("channel"))
+    n = table(spark, sf_dir, "nation").select(F.when(F.col("n_nationkey") > 0, F.col("n_nationkey")).alias("isotope"), F.col("n_nationkey").alias("channel"))
+    return events.mapped_channels(s, n).select(F.col("left_channel").alias("s_suppkey"), F.col("right_channel").alias("n_nationkey"))
+
+
+@query(f"WITH {EVENT_POINTS} SELECT channel, count(*) AS n, round(sum(CASE WHEN channel = 'view' THEN 2 * intensity ELSE intensity END), 4) AS total FROM pts WHERE channel <> 'click' GROUP BY channel")
+def set5_reconciled(spark, sf_dir):
+    """A sample without views is imported anew without clicks, views doubled: clicks go, views come in, the rest stays as loaded."""
+    p = event_points(spark, sf_dir)
+    imported = p.where("channel <> 'click'").withColumn("intensity", 2 * F.col("intensity"))
+    return events.reconciled(p.where("channel <> 'view'"), imported).groupBy("channel").agg(F.count("*").alias("n"), F.round(F.sum("intensity"), 4).alias("total"))
 
 
 @query("""WITH b AS (SELECT min(c_acctbal) AS lo, max(c_acctbal) AS hi FROM customer), k AS (SELECT c_mktsegment AS g, least(63, floor((c_acctbal - lo) / (hi - lo) * 64)) AS bin, count(*) AS n FROM customer, b GROUP BY 1, 2),
@@ -135,10 +170,10 @@ def sc14_down_sampled(spark, sf_dir):
     return spectra.down_sampled(table(spark, sf_dir, "orders").select("o_orderpriority", "o_totalprice"), ["o_orderpriority"], "o_totalprice", 100)
 
 
-@query("SELECT n_nationkey, CAST(floor(n_nationkey * 0.3 + 0.5) AS BIGINT) AS rounded, round(log2(n_nationkey + 1), 8) AS log2, round(n_nationkey / 24.0, 8) AS linear FROM nation")
+@query("SELECT n_nationkey, CAST(floor(n_nationkey * 0.3 + 0.5) AS BIGINT) AS rounded, round(log2(n_nationkey + 1), 8) AS log2, round(CASE WHEN n_nationkey <= 3 THEN 1.0 WHEN n_nationkey <= 10 THEN 1 + (n_nationkey - 3) * 2.0 / 7 WHEN n_nationkey <= 20 THEN 3 - (n_nationkey - 10) * 0.25 ELSE 0.5 END, 8) AS linear FROM nation")
 def sc1_8_arithmetic(spark, sf_dir):
     k = F.col("n_nationkey")
-    return table(spark, sf_dir, "nation").select(k, parsing.java_round(k * 0.3).alias("rounded"), F.round(F.log2(k + 1), 8).alias("log2"), F.round(k / 24.0, 8).alias("linear"))
+    return table(spark, sf_dir, "nation").select(k, parsing.java_round(k * 0.3).alias("rounded"), F.round(F.log2(k + 1), 8).alias("log2"), F.round(chemistry.interpolate(k, [(3, 1.0), (10, 3.0), (20, 0.5)]), 8).alias("linear"))
 
 
 @query("SELECT s_suppkey, 'c' || (s_suppkey % 3) AS channel, CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE 10.0 + s_suppkey % 3 END IS NULL AS missing, CAST(CASE WHEN s_suppkey % 3 = 0 THEN 11.0 ELSE 10.0 + s_suppkey % 3 END AS DOUBLE) AS aerosol_te_pct FROM supplier WHERE s_suppkey % 3 >= 0")
@@ -150,17 +185,21 @@ def sc11_filled_te(spark, sf_dir):
     return rows.join(filled, "channel").select("s_suppkey", "channel", F.col("aerosol_te_pct").isNull().alias("missing"), F.col("filled").alias("aerosol_te_pct"))
 
 
-@query("""SELECT f AS formula, round(w, 6) AS fraction FROM (VALUES ('TiO2', 47.867 / (47.867 + 2 * 15.999)), ('Fe2O3', 2 * 55.845 / (2 * 55.845 + 3 * 15.999)), ('Ca(OH)2', 40.078 / (40.078 + 2 * (15.999 + 1.008)))) AS v(f, w)""")
+@query("""SELECT p_partkey, round((1 + p_size % 4) * 55.845 / ((1 + p_size % 4) * 55.845 + (p_size % 7) * 15.999 + (p_size % 3) * (15.999 + 1.008)), 8) AS fraction FROM part""")
 def sc12_mass_fraction(spark, sf_dir):
-    masses = {"Ti": 47.867, "O": 15.999, "Fe": 55.845, "Ca": 40.078, "H": 1.008}
-    made = [(f, chemistry.mass_fraction(f, e, masses)) for f, e in (("TiO2", "Ti"), ("Fe2O3", "Fe"), ("Ca(OH)2", "Ca"))]
-    return spark.createDataFrame(made, "formula string, fraction double").withColumn("fraction", F.round("fraction", 6))
+    """Iron in formulas like Fe2O3(OH)2, one for each part."""
+    n = [((F.col("p_size") % m) + k).cast("string") for m, k in ((4, 1), (7, 0), (3, 0))]
+    p = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("Fe"), n[0], F.lit("O"), n[1], F.lit("(OH)"), n[2]).alias("formula"))
+    return chemistry.mass_fractions(p, "formula", "Fe", {"Fe": 55.845, "O": 15.999, "H": 1.008}).select("p_partkey", F.round("fraction", 8).alias("fraction"))
 
 
-@query("""WITH s AS (SELECT p_brand, regr_slope(p_retailprice, p_size) AS a, regr_slope(p_retailprice, p_size * 2) AS b FROM part GROUP BY p_brand) SELECT p_brand, round(100 * b / a, 6) AS te_pct FROM s""")
-def mod5_efficiency(spark, sf_dir):
-    s = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.regr_slope("p_retailprice", "p_size").alias("a"), F.regr_slope(F.col("p_retailprice"), F.col("p_size") * 2).alias("b"))
-    return s.select("p_brand", F.round(quant.efficiency(F.col("a"), F.col("b")), 6).alias("te_pct"))
+@query("""WITH a AS (SELECT p_brand, sum(p_size * p_retailprice) / sum(p_size * p_size) AS np FROM part GROUP BY p_brand), b AS (SELECT p_brand, sum(p_partkey * p_retailprice) / sum(CAST(p_partkey AS DOUBLE) * p_partkey) AS ionic FROM part GROUP BY p_brand)
+SELECT p_brand AS channel, round(np, 6) AS np_cts_per_fg, round(ionic, 6) AS ionic_cts_per_fg, round(100 * ionic / np, 6) AS aerosol_te_pct FROM a JOIN b USING (p_brand)""")
+def mod5_calibration(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    standards = p.select(F.col("p_brand").alias("channel"), F.col("p_size").cast("double").alias("mass_fg"), F.col("p_retailprice").alias("net_signal"))
+    ionic = p.select(F.col("p_brand").alias("channel"), F.col("p_partkey").cast("double").alias("flow_fg_s"), F.col("p_retailprice").alias("cps"))
+    return quant.calibrated(standards, ionic).select("channel", *[F.round(c, 6).alias(c) for c in ("np_cts_per_fg", "ionic_cts_per_fg", "aerosol_te_pct")])
 
 
 @query()
@@ -171,11 +210,11 @@ def mod9_agglomerate(spark, sf_dir):
     return spectra.agglomerate(c, "centroid", "weight", 0.5)
 
 
-@query(f"""WITH {COUNT_POINTS}, n AS (SELECT channel, count(*) AS n FROM pts GROUP BY channel)
-SELECT channel, CAST(n AS BIGINT) AS n, CAST(greatest(1, n // 5000) + 2 AS INTEGER) AS anchors FROM n""")
+@query(f"""WITH {COUNT_POINTS}, n AS (SELECT channel, count(*) AS n FROM pts GROUP BY channel), a AS (SELECT channel, n, 0 AS anchor FROM n UNION SELECT channel, n, n - 1 FROM n UNION SELECT channel, n, unnest(range(0, greatest(1, n // 5000))) * 5000 + 2500 FROM n)
+SELECT channel, CAST(anchor AS INTEGER) AS anchor FROM a WHERE anchor < n""")
 def seq18_polyline(spark, sf_dir):
     n = count_points(spark, sf_dir).groupBy("channel").agg(F.count("*").alias("n"))
-    return n.select("channel", "n", F.size(spectra.polyline(F.col("n"), 5000)).alias("anchors"))
+    return n.select("channel", F.explode(spectra.polyline(F.col("n"), 5000)).alias("anchor")).withColumn("anchor", F.col("anchor").cast("int"))
 
 
 @query(FOUND + " SELECT channel, CAST(row_number() OVER (PARTITION BY channel ORDER BY start_idx) - 1 AS INTEGER) AS event_ord, round(area, 5) AS area, round(area - greatest(0.1, location) * n_points, 5) AS net_area, height, round(greatest(0, height) - greatest(0.1, location), 5) AS net_height, n_points, round(greatest(0.1, location) * n_points, 5) AS bg_per_event FROM e")
@@ -184,17 +223,21 @@ def prj1_snk2_population(spark, sf_dir):
     return e.select("channel", "event_ord", *[F.round(c, 5).alias(c) for c in ("area", "net_area")], "height", F.round("net_height", 5).alias("net_height"), "n_points", F.round("bg_per_event", 5).alias("bg_per_event"))
 
 
-@query(f"WITH {EVENT_POINTS}, {runs_sql('x', 60)}, {runs_sql('y', 90)} SELECT x.channel, x.a AS start_idx, count(y.a) AS n_inside FROM x LEFT JOIN y ON y.channel = x.channel AND y.a <= x.z AND y.z >= x.a GROUP BY 1, 2")
-def fil15_events_inside(spark, sf_dir):
-    """Multi-event runs: how many higher runs each run holds; more than one goes to its own population."""
-    low, high = high_runs(spark, sf_dir, 60), high_runs(spark, sf_dir, 90)
-    n = align.overlaps(low, high).groupBy("channel", "start_idx").agg(F.count("*").alias("n_inside"))
-    return low.join(n, ["channel", "start_idx"], "left").select("channel", "start_idx", F.coalesce("n_inside", F.lit(0)).cast("long").alias("n_inside"))
+#: Counts of which most are 0, as a detector of single ions gives them.
+IONS = f"{COUNT_POINTS}, ions AS (SELECT channel, idx, greatest(0, intensity - 35) AS y FROM pts), st AS (SELECT channel, count(*) AS n, count(*) FILTER (WHERE y = 0) AS zeros, avg(y) AS m, var_samp(y) AS v FROM ions GROUP BY channel), sh AS (SELECT channel, CASE WHEN zeros > 50 AND -ln(zeros / n) > 0 AND v / -ln(zeros / n) / pow(m / -ln(zeros / n), 2) > 1 THEN sqrt(ln(v / -ln(zeros / n) / pow(m / -ln(zeros / n), 2))) END AS shape FROM st)"
+
+
+def ions(spark, sf_dir):
+    return count_points(spark, sf_dir).withColumn("intensity", F.greatest(F.lit(0.0), F.col("intensity") - 35))
 
 
-@query("SELECT CAST(json_extract_string(props, '$.k') AS VARCHAR) IS NULL AS no_key, count(*) AS n FROM events GROUP BY 1")
-def src_json_settings(spark, sf_dir):
-    """JSON settings are read with Spark's own functions."""
-    return table(spark, sf_dir, "events").groupBy(F.get_json_object("props", "$.k").isNull().alias("no_key")).agg(F.count("*").alias("n"))
+@query(f"WITH {IONS} SELECT channel, round(shape, 8) AS shape FROM sh")
+def agg25_shape(spark, sf_dir):
+    s = kernels.empirical_shape(ions(spark, sf_dir))
+    return s.select("channel", F.round(F.nanvl("shape", F.lit(None).cast("double")), 8).alias("shape"))
 
 
+@query(f"WITH {IONS} SELECT round(avg(shape), 8) AS mean_shape FROM sh")
+def agg26_mean_shape(spark, sf_dir):
+    s = kernels.empirical_shape(ions(spark, sf_dir)).where(~F.isnan("shape"))
+    return s.agg(F.round(F.avg("shape"), 8).alias("mean_shape"))

@@ -4,11 +4,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from blipstream.functions import chemistry
-from blipstream.operators import baseline, events, quant
+from blipstream.operators import baseline, events, quant, traces
 from blipstream.operators.scan import TRACE
 
-from .inputs import COUNT_POINTS, EVENT_POINTS, count_points, event_points, table
-from .signal_queries import FOUND, found
+from .inputs import EVENT_POINTS, event_points, table
+from .signal_queries import FOUND, found, model_sql
 from .stored import stored
 
 Q, SQL = {}, {}
@@ -62,20 +62,13 @@ def agg8_quantified(spark, sf_dir):
     return q.groupBy("channel").agg(F.round(F.avg("mass_fg"), 6).alias("mean_fg"), F.round(F.expr("percentile(mass_fg, 0.5)"), 6).alias("median_fg"), F.round(F.stddev_samp("mass_fg"), 6).alias("sd_fg"), F.round(F.avg("diameter_nm"), 5).alias("mean_nm"), F.round(amol, 6).alias("mean_amol"))
 
 
-@query(f"""WITH {EVENT_POINTS}, s AS (SELECT channel, idx // 500 AS slice, avg(intensity) AS location, coalesce(stddev_samp(intensity), 0) AS spread FROM pts GROUP BY 1, 2)
-SELECT channel, count(*) AS slices, round(avg(location), 6) AS location, round(avg(spread), 6) AS spread, 'GAUSSIAN' AS distr FROM s GROUP BY channel""")
+@query("WITH c AS (" + model_sql("g.location + 3 * g.spread > p.location + 3 * sqrt(p.location)").replace("round(CASE WHEN gauss THEN gl ELSE pl END, 6)", "CASE WHEN gauss THEN gl ELSE pl END").replace("round(CASE WHEN gauss THEN gs ELSE ps END, 6)", "CASE WHEN gauss THEN gs ELSE ps END") + """)
+SELECT channel, count(*) AS slices, round(avg(location), 6) AS location, round(avg(spread), 6) AS spread, string_agg(DISTINCT distr, ',' ORDER BY distr) AS distr FROM c GROUP BY channel""")
 def agg10_baseline_summary(spark, sf_dir):
-    p = event_points(spark, sf_dir).withColumn("slice_idx", F.floor(F.col("idx") / 500).cast("int"))
-    s = baseline.clipped(p, rounds=0).withColumn("distr", F.lit("GAUSSIAN"))
+    s = baseline.model_choice(traces.segment(event_points(spark, sf_dir), 150))
     return s.groupBy("channel").agg(F.count("*").alias("slices"), F.round(F.avg("location"), 6).alias("location"), F.round(F.avg("spread"), 6).alias("spread"), F.array_join(F.array_sort(F.collect_set("distr")), ",").alias("distr"))
 
 
-@query(f"""WITH {COUNT_POINTS}, s AS (SELECT channel, avg(intensity) AS m, var_samp(intensity) AS v FROM pts GROUP BY channel) SELECT round(avg(sqrt(ln(1 + v / (m * m)))), 8) AS mean_shape FROM s""")
-def agg26_mean_shape(spark, sf_dir):
-    s = count_points(spark, sf_dir).groupBy("channel").agg(F.avg("intensity").alias("m"), F.var_samp("intensity").alias("v"))
-    return s.agg(F.round(F.avg(F.sqrt(F.log(1 + F.col("v") / (F.col("m") * F.col("m"))))), 8).alias("mean_shape"))
-
-
 @query("""WITH r AS (SELECT o_orderpriority AS g, o_totalprice AS x, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice) AS r, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders)
 SELECT g AS o_orderpriority, round(max(CASE WHEN r = least(floor(0.99 * (n + 1)), n) THEN x END) + max(0.99 * (n + 1) - floor(0.99 * (n + 1))) * (max(CASE WHEN r = least(floor(0.99 * (n + 1)) + 1, n) THEN x END) - max(CASE WHEN r = least(floor(0.99 * (n + 1)), n) THEN x END)), 5) AS axis_limit FROM r GROUP BY g""")
 def agg30_axis_limit(spark, sf_dir):
@@ -90,30 +83,22 @@ def sc4_17_format(spark, sf_dir):
     return table(spark, sf_dir, "nation").select(k, F.format_string("%.2f", k / 3.0).alias("shown"), F.lower(F.hex((k + 16).cast("long"))).alias("hexed"), spaced.alias("spaced"))
 
 
-@query("SELECT p_partkey, CAST(CASE WHEN contains(lower(p_name), 'steel') OR contains(lower(p_type), 'steel') THEN 7.85 WHEN contains(lower(p_type), 'copper') THEN 8.96 WHEN contains(lower(p_type), 'tin') THEN 7.31 END AS DOUBLE) AS density FROM part")
+@query("SELECT p_partkey, CAST(CASE WHEN contains(lower(p_name || ' ' || p_type), 'steel') THEN 7.85 WHEN contains(lower(p_name || ' ' || p_type), 'copper') THEN 8.96 WHEN contains(lower(p_name || ' ' || p_type), 'tin') THEN 7.31 END AS DOUBLE) AS density FROM part")
 def sc21_density(spark, sf_dir):
     """Density by substring; the table is the caller's."""
-    known = [("steel", 7.85), ("copper", 8.96), ("tin", 7.31)]
-    found_ = [F.when(F.lower("p_type").contains(k) | (F.lower("p_name").contains(k) if k == "steel" else F.lit(False)), d) for k, d in known]
-    return table(spark, sf_dir, "part").select("p_partkey", F.coalesce(*found_).alias("density"))
+    found_ = chemistry.density(F.concat_ws(" ", "p_name", "p_type"), [("Steel", 7.85), ("Copper", 8.96), ("Tin", 7.31)])
+    return table(spark, sf_dir, "part").select("p_partkey", found_.alias("density"))
 
 
-@query("""WITH x AS (SELECT vec_id, label, unnest(range(0, 4)) AS i, unnest(embedding[1:4])::DOUBLE AS v FROM embeddings), k AS (SELECT label, i FROM x WHERE v > 0.1 GROUP BY 1, 2 HAVING count(*) >= 2)
+@query("""WITH x AS (SELECT vec_id, label, unnest(range(0, 64)) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings), k AS (SELECT label, i FROM x WHERE v > 0.1 GROUP BY 1, 2 HAVING count(*) >= 2)
 SELECT x.label AS cluster, CAST(x.i AS INTEGER) AS element, count(*) AS n, round(avg(v), 6) AS mean FROM x JOIN k ON k.label = x.label AND k.i = x.i GROUP BY 1, 2""")
 def mod10_cluster_spectra(spark, sf_dir):
     """Cluster spectra of the channels that exceed a threshold in at least two members."""
-    x = table(spark, sf_dir, "embeddings").select(F.col("label").alias("cluster"), F.posexplode(F.slice("embedding", 1, 4)).alias("element", "v")).withColumn("v", F.col("v").cast("double"))
+    x = table(spark, sf_dir, "embeddings").select(F.col("label").alias("cluster"), F.posexplode("embedding").alias("element", "v")).withColumn("v", F.col("v").cast("double"))
     s = x.groupBy("cluster", "element").agg(F.sum((F.col("v") > 0.1).cast("int")).alias("strong"), F.count("*").alias("n"), F.round(F.avg("v"), 6).alias("mean"))
     return s.where("strong >= 2").drop("strong")
 
 
-@query(f"WITH {COUNT_POINTS}, d AS (SELECT channel, idx, intensity / 4.0 AS y FROM pts) SELECT substr(channel, 2, 1) AS mass, idx, round(sum(y), 6) AS y FROM d GROUP BY 1, 2")
-def gen8_10_dilute_combine(spark, sf_dir):
-    """Dilution by a factor and isobaric channels combined."""
-    p = count_points(spark, sf_dir).withColumn("y", F.col("intensity") / 4.0)
-    return p.groupBy(F.substring("channel", 2, 1).alias("mass"), "idx").agg(F.round(F.sum("y"), 6).alias("y"))
-
-
 @query(FOUND + """ SELECT p.channel, count(*) AS n_points, any_value(ev.n) AS n_events, round(avg(p.intensity), 6) AS raw_mean, round(any_value(ev.mean_net), 6) AS mean_net FROM pts p
 JOIN (SELECT channel, count(*) AS n, avg(area - greatest(0.1, location) * n_points) AS mean_net FROM e GROUP BY channel) ev ON ev.channel = p.channel GROUP BY p.channel""")
 def snk10_results_table(spark, sf_dir):

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blipstream.operators import baseline, events, kernels, scan, search, traces
+from blipstream.operators import accumulate, baseline, events, kernels, scan, search, traces
 
 from .inputs import COUNT_POINTS, EVENT_POINTS, count_points, event_points, table
 from .method import find, with_thresholds
@@ -23,6 +23,12 @@ def query(sql: str | None = None):
     return add
 
 
+def tail_sql(z: str, density: str, steps: int = 4000) -> str:
+    """The integral of density (of y) from z to infinity: midpoints of s in y = z + s / (1 - s)."""
+    y, s_ = f"({z} + ((i + 0.5) / {steps}) / (1 - (i + 0.5) / {steps}))", f"((i + 0.5) / {steps})"
+    return f"list_sum(list_transform(range(0, {steps}), lambda i: {density.replace('y', y)} / ((1 - {s_}) * (1 - {s_})) / {steps}))"
+
+
 def r6(*names: str) -> list:
     return [F.round(n, 6).alias(n) for n in names]
 
@@ -49,7 +55,7 @@ FOUND = f"WITH {EVENT_POINTS}, {clip_sql(5)}, {THR}, {RUNS}"
 
 
 def model(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    points = stored(event_points(spark, sf_dir), "points")
+    points = event_points(spark, sf_dir)
     return points, stored(baseline.clipped(points.withColumn("slice_idx", F.lit(0))).drop("slice_idx", "n_kept"), "baselines")
 
 
@@ -147,26 +153,65 @@ def seq12_moving_average(spark, sf_dir):
     return traces.moving_average(event_points(spark, sf_dir), 9).select("channel", "idx", F.round("smooth", 5).alias("smooth"))
 
 
-KERNEL = [0.1, 0.25, 0.3, 0.25, 0.1]
-KERNEL_SQL = f"""WITH {EVENT_POINTS}, n AS (SELECT channel, count(*) AS n FROM pts GROUP BY channel), j AS (SELECT unnest([-2, -1, 0, 1, 2]) AS j, unnest({KERNEL}) AS w),
+def kernel_sql(weights: list[float]) -> str:
+    half, total = len(weights) // 2, sum(weights)
+    return f"""WITH {EVENT_POINTS}, n AS (SELECT channel, count(*) AS n FROM pts GROUP BY channel), j AS (SELECT unnest(range({-half}, {half + 1})) AS j, unnest({weights}::DOUBLE[]) AS w),
 q AS (SELECT p.channel, p.idx, w, CASE WHEN p.idx + j < 0 THEN -(p.idx + j) WHEN p.idx + j > n - 1 THEN 2 * (n - 1) - (p.idx + j) ELSE p.idx + j END AS at FROM pts p JOIN n USING (channel), j)
-SELECT q.channel, q.idx, round(sum(q.w * v.intensity), 5) AS smooth FROM q JOIN pts v ON v.channel = q.channel AND v.idx = q.at GROUP BY q.channel, q.idx"""
+SELECT q.channel, q.idx, round(sum(q.w * v.intensity) / {total!r}, 5) AS smooth FROM q JOIN pts v ON v.channel = q.channel AND v.idx = q.at GROUP BY q.channel, q.idx"""
+
+
+KERNEL = [0.1, 0.25, 0.3, 0.25, 0.1]
 
 
-@query(KERNEL_SQL)
+@query(kernel_sql(KERNEL))
 def seq12_kernel(spark, sf_dir):
     return traces.kernel_smooth(event_points(spark, sf_dir), KERNEL).select("channel", "idx", F.round("smooth", 5).alias("smooth"))
 
 
-@query()
+@query(kernel_sql(traces.gaussian_weights(2.0)))
+def seq12_gaussian(spark, sf_dir):
+    return traces.kernel_smooth(event_points(spark, sf_dir), traces.gaussian_weights(2.0)).select("channel", "idx", F.round("smooth", 5).alias("smooth"))
+
+
+@query(kernel_sql(traces.sinc_weights(4, 5)))
+def seq12_sinc(spark, sf_dir):
+    return traces.kernel_smooth(event_points(spark, sf_dir), traces.sinc_weights(4, 5)).select("channel", "idx", F.round("smooth", 5).alias("smooth"))
+
+
+#: Weights of the middle of seven points under the cubic of least squares: fixed values over 21.
+CUBIC_7 = [-2.0, 3.0, 6.0, 7.0, 6.0, 3.0, -2.0]
+
+
+@query(kernel_sql(CUBIC_7))
 def seq12_savitzky_golay(spark, sf_dir):
-    return kernels.savitzky_golay(event_points(spark, sf_dir), 7).select("channel", "idx", "smooth")
+    return kernels.savitzky_golay(event_points(spark, sf_dir), 7).select("channel", "idx", F.round("smooth", 5).alias("smooth"))
+
+
+def average_sql(filtered: bool) -> str:
+    """The rules of SEQ11 for windows of 20,000 seconds that have at least 60 points at their end."""
+    keep = "abs(intensity - m) < d" if filtered else "TRUE"
+    return f"""WITH {EVENT_POINTS}, f AS (SELECT channel, min(time_s) AS t0, CAST(ceil((max(time_s) - min(time_s)) / 20000.0) AS BIGINT) AS bins FROM pts GROUP BY channel),
+x AS (SELECT channel, t0, bins, CAST(floor((time_s - t0) / 20000.0) AS BIGINT) AS bin, intensity FROM pts JOIN f USING (channel) WHERE floor((time_s - t0) / 20000.0) < bins AND time_s >= 0),
+l AS (SELECT f.channel, f.t0, CASE WHEN f.bins > 2 AND count(x.bin) < 60 THEN f.bins - 1 ELSE f.bins END AS bins FROM f LEFT JOIN x ON x.channel = f.channel AND x.bin = f.bins - 1 GROUP BY f.channel, f.t0, f.bins),
+y AS (SELECT x.channel, least(x.bin, l.bins - 1) AS bin, intensity FROM x JOIN l USING (channel)), m AS (SELECT channel, bin, quantile_cont(intensity, 0.5) AS m FROM y GROUP BY 1, 2),
+w AS (SELECT y.*, m, quantile_cont(abs(intensity - m), 0.5) OVER (PARTITION BY channel, bin) AS d FROM y JOIN m USING (channel, bin)), k AS (SELECT channel, bin, count(*) AS n, avg(intensity) AS mean FROM w WHERE {keep} GROUP BY 1, 2),
+e AS (SELECT channel, t0, unnest(range(0, bins)) AS bin FROM l)
+SELECT channel, bin, coalesce(n, 0) AS n, round(coalesce(mean, 0), 6) AS mean, round(coalesce(n, 0) / 20000.0, 8) AS per_second, round(t0 + (bin + 0.5) * 20000.0, 5) AS centre_s FROM e LEFT JOIN k USING (channel, bin)"""
 
 
-@query(f"""WITH {EVENT_POINTS}, f AS (SELECT channel, min(time_s) AS t0 FROM pts GROUP BY channel)
-SELECT channel, CAST(floor((time_s - t0) / 20000.0) AS BIGINT) AS bin, round(avg(intensity), 6) AS mean, round(count(*) / 20000.0, 8) AS per_second FROM pts JOIN f USING (channel) GROUP BY 1, 2""")
+def averaged(spark, sf_dir, filtered: bool):
+    t = traces.time_average(event_points(spark, sf_dir), 20000.0, filtered, 60)
+    return t.select("channel", "bin", "n", F.round("mean", 6).alias("mean"), F.round("per_second", 8).alias("per_second"), F.round("centre_s", 5).alias("centre_s"))
+
+
+@query(average_sql(False))
 def seq11_time_average(spark, sf_dir):
-    return traces.time_average(event_points(spark, sf_dir), 20000.0).select("channel", "bin", F.round("mean", 6).alias("mean"), F.round("per_second", 8).alias("per_second"))
+    return averaged(spark, sf_dir, False)
+
+
+@query(average_sql(True))
+def seq11_filtered_average(spark, sf_dir):
+    return averaged(spark, sf_dir, True)
 
 
 @query(f"""WITH {EVENT_POINTS}, s AS (SELECT channel, quantile_cont(intensity, 0.5) AS m FROM pts GROUP BY channel), d AS (SELECT channel, any_value(m) AS m, quantile_cont(abs(intensity - m), 0.5) AS d FROM pts JOIN s USING (channel) GROUP BY channel)
@@ -185,12 +230,21 @@ def seq14_channel_sum(spark, sf_dir):
     return traces.channel_sum(count_points(spark, sf_dir), F.substring("channel", 1, 1)).select("channel", "idx", "intensity")
 
 
-@query(f"""WITH {EVENT_POINTS}, s AS (SELECT channel, idx, avg(intensity) OVER (PARTITION BY channel ORDER BY idx ROWS BETWEEN 8 PRECEDING AND CURRENT ROW) AS smooth FROM pts),
-d AS (SELECT channel, smooth - lag(smooth) OVER (PARTITION BY channel ORDER BY idx) AS d FROM s WHERE idx % 3 = 0)
-SELECT channel, count(*) FILTER (WHERE d > 0) AS ups, count(*) FILTER (WHERE d < 0) AS downs FROM d GROUP BY channel""")
-def agg15_drift_steps(spark, sf_dir):
-    s = traces.drift_steps(event_points(spark, sf_dir))
-    return s.groupBy("channel").agg(F.count(F.when(F.col("rise") > 0, 1)).alias("ups"), F.count(F.when(F.col("rise") < 0, 1)).alias("downs"))
+def sampled_sql(name: str, source: str, every: int) -> str:
+    """CTE name(channel, k, v): trailing means over nine of all but the first and last value of source(channel, pos, y), at every so many."""
+    return f"""{name} AS (SELECT channel, (j + 1) // {every} AS k, v FROM (SELECT channel, j, avg(y) OVER (PARTITION BY channel ORDER BY j ROWS BETWEEN 8 PRECEDING AND CURRENT ROW) AS v
+  FROM (SELECT channel, y, row_number() OVER (PARTITION BY channel ORDER BY pos) - 2 AS j, count(*) OVER (PARTITION BY channel) AS n FROM {source}) WHERE n > 3 AND j BETWEEN 0 AND n - 3) WHERE (j + 1) % {every} = 0)"""
+
+
+@query(f"""WITH {EVENT_POINTS}, a AS (SELECT channel, idx // 5 AS pos, avg(intensity) AS y FROM pts GROUP BY 1, 2), s AS (SELECT channel, count(*) AS n, avg(y) AS m FROM a GROUP BY channel),
+near AS (SELECT a.* FROM a JOIN s USING (channel) WHERE n <= 3 OR y BETWEEN m - sqrt(m + 1) AND m + 0.25 * sqrt(m + 1)), rest AS (SELECT * FROM near WHERE y <> 0), {sampled_sql('u', 'rest', 1)}, {sampled_sql('t', 'a', 3)},
+r AS (SELECT channel, 1 + (max(y) - min(y)) / (any_value(m) + 1) AS range_term FROM near JOIN s USING (channel) WHERE n > 3 GROUP BY channel), d AS (SELECT channel, CASE WHEN count(*) > 1 THEN 100 * stddev_samp(v) / (avg(v) + 1) END AS rsd_term FROM u GROUP BY channel),
+q AS (SELECT channel, v, lag(v, 1) OVER o AS c, lag(v, 2) OVER o AS b, lag(v, 3) OVER o AS a FROM t WINDOW o AS (PARTITION BY channel ORDER BY k)),
+e AS (SELECT channel, CASE WHEN count(*) > 1 THEN greatest(1, 0.75 + count(*) FILTER (WHERE (a < b AND b < c AND c < v) OR (a > b AND b > c AND c > v)) / count(*)) END AS trend_term FROM q GROUP BY channel)
+SELECT channel, round(range_term, 6) AS range_term, round(rsd_term, 6) AS rsd_term, round(trend_term, 6) AS trend_term, round(range_term * rsd_term * trend_term, 5) AS drift FROM r JOIN d USING (channel) JOIN e USING (channel)""")
+def agg15_drift_factor(spark, sf_dir):
+    p = event_points(spark, sf_dir).groupBy("sample_id", "channel", F.floor(F.col("idx") / 5).alias("idx")).agg(F.avg("intensity").alias("intensity"))
+    return traces.drift_factor(p).select("channel", *r6("range_term", "rsd_term", "trend_term"), F.round("drift", 5).alias("drift"))
 
 
 @query(f"WITH {EVENT_POINTS}, {clip_sql(5)} SELECT channel, round(location, 6) AS location, round(spread, 6) AS spread, n_kept FROM b")
@@ -226,13 +280,44 @@ def agg4_truncated_poisson(spark, sf_dir):
     return kernels.truncated_poisson(traces.segment(count_points(spark, sf_dir), 5000)).select("channel", "slice_idx", "mean")
 
 
-@query(f"""WITH {EVENT_POINTS}, n AS (SELECT channel, count(*) AS n FROM pts GROUP BY channel), s AS (SELECT channel, intensity,
-  CAST(least(idx // 150, greatest(1, n // 150 + CASE WHEN n % 150 >= 100 THEN 1 ELSE 0 END) - 1) AS INTEGER) AS slice_idx FROM pts JOIN n USING (channel)),
-m AS (SELECT channel, slice_idx, quantile_cont(intensity, 0.5) AS median FROM s GROUP BY 1, 2)
-SELECT channel, slice_idx, round(median, 6) AS median, CASE WHEN median < 40 THEN 'POISSON' ELSE 'GAUSSIAN' END AS distr FROM m""")
-def seq1_model_choice(spark, sf_dir):
-    s = traces.segment(event_points(spark, sf_dir), 150).groupBy("channel", "slice_idx").agg(F.expr("percentile(intensity, 0.5)").alias("median"))
-    return baseline.model_choice(s, 40.0).withColumn("median", F.round("median", 6))
+SLICES_150 = """n AS (SELECT channel, count(*) AS n FROM pts GROUP BY channel), s AS (SELECT p.*, channel || ':' || CAST(least(idx // 150, greatest(1, n // 150 + CASE WHEN n % 150 >= 100 THEN 1 ELSE 0 END) - 1) AS INTEGER) AS slice FROM pts p JOIN n USING (channel))"""
+
+
+def model_sql(pick: str) -> str:
+    """Both fits of every slice (5 rounds each), then pick over g (Gaussian), p (Poisson) and m (median)."""
+    gauss = clip_sql(5, source="s", key="slice").replace("b AS (", "g AS (")
+    poisson = clip_sql(5, "sqrt(avg(intensity))", 3.0, 2.71, "s", "slice").replace("b AS (", "p AS (")
+    for i in range(5):
+        poisson = poisson.replace(f"m{i} ", f"pm{i} ").replace(f"k{i} ", f"pk{i} ")
+    return f"""WITH {EVENT_POINTS}, {SLICES_150}, {gauss}, {poisson}, m AS (SELECT slice, quantile_cont(intensity, 0.5) AS median FROM s GROUP BY slice),
+c AS (SELECT slice, {pick} AS gauss, g.location AS gl, g.spread AS gs, g.n_kept AS gn, p.location AS pl, p.spread AS ps, p.n_kept AS pn FROM g JOIN p USING (slice) JOIN m USING (slice))
+SELECT split_part(slice, ':', 1) AS channel, CAST(split_part(slice, ':', 2) AS INTEGER) AS slice_idx, round(CASE WHEN gauss THEN gl ELSE pl END, 6) AS location, round(CASE WHEN gauss THEN gs ELSE ps END, 6) AS spread,
+  CASE WHEN gauss THEN gn ELSE pn END AS n_kept, CASE WHEN gauss THEN 'GAUSSIAN' ELSE 'POISSON' END AS distr FROM c"""
+
+
+def chosen(spark, sf_dir, model: str, cutoff: float = 10.0):
+    found_ = baseline.model_choice(traces.segment(event_points(spark, sf_dir), 150), model, cutoff)
+    return found_.select("channel", "slice_idx", *r6("location", "spread"), "n_kept", "distr")
+
+
+@query(model_sql("g.location + 3 * g.spread >= p.location + 3 * sqrt(p.location) AND NOT (g.location + 3 * g.spread = p.location + 3 * sqrt(p.location))"))
+def seq1_pessimistic(spark, sf_dir):
+    return chosen(spark, sf_dir, "PESSIMISTIC")
+
+
+@query(model_sql("median >= 40"))
+def seq1_threshold(spark, sf_dir):
+    return chosen(spark, sf_dir, "THRESHOLD", 40.0)
+
+
+@query(model_sql("TRUE"))
+def seq1_forced_gaussian(spark, sf_dir):
+    return chosen(spark, sf_dir, "GAUSSIAN")
+
+
+@query(model_sql("FALSE"))
+def seq1_forced_poisson(spark, sf_dir):
+    return chosen(spark, sf_dir, "POISSON")
 
 
 @query(f"""WITH {COUNT_POINTS}, {clip_sql(2)} SELECT channel, round(location + 3 * spread, 6) AS gaussian_c, round(location + 6 * spread, 6) AS gaussian_d, round(location + 3 * sqrt(location), 6) AS poisson_normal_c,
@@ -243,25 +328,30 @@ def dis2_4_limits(spark, sf_dir):
     return b.select("channel", *[F.round(e, 6).alias(f"{k}_{s}") for k, pair in made.items() for s, e in zip("cd", pair, strict=True)])
 
 
-@query(f"""WITH RECURSIVE {COUNT_POINTS}, m AS (SELECT channel, avg(intensity) + 0.5 AS m FROM pts GROUP BY channel),
-w AS (SELECT channel, m, 0 AS k, exp(-m) AS mass, exp(-m) AS total FROM m UNION ALL SELECT channel, m, k + 1, mass * m / (k + 1), total + mass * m / (k + 1) FROM w WHERE k < 200)
-SELECT channel, CAST(min(k) AS DOUBLE) AS critical FROM w WHERE total >= 1 - 0.001 GROUP BY channel""")
+@query("""WITH m AS (SELECT n_nationkey, alpha, exp(n_nationkey * 0.55) + 0.5 AS m FROM nation, (VALUES (0.05), (0.001), (1e-10)) AS a(alpha)),
+k AS (SELECT *, unnest(range(CAST(greatest(0, floor(m - 12 * sqrt(m) - 12)) AS BIGINT), CAST(ceil(m + 40 * sqrt(m) + 150) AS BIGINT))) AS k FROM m),
+t AS (SELECT *, sum(exp(k * ln(m) - m - lgamma(k + 1))) OVER (PARTITION BY n_nationkey, alpha ORDER BY k DESC) AS above FROM k)
+SELECT n_nationkey, CAST(alpha AS DOUBLE) AS alpha, CAST(max(k) AS DOUBLE) AS critical FROM t WHERE above > alpha GROUP BY n_nationkey, alpha""")
 def dis1_poisson_limit(spark, sf_dir):
-    m = count_points(spark, sf_dir).groupBy("channel").agg(F.avg("intensity").alias("m"))
-    return m.select("channel", baseline.poisson_limit(F.col("m"), 0.001, 200).alias("critical"))
+    """Means from 1 to 540,000."""
+    m = table(spark, sf_dir, "nation").select("n_nationkey", F.exp(F.col("n_nationkey") * 0.55).alias("m"))
+    limit = [F.struct(F.lit(a).alias("alpha"), baseline.poisson_limit(F.col("m"), a).alias("critical")) for a in (0.05, 0.001, 1e-10)]
+    return m.select("n_nationkey", F.explode(F.array(*limit)).alias("x")).select("n_nationkey", "x.alpha", "x.critical")
 
 
 @query()
-def dis5_compound_limit(spark, sf_dir):
-    b = baseline.clipped(count_points(spark, sf_dir).withColumn("slice_idx", F.lit(0)), 2)
-    return kernels.compound_limits(b, 0.49, 1e-4).select("channel", "location", "critical")
+def dis2_3_p_values(spark, sf_dir):
+    """Upper tails of every point; held against erfc in the tests, as SQL has none."""
+    p = event_points(spark, sf_dir)
+    m = p.groupBy("sample_id", "channel").agg(F.avg("intensity").alias("location"), F.stddev_samp("intensity").alias("spread"))
+    made = baseline.upper_p(F.col("location"), F.col("spread"), F.col("intensity"))
+    return p.join(m, ["sample_id", "channel"]).select("channel", "idx", *[e.alias(k) for k, e in made.items()])
 
 
 @query()
-def dis1_poisson_p(spark, sf_dir):
-    p = count_points(spark, sf_dir)
-    m = p.groupBy("sample_id", "channel").agg(F.avg("intensity").alias("location"))
-    return kernels.poisson_p(p.join(m, ["sample_id", "channel"])).groupBy("channel").agg(F.min("p").alias("least"), F.avg("p").alias("mean"))
+def dis5_compound_limit(spark, sf_dir):
+    b = baseline.clipped(count_points(spark, sf_dir).withColumn("slice_idx", F.lit(0)), 2)
+    return kernels.compound_limits(b, 0.49, 1e-4).select("channel", "location", "critical")
 
 
 SLICED = f"""WITH {EVENT_POINTS}, n AS (SELECT channel, count(*) AS n FROM pts GROUP BY channel), s AS (SELECT p.*, CAST(least(idx // 150, greatest(1, n // 150 + CASE WHEN n % 150 >= 100 THEN 1 ELSE 0 END) - 1) AS INTEGER) AS slice_idx FROM pts p JOIN n USING (channel)),
@@ -280,7 +370,28 @@ def joi3_interpolated(spark, sf_dir):
 @query(f"WITH {EVENT_POINTS}, {clip_sql(5)}, {THR} SELECT channel, idx AS start_idx FROM t WHERE intensity > h AND intensity > 0")
 def seq3_simple(spark, sf_dir):
     p, b = model(spark, sf_dir)
-    return search.simple_search(with_thresholds(p, b, OFFSET, Z)).select("channel", "start_idx")
+    return search.simple_search(with_thresholds(search.rounded(p), b, OFFSET, Z)).select("channel", "start_idx")
+
+
+#: Counts that recording has blurred by up to 0.08: integer traces, which searches round.
+BLURRED = f"{COUNT_POINTS}, raw AS (SELECT * REPLACE (intensity + (idx % 5 - 2) * 0.04 AS intensity) FROM pts), flat AS (SELECT channel, floor(intensity + 0.5) AS y, idx, intensity FROM raw)"
+
+
+def blurred(spark, sf_dir):
+    return count_points(spark, sf_dir).withColumn("intensity", F.col("intensity") + (F.col("idx") % 5 - 2) * 0.04)
+
+
+@query(f"WITH {BLURRED} SELECT channel, idx AS start_idx FROM flat WHERE y > 48.96 AND y > 0")
+def seq3_integer(spark, sf_dir):
+    return search.simple_search(search.rounded(blurred(spark, sf_dir)).withColumn("height_thr", F.lit(48.96))).select("channel", "start_idx")
+
+
+@query(f"""WITH {BLURRED}, g AS (SELECT *, y < 45.02 AS brk, sum(CASE WHEN y < 45.02 THEN 1 ELSE 0 END) OVER (PARTITION BY channel ORDER BY idx ROWS UNBOUNDED PRECEDING) AS island FROM flat),
+r AS (SELECT channel, min(idx) AS start_idx, max(idx) AS end_idx, count(*) AS n_points, round(sum(intensity), 6) AS area, round(max(intensity), 6) AS height, max(y) AS seen FROM g WHERE NOT brk GROUP BY channel, island)
+SELECT channel, start_idx, end_idx, n_points, area, height FROM r WHERE seen > 48.96""")
+def seq4a_integer(spark, sf_dir):
+    flat = search.rounded(blurred(spark, sf_dir)).withColumns({k: F.lit(v) for k, v in (("start_thr", 45.02), ("stop_thr", 45.02), ("height_thr", 48.96))})
+    return search.hysteresis_search(flat).select("channel", "start_idx", "end_idx", "n_points", F.round("area", 6).alias("area"), F.round("height", 6).alias("height"))
 
 
 @query(FOUND + " SELECT channel, start_idx, end_idx, peak_idx, n_points, round(area, 6) AS area, height FROM e")
@@ -312,26 +423,69 @@ def seq4c_smooth(spark, sf_dir):
     return search.smooth_search(with_thresholds(p, b, OFFSET, Z), 4).select("channel", "start_idx", "end_idx", "n_points", F.round("area", 6).alias("area"), "height")
 
 
-@query(f"""WITH {COUNT_POINTS}, m AS (SELECT channel, avg(intensity) AS m FROM pts GROUP BY channel),
-p AS (SELECT idx, exp(greatest(intensity, m) - m - greatest(intensity, m) * ln(greatest(intensity, m) / m)) AS p FROM pts JOIN m USING (channel)),
-h AS (SELECT idx, sum(-ln(p)) AS half, count(*) AS k FROM p GROUP BY idx),
-f AS (SELECT idx, exp(-half) * list_sum(list_transform(range(0, k), lambda j: half ** j / factorial(CAST(j AS INTEGER)))) AS p FROM h),
-g AS (SELECT *, sum(CASE WHEN p > 0.3 THEN 1 ELSE 0 END) OVER (ORDER BY idx ROWS UNBOUNDED PRECEDING) AS island FROM f)
-SELECT min(idx) AS start_idx, max(idx) AS end_idx, round(min(p), 9) AS least_p FROM g WHERE p <= 0.3 GROUP BY island HAVING min(p) <= 0.0005""")
-def seq5_accumulated_p(spark, sf_dir):
+#: Local p of counts by the Poisson model of their channel's mean, per distinct pair of rounded values.
+LOCAL_P = f"""{COUNT_POINTS}, mm AS (SELECT channel, avg(intensity) AS location FROM pts GROUP BY channel), yk AS (SELECT p.*, greatest(0.01, round(location, 2)) AS m, round(intensity, 3) AS y FROM pts p JOIN mm USING (channel)),
+dp AS (SELECT y, m, 0.5 * exp(floor(y) * ln(m) - m - lgamma(floor(y) + 1)) + list_sum(list_transform(range(1, 200), lambda j: exp((floor(y) + j) * ln(m) - m - lgamma(floor(y) + j + 1)))) AS p FROM (SELECT DISTINCT y, m FROM yk)),
+lp AS (SELECT yk.channel, yk.idx, yk.intensity, greatest(1e-300, p) AS p FROM yk JOIN dp USING (y, m))"""
+FISHER = "exp(-half) * list_sum(list_transform(range(0, k), lambda j: half ** j / factorial(CAST(j AS INTEGER))))"
+COMBINED = f"""hh AS (SELECT idx, count(*) AS k, min(p) AS lowest_p, sum(-ln(p)) AS half FROM lp GROUP BY idx), cp AS (SELECT idx, k, lowest_p, half, CASE WHEN k = 1 THEN lowest_p ELSE greatest(1e-300, {FISHER}) END AS p FROM hh)"""
+
+
+def counted_p(spark, sf_dir):
     p = count_points(spark, sf_dir)
-    m = p.groupBy("sample_id", "channel").agg(F.avg("intensity").alias("m"))
-    p = p.join(m, ["sample_id", "channel"]).withColumn("p", search.chernoff_p(F.col("m")))
-    return search.accumulated_p(p, 0.3, 0.0005).select("start_idx", "end_idx", F.round("least_p", 9).alias("least_p"))
+    return accumulate.local_p(p.join(p.groupBy("sample_id", "channel").agg(F.avg("intensity").alias("location")), ["sample_id", "channel"]))
+
+
+@query(f"WITH {LOCAL_P} SELECT channel, round(min(p), 12) AS least, round(avg(p), 9) AS mean FROM lp GROUP BY channel")
+def dis1_poisson_p(spark, sf_dir):
+    return counted_p(spark, sf_dir).groupBy("channel").agg(F.round(F.min("p"), 12).alias("least"), F.round(F.avg("p"), 9).alias("mean"))
+
+
+@query(f"WITH {LOCAL_P}, {COMBINED} SELECT idx, k, round(lowest_p, 9) AS lowest_p, round(2 * half, 6) AS h, round(p, 9) AS p FROM cp")
+def snk6_p_values(spark, sf_dir):
+    return accumulate.combined_p(counted_p(spark, sf_dir)).select("idx", "k", F.round("lowest_p", 9).alias("lowest_p"), F.round("h", 6).alias("h"), F.round("p", 9).alias("p"))
 
 
-@query(FOUND + """ SELECT e.channel, e.start_idx, round((z.time_s - p.time_s) * 1e6, 0) AS duration_us, round(c.time_s, 6) AS center_time_s,
+@query(f"""WITH {LOCAL_P}, {COMBINED}, f AS (SELECT avg(2 * half) AS m, stddev_samp(2 * half) AS s FROM cp WHERE 2 * half < 2 * k + 10 * sqrt(k)), z AS (SELECT idx, k, lowest_p, 2 * half / (s * s / m) AS x, m / (s * s / m) AS a FROM cp, f),
+g AS (SELECT CASE WHEN k = 1 THEN lowest_p ELSE {tail_sql('x', 'exp((a - 1) * ln(greatest(y, 1e-300)) - (y) - lgamma(a))', 1000)} END AS p FROM z) SELECT count(*) AS n, round(avg(p), 4) AS mean, round(stddev_samp(p), 4) AS sd FROM g""")
+def seq5_gamma(spark, sf_dir):
+    p = accumulate.combined_p(counted_p(spark, sf_dir), "GAMMA")
+    return p.agg(F.count("*").alias("n"), F.round(F.avg("p"), 4).alias("mean"), F.round(F.stddev_samp("p"), 4).alias("sd"))
+
+
+#: Channels with over so many events a minute take part.
+PER_MINUTE = 12_000.0
+
+
+@query(f"""WITH {LOCAL_P}, sg AS (SELECT *, sum(CASE WHEN intensity < 45 THEN 1 ELSE 0 END) OVER (PARTITION BY channel ORDER BY idx ROWS UNBOUNDED PRECEDING) AS island FROM pts),
+sr AS (SELECT channel, count(*) AS n FROM (SELECT channel, island FROM sg WHERE intensity >= 45 GROUP BY channel, island HAVING max(intensity) > 49) GROUP BY channel),
+sc AS (SELECT channel FROM sr JOIN (SELECT channel, (max(idx) - min(idx)) * 1e-4 AS seconds FROM pts GROUP BY channel) USING (channel) WHERE n / seconds > {PER_MINUTE} / 60), {COMBINED.replace('FROM lp', 'FROM lp JOIN sc USING (channel)')},
+g AS (SELECT *, p <= 0.3 OR lowest_p <= 1e-6 AS inside, sum(CASE WHEN p <= 0.3 OR lowest_p <= 1e-6 THEN 0 ELSE 1 END) OVER (ORDER BY idx ROWS UNBOUNDED PRECEDING) AS island FROM cp),
+r AS (SELECT min(idx) AS start_idx, max(idx) AS end_idx, min(p) AS least_p FROM g WHERE inside GROUP BY island HAVING min(p) <= 0.0005 OR bool_or(lowest_p <= 1e-6))
+SELECT channel, start_idx, end_idx, round(least_p, 9) AS least_p, count(*) AS n_points, sum(intensity) AS area, max(intensity) AS height FROM r JOIN pts ON idx BETWEEN start_idx AND end_idx GROUP BY 1, 2, 3, 4""")
+def seq5_accumulated_p(spark, sf_dir):
+    p = counted_p(spark, sf_dir)
+    screened = accumulate.prescreened(p.withColumns({k: F.lit(v) for k, v in (("start_thr", 45.0), ("stop_thr", 45.0), ("height_thr", 49.0))}), PER_MINUTE)
+    found_ = accumulate.accumulated_search(screened, 0.3, 0.0005, 1e-6, onto=count_points(spark, sf_dir))
+    return found_.select("channel", "start_idx", "end_idx", F.round("least_p", 9).alias("least_p"), "n_points", "area", "height")
+
+
+@query(f"""WITH {LOCAL_P}, sg AS (SELECT *, sum(CASE WHEN intensity < 42 THEN 1 ELSE 0 END) OVER (PARTITION BY channel ORDER BY idx ROWS UNBOUNDED PRECEDING) AS island FROM lp),
+e AS (SELECT channel, min(idx) AS start_idx, max(idx) AS end_idx, sum(-ln(p)) AS half, count(*) AS k, min(p) AS lowest FROM sg WHERE intensity >= 42 GROUP BY channel, island HAVING max(intensity) > 46),
+q AS (SELECT channel, start_idx, end_idx, CASE WHEN k = 1 THEN lowest ELSE {FISHER} END AS p FROM e) SELECT channel, start_idx, end_idx, round(p, 12) AS event_p FROM q WHERE p < 1e-5""")
+def fil14_accumulated_p_gate(spark, sf_dir):
+    p = counted_p(spark, sf_dir)
+    e = search.hysteresis_search(search.rounded(p).withColumns({k: F.lit(v) for k, v in (("start_thr", 42.0), ("stop_thr", 42.0), ("height_thr", 46.0))}))
+    return accumulate.p_gate(e, p, 1e-5).select("channel", "start_idx", "end_idx", F.round("event_p", 12).alias("event_p"))
+
+
+@query(FOUND + """ SELECT e.channel, e.start_idx, round(CASE WHEN e.start_idx > 0 THEN z.time_s - p.time_s ELSE n.time_s - s.time_s END * 1e6, 0) AS duration_us, round(c.time_s, 6) AS center_time_s,
   round(CASE WHEN n_points <= 2 THEN 1.0 ELSE 2.0 * (end_idx - peak_idx) / greatest(1, end_idx - start_idx) END, 6) AS asymmetry
-FROM e JOIN pts z ON z.channel = e.channel AND z.idx = e.end_idx JOIN pts p ON p.channel = e.channel AND p.idx = e.start_idx - 1 JOIN pts c ON c.channel = e.channel AND c.idx = (e.start_idx + e.end_idx) // 2 WHERE e.start_idx > 0""")
+FROM e JOIN pts z ON z.channel = e.channel AND z.idx = e.end_idx LEFT JOIN pts p ON p.channel = e.channel AND p.idx = e.start_idx - 1 LEFT JOIN pts n ON n.channel = e.channel AND n.idx = e.end_idx + 1
+JOIN pts s ON s.channel = e.channel AND s.idx = e.start_idx JOIN pts c ON c.channel = e.channel AND c.idx = (e.start_idx + e.end_idx) // 2""")
 def seq6_metrics(spark, sf_dir):
     p, _, e = found(spark, sf_dir)
-    m = events.metrics(e, p).where("start_idx > 0")
-    return m.select("channel", "start_idx", F.round("duration_us", 0).alias("duration_us"), *r6("center_time_s", "asymmetry"))
+    return events.metrics(e, p).select("channel", "start_idx", F.round("duration_us", 0).alias("duration_us"), *r6("center_time_s", "asymmetry"))
 
 
 @query(FOUND + """, q AS (SELECT p.channel, p.idx, p.intensity FROM pts p WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.channel = p.channel AND p.idx BETWEEN e.start_idx AND e.end_idx))
@@ -403,11 +557,28 @@ def fil16_over_range(spark, sf_dir):
     return events.over_range(e, p.where("intensity > 150")).select("channel", "start_idx", "population")
 
 
-@query(FOUND + ", s AS (SELECT channel, max(time_s) - min(time_s) AS seconds FROM pts GROUP BY channel), k AS (SELECT channel FROM e JOIN s USING (channel) GROUP BY channel HAVING count(*) >= 100 AND max(area - greatest(0.1, location) * n_points) >= 10) SELECT e.channel, count(*) AS n FROM e JOIN k USING (channel) GROUP BY e.channel")
-def fil19_remover(spark, sf_dir):
+def remover_sql(by: str) -> str:
+    return FOUND + f""", s AS (SELECT channel, {by}(area - greatest(0.1, location) * n_points) AS top FROM e GROUP BY channel), k AS (SELECT channel FROM s WHERE top >= (SELECT quantile_cont(top, 0.5) FROM s))
+SELECT e.channel, count(*) AS n FROM e JOIN k USING (channel) GROUP BY e.channel"""
+
+
+def removed(spark, sf_dir, by: str):
+    """The channels whose smallest or largest net area is below the median of the channels go."""
     p, _, e = found(spark, sf_dir)
     seconds = p.groupBy("sample_id", "channel").agg((F.max("time_s") - F.min("time_s")).alias("seconds"))
-    return events.remove_channels(e, seconds, least_count=100, least_net=10).groupBy("channel").agg(F.count("*").alias("n"))
+    tops = e.groupBy("channel").agg({"max": F.max, "min": F.min}[by]("net_area").alias("top"))
+    cut = tops.agg(F.expr("percentile(top, 0.5)")).first()[0]
+    return events.remove_channels(e, seconds, least_net=cut, by=by).groupBy("channel").agg(F.count("*").alias("n"))
+
+
+@query(remover_sql("max"))
+def fil19_remover(spark, sf_dir):
+    return removed(spark, sf_dir, "max")
+
+
+@query(remover_sql("min"))
+def fil19_remover_by_minimum(spark, sf_dir):
+    return removed(spark, sf_dir, "min")
 
 
 @query("SELECT c_custkey FROM customer WHERE c_acctbal < 9000 AND c_acctbal > 0 AND c_custkey < 1000 AND c_custkey >= 10 AND (c_acctbal - 0) / 9.0 + c_custkey < 1010")
@@ -422,17 +593,57 @@ def fil17_aligned(spark, sf_dir):
     return events.aligned_filter(s, ["AF", "RF"], 10, 40).groupBy("channel").agg(F.count("*").alias("n"))
 
 
-@query()
-def seq10_multi_particles(spark, sf_dir):
+#: Runs above the start threshold as lists, with the background of their trace.
+RUN_LISTS = f"""{EVENT_POINTS}, {clip_sql(5)}, {THR}, g AS (SELECT *, sum(CASE WHEN intensity < s THEN 1 ELSE 0 END) OVER (PARTITION BY channel ORDER BY idx ROWS UNBOUNDED PRECEDING) AS island FROM t),
+ev AS (SELECT channel, island, min(idx) AS start_idx, list(intensity ORDER BY idx) AS y, any_value(location) AS bg FROM g WHERE intensity >= s GROUP BY channel, island)"""
+
+
+def particles_sql(raw: bool) -> str:
+    """The segments of SEQ10, one difference a step."""
+    mean = "list_transform(range(1, len({0}) + 1), lambda i: list_avg({0}[greatest(1, i - 2):i]))"
+    before, after = (mean.format("y"), "d") if raw else ("y", mean.format("d"))
+    return f"""WITH RECURSIVE {RUN_LISTS}, v AS (SELECT *, {before} AS v FROM ev), k AS (SELECT *, list_transform(list_filter(range(2, len(v) + 1), lambda i: abs(v[i] - v[i - 1]) > sqrt(v[i] + 0.5)), lambda i: v[i] - v[i - 1]) AS d FROM v),
+q AS (SELECT channel, island, start_idx, len(y) AS n, bg, {after} AS x FROM k),
+w AS (SELECT channel, island, 0 AS pos, FALSE AS falls, 0.0::DOUBLE AS total, 0 AS length, 0 AS found FROM q UNION ALL
+  SELECT channel, island, pos + 1, next < 0, CASE WHEN same THEN total + next ELSE next END, CASE WHEN same THEN length + 1 ELSE 1 END, found + CASE WHEN NOT same AND total > 3 * sqrt(length * bg + 0.5) THEN 1 ELSE 0 END
+  FROM (SELECT w.*, q.x[pos + 1] AS next, bg, (NOT (q.x[pos + 1] < 0 AND total < 0) OR -total > 3 * sqrt(length * bg + 0.5)) AND ((q.x[pos + 1] < 0) = falls) AS same FROM w JOIN q USING (channel, island) WHERE pos < len(q.x))),
+p AS (SELECT q.channel, q.start_idx, CASE WHEN any_value(q.n) <= 3 THEN 1 ELSE max(found) END AS n_particles FROM q JOIN w USING (channel, island) GROUP BY 1, 2)"""
+
+
+def particles(spark, sf_dir, raw: bool):
     p, b = model(spark, sf_dir)
     runs = search.hysteresis_points(with_thresholds(p, b, OFFSET, Z)).withColumn("background", F.col("location"))
-    return kernels.multi_particles(runs).groupBy("channel", "n_particles").agg(F.count("*").alias("n"))
+    starts = runs.groupBy("sample_id", "channel", "island").agg(F.min("idx").alias("start_idx"))
+    return kernels.multi_particles(runs, raw=raw).join(starts, ["sample_id", "channel", "island"]).select("channel", "start_idx", "n_particles")
 
 
-@query()
+@query(particles_sql(False) + " SELECT * FROM p")
+def seq10_multi_particles(spark, sf_dir):
+    return particles(spark, sf_dir, False)
+
+
+@query(particles_sql(True) + " SELECT * FROM p")
+def seq10_multi_particles_raw(spark, sf_dir):
+    return particles(spark, sf_dir, True)
+
+
+@query(particles_sql(False) + " SELECT *, CASE WHEN n_particles = 1 THEN '1' ELSE '>1' END AS population FROM p WHERE n_particles > 0")
+def fil15_multi_events(spark, sf_dir):
+    return kernels.multi_populations(particles(spark, sf_dir, False), pooled=True)
+
+
+def side_sql(side: str) -> str:
+    low = f"list_position(list_transform({side}, lambda x: x < level), TRUE)"
+    return f"CASE WHEN {low} > 1 THEN {low} - 1 - (level - {side}[{low}]) / ({side}[{low} - 1] - {side}[{low}]) END"
+
+
+@query(f"""WITH {RUN_LISTS}, x AS (SELECT channel, start_idx, 0.1 * list_max(y) AS level, list_reverse(y[1:list_position(y, list_max(y))]) AS front, y[list_position(y, list_max(y)):] AS back FROM ev)
+SELECT channel, start_idx, round(({side_sql('back')}) / ({side_sql('front')}), 6) AS asymmetry_10 FROM x""")
 def seq17_asymmetry(spark, sf_dir):
     p, b = model(spark, sf_dir)
-    return kernels.peak_asymmetry(search.hysteresis_points(with_thresholds(p, b, OFFSET, Z))).groupBy("channel").agg(F.count("asymmetry_10").alias("n"))
+    runs = search.hysteresis_points(with_thresholds(p, b, OFFSET, Z))
+    starts = runs.groupBy("sample_id", "channel", "island").agg(F.min("idx").alias("start_idx"))
+    return kernels.peak_asymmetry(runs).join(starts, ["sample_id", "channel", "island"]).select("channel", "start_idx", F.round("asymmetry_10", 6).alias("asymmetry_10"))
 
 
 @query(f"WITH {COUNT_POINTS} SELECT channel, idx, sum(intensity) OVER (PARTITION BY channel ORDER BY idx ROWS UNBOUNDED PRECEDING) AS total FROM pts")

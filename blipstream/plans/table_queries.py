@@ -1,15 +1,16 @@
 """Alignment, histogram, model, calibration, parsing and set queries, with their SQL."""
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blipstream.functions import chemistry, parsing
-from blipstream.operators import align, events, histogram, kernels, models, quant, search
-from blipstream.sources import generator, sinks
+from blipstream.operators import align, events, histogram, models, quant, search
+from blipstream.sources import sinks
 
 from .inputs import COUNT_POINTS, EVENT_POINTS, count_points, event_points, table
-from .signal_queries import QUARTILES
-from .stored import stored
+from .signal_queries import FOUND, QUARTILES, found, tail_sql
 
 Q, SQL = {}, {}
 
@@ -26,7 +27,7 @@ def query(sql: str | None = None):
 
 def high_runs(spark, sf_dir, level: float) -> DataFrame:
     """Maximal runs of points at or above level: simple interval tables for the joins."""
-    p = stored(event_points(spark, sf_dir), "points")
+    p = event_points(spark, sf_dir)
     flat = p.withColumns({k: F.lit(level) for k in ("start_thr", "stop_thr", "height_thr")})
     return search.hysteresis_points(flat).groupBy("sample_id", "channel", "island").agg(F.min("idx").alias("start_idx"), F.max("idx").alias("end_idx")).drop("island")
 
@@ -62,6 +63,14 @@ def joi5_coverage(spark, sf_dir):
     return align.by_coverage(high_runs(spark, sf_dir, 90)).select("start_idx", "end_idx")
 
 
+@query(f"""WITH RECURSIVE {EVENT_POINTS}, {runs_sql('x', 97)}, u AS (SELECT DISTINCT a, z FROM x),
+l AS (SELECT p.a, p.z, q.a AS b, q.z AS y FROM u p JOIN u q ON p.a <= q.z AND p.z >= q.a WHERE least(p.z, q.z) - greatest(p.a, q.a) + 1 >= CASE WHEN p.z - p.a < 3 OR q.z - q.a < 3 THEN 1 ELSE 2 END),
+r AS (SELECT a, z, a AS b, z AS y FROM u UNION SELECT r.a, r.z, l.b, l.y FROM r JOIN l ON l.a = r.b AND l.z = r.y)
+SELECT DISTINCT start_idx, end_idx FROM (SELECT min(b) AS start_idx, max(y) AS end_idx FROM r GROUP BY a, z)""")
+def joi6_connection(spark, sf_dir):
+    return align.by_connection(high_runs(spark, sf_dir, 97)).select("start_idx", "end_idx")
+
+
 @query(f"WITH {EVENT_POINTS}, {runs_sql('x', 90)}, {COVER} SELECT p.channel, start_idx, end_idx, count(*) AS n_points, round(sum(intensity), 6) AS area, max(intensity) AS height FROM m JOIN pts p ON p.idx BETWEEN start_idx AND end_idx GROUP BY 1, 2, 3")
 def joi7_all_channels(spark, sf_dir):
     m = align.by_coverage(high_runs(spark, sf_dir, 90))
@@ -73,12 +82,12 @@ def set6_shared_indices(spark, sf_dir):
     return align.numbered_ratio(high_runs(spark, sf_dir, 40), high_runs(spark, sf_dir, 70)).select("channel", "start_idx", "other_start", "shared")
 
 
-@query("""WITH w AS (SELECT p_partkey, p_retailprice AS mz FROM part WHERE p_partkey <= 200), r AS (SELECT DISTINCT p_retailprice + 0.25 AS recorded_mz FROM part WHERE p_partkey > 200)
-SELECT p_partkey, arg_min(recorded_mz, row(round(abs(mz - recorded_mz), 9), recorded_mz)) AS recorded_mz FROM w JOIN r ON abs(mz - recorded_mz) <= 0.5 GROUP BY p_partkey""")
+@query("""WITH w AS (SELECT p_partkey, p_retailprice AS mz FROM part), r AS (SELECT DISTINCT round(p_retailprice * 1.01, 3) AS recorded_mz FROM part), j AS (SELECT p_partkey, mz, recorded_mz FROM w JOIN r ON recorded_mz BETWEEN mz - 0.5 AND mz + 0.5 WHERE abs(mz - recorded_mz) <= 0.5)
+SELECT p_partkey, arg_min(recorded_mz, row(round(abs(mz - recorded_mz), 9), recorded_mz)) AS recorded_mz FROM j GROUP BY p_partkey""")
 def joi9_nearest(spark, sf_dir):
     p = table(spark, sf_dir, "part")
-    wanted = p.where("p_partkey <= 200").select("p_partkey", F.col("p_retailprice").alias("mz"))
-    return align.nearest(wanted, p.where("p_partkey > 200").select((F.col("p_retailprice") + 0.25).alias("recorded_mz")).distinct(), 0.5).select("p_partkey", "recorded_mz")
+    wanted = p.select("p_partkey", F.col("p_retailprice").alias("mz"))
+    return align.nearest(wanted, p.select(F.round(F.col("p_retailprice") * 1.01, 3).alias("recorded_mz")).distinct(), 0.5).select("p_partkey", "recorded_mz")
 
 
 ISO = "iso(element, z, mass_number, exact_mass, abundance) AS (VALUES " + ", ".join(f"('{e}', {z}, {m}, {x!r}::DOUBLE, {a!r}::DOUBLE)" for e, z, m, x, a in chemistry.ISOTOPES) + ")"
@@ -138,12 +147,12 @@ def mod14_log_change(spark, sf_dir):
     return histogram.log_change(price_histogram(spark, sf_dir), ["o_orderpriority"]).withColumn("log_change", F.round("log_change", 4))
 
 
-@query(f"""WITH v AS (SELECT o_orderpriority AS g, o_totalprice AS x FROM orders), {QUARTILES}, s AS (SELECT g, count(*) AS n, min(x) AS lo, max(x) AS hi, stddev_samp(x) AS sd FROM v GROUP BY g)
-SELECT s.g AS o_orderpriority, s.n, round((hi - lo) / ceil(cbrt(2 * s.n)), 4) AS terrell_scott, round((hi - lo) / ceil(2 * cbrt(s.n)), 4) AS rice, round((hi - lo) / ceil(sqrt(s.n)), 4) AS root, round((hi - lo) / (ceil(log2(s.n)) + 1), 4) AS sturges,
+@query(f"""WITH v AS (SELECT o_orderpriority AS g, o_totalprice AS x FROM orders), {QUARTILES}, s AS (SELECT g, count(*) AS n, min(x) AS lo, max(x) AS hi, stddev_samp(x) AS sd, avg(pow(x - m, 3)) / pow(avg(pow(x - m, 2)), 1.5) AS skew FROM (SELECT g, x, avg(x) OVER (PARTITION BY g) AS m FROM v) GROUP BY g)
+SELECT s.g AS o_orderpriority, s.n, round((hi - lo) / ceil(cbrt(2 * s.n)), 4) AS terrell_scott, round((hi - lo) / ceil(2 * cbrt(s.n)), 4) AS rice, round((hi - lo) / ceil(sqrt(s.n)), 4) AS root, round((hi - lo) / (ceil(log2(s.n)) + 1), 4) AS sturges, round((hi - lo) / ceil(1 + log2(s.n) + log2(1 + abs(skew) / sqrt(6.0 * (s.n - 2) / ((s.n + 1.0) * (s.n + 3))))), 4) AS doane,
   round(2 * (q3 - q1) / cbrt(s.n), 4) AS freedman_diaconis, round(3.49 * sd / cbrt(s.n), 4) AS scott FROM s JOIN k ON k.g = s.g""")
 def his1_widths(spark, sf_dir):
     w = histogram.widths(table(spark, sf_dir, "orders"), ["o_orderpriority"], "o_totalprice")
-    return w.select("o_orderpriority", "n", *[F.round(c, 4).alias(c) for c in ("terrell_scott", "rice", "root", "sturges", "freedman_diaconis", "scott")])
+    return w.select("o_orderpriority", "n", *[F.round(c, 4).alias(c) for c in ("terrell_scott", "doane", "rice", "root", "sturges", "freedman_diaconis", "scott")])
 
 
 @query("""WITH l AS (SELECT o_orderpriority AS g, min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders GROUP BY 1), t AS (SELECT unnest([4, 8, 16, 32, 64]) AS k),
@@ -162,10 +171,10 @@ def agg22_box_plot(spark, sf_dir):
     return b.select("o_orderpriority", *[F.round(c, 4).alias(c) for c in ("mean", "q1", "median", "q3")], "whisker_lo", "whisker_hi")
 
 
-@query("""WITH s AS (SELECT count(*) AS n, 1.06 * stddev_samp(c_acctbal) * pow(count(*), -0.2) AS h FROM customer), g AS (SELECT CAST(unnest([0.0, 2500.0, 5000.0, 7500.0]) AS DOUBLE) AS x)
+@query("""WITH s AS (SELECT count(*) AS n, 1.06 * stddev_samp(c_acctbal) * pow(count(*), -0.2) AS h FROM customer), g AS (SELECT CAST(unnest(range(-1000, 11000, 100)) AS DOUBLE) AS x)
 SELECT x, round(sum(exp(-0.5 * pow((x - c_acctbal) / h, 2))) / (any_value(n) * any_value(h) * sqrt(2 * pi())), 9) AS density FROM customer, s, g GROUP BY x""")
 def agg29_kernel_density(spark, sf_dir):
-    d = histogram.kernel_density(table(spark, sf_dir, "customer").select("c_acctbal"), "c_acctbal", [0.0, 2500.0, 5000.0, 7500.0])
+    d = histogram.kernel_density(table(spark, sf_dir, "customer").select("c_acctbal"), "c_acctbal", [float(x) for x in range(-1000, 11000, 100)])
     return d.withColumn("density", F.round("density", 9))
 
 
@@ -175,9 +184,9 @@ def prj2_transform(spark, sf_dir):
     return c.select("c_custkey", *[F.round(histogram.math_transform(F.col("c_acctbal"), k), 6).alias(n) for k, n in (("cbrt", "cube_root"), ("log10", "logarithm"))])
 
 
-@query("SELECT p_brand, count(*) AS n, round(regr_slope(p_retailprice, p_size), 6) AS slope, round(regr_intercept(p_retailprice, p_size), 4) AS intercept, round(regr_r2(p_retailprice, p_size), 6) AS r2 FROM part GROUP BY p_brand HAVING count(*) > 1")
+@query("SELECT p_brand, count(*) AS n, round(regr_slope(p_retailprice, p_size), 6) AS slope, round(regr_intercept(p_retailprice, p_size), 4) AS intercept, round(regr_r2(p_retailprice, p_size), 6) AS r2 FROM part GROUP BY p_brand")
 def mod1_ols(spark, sf_dir):
-    m = models.ols(table(spark, sf_dir, "part"), ["p_brand"], "p_size", "p_retailprice").where("n > 1")
+    m = models.ols(table(spark, sf_dir, "part"), ["p_brand"], "p_size", "p_retailprice")
     return m.select("p_brand", "n", F.round("slope", 6).alias("slope"), F.round("intercept", 4).alias("intercept"), F.round("r2", 6).alias("r2"))
 
 
@@ -199,28 +208,73 @@ def mod4_collapse(spark, sf_dir):
     return models.collapse_x(p, ["p_brand"], "x", "y").withColumn("y", F.round("y", 5))
 
 
-@query("""WITH p AS (SELECT c_mktsegment AS g, c_acctbal AS x FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')), n AS (SELECT count(*) FILTER (WHERE g = 'BUILDING') AS na, count(*) FILTER (WHERE g <> 'BUILDING') AS nb,
+def two_sided(t: str, dof: str) -> str:
+    return "2 * " + tail_sql(f"abs({t})", f"exp(lgamma(({dof} + 1) / 2) - lgamma({dof} / 2)) / sqrt({dof} * pi()) * pow(1 + (y) * (y) / {dof}, -({dof} + 1) / 2)")
+
+
+NORMAL = "exp(-(y) * (y) / 2) / sqrt(2 * pi())"
+
+
+@query(f"""WITH p AS (SELECT c_mktsegment AS g, c_acctbal AS x FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')), n AS (SELECT CAST(count(*) FILTER (WHERE g = 'BUILDING') AS DOUBLE) AS na, CAST(count(*) FILTER (WHERE g <> 'BUILDING') AS DOUBLE) AS nb,
   avg(x) FILTER (WHERE g = 'BUILDING') AS ma, avg(x) FILTER (WHERE g <> 'BUILDING') AS mb, var_samp(x) FILTER (WHERE g = 'BUILDING') AS va, var_samp(x) FILTER (WHERE g <> 'BUILDING') AS vb FROM p),
 r AS (SELECT x, avg(k) AS rank FROM (SELECT x, row_number() OVER (ORDER BY x) AS k FROM p) GROUP BY x), u AS (SELECT sum(rank) AS ra FROM p JOIN r USING (x) WHERE g = 'BUILDING'),
 c AS (SELECT x, count(*) FILTER (WHERE g = 'BUILDING') AS ca, count(*) FILTER (WHERE g <> 'BUILDING') AS cb FROM p GROUP BY x),
-d AS (SELECT abs(sum(ca) OVER (ORDER BY x) / na - sum(cb) OVER (ORDER BY x) / nb) AS d, lead(x) OVER (ORDER BY x) - x AS dx FROM c, n)
-SELECT round((SELECT max(d) FROM d), 9) AS ks, round((SELECT sum(d * coalesce(dx, 0)) FROM d), 5) AS emd, round(ra - na * (na + 1) / 2, 4) AS u, round((ma - mb) / sqrt(va / na + vb / nb), 8) AS t FROM n, u""")
+d AS (SELECT abs(sum(ca) OVER (ORDER BY x) / na - sum(cb) OVER (ORDER BY x) / nb) AS d, lead(x) OVER (ORDER BY x) - x AS dx FROM c, n),
+b AS (SELECT g, x, (SELECT count(*) FILTER (WHERE q.x < p.x) + 0.5 * count(*) FILTER (WHERE q.x = p.x) FROM p q WHERE q.g <> p.g) / CASE WHEN g = 'BUILDING' THEN nb ELSE na END AS w FROM p, n),
+v AS (SELECT avg(w) FILTER (WHERE g = 'BUILDING') AS mp, var_samp(w) FILTER (WHERE g = 'BUILDING') AS sp, var_samp(w) FILTER (WHERE g <> 'BUILDING') AS sq FROM b),
+z AS (SELECT (SELECT max(d) FROM d) AS ks, (SELECT sum(d * coalesce(dx, 0)) FROM d) AS emd, ra - na * (na + 1) / 2 AS u, (ma - mb) / sqrt(va / na + vb / nb) AS t, pow(va / na + vb / nb, 2) / (pow(va / na, 2) / (na - 1) + pow(vb / nb, 2) / (nb - 1)) AS td,
+  (mp - 0.5) / sqrt(sp / na + sq / nb) AS w, pow(sp / na + sq / nb, 2) / (pow(sp / na, 2) / (na - 1) + pow(sq / nb, 2) / (nb - 1)) AS wd, (SELECT max(d) FROM d) * sqrt(na * nb / (na + nb)) AS kt, na, nb FROM n, u, v),
+o AS (SELECT *, (na * nb / 2 - least(u, na * nb - u)) / sqrt(na * nb * (na + nb + 1) / 12) AS uz FROM z)
+SELECT round(ks, 9) AS ks, round(greatest(0, least(1, 2 * list_sum(list_transform(range(1, 200), lambda k: pow(-1, k - 1) * exp(-2 * k * k * kt * kt))))), 6) AS ks_p, round(emd, 5) AS emd, round(u, 4) AS u, round(2 * {tail_sql('uz', NORMAL)}, 6) AS u_p,
+  round(t, 8) AS t, round({two_sided('t', 'td')}, 6) AS t_p, round(w, 7) AS w, round({two_sided('w', 'wd')}, 6) AS w_p FROM o""")
 def mod11_12_two_samples(spark, sf_dir):
     s = models.two_samples(table(spark, sf_dir, "customer"), "c_mktsegment", "BUILDING", "MACHINERY", "c_acctbal")
-    return s.select(F.round("ks", 9).alias("ks"), F.round("emd", 5).alias("emd"), F.round(F.col("u").cast("double"), 4).alias("u"), F.round("t", 8).alias("t"))
+    places = {"ks": 9, "ks_p": 6, "emd": 5, "u": 4, "u_p": 6, "t": 8, "t_p": 6, "w": 7, "w_p": 6}
+    return s.select(*[F.round(F.col(k).cast("double"), n).alias(k) for k, n in places.items()])
 
 
-@query("""WITH r AS (SELECT c_acctbal AS x, avg(k) AS rank FROM (SELECT c_acctbal, row_number() OVER (ORDER BY c_acctbal) AS k FROM customer) GROUP BY 1), n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM customer),
-p AS (SELECT c_mktsegment, sum(rank) AS r, count(*) AS k FROM customer JOIN r ON x = c_acctbal GROUP BY 1), t AS (SELECT sum(c ** 3 - c) AS ties FROM (SELECT CAST(count(*) AS DOUBLE) AS c FROM customer GROUP BY c_acctbal))
-SELECT round((12 / (n * (n + 1)) * (SELECT sum(r * r / k) FROM p) - 3 * (n + 1)) / (1 - ties / (n ** 3 - n)), 6) AS h FROM n, t""")
+@query(f"""WITH a AS (SELECT c_mktsegment AS g, c_custkey AS o, c_acctbal AS x, row_number() OVER (PARTITION BY c_mktsegment ORDER BY md5(CAST(c_custkey AS VARCHAR)), c_custkey) AS nth FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')),
+k AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY o) AS pair FROM a WHERE nth <= (SELECT min(n) FROM (SELECT count(*) AS n FROM a GROUP BY g))),
+d AS (SELECT abs(y.x - z.x) AS gap, y.x > z.x AS up FROM k y JOIN k z USING (pair) WHERE y.g = 'MACHINERY' AND z.g = 'BUILDING'), r AS (SELECT gap, avg(i) AS rank FROM (SELECT gap, row_number() OVER (ORDER BY gap) AS i FROM d) GROUP BY gap),
+s AS (SELECT count(*) AS n, coalesce(sum(rank) FILTER (WHERE up), 0) AS plus FROM d JOIN r USING (gap)), w AS (SELECT n, n * (n + 1) / 2 AS total, greatest(plus, n * (n + 1) / 2 - plus) AS w FROM s),
+z AS (SELECT n, w, -(total - w - total / 2 - 0.5) / sqrt(total / 2 * (2 * n + 1) / 6) AS z FROM w) SELECT n, round(w, 4) AS w, round(2 * {tail_sql('z', NORMAL)}, 6) AS p FROM z""")
+def mod11_wilcoxon(spark, sf_dir):
+    w = models.wilcoxon(table(spark, sf_dir, "customer"), "c_mktsegment", "BUILDING", "MACHINERY", "c_acctbal", "c_custkey")
+    return w.select("n", F.round(F.col("w").cast("double"), 4).alias("w"), F.round("p", 6).alias("p"))
+
+
+KRUSKAL = f"""r AS (SELECT c_acctbal AS x, avg(k) AS rank FROM (SELECT c_acctbal, row_number() OVER (ORDER BY c_acctbal) AS k FROM customer) GROUP BY 1), n AS (SELECT CAST(count(*) AS DOUBLE) AS n, CAST(count(DISTINCT c_mktsegment) - 1 AS DOUBLE) AS dof FROM customer),
+p AS (SELECT c_mktsegment, sum(rank) AS r, count(*) AS k FROM customer JOIN r ON x = c_acctbal GROUP BY 1), t AS (SELECT sum(c ** 3 - c) AS ties FROM (SELECT CAST(count(*) AS DOUBLE) AS c FROM customer GROUP BY c_acctbal)),
+h AS (SELECT (12 / (n * (n + 1)) * (SELECT sum(r * r / k) FROM p) - 3 * (n + 1)) / (1 - ties / (n ** 3 - n)) AS h, dof FROM n, t), kw AS (SELECT h, {tail_sql('h', 'exp((dof / 2 - 1) * ln(y) - (y) / 2 - lgamma(dof / 2) - dof / 2 * ln(2))')} AS p FROM h)"""
+ANOVA = f"""g AS (SELECT c_mktsegment, count(*) AS n, avg(c_acctbal) AS m, var_samp(c_acctbal) AS v FROM customer GROUP BY 1), s AS (SELECT CAST(count(*) AS DOUBLE) AS k, CAST(sum(n) AS DOUBLE) AS nn, sum(n * m) AS t, sum(n * m * m) AS q, sum((n - 1) * v) AS w FROM g),
+f AS (SELECT ((q - t * t / nn) / (k - 1)) / (w / (nn - k)) AS f, k - 1 AS d1, nn - k AS d2 FROM s),
+an AS (SELECT f, {tail_sql('f', 'exp(lgamma((d1 + d2) / 2) - lgamma(d1 / 2) - lgamma(d2 / 2) + d1 / 2 * ln(d1 / d2) + (d1 / 2 - 1) * ln(y) - (d1 + d2) / 2 * ln(1 + d1 * (y) / d2))')} AS p FROM f)"""
+
+
+@query(f"WITH {KRUSKAL} SELECT round(h, 6) AS h, round(p, 6) AS p FROM kw")
 def mod11_kruskal_wallis(spark, sf_dir):
-    return models.kruskal_wallis(table(spark, sf_dir, "customer"), "c_mktsegment", "c_acctbal").select(F.round(F.col("h").cast("double"), 6).alias("h"))
+    k = models.kruskal_wallis(table(spark, sf_dir, "customer"), "c_mktsegment", "c_acctbal")
+    return k.select(F.round(F.col("h").cast("double"), 6).alias("h"), F.round("p", 6).alias("p"))
 
 
-@query("""WITH g AS (SELECT c_mktsegment, count(*) AS n, avg(c_acctbal) AS m, var_samp(c_acctbal) AS v FROM customer GROUP BY 1), s AS (SELECT count(*) AS k, sum(n) AS nn, sum(n * m) AS t, sum(n * m * m) AS q, sum((n - 1) * v) AS w FROM g)
-SELECT round(((q - t * t / nn) / (k - 1)) / (w / (nn - k)), 6) AS f FROM s""")
+@query(f"WITH {ANOVA} SELECT round(f, 6) AS f, round(p, 6) AS p FROM an")
 def mod11_anova(spark, sf_dir):
-    return models.anova(table(spark, sf_dir, "customer"), "c_mktsegment", "c_acctbal").withColumn("f", F.round("f", 6))
+    return models.anova(table(spark, sf_dir, "customer"), "c_mktsegment", "c_acctbal").select(F.round("f", 6).alias("f"), F.round("p", 6).alias("p"))
+
+
+STARS_SQL = "CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE '' END"
+
+
+@query(f"WITH {KRUSKAL}, {ANOVA}, a AS (SELECT 'Kruskal-Wallis' AS test, p FROM kw UNION ALL SELECT 'ANOVA', p FROM an UNION ALL SELECT 'sizes', 0.0) SELECT test, {STARS_SQL} AS stars FROM a")
+def sc22_stars(spark, sf_dir):
+    """Stars of real tests: balances by segment, and sizes above and below 25, which differ for certain."""
+    c, p = table(spark, sf_dir, "customer"), table(spark, sf_dir, "part")
+    tests = {
+        "Kruskal-Wallis": models.kruskal_wallis(c, "c_mktsegment", "c_acctbal"),
+        "ANOVA": models.anova(c, "c_mktsegment", "c_acctbal"),
+        "sizes": models.anova(p.withColumn("large", F.col("p_size") > 25), "large", "p_size"),
+    }
+    return reduce(DataFrame.unionByName, [t.select(F.lit(name).alias("test"), models.stars(F.col("p")).alias("stars")) for name, t in tests.items()])
 
 
 @query("""WITH d AS (SELECT a.vec_id, list_sum(list_transform(range(1, len(a.embedding) + 1), lambda i: a.embedding[i]::DOUBLE * b.embedding[i]::DOUBLE)) AS ab,
@@ -233,17 +287,17 @@ def sc18_cosine(spark, sf_dir):
     return e.join(after, "vec_id").select("vec_id", F.round(models.cosine(F.col("embedding"), F.col("other")), 6).alias("cosine"))
 
 
-@query("""WITH m AS (SELECT label, i, greatest(0, avg(embedding[i]::DOUBLE)) AS m FROM embeddings, (SELECT unnest(range(1, 9)) AS i) GROUP BY label, i)
+@query("""WITH m AS (SELECT label, i, greatest(0, avg(embedding[i]::DOUBLE)) AS m FROM embeddings, (SELECT unnest(range(1, 65)) AS i) GROUP BY label, i)
 SELECT label AS cluster, CAST(i - 1 AS INTEGER) AS element, round(CASE WHEN sum(m) OVER (PARTITION BY label) > 0 THEN 100 * m / sum(m) OVER (PARTITION BY label) ELSE 0 END, 6) AS percent FROM m""")
 def agg21_composition(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").select(F.col("label").alias("cluster"), F.posexplode(F.slice("embedding", 1, 8)).alias("element", "v")).withColumn("intensity", F.col("v").cast("double"))
+    e = table(spark, sf_dir, "embeddings").select(F.col("label").alias("cluster"), F.posexplode("embedding").alias("element", "v")).withColumn("intensity", F.col("v").cast("double"))
     return models.composition(e).withColumn("percent", F.round("percent", 6))
 
 
-@query("""WITH x AS (SELECT vec_id, CAST(i - 1 AS INTEGER) AS element, embedding[i]::DOUBLE AS v FROM embeddings, (SELECT unnest(range(1, 5)) AS i)), l AS (SELECT min(v) AS low FROM x), y AS (SELECT vec_id, element, log2(v - low + 1) AS y FROM x, l)
+@query("""WITH x AS (SELECT vec_id, CAST(i - 1 AS INTEGER) AS element, embedding[i]::DOUBLE AS v FROM embeddings, (SELECT unnest(range(1, 65)) AS i)), l AS (SELECT min(v) AS low FROM x), y AS (SELECT vec_id, element, log2(v - low + 1) AS y FROM x, l)
 SELECT vec_id, element, round((y - avg(y) OVER (PARTITION BY element)) / stddev_samp(y) OVER (PARTITION BY element), 6) AS z FROM y""")
 def mod6_z_scores(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(F.slice("embedding", 1, 4)).alias("element", "v")).withColumn("v", F.col("v").cast("double"))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("element", "v")).withColumn("v", F.col("v").cast("double"))
     return models.z_scores(e, ["element"], "v").select("vec_id", "element", F.round("z", 6).alias("z"))
 
 
@@ -253,13 +307,15 @@ def mod7_8_ward(spark, sf_dir):
     return models.cut_heights(models.ward(e, ["label"], "embedding"), ["label"])
 
 
-CAL = "cal(channel, strategy, np_cts_per_fg, ionic_cts_per_fg, aerosol_te_pct, mass_fraction, density_g_cm3) AS (VALUES ('click', 'MASS', 2.0::DOUBLE, 5.0::DOUBLE, 40.0::DOUBLE, 1.0::DOUBLE, 19.3::DOUBLE), ('view', 'SIZE', 2.0::DOUBLE, 5.0::DOUBLE, 40.0::DOUBLE, 0.6::DOUBLE, 4.23::DOUBLE))"
+#: channel, strategy, np_cts_per_fg, ionic_cts_per_fg, aerosol_te_pct, mass_fraction, density_g_cm3
+CALIBRATION = [("click", "MASS", 2.0, 5.0, 40.0, 1.0, 19.3), ("view", "SIZE", 2.0, 5.0, 40.0, 0.6, 4.23), ("purchase", "MASS", 3.5, 5.0, 38.0, 1.0, 10.5), ("signup", "SIZE", 2.5, 6.0, 41.0, 1.0, 7.13), ("error", "SIZE", 1.5, 4.0, 39.0, 0.79, 5.5)]
+CAL = "cal(channel, strategy, np_cts_per_fg, ionic_cts_per_fg, aerosol_te_pct, mass_fraction, density_g_cm3) AS (VALUES " + ", ".join(f"('{r[0]}', '{r[1]}', " + ", ".join(f"{x!r}::DOUBLE" for x in r[2:]) + ")" for r in CALIBRATION) + ")"
 
 
 @query(f"""WITH {CAL}, m AS (SELECT event_id, mass_fraction, density_g_cm3, CASE WHEN strategy = 'MASS' THEN value / np_cts_per_fg ELSE value / ionic_cts_per_fg * (aerosol_te_pct / 100) END AS mass_fg FROM events JOIN cal ON channel = event_type)
 SELECT event_id, round(mass_fg, 6) AS mass_fg, round(CASE WHEN mass_fg > 0 THEN cbrt(6 * mass_fg * 1e-15 / (mass_fraction * density_g_cm3 * pi())) * 1e7 END, 4) AS diameter_nm FROM m""")
 def prj3_quantify(spark, sf_dir):
-    cal = spark.createDataFrame([("s1", "click", "MASS", 2.0, 5.0, 40.0, 1.0, 19.3), ("s1", "view", "SIZE", 2.0, 5.0, 40.0, 0.6, 4.23)], "sample_id string, channel string, strategy string, np_cts_per_fg double, ionic_cts_per_fg double, aerosol_te_pct double, mass_fraction double, density_g_cm3 double")
+    cal = spark.createDataFrame([("s1", *r) for r in CALIBRATION], "sample_id string, channel string, strategy string, np_cts_per_fg double, ionic_cts_per_fg double, aerosol_te_pct double, mass_fraction double, density_g_cm3 double")
     e = table(spark, sf_dir, "events").select("event_id", F.lit("s1").alias("sample_id"), F.col("event_type").alias("channel"), F.col("value").alias("net_area"))
     return quant.quantify(e, cal).select("event_id", F.round("mass_fg", 6).alias("mass_fg"), F.round("diameter_nm", 4).alias("diameter_nm"))
 
@@ -280,12 +336,6 @@ def agg14_merged(spark, sf_dir):
     return s.groupBy("group_id").agg(F.sum("n").alias("n"), F.round(F.sum("n") / (F.sum("us") / 1e6), 9).alias("rate"), F.round(F.avg("m"), 6).alias("mean_of_means"))
 
 
-@query(f"WITH {COUNT_POINTS} SELECT channel, idx, round(intensity * 1000 * exp(-intensity * 1000 * 2e-5), 6) AS paralysing, round(intensity * 1000 / (1 + intensity * 1000 * 2e-5), 6) AS non_paralysing FROM pts")
-def gen5_dead_time(spark, sf_dir):
-    r = F.col("intensity") * 1000
-    return count_points(spark, sf_dir).select("channel", "idx", F.round(quant.dead_time(r, 2e-5, True), 6).alias("paralysing"), F.round(quant.dead_time(r, 2e-5, False), 6).alias("non_paralysing"))
-
-
 @query("""SELECT p_partkey, round(p_retailprice * 1e3, 6) AS fg, round(ln(p_retailprice * 5) - ln(1 + p_size * p_size * 5 / (p_retailprice * 5) ** 2) / 2, 8) AS mu FROM part""")
 def sc9_19_units(spark, sf_dir):
     p = table(spark, sf_dir, "part")
@@ -301,11 +351,6 @@ def sc15_20_parsing(spark, sf_dir):
     return n.select(k, label["mass_number"].alias("mass_number"), label["element"].alias("element"), F.round(parsing.seconds_of_day(F.col("clock")), 6).alias("seconds"), parsing.name_hint(F.col("name"), "nm").alias("nm"))
 
 
-@query("SELECT c_custkey, CASE WHEN c_acctbal < 0.001 THEN '***' WHEN c_acctbal < 0.01 THEN '**' WHEN c_acctbal < 0.05 THEN '*' ELSE '' END AS stars FROM customer")
-def sc22_stars(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select("c_custkey", models.stars(F.col("c_acctbal")).alias("stars"))
-
-
 @query(f"WITH {COUNT_POINTS} SELECT idx, max(CASE WHEN channel = 'AF' THEN intensity END) AS af, max(CASE WHEN channel = 'NO' THEN intensity END) AS no FROM pts WHERE channel IN ('AF', 'NO') GROUP BY idx")
 def snk1_raw_table(spark, sf_dir):
     t = sinks.raw_table(count_points(spark, sf_dir).where(F.col("channel").isin("AF", "NO")), ["AF", "NO"])
@@ -325,23 +370,13 @@ def srt1_6_top(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(12)
 
 
-@query()
-def gen1_9_validation(spark, sf_dir):
-    """Synthetic frames searched at a fixed level and held against the truth: GEN1 to GEN9, AGG23."""
-    made = generator.particles(spark, 8, 1.0, 20.0, 400.0, 80.0)
-    points = generator.frames(made, 8, 1.0, 1e-4, 0.5, 5e-4).select(F.lit("sim").alias("sample_id"), F.col("frame").cast("string").alias("channel"), "idx", "time_s", "intensity")
-    flat = points.withColumns({"start_thr": F.lit(4.0), "stop_thr": F.lit(1.5), "height_thr": F.lit(12.0)})
-    return align.error_rates(generator.truth(made, 1e-4, 5e-4), search.hysteresis_search(flat)).select("channel", "n_truth", "n_found", "precision", "recall")
-
-
-@query()
-def agg25_shape(spark, sf_dir):
-    made = generator.particles(spark, 2, 1.0, 20.0, 400.0, 80.0)
-    points = generator.frames(made, 2, 1.0, 1e-4, 0.5, 5e-4, shape=0.49).select(F.lit("sim").alias("sample_id"), F.col("frame").cast("string").alias("channel"), "idx", "intensity")
-    return kernels.empirical_shape(points.where("intensity < 12"))
-
-
-@query("SELECT user_id, round(sum(value), 4) AS total FROM events WHERE event_type = 'purchase' GROUP BY user_id HAVING sum(value) > 100")
-def agg7_event_totals(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("event_type = 'purchase'").groupBy("user_id").agg(F.sum("value").alias("t"))
-    return e.where("t > 100").select("user_id", F.round("t", 4).alias("total"))
+@query(FOUND + """, d AS (SELECT e.*, area - greatest(0.1, location) * n_points AS net, (z.time_s - p.time_s) * 1e6 AS us FROM e JOIN pts z ON z.channel = e.channel AND z.idx = e.end_idx LEFT JOIN pts p ON p.channel = e.channel AND p.idx = e.start_idx - 1 WHERE e.start_idx > 0)
+SELECT channel, count(*) AS n, round(avg(net), 5) AS mean_net_area, round(stddev_samp(net), 5) AS sd_net_area, round(quantile_cont(net, 0.5), 5) AS median_net_area, round(avg(height), 5) AS mean_height, round(stddev_samp(height), 5) AS sd_height,
+  round(avg(us) / 1e6, 3) AS mean_duration_s, round(stddev_samp(us) / 1e6, 3) AS sd_duration_s FROM d GROUP BY channel""")
+def agg7_event_statistics(spark, sf_dir):
+    """Over events after the first point, as the rule for index 0 has a query of its own."""
+    p, _, e = found(spark, sf_dir)
+    s = events.statistics(events.metrics(e.where("start_idx > 0"), p))
+    return s.select(
+        "channel", "n", *[F.round(c, 5).alias(c) for c in ("mean_net_area", "sd_net_area", "median_net_area", "mean_height", "sd_height")], *[F.round(F.col(f"{k}_duration_us") / 1e6, 3).alias(f"{k}_duration_s") for k in ("mean", "sd")]
+    )

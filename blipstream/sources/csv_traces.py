@@ -4,6 +4,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from blipstream.functions.parsing import seconds_of_day
+from blipstream.operators.scan import numbered
+from blipstream.plans.stored import stored
 
 POINTS = ["sample_id", "channel", "idx", "time_s", "intensity"]
 
@@ -21,7 +23,7 @@ def cells(text: Column, sep: str = ",") -> Column:
 
 def long_points(rows: DataFrame, header: DataFrame, time: Column, first: int) -> DataFrame:
     """rows (file, line, cells) and header (file, names) to (file, channel, line, time_s, intensity); value columns start at ``first``."""
-    values = rows.join(header, "file").select("file", "line", time.alias("time_s"), "names", F.posexplode(F.slice("cells", first + 1, 100_000)).alias("__k", "__v"))
+    values = rows.join(header, "file").select("file", "line", time.alias("time_s"), "names", F.posexplode(F.slice("cells", first + 1, F.size("cells"))).alias("__k", "__v"))
     return values.select("file", F.element_at("names", (F.col("__k") + first + 1).cast("int")).alias("channel"), "line", "time_s", F.col("__v").try_cast("double").alias("intensity")).where("intensity is not null and channel <> ''")
 
 
@@ -50,17 +52,69 @@ def agilent(spark: SparkSession, path: str, gap_s: float = 5.0) -> DataFrame:
     return out
 
 
-def thermo_xy(spark: SparkSession, path: str) -> DataFrame:
-    """SRC2: the heading is the first line with a Time cell among the first 200, else numbered columns; times are decimals or HH:mm:ss."""
-    lines = numbered_lines(spark, path).withColumn("cells", cells(F.col("text")))
-    is_head = (F.col("line") < 200) & F.exists("cells", lambda c: F.lower(c).startswith("time"))
-    head = lines.where(is_head).groupBy("file").agg(F.min("line").alias("head"))
-    keyed = lines.join(head, "file", "left").withColumn("head", F.coalesce("head", F.lit(-1)))
-    names = keyed.where("line = head").select("file", "cells").union(keyed.where("head = -1 and line = 0").select("file", F.transform("cells", lambda c, i: F.when(i == 0, F.lit("Time")).otherwise(F.concat(F.lit("ch"), i.cast("string"))))))
-    header = names.groupBy("file").agg(F.first("cells").alias("names"))
-    raw = F.try_element_at("cells", F.lit(1))
-    time = F.when(raw.contains(":"), seconds_of_day(raw)).otherwise(raw.try_cast("double"))
-    return indexed(long_points(keyed.where("line > head").where(time.isNotNull()), header, time, 1), file_name())
+def rebuilt_times(long: DataFrame) -> DataFrame:
+    """Times of three points or more anew from their index: first stamps of exports are off, and stamps may repeat for want of digits.
+
+    The step is the commonest of the first 99 differences (of equally common ones the smallest), or, where stamps
+    repeat, the last stamp over the number of points. long has (file, channel, line, time_s, intensity).
+    """
+    keys = ["file", "channel"]
+    at = numbered(long, [F.col("line")], "__nth", keys)
+    s = at.groupBy(*keys).agg(F.count("*").alias("__n"), F.count_distinct("time_s").alias("__distinct"), F.max_by("time_s", "line").alias("__last"))
+    before = at.where("__nth < 99").select(*keys, (F.col("__nth") + 1).alias("__nth"), F.col("time_s").alias("__before"))
+    steps = at.where("__nth < 100").join(before, [*keys, "__nth"]).withColumn("__d", F.round(F.col("time_s") - F.col("__before"), 12))
+    common = steps.groupBy(*keys, "__d").agg(F.count("*").alias("__k")).groupBy(*keys).agg(F.max_by("__d", F.struct("__k", -F.col("__d"))).alias("__mode"))
+    joined = at.join(s, keys).join(common, keys, "left")
+    dt = F.when(F.col("__distinct") == F.col("__n"), F.col("__mode")).otherwise(F.col("__last") / F.col("__n"))
+    return joined.withColumn("time_s", F.when(F.col("__n") > 2, (F.col("__nth") + 1) * dt).otherwise(F.col("time_s"))).select(*long.columns)
+
+
+def thermo_xy(spark: SparkSession, path: str, rebuild: bool = True) -> DataFrame:
+    """SRC2: the layouts of the XY export, told apart by their first 200 lines; points also have dwell_s (null where the file doesn't say).
+
+    A first line ``sep=`` names the separator, else it is a semicolon if the heading has one, else a comma. The heading
+    is the first line with a cell that begins with Time; the time column is that cell's, wherever it stands, and Number
+    columns aren't values. Names lose an ``Intensity (..)`` before them. A line below the heading that says
+    ``dwell time=`` gives the dwell time of each column. Without a heading the first column is the time. Times are
+    decimals or HH:mm:ss, and rebuilt from the index (see rebuilt_times) unless ``rebuild`` is false. A file without
+    any point raises, as far as one can tell from the whole: an empty result is never silent.
+    """
+    lines = numbered_lines(spark, path)
+    early = lines.where("line < 200")
+    timed = F.regexp_like(F.lower("text"), F.lit(r"(^|[,;\t])\"?time"))
+    facts = early.groupBy("file").agg(
+        F.max(F.when(F.col("line") == 0, F.regexp_extract("text", r"^sep=(.)", 1))).alias("__sep"),
+        F.min_by("text", F.when(timed, F.col("line"))).alias("__head_text"),
+        F.min(F.when(timed, F.col("line"))).alias("head"),
+        F.min_by("text", "line").alias("__first"),
+    )
+    facts = facts.withColumn("sep", F.when(F.col("__sep") != "", F.col("__sep")).when(F.coalesce("__head_text", "__first").contains(";"), ";").otherwise(","))
+    parted = lines.join(facts.select("file", "head", "sep"), "file").withColumn(
+        "cells", F.transform(F.split("text", F.concat(F.lit("\\Q"), F.col("sep"), F.lit("\\E")), -1), lambda c: F.trim(F.regexp_replace(c, '^"|"$', "")))
+    )
+    plain = F.transform("cells", lambda c, i: F.when(i == 0, F.lit("Time")).otherwise(F.concat(F.lit("ch"), i.cast("string"))))
+    heads = parted.where("line = head").select("file", F.col("cells").alias("names")).unionByName(
+        parted.where("head is null").groupBy("file").agg(F.min_by(plain, "line").alias("names"))
+    )
+    is_time = F.transform("names", lambda c: F.lower(c).startswith("time"))
+    heads = heads.withColumn("time_at", F.array_position(is_time, True).cast("int"))
+    dwell = parted.where((F.col("line") > F.col("head")) & (F.col("line") < 200) & F.col("text").contains("dwell time=")).groupBy("file").agg(
+        F.min_by(F.transform("cells", lambda c: F.regexp_extract(c, r"dwell time=([0-9.eE+-]+)", 1).try_cast("double")), "line").alias("dwells")
+    )
+    data = parted.where(F.col("head").isNull() | (F.col("line") > F.col("head"))).join(heads, "file").join(dwell, "file", "left")
+    raw = F.try_element_at("cells", F.col("time_at"))
+    stamped = data.withColumn("time_s", F.when(raw.contains(":"), seconds_of_day(raw)).otherwise(raw.try_cast("double"))).where("time_s is not null")
+    cell = stamped.select("file", "line", "time_s", "names", "dwells", F.posexplode("cells").alias("__k", "__v"))
+    name = F.try_element_at("names", F.col("__k") + 1)
+    named = cell.withColumn("__name", name).where(~F.lower("__name").startswith("time") & (F.lower("__name") != "number") & (F.col("__name") != ""))
+    long = named.select(
+        "file", F.trim(F.regexp_replace("__name", r"(?i)^intensity\s*(\([^)]*\))?", "")).alias("channel"), "line", "time_s", F.col("__v").try_cast("double").alias("intensity"), F.try_element_at("dwells", F.col("__k") + 1).alias("dwell_s")
+    ).where("intensity is not null")
+    out = stored(rebuilt_times(long) if rebuild else long, "thermo")
+    if out.isEmpty():
+        raise ValueError(f"no points in {path}: not a known layout, or another separator")
+    at = numbered(out, [F.col("line")], "idx", ["file", "channel"])
+    return at.select(file_name().alias("sample_id"), "channel", F.col("idx").cast("int").alias("idx"), "time_s", "intensity", "dwell_s")
 
 
 def thermo_top_down(spark: SparkSession, path: str) -> DataFrame:
@@ -68,7 +122,7 @@ def thermo_top_down(spark: SparkSession, path: str) -> DataFrame:
     lines = numbered_lines(spark, path).withColumn("cells", cells(F.col("text")))
     kinds = lines.withColumn("kind", F.lower(F.element_at("cells", 2))).where(F.col("kind").isin("time", "counter", "y")).withColumn("channel", F.element_at("cells", 1))
     nth = kinds.withColumn("nth", F.row_number().over(Window.partitionBy("file", "channel", "kind").orderBy("line")))
-    flat = nth.select("file", "channel", "nth", "kind", F.posexplode(F.slice("cells", 3, 100_000)).alias("at", "v")).withColumn("v", F.col("v").try_cast("double"))
+    flat = nth.select("file", "channel", "nth", "kind", F.posexplode(F.slice("cells", 3, F.size("cells"))).alias("at", "v")).withColumn("v", F.col("v").try_cast("double"))
     wide = flat.groupBy("file", "at", "channel", "nth").agg(*[F.max(F.when(F.col("kind") == k, F.col("v"))).alias(n) for k, n in (("time", "time_s"), ("counter", "counter"), ("y", "intensity"))])
     w = Window.partitionBy("file", "at", "channel").orderBy("nth")
     return wide.where("intensity is not null").select(F.concat_ws("#", file_name(), F.col("at").cast("string")).alias("sample_id"), "channel", (F.row_number().over(w) - 1).alias("idx"), "time_s", "intensity", F.coalesce(F.col("counter") < 0, F.lit(False)).alias("over_range"))

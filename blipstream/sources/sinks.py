@@ -1,6 +1,6 @@
 """Tables that leave the engine."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -30,3 +30,24 @@ def side_by_side(df: DataFrame, by: str, groups: list[str], columns: list[str],
 
     n = df.withColumn("row", F.row_number().over(Window.partitionBy(by).orderBy(order)))
     return n.groupBy("row").pivot(by, groups).agg(*[F.first(c).alias(c) for c in columns])
+
+
+def declared_rows(one_row: DataFrame, order: list[str]) -> DataFrame:
+    """SRT8: a row of results as (metric, value) in declaration order."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in order])
+    return one_row.select(F.explode(pairs).alias("p")).select("p.metric", "p.value")
+
+
+def custom_population(events: DataFrame, parameters: dict[str, Column], background: DataFrame | None = None) -> DataFrame:
+    """SNK3: the chosen parameters, in the caller's units, of each event; with the trace's sampled background if given."""
+    keyed = events if background is None else events.join(background, ["sample_id", "channel"], "left")
+    extra = [] if background is None else ["background"]
+    return keyed.select("sample_id", "channel", "event_ord", *[c.alias(k) for k, c in parameters.items()], *extra)
+
+
+def error_table(raw: DataFrame) -> DataFrame:
+    """SNK12: precision, recall and F of each trace, and their means and SDs over the traces of a sample as rows of channel mean and sd."""
+    rates = ["precision", "recall", "f_score"]
+    per = raw.select("sample_id", "channel", *rates)
+    over = [per.groupBy("sample_id").agg(*[f(c).alias(c) for c in rates]).withColumn("channel", F.lit(k)) for k, f in (("mean", F.avg), ("sd", F.stddev_samp))]
+    return per.unionByName(over[0]).unionByName(over[1])

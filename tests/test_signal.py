@@ -1,11 +1,14 @@
 """Search, baseline and event operators against plain sequential restatements."""
 
+import itertools
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from blipstream.functions import distributions
 from blipstream.operators import align, baseline, events, histogram, kernels, models, scan, search, traces
 from blipstream.plans.method import Method, Step, read_method, settings
 
@@ -117,7 +120,6 @@ def test_overlaps_and_connection(spark):
     rng = random.Random(2)
     rows = [("s", f"c{k % 3}", a, a + rng.randint(0, 9)) for k in range(60) for a in [rng.randint(0, 300)]]
     e = spark.createDataFrame(rows, "sample_id string, channel string, start_idx int, end_idx int").distinct()
-    spark.sparkContext.setCheckpointDir("/tmp/blipstream-test-checkpoints")
     got = sorted((r.start_idx, r.end_idx) for r in align.by_connection(e).collect())
     spans = sorted({(a, z) for _, _, a, z in rows})
     group = {s: s for s in spans}
@@ -179,3 +181,101 @@ def test_method_runs_its_steps_in_order(spark):
 def test_histogram_of_equal_values(spark):
     df = spark.createDataFrame([("g", 2.0)] * 5, "g string, x double")
     assert [(r.bin, r.n, r.cdf) for r in histogram.histogram(df, ["g"], "x", 0.5).collect()] == [(0, 5, 1.0)]
+
+
+def test_a_long_chain_of_events_is_one_hull(spark):
+    chain = [("s", "c", 3 * i, 3 * i + 4) for i in range(1000)] + [("s", "d", 5000, 5001), ("t", "c", 0, 3)]
+    got = sorted(tuple(r) for r in align.by_connection(spark.createDataFrame(chain, "sample_id string, channel string, start_idx int, end_idx int")).select("sample_id", "start_idx", "end_idx").collect())
+    assert got == [("s", 0, 3001), ("s", 5000, 5001), ("t", 0, 3)]
+
+
+def test_poisson_limits_equal_a_sum(spark):
+    means, alphas = [0.5, 1.0, 4.5, 30.0, 380.0, 1000.0, 5000.0, 1e6], [0.3, 0.05, 1e-6, 1e-40]
+    got = spark.createDataFrame([(m,) for m in means], "m double").select("m", *[baseline.poisson_limit(F.col("m"), a, eps=0.0).alias(str(k)) for k, a in enumerate(alphas)]).collect()
+    for r in got:
+        for k, alpha in enumerate(alphas):
+            at, above = math.floor(r.m + 40 * math.sqrt(r.m) + 400), 0.0
+            while at > 0 and above + math.exp(at * math.log(r.m) - r.m - math.lgamma(at + 1)) <= alpha:
+                above += math.exp(at * math.log(r.m) - r.m - math.lgamma(at + 1))
+                at -= 1
+            assert r[str(k)] == at, (r.m, alpha)
+
+
+def test_normal_tails_equal_erfc(spark):
+    zs = [-8.0, -1.5, -0.1, 0.0, 0.3, 2.0, 5.0, 12.0, 30.0]
+    got = spark.createDataFrame([(z,) for z in zs], "z double").select("z", baseline.normal_tail(F.col("z")).alias("p")).collect()
+    assert all(r.p == pytest.approx(0.5 * math.erfc(r.z / math.sqrt(2)), rel=2e-7) for r in got)
+
+
+def test_special_functions_of_arrays():
+    for mean in (0.3, 7.0, 80.0):
+        ys = [0.0, 1.0, 6.9, 40.0, 120.0, -1.0]
+        assert distributions.poisson_mid_ps(np.array(ys), np.full(len(ys), mean)) == pytest.approx([distributions.poisson_mid_p(y, mean) for y in ys], rel=1e-9, abs=1e-300)
+    xs = np.array([0.0, 0.5, 3.0, 9.0, 40.0])
+    assert distributions.gamma_tails(np.full(5, 2.5), xs) == pytest.approx([1 - distributions.gamma_p(2.5, x) for x in xs], abs=1e-12)
+
+
+def test_ks_p_counts_paths():
+    """Against all orders of two small samples."""
+    n, m = 4, 3
+    orders = [sum(1 << i for i in pick) for pick in itertools.combinations(range(n + m), n)]
+
+    def distance(order):
+        a = b = top = 0
+        for i in range(n + m):
+            a, b = a + (order >> i & 1), b + (not order >> i & 1)
+            top = max(top, abs(a * m - b * n))
+        return top / (n * m)
+
+    for d in {distance(o) for o in orders}:
+        assert distributions.ks_p(d, n, m) == pytest.approx(sum(distance(o) > d + 1e-12 for o in orders) / len(orders))
+    assert distributions.ks_p(0.2, 300, 200) == pytest.approx(1.346e-4, rel=0.02)
+
+
+def test_two_samples_with_ties_and_without_spread(spark):
+    rows = [("a", float(x)) for x in [1, 1, 2, 2, 3]] + [("b", float(x)) for x in [2, 3, 3, 4]] + [("c", 9.0), ("a", None)]
+    r = models.two_samples(spark.createDataFrame(rows, "g string, x double"), "g", "a", "b", "x").first()
+    assert r.u == pytest.approx(sum((x > y) + 0.5 * (x == y) for x in [1, 1, 2, 2, 3] for y in [2, 3, 3, 4])) and r.ks == pytest.approx(0.55)
+    flat = models.two_samples(spark.createDataFrame([("a", 1.0)] * 3 + [("b", 1.0)] * 3, "g string, x double"), "g", "a", "b", "x").first()
+    assert flat.w_p is None and flat.u_p == pytest.approx(1.0) and flat.ks == 0
+
+
+def test_numbers_within_keys(spark):
+    rng = random.Random(31)
+    rows = [(rng.choice(["a", "b", None]), rng.randint(0, 10**6), i) for i in range(3000)]
+    got = scan.numbered(spark.createDataFrame(rows, "k string, v long, i long").repartition(7), [F.col("v"), F.col("i")], "n", ["k"]).collect()
+    for key in ("a", "b", None):
+        want = {i: n for n, (_, i) in enumerate(sorted((v, i) for k, v, i in rows if k == key))}
+        assert {r.i: r.n for r in got if r.k == key} == want
+    assert scan.numbered(spark.createDataFrame([], "k string, v long"), [F.col("v")]).count() == 0
+
+
+def test_intervals_merge_like_a_scan(spark):
+    rng = random.Random(32)
+    rows = [("s", rng.choice("ab"), a, a + rng.randint(0, 6)) for a in (rng.randint(0, 400) for _ in range(150))]
+    for touch in (0, 1, 3):
+        got = sorted((r.channel, r.start_idx, r.end_idx) for r in search.merge_intervals(spark.createDataFrame(rows, "sample_id string, channel string, start_idx int, end_idx int"), touch).collect())
+        want = []
+        for c in "ab":
+            for _, _, a, z in sorted(r for r in rows if r[1] == c):
+                if want and want[-1][0] == c and a <= want[-1][2] + touch:
+                    want[-1] = (c, want[-1][1], max(z, want[-1][2]))
+                else:
+                    want.append((c, a, z))
+        assert got == sorted(want)
+
+
+def test_frames_cross_blocks(spark, monkeypatch):
+    made = random_traces(3, 33)
+    p = points(spark, made)
+    one = {(r.channel, r.idx): r.smooth for r in traces.moving_average(p, 4).collect()}
+    small = scan.own(scan.haloed(p, 3, 0, 5).withColumn("smooth", F.avg("intensity").over(scan.in_block().rowsBetween(-3, 0))), 5)
+    assert {(r.channel, r.idx): pytest.approx(r.smooth) for r in small.collect()} == one
+    assert all(one[c, i] == pytest.approx(sum(ys[max(0, i - 3) : i + 1]) / len(ys[max(0, i - 3) : i + 1])) for c, ys in made.items() for i in range(len(ys)))
+
+
+def test_integer_traces_are_searched_rounded(spark):
+    made = {"counts": [0.0, 5.02, 4.98, 0.01, 7.03], "real": [0.4, 5.3, 4.6, 0.3, 7.4]}
+    flat = search.rounded(points(spark, made)).withColumns({k: F.lit(v) for k, v in (("start_thr", 5.0), ("stop_thr", 5.0), ("height_thr", 4.99))})
+    got = {(r.channel, r.start_idx): (r.end_idx, round(r.area, 6)) for r in search.hysteresis_search(flat).collect()}
+    assert got == {("counts", 1): (2, 10.0), ("counts", 4): (4, 7.03), ("real", 1): (1, 5.3), ("real", 4): (4, 7.4)}

@@ -1,4 +1,4 @@
-"""Every file layout from small files, the time-of-flight reader, sinks, streaming and the generator."""
+"""Every file layout from small files, the time-of-flight reader, sinks and streaming."""
 
 import gzip
 import json
@@ -7,9 +7,8 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
-from blipstream.operators import search
 from blipstream.sources import csv_traces as src
-from blipstream.sources import generator, nu, sinks
+from blipstream.sources import nu, sinks
 from blipstream.streaming.live import live_average, live_events
 
 
@@ -36,6 +35,19 @@ def test_thermo_layouts(spark, tmp_path):
     assert rows(src.thermo_xy(spark, a), "channel", "idx", "time_s", "intensity") == [("Ag107", 0, 0.1, 1.0), ("Ag107", 1, 0.2, 3.0), ("Au197", 0, 0.1, 2.0), ("Au197", 1, 0.2, 4.0)]
     assert rows(src.thermo_xy(spark, b), "time_s", "intensity") == [(1.5, 7.0), (60.0, 8.0)]
     assert rows(src.thermo_xy(spark, c), "channel", "time_s", "intensity") == [("ch1", 0.1, 5.0), ("ch1", 0.2, 6.0)]
+    live = put(tmp_path / "live.csv", "sep=,\nNumber,Time 197Au,Intensity (cps) 197Au\n1,00:00:05.38,0\n2,00:00:05.39,7\n")
+    assert rows(src.thermo_xy(spark, live), "channel", "time_s", "intensity") == [("197Au", pytest.approx(5.38), 0.0), ("197Au", pytest.approx(5.39), 7.0)]
+    semi = put(tmp_path / "semi.csv", "sep=;\nNumber;Time 197Au;197Au\n" + "".join(f"{i};{0.003 + 0.001 * (i // 2):.3f};{10 * i}\n" for i in range(1, 7)))
+    assert rows(src.thermo_xy(spark, semi, rebuild=False), "channel", "time_s", "intensity")[0] == ("197Au", 0.003, 10.0)
+    assert rows(src.thermo_xy(spark, semi), "time_s", "intensity") == [(pytest.approx(0.001 * i), 10.0 * i) for i in range(1, 7)]
+    bare = put(tmp_path / "bare2.csv", "".join(f"{t};{y}\n" for t, y in [(0.5, 1), (0.6, 2), (0.7, 3), (0.8, 4)]))
+    assert rows(src.thermo_xy(spark, bare), "channel", "time_s", "intensity") == [("ch1", pytest.approx(0.1 * y), float(y)) for y in range(1, 5)]
+    tq = put(tmp_path / "tq.csv", "sep=;\nNumber;Time 28Si16O;28Si16O\n1;0;10003.2\n2;0;20012.8\n")
+    assert rows(src.thermo_xy(spark, tq), "channel", "intensity") == [("28Si16O", 10003.2), ("28Si16O", 20012.8)]
+    laser = put(tmp_path / "laser.csv", "Run:12/08/2021 12:28:53 PM;\nSoftware:Name=x;Version=2;\n\nTime,24Mg | 24Mg,56Fe | 56Fe.16O,\n,dwell time=0.1;xcal factor=7,dwell time=0.2;xcal factor=8,\n0.11,264029.3,40284.8,\n1.09,259189.6,39131.2,\n")
+    assert rows(src.thermo_xy(spark, laser), "channel", "time_s", "dwell_s") == [("24Mg | 24Mg", 0.11, 0.1), ("24Mg | 24Mg", 1.09, 0.1), ("56Fe | 56Fe.16O", 0.11, 0.2), ("56Fe | 56Fe.16O", 1.09, 0.2)]
+    with pytest.raises(ValueError, match="no points"):
+        src.thermo_xy(spark, put(tmp_path / "none.csv", "only;words\nin;here\n"))
     t = put(tmp_path / "down.csv", "Au197,Time,0.1,0.1\nAu197,Counter,5,-1\nAu197,Y,9,8\n")
     assert rows(src.thermo_top_down(spark, t), "sample_id", "intensity", "over_range") == [("down#0", 9.0, False), ("down#1", 8.0, True)]
 
@@ -92,11 +104,3 @@ def test_streaming(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("means").agg(F.sum("n")).first()[0] == 7
-
-
-def test_generator_is_repeatable_and_found(spark):
-    made = generator.particles(spark, 3, 1.0, 15.0, 500.0, 50.0)
-    assert rows(made, "frame", "time_s", "counts") == rows(generator.particles(spark, 3, 1.0, 15.0, 500.0, 50.0, tasks=2), "frame", "time_s", "counts")
-    pts = generator.frames(made, 3, 1.0, 1e-4, 0.2, 5e-4).select(F.lit("sim").alias("sample_id"), F.col("frame").cast("string").alias("channel"), "idx", "time_s", "intensity")
-    flat = pts.withColumns({"start_thr": F.lit(4.0), "stop_thr": F.lit(1.5), "height_thr": F.lit(10.0)})
-    assert pts.count() == 30_000 and 0.6 * made.count() <= search.hysteresis_search(flat).count() <= made.count()
