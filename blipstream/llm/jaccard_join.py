@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
+from ..operators.components import components
 from .exchange import BLOCKS, answer, answered, blocks, bucket_keys, grouped, holders, key_of
 from .shared import materialise
 from .words import mix, shingle_hashes, text_bytes, window_rows, word_hashes

@@ -12,11 +12,11 @@ from tokenizers import Tokenizer
 
 from blipstream.llm.bpe import bpe_round_trip, load
 from blipstream.llm.chat_format import PART, format_chat, masked, read_back
-from blipstream.llm.components import components
 from blipstream.llm.mixing import flight, mix_rows, mix_sources
 from blipstream.llm.search import bm25_top_k
 from blipstream.llm.secret_scan import ALPHABETS, encoding, least_cell, randomness_p, scan_secrets
 from blipstream.llm.toxicity import score_toxicity, train_rows
+from blipstream.operators.components import components
 
 from .helpers import awkward, frame, text, vocabulary, words_of
 
