@@ -7,13 +7,14 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from blipstream.llm.bpe import bpe_round_trip, load
 from blipstream.llm.chat_format import PART, format_chat, masked, read_back
 from blipstream.llm.mixing import flight, mix_rows, mix_sources
-from blipstream.llm.search import bm25_top_k
+from blipstream.llm.search import Index, bm25_top_k
 from blipstream.llm.secret_scan import ALPHABETS, encoding, least_cell, randomness_p, scan_secrets
 from blipstream.llm.toxicity import score_toxicity, train_rows
 from blipstream.operators.components import components
@@ -364,6 +365,39 @@ def test_search_uses_every_word_of_the_row(spark):
     assert all(abs(g[3] - w[3]) < 1e-8 for g, w in zip(got, want, strict=True))
 
 
+def test_search_of_awkward_rows(spark):
+    """Nulls, empty and very long texts, repeated rows, clashing columns; many batches, tasks and shards."""
+    rng = random.Random(20)
+    vocab = vocabulary(200)
+    rows = [r for r in awkward() if r[0] != 5] + [(20, text(rng, vocab, 4000)), (30, "one two"), (31, "one two"), (31, "one two")] + [(100 + i, text(rng, vocab, rng.randint(1, 50))) for i in range(120)] + [(None, text(rng, vocab, 5))]
+    got = sorted((r.query_id, r["rank"], r.doc_id, r.score) for r in bm25_top_k(frame(spark, rows), every=10, k=4, group_bytes=3000, batch_bytes=5000, searches=3).collect())
+    want = expected_search(rows, 10, 4, None)
+    assert [g[:3] for g in got] == [w[:3] for w in want] and all(abs(g[3] - w[3]) < 1e-8 for g, w in zip(got, want, strict=True))
+    assert [g[2] for g in got if g[0] == 30] == [30, 31, 31, 4]
+
+
+def test_pruned_search_equals_scoring_all():
+    rng = np.random.default_rng(21)
+    row, term = np.divmod(np.unique(rng.integers(0, 700, 9000) * 300 + (300 * rng.random(9000) ** 2).astype(int)), 300)
+    order = np.lexsort((row, term))
+    row, term = row[order], term[order]
+    cut = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]]))
+    tf = rng.integers(1, 6, len(row))
+    part = {"ids": rng.permutation(700).astype(np.int64), "length": np.bincount(row, tf, 700), "term": term[cut].astype(np.uint64), "held": np.diff(np.append(cut, len(term))), "start": np.append(cut, len(term)), "row": row, "tf": tf}
+    index = Index(part, 700, part["length"].mean())
+    for theta in (0.0, 3.0, 8.0, 15.0):
+        for _ in range(20):
+            wanted = np.sort(rng.choice(part["term"], 40, replace=False))
+            score = np.zeros(700)
+            for t in index.found(wanted):
+                at = slice(part["start"][t], part["start"][t + 1])
+                score[row[at]] += index.idf[t] * index.impact[at]
+            score = np.round(score, 9)
+            best = sorted((-s, i) for s, i in zip(score.tolist(), part["ids"].tolist(), strict=True) if s > 0 and s >= theta)[:5]
+            ids, found = index.search(wanted, theta, 5)
+            assert ids.tolist() == [i for _, i in best] and found == pytest.approx([-s for s, _ in best])
+
+
 def test_bpe_equals_library(spark):
     rng = random.Random(10)
     parts = [*"abcdeth ing'sRS.,!?0123456789\n\t \r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0 　 éßñ日本語🙂́١Ⅷ²ſK\x00", "<|endoftext|>", "'ll", "  ", " the"]
