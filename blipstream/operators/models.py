@@ -167,26 +167,70 @@ def composition(spectra: DataFrame) -> DataFrame:
     return m.select("cluster", "element", F.when(total > 0, 100 * F.col("m") / total).otherwise(0.0).alias("percent"))
 
 
-def ward(rows: DataFrame, by: list[str], vector: str, most_rows: int = 2000) -> DataFrame:
-    """MOD7: merge heights of Ward linkage per group by nearest-neighbour chains. Distances are quadratic in memory, so a group may have most_rows rows at most; larger ones raise."""
-
-    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        if len(part) > most_rows:
-            raise ValueError(f"a group of {len(part)} rows exceeds most_rows={most_rows}")
-        x = np.array([np.asarray(v, float) for v in part[vector]])
-        sizes, alive = np.ones(len(x)), np.ones(len(x), bool)
-        d = np.sqrt(np.maximum(0, ((x[:, None] - x[None]) ** 2).sum(-1)))
+def ward_distances(one: np.ndarray, n_one: np.ndarray, two: np.ndarray, n_two: np.ndarray) -> np.ndarray:
+    """Ward's distance between clusters, from centroids and sizes."""
+    square = (one * one).sum(1)[:, None] + (two * two).sum(1)[None] - 2 * one @ two.T
+    return np.sqrt(np.maximum(0, square) * 2 * n_one[:, None] * n_two[None] / (n_one[:, None] + n_two[None]))
+
+
+def ward(rows: DataFrame, by: list[str], vector: str, most_rows: int = 1000, block_rows: int = 500) -> DataFrame:
+    """MOD7: merge heights of Ward linkage per group: (by, merge, height), lowest first.
+
+    While a group has over ``most_rows`` clusters, a round on Spark finds the nearest neighbour of each, in cells of two
+    blocks of about ``block_rows``, and merges all pairs that are each other's nearest, which Ward's distance allows in
+    any order. What is left of a group is finished in one task by nearest-neighbour chains. Comparisons grow with the
+    square of a group, memory doesn't. Ties go to the smaller numbers of a pair. Groups must not be null.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    keys = ", ".join(f"{c} {kinds[c]}" for c in by)
+    nodes = stored(rows.select(*by, F.monotonically_increasing_id().alias("id"), F.lit(1.0).alias("n"), F.col(vector).cast("array<double>").alias("c")), "ward")
+    heights = None
+
+    def nearest(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        x, n, ids, mine = np.stack(part["c"].to_numpy()), part["n"].to_numpy(), part["id"].to_numpy(), part["mine"].to_numpy()
+        d = ward_distances(x, n, x, n)
+        if len(set(mine)) > 1:
+            d[mine[:, None] == mine[None]] = np.inf
+        np.fill_diagonal(d, np.inf)
+        low, high = np.minimum(ids[:, None], ids[None]), np.maximum(ids[:, None], ids[None])
+        best = [min(zip(d[i][at], low[i][at], high[i][at], ids[at], strict=True)) for i in range(len(ids)) for at in [np.flatnonzero(d[i] == d[i].min())]]
+        keep = [i for i, x_ in enumerate(best) if np.isfinite(x_[0])]
+        names = list(key)[: len(by)]
+        return pd.DataFrame([[*names, ids[i], best[i][3], best[i][0]] for i in keep], columns=[*by, "id", "other", "d"])
+
+    while True:
+        large = stored(nodes.groupBy(*by).count().where(F.col("count") > most_rows).select(*by, F.ceil(F.col("count") / block_rows).alias("blocks")), "ward-large")
+        if large.isEmpty():
+            break
+        dealt = nodes.join(large, by).withColumn("mine", F.pmod(F.xxhash64("id"), "blocks")).withColumn("met", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        cells = dealt.withColumn("i", F.least("mine", "met")).withColumn("j", F.greatest("mine", "met")).select(*by, "i", "j", "id", "n", "c", "mine")
+        found = cells.groupBy(*by, "i", "j").applyInPandas(nearest, f"{keys}, id long, other long, d double")
+        order = F.struct("d", F.least("id", "other"), F.greatest("id", "other"))
+        best = stored(found.groupBy(*by, "id").agg(F.min_by("other", order).alias("other"), F.min("d").alias("d")), "ward-nearest")
+        back = best.select(*by, F.col("id").alias("other"), F.col("other").alias("id"))
+        pairs = stored(best.where("id < other").join(back, [*by, "id", "other"]), "ward-pairs")
+        two = nodes.select(*by, F.col("id").alias("other"), F.col("n").alias("m"), F.col("c").alias("e"))
+        total = F.col("n") + F.col("m")
+        centre = F.zip_with("c", "e", lambda x, y: (x * F.col("n") + y * F.col("m")) / total)
+        merged = pairs.join(nodes, [*by, "id"]).join(two, [*by, "other"]).select(*by, "id", total.alias("__n"), centre.alias("__c")).withColumnsRenamed({"__n": "n", "__c": "c"})
+        gone = pairs.select(*by, F.explode(F.array("id", "other")).alias("id"))
+        nodes = stored(nodes.join(gone, [*by, "id"], "left_anti").unionByName(merged), "ward")
+        level = pairs.select(*by, F.col("d").alias("height"))
+        heights = level if heights is None else heights.unionByName(level)
+
+    def finish(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        x, sizes = np.stack(part["c"].to_numpy()), part["n"].to_numpy().copy()
+        alive, d = np.ones(len(x), bool), ward_distances(x, sizes, x, sizes)
         np.fill_diagonal(d, np.inf)
-        heights, chain = [], []
+        found, chain = [], []
         while alive.sum() > 1:
             if not chain:
                 chain = [int(np.flatnonzero(alive)[0])]
             a = chain[-1]
             b = int(np.argmin(d[a]))
             if len(chain) > 1 and d[a, chain[-2]] <= d[a, b]:
-                b = chain[-2]
-                chain = chain[:-2]
-                heights.append(d[a, b])
+                b, chain = chain[-2], chain[:-2]
+                found.append(d[a, b])
                 n = sizes[a] + sizes[b] + sizes
                 new = np.sqrt(np.maximum(0, ((sizes[a] + sizes) * d[a] ** 2 + (sizes[b] + sizes) * d[b] ** 2 - sizes * d[a, b] ** 2) / n))
                 alive[a], sizes[b] = False, sizes[a] + sizes[b]
@@ -195,11 +239,11 @@ def ward(rows: DataFrame, by: list[str], vector: str, most_rows: int = 2000) ->
                 d[b], d[:, b] = new, new
             else:
                 chain.append(b)
-        heights = sorted(heights)
-        return pd.DataFrame([[*key, i, h] for i, h in enumerate(heights)], columns=[*by, "merge", "height"])
+        return pd.DataFrame([[*key, h] for h in found], columns=[*by, "height"])
 
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    return rows.select(*by, vector).groupBy(*by).applyInPandas(run, ", ".join([*(f"{c} {kinds[c]}" for c in by), "merge int", "height double"]))
+    last = nodes.select(*by, "n", "c").groupBy(*by).applyInPandas(finish, f"{keys}, height double")
+    every = last if heights is None else heights.unionByName(last)
+    return numbered(every, [F.col("height")], "merge", by).select(*by, F.col("merge").cast("int").alias("merge"), "height")
 
 
 def cut_heights(heights: DataFrame, by: list[str]) -> DataFrame:

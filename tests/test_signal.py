@@ -150,8 +150,6 @@ def test_ward_heights(spark):
     rows = [("a", [0.0]), ("a", [1.0]), ("a", [10.0]), ("a", [12.0]), ("b", [5.0])]
     got = [r.height for r in models.ward(spark.createDataFrame(rows, "g string, v array<double>"), ["g"], "v").orderBy("height").collect()]
     assert got[:2] == pytest.approx([1.0, 2.0]) and got[2] == pytest.approx(10.5 * math.sqrt(2)) and len(got) == 3
-    with pytest.raises(Exception, match="most_rows"):
-        models.ward(spark.createDataFrame(rows, "g string, v array<double>"), ["g"], "v", most_rows=2).collect()
 
 
 def test_height_gate_is_monotone(spark):
@@ -279,3 +277,13 @@ def test_integer_traces_are_searched_rounded(spark):
     flat = search.rounded(points(spark, made)).withColumns({k: F.lit(v) for k, v in (("start_thr", 5.0), ("stop_thr", 5.0), ("height_thr", 4.99))})
     got = {(r.channel, r.start_idx): (r.end_idx, round(r.area, 6)) for r in search.hysteresis_search(flat).collect()}
     assert got == {("counts", 1): (2, 10.0), ("counts", 4): (4, 7.03), ("real", 1): (1, 5.3), ("real", 4): (4, 7.4)}
+
+
+def test_ward_of_large_groups_equals_small(spark):
+    rng = random.Random(34)
+    rows = [("a", [rng.gauss(0, 1) for _ in range(5)]) for _ in range(70)] + [("b", [float(i), 0.0]) for i in range(12)] + [("c", [1.0])]
+    df = spark.createDataFrame(rows, "g string, v array<double>")
+    one = [(r.g, r.merge, round(r.height, 9)) for r in models.ward(df, ["g"], "v").orderBy("g", "merge").collect()]
+    two = [(r.g, r.merge, round(r.height, 9)) for r in models.ward(df, ["g"], "v", most_rows=10, block_rows=8).orderBy("g", "merge").collect()]
+    assert len(one) == 80 and [x for x in one if x[0] == "a"] == [x for x in two if x[0] == "a"]
+    assert sum(x[0] == "b" for x in two) == 11
