@@ -1,6 +1,7 @@
-"""Queries of the ten corpus operators, with their SQL where SQL can state them."""
+"""Queries of the corpus operators, with their SQL where SQL can state them."""
 
 from collections.abc import Callable
+from itertools import permutations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -8,14 +9,17 @@ from pyspark.sql import functions as F
 from .bpe import bpe_round_trip
 from .chat_format import PART, format_chat, masked, read_back
 from .exact_dedup import exact_dedup
+from .filter_audit import filter_audit, quality_flags, with_labels
 from .jaccard_join import jaccard_groups
 from .line_dedup import ROLL, line_dedup
 from .mixing import mix_sources
+from .quality import score_quality
 from .search import bm25_top_k
 from .secret_scan import scan_secrets
 from .shared import table
 from .substring_dedup import substring_dedup
 from .toxicity import score_toxicity
+from .vector_codes import compress_vectors
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,9 +165,69 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
 """
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress_vectors(table(spark, sf_dir, "embeddings")).drop("label")
+
+
+#: One round: the nearest entry of each part (the lower index on a tie), and then the entries' floored means.
+OP11_ROUND = """
+a{r} AS (SELECT rid, part, arg_min(e, far * 256 + e) AS e, min(far) AS far FROM (
+  SELECT p.rid, p.part, b.e, CAST(list_inner_product(p.w, p.w) - 2 * list_inner_product(p.w, b.w) + list_inner_product(b.w, b.w) AS BIGINT) AS far
+  FROM p JOIN b{r} b ON p.part = b.part) GROUP BY rid, part)"""
+OP11_MEANS = """
+m{r} AS (SELECT part, e, list(CAST((s - ((s % n) + n) % n) // n AS DOUBLE) ORDER BY i) AS w FROM (
+  SELECT a.part, a.e, i, sum(CAST(p.w[i] AS BIGINT))::BIGINT AS s, count(*) AS n FROM a{r} a JOIN p USING (rid, part), (SELECT unnest(range(1, 17)) AS i) GROUP BY ALL) GROUP BY part, e),
+b{n} AS (SELECT b.part, b.e, coalesce(m.w, b.w) AS w FROM b{r} b LEFT JOIN m{r} m ON m.part = b.part AND m.e = b.e)"""
+OP11_SQL = f"""
+WITH k AS (SELECT row_number() OVER () AS rid, vec_id, label, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT rid, part, v[16 * part + 1:16 * part + 16] AS w FROM k, (SELECT unnest(range(4)) AS part)),
+f AS (SELECT rid, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM k QUALIFY e < 256),
+b0 AS (SELECT part, e, w FROM p JOIN f USING (rid)),
+{",".join(OP11_ROUND.format(r=r) + "," + OP11_MEANS.format(r=r, n=r + 1) for r in range(4))},{OP11_ROUND.format(r=4)},
+c AS (SELECT rid, string_agg(printf('%02x', e), '' ORDER BY part) AS code, CAST(sum(far) AS BIGINT) AS error FROM a4 GROUP BY rid),
+h AS (SELECT sha256(string_agg(array_to_string(list_transform(w, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ','), ',' ORDER BY part, e)) AS sha FROM b4)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, sha AS codebooks_sha256 FROM k JOIN c USING (rid), h
+"""
+
+
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")).drop("text")
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flags = quality_flags(table(spark, sf_dir, "documents"))
+    return filter_audit(with_labels(flags, table(spark, sf_dir, "labels")))
+
+
+ORDERS = ", ".join(f"('{''.join(o)}')" for o in permutations("ABCDE"))
+OP13_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS words FROM documents),
+g AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+x AS (SELECT d.doc_id, part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+  (CASE WHEN len(words) < 50 THEN 'A' ELSE '' END) || (CASE WHEN 100 * len(list_distinct(words)) < 65 * len(words) THEN 'B' ELSE '' END)
+  || (CASE WHEN 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 5 * length(text) THEN 'C' ELSE '' END)
+  || (CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END)
+  || (CASE WHEN d.doc_id > min(d.doc_id) OVER (PARTITION BY text) THEN 'E' ELSE '' END) AS failed
+  FROM d LEFT JOIN g ON g.doc_id = d.doc_id),
+o AS (SELECT filter_order, unnest(range(1, 6)) AS step FROM (VALUES {ORDERS}) AS v(filter_order)),
+f AS (SELECT part, failed, good, toxic, count(*) AS n FROM x GROUP BY ALL),
+y AS (SELECT part, filter_order, CAST(step AS INTEGER) AS step, n, good, toxic, filter_order[step] AS own, contains(failed, filter_order[step]) AS fails, failed,
+  len(list_filter(range(1, step), lambda k: contains(failed, filter_order[k]))) > 0 AS gone FROM f, o),
+z AS (SELECT part, filter_order, step, any_value(own) AS own, sum(n) FILTER (WHERE NOT gone AND NOT fails) AS kept, sum(n) FILTER (WHERE fails AND NOT gone) AS removed,
+  sum(n) FILTER (WHERE fails AND gone) AS redundant, sum(n) FILTER (WHERE failed = own) AS unique_fails,
+  sum(n) FILTER (WHERE fails AND NOT gone AND good) AS good_lost, sum(n) FILTER (WHERE fails AND NOT gone AND toxic) AS toxic_lost FROM y GROUP BY part, filter_order, step)
+SELECT part, filter_order, step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(coalesce(redundant, 0) AS BIGINT) AS redundant,
+  CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails, CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+  CAST(coalesce(sum(removed) OVER (PARTITION BY part, own), 0) AS BIGINT) AS shapley FROM z
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_chat_format, op3_substring_dedup, op4_secret_scan, op5_line_dedup, op6_jaccard_join, op7_toxicity, op8_bm25_search, op9_bpe, op10_exact_dedup)}
+    made = (op1_mix_sources, op2_chat_format, op3_substring_dedup, op4_secret_scan, op5_line_dedup, op6_jaccard_join, op7_toxicity, op8_bm25_search, op9_bpe, op10_exact_dedup)
+    return {f.__name__: f for f in (*made, op11_vector_codes, op12_quality, op13_filter_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op6_jaccard_join": OP6_SQL, "op8_bm25_search": OP8_SQL, "op5_line_dedup": OP5_SQL, "op10_exact_dedup": OP10_SQL}
+    found = {"op2_chat_format": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op6_jaccard_join": OP6_SQL, "op8_bm25_search": OP8_SQL, "op5_line_dedup": OP5_SQL, "op10_exact_dedup": OP10_SQL}
+    return found | {"op11_vector_codes": OP11_SQL, "op13_filter_audit": OP13_SQL}
