@@ -1,7 +1,6 @@
 """Special functions for vectorised kernels: incomplete gamma and beta, Poisson and compound-Poisson quantiles."""
 
 import math
-from statistics import NormalDist
 
 import numpy as np
 
@@ -154,20 +153,41 @@ def t_quantile(p: float, dof: float) -> float:
     return (lo + hi) / 2
 
 
-def compound_poisson_limit(mean: float, shape: float, alpha: float) -> float:
-    """DIS5: quantile of a Poisson number of lognormal pulses (mean 1, log-sd shape), each sum taken as a lognormal of equal mean and variance."""
-    if mean <= 0:
-        return 0.0
-    ks = np.arange(1, max(10, int(mean + 12 * math.sqrt(mean) + 20)))
-    weights = np.exp(ks * math.log(mean) - mean - np.array([math.lgamma(k + 1) for k in ks]))
-    spread = np.log1p((math.exp(shape * shape) - 1) / ks)
-    centre, scale, normal = np.log(ks) - spread / 2, np.sqrt(spread), NormalDist()
+#: erfc of arrays; as exact as the scalar one.
+_erfc = np.frompyfunc(math.erfc, 1, 1)
+
+
+def normal_tails(z: np.ndarray) -> np.ndarray:
+    return 0.5 * _erfc(z / math.sqrt(2)).astype(float)
+
 
-    def above(x: float) -> float:
-        return float(sum(w * (1 - normal.cdf((math.log(x) - c) / s)) for w, c, s in zip(weights, centre, scale, strict=True)))
+def compound_poisson_tail(mean: float, shape: float):
+    """P(sum > x), as a function of x > 0, of a Poisson number of lognormal pulses (mean 1, log-sd shape); each sum of k is taken as a lognormal of equal mean and variance.
 
-    lo, hi = 1e-9, mean + 60 * math.sqrt(mean) + 60
-    for _ in range(100):
+    Numbers of pulses within twelve spreads of the mean count: what is left out has less than 1e-30.
+    """
+    reach = 12 * math.sqrt(mean)
+    ks = np.arange(max(1, math.floor(mean - reach - 12)), math.ceil(mean + reach + 40) + 1)
+    log_factorial = math.lgamma(ks[0] + 1) + np.concatenate([[0.0], np.cumsum(np.log(ks[1:]))])
+    weights = np.exp(ks * math.log(mean) - mean - log_factorial)
+    spread = np.log1p(math.expm1(shape * shape) / ks)
+    centre, scale = np.log(ks) - spread / 2, np.maximum(np.sqrt(spread), 1e-12)
+    return lambda x: float(weights @ normal_tails((math.log(x) - centre) / scale))
+
+
+def compound_poisson_limit(mean: float, shape: float, alpha: float) -> float:
+    """DIS5: the value that such a sum (see compound_poisson_tail) exceeds with probability alpha, to twelve digits; 0 for a mean of 0 or less, or where no pulse at all is likelier than 1 - alpha."""
+    if not 0 < alpha < 1:
+        raise ValueError("alpha lies between 0 and 1")
+    if not mean > 0 or -math.expm1(-mean) <= alpha:
+        return 0.0
+    above = compound_poisson_tail(mean, shape)
+    lo, hi = 0.0, max(1.0, 2 * mean)
+    while above(hi) > alpha:
+        lo, hi = hi, 2 * hi
+    while hi - lo > 1e-12 * hi:
         mid = (lo + hi) / 2
+        if mid in (lo, hi):
+            break
         lo, hi = (mid, hi) if above(mid) > alpha else (lo, mid)
     return hi

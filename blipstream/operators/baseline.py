@@ -149,15 +149,22 @@ def upper_p(location: Column, spread: Column, y: Column) -> dict[str, Column]:
 
 
 def fisher_tail(half: Column, terms: Column) -> Column:
-    """Upper chi-squared tail at 2 * half with 2 * terms degrees of freedom: exp(-half) * sum of half**j / j!, j < terms."""
-    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"))
+    """Upper chi-squared tail at 2 * half with 2 * terms degrees of freedom: the sum of exp(-half) * half**j / j! for j < terms.
+
+    The sum runs in one fold over logarithms of the terms, from twelve spreads below the largest to twelve above it, so
+    neither exp(-half) nor a power leaves the range of doubles, and the fold grows with the root of half only.
+    """
+    half, last = half.cast("double"), F.greatest(terms, F.lit(1)).cast("long") - 1
+    reach = F.ceil(12 * F.sqrt(half) + 40)
+    top = F.least(last, F.floor(half))
+    low = F.greatest(F.lit(0).cast("long"), top - reach)
+    start = F.struct((low * F.log(half) - half - log_gamma(low + 1.0)).alias("mass"), F.lit(0.0).alias("total"))
 
     def step(acc: Column, j: Column) -> Column:
-        term = acc["term"] * half / j
-        return F.struct(term.alias("term"), (acc["total"] + term).alias("total"))
+        return F.struct((acc["mass"] + F.log(half / (j + 1))).alias("mass"), (acc["total"] + F.exp(acc["mass"])).alias("total"))
 
-    js = F.when(terms > 1, F.sequence(F.lit(1), (terms - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
-    return F.exp(-half) * F.aggregate(js, start, step, lambda acc: acc["total"])
+    total = F.aggregate(F.sequence(low, F.least(last, top + reach)), start, step, lambda acc: acc["total"])
+    return F.when(half <= 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), total))
 
 
 MODELS = ("PESSIMISTIC", "THRESHOLD", "GAUSSIAN", "POISSON")

@@ -82,11 +82,11 @@ def box_plot(df: DataFrame, by: list[str], value: str) -> DataFrame:
 
 
 def kernel_density(df: DataFrame, value: str, grid: list[float]) -> DataFrame:
-    """AGG29: Gaussian kernel with Silverman's width on a fixed grid; each row adds to every grid point, summed map-side."""
+    """AGG29: Gaussian kernel with Silverman's width on a fixed grid; each row adds to every grid point, summed map-side. Null where the values have no spread, as there is no width then."""
     n = df.agg(F.count(value).alias("n"), F.stddev_samp(value).alias("sd")).withColumn("h", 1.06 * F.col("sd") * F.pow("n", F.lit(-0.2)))
     rows = df.crossJoin(F.broadcast(n)).withColumn("x", F.explode(F.array(*map(F.lit, grid))))  # one row
-    u = (F.col("x") - F.col(value)) / F.col("h")
-    return rows.groupBy("x").agg((F.sum(F.exp(-u * u / 2)) / (F.first("n") * F.first("h") * F.lit((2 * 3.141592653589793) ** 0.5))).alias("density"))
+    u = F.try_divide(F.col("x") - F.col(value), F.col("h"))
+    return rows.groupBy("x").agg(F.try_divide(F.sum(F.exp(-u * u / 2)), F.first("n") * F.first("h") * F.lit((2 * 3.141592653589793) ** 0.5)).alias("density"))
 
 
 def math_transform(x: Column, kind: str) -> Column:

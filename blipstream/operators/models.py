@@ -15,24 +15,24 @@ from .scan import neighbours, numbered, running_sum
 
 
 def ols(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
-    """MOD1: slope, intercept and R squared; a single point is joined by the origin."""
+    """MOD1: slope, intercept and R squared; a single point is joined by the origin (null slope if it stands at x = 0)."""
     s = df.groupBy(*by).agg(F.count("*").alias("n"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r2"), F.first(x).alias("__x"), F.first(y).alias("__y"))
     one = F.col("n") == 1
-    return s.select(*by, "n", F.when(one, F.col("__y") / F.col("__x")).otherwise(F.col("slope")).alias("slope"), F.when(one, 0.0).otherwise(F.col("intercept")).alias("intercept"), "r2")
+    return s.select(*by, "n", F.when(one, F.try_divide(F.col("__y"), F.col("__x"))).otherwise(F.col("slope")).alias("slope"), F.when(one, 0.0).otherwise(F.col("intercept")).alias("intercept"), "r2")
 
 
 def wls(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
-    """MOD2: weights 1 / y, or y where any y of the group is 0; closed form from weighted sums."""
+    """MOD2: weights 1 / y, or y where any y of the group is 0; closed form from weighted sums. Null where all x are equal or the weights add up to 0."""
     zero = df.groupBy(*by).agg(F.max((F.col(y) == 0).cast("int")).alias("__zero"))
-    w = F.when(F.col("__zero") == 1, F.col(y)).otherwise(1 / F.col(y))
+    w = F.when(F.col("__zero") == 1, F.col(y)).otherwise(F.try_divide(F.lit(1.0), F.col(y)))
     s = df.join(zero, by).withColumn("__w", w).groupBy(*by).agg(*[F.sum(e).alias(k) for k, e in (("sw", F.col("__w")), ("sx", F.col("__w") * F.col(x)), ("sy", F.col("__w") * F.col(y)), ("sxx", F.col("__w") * F.col(x) * F.col(x)), ("sxy", F.col("__w") * F.col(x) * F.col(y)))])
-    slope = (F.col("sw") * F.col("sxy") - F.col("sx") * F.col("sy")) / (F.col("sw") * F.col("sxx") - F.col("sx") * F.col("sx"))
-    return s.withColumn("slope", slope).withColumn("intercept", (F.col("sy") - F.col("slope") * F.col("sx")) / F.col("sw")).select(*by, "slope", "intercept")
+    slope = F.try_divide(F.col("sw") * F.col("sxy") - F.col("sx") * F.col("sy"), F.col("sw") * F.col("sxx") - F.col("sx") * F.col("sx"))
+    return s.withColumn("slope", slope).withColumn("intercept", F.try_divide(F.col("sy") - F.col("slope") * F.col("sx"), F.col("sw"))).select(*by, "slope", "intercept")
 
 
 def slope_only(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
-    """MOD3: least squares through the origin."""
-    return df.groupBy(*by).agg((F.sum(F.col(x) * F.col(y)) / F.sum(F.col(x) * F.col(x))).alias("slope"))
+    """MOD3: least squares through the origin; null where all x are 0."""
+    return df.groupBy(*by).agg(F.try_divide(F.sum(F.col(x) * F.col(y)), F.sum(F.col(x) * F.col(x))).alias("slope"))
 
 
 def collapse_x(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
@@ -121,20 +121,22 @@ def wilcoxon(df: DataFrame, group: str, a: str, b: str, value: str, order: str,
 
 
 def kruskal_wallis(df: DataFrame, group: str, value: str) -> DataFrame:
-    """MOD11: H with tie correction, in doubles, and its p."""
+    """MOD11: H with tie correction, in doubles, and its p; both null where all values are equal."""
     ranked = stored(rank_average(df.select(group, value), value), "ranks")
     n = ranked.count() * 1.0
     per = ranked.groupBy(group).agg(F.sum("rank").alias("r"), F.count("*").alias("k"))
     ties = df.groupBy(value).agg(F.count("*").alias("t")).agg(F.sum(F.pow("t", F.lit(3)) - F.col("t"))).first()[0] or 0.0
-    h = per.agg(((12 / (n * (n + 1)) * F.sum(F.col("r") * F.col("r") / F.col("k")) - 3 * (n + 1)) / (1 - ties / (n * n * n - n))).alias("h"), F.count("*").alias("groups"))
+    untied = F.lit(float(1 - ties / (n * n * n - n) if n > 1 else 0))
+    h = per.agg(F.try_divide(F.lit(12 / (n * (n + 1)) if n else 0.0) * F.sum(F.col("r") * F.col("r") / F.col("k")) - 3 * (n + 1), untied).alias("h"), F.count("*").alias("groups"))
     return h.select("h", p_column(lambda x, k: chi2_tail(x, k - 1), F.col("h"), F.col("groups")).alias("p"))
 
 
 def anova(df: DataFrame, group: str, value: str) -> DataFrame:
-    """MOD11: one-way F from group counts, means and variances, and its p."""
+    """MOD11: one-way F from group counts, means and variances, and its p; both null for one group or without spread within groups."""
     g = df.groupBy(group).agg(F.count("*").alias("n"), F.avg(value).alias("m"), F.var_samp(value).alias("v"))
     s = g.agg(F.count("*").alias("k"), F.sum("n").alias("N"), F.sum(F.col("n") * F.col("m")).alias("t"), F.sum(F.col("n") * F.col("m") * F.col("m")).alias("q"), F.sum((F.col("n") - 1) * F.col("v")).alias("w"))
-    f = ((F.col("q") - F.col("t") * F.col("t") / F.col("N")) / (F.col("k") - 1)) / (F.col("w") / (F.col("N") - F.col("k")))
+    between = F.try_divide(F.col("q") - F.try_divide(F.col("t") * F.col("t"), F.col("N")), F.col("k") - 1)
+    f = F.try_divide(between, F.try_divide(F.col("w"), F.col("N") - F.col("k")))
     return s.select(f.alias("f"), "k", "N").select("f", p_column(lambda x, k, n: f_tail(x, k - 1, n - k), F.col("f"), F.col("k"), F.col("N")).alias("p"))
 
 
@@ -144,20 +146,20 @@ def stars(p: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """SC18."""
+    """SC18; null where a vector is all zeros."""
 
     def dot(x: Column, y: Column) -> Column:
         return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda acc, v: acc + v)
 
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+    return F.try_divide(dot(a, b), F.sqrt(dot(a, a) * dot(b, b)))
 
 
 def z_scores(matrix: DataFrame, by: list[str], value: str) -> DataFrame:
-    """MOD6: shared shift to positive values, log2, z-score within by."""
+    """MOD6: shared shift to positive values, log2, z-score within by; 0 where all values are equal, null for a single value."""
     low = matrix.agg(F.min(value).alias("__low"))
     logs = matrix.crossJoin(F.broadcast(low)).withColumn("__x", F.log2(F.col(value) - F.col("__low") + 1))  # one row
     s = logs.groupBy(*by).agg(F.avg("__x").alias("__m"), F.stddev_samp("__x").alias("__s"))
-    return logs.join(s, by).withColumn("z", (F.col("__x") - F.col("__m")) / F.col("__s")).drop("__low", "__x", "__m", "__s")
+    return logs.join(s, by).withColumn("z", F.when(F.col("__s") == 0, 0.0).otherwise(F.try_divide(F.col("__x") - F.col("__m"), F.col("__s")))).drop("__low", "__x", "__m", "__s")
 
 
 def composition(spectra: DataFrame) -> DataFrame:

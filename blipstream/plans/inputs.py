@@ -9,18 +9,30 @@ from blipstream.operators.scan import numbered
 
 from .stored import stored
 
-#: Points that this application has numbered already, by application, kind and folder.
-_made: dict[tuple[str, str, str], DataFrame] = {}
+#: Points that this application has numbered already, by application, kind, folder and state of the files read.
+_made: dict[tuple, DataFrame] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def once(spark: SparkSession, kind: str, sf_dir: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """Numbering sorts all rows, so each application does it once per input and reads the written points afterwards."""
-    key = (spark.sparkContext.applicationId, kind, sf_dir)
+def files_of(spark: SparkSession, path: str) -> tuple:
+    """(path, bytes, time of change) of every file below path, by whatever file system holds it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found, files = at.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(at, True), []
+    while found.hasNext():
+        f = found.next()
+        files.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(files))
+
+
+def once(spark: SparkSession, kind: str, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """Numbering sorts all rows, so each application does it once per state of the table's files and reads the written points afterwards; a file that changed is read anew."""
+    key = (spark.sparkContext.applicationId, kind, sf_dir, files_of(spark, f"{sf_dir}/{name}.parquet"))
     if key not in _made:
+        for old in [k for k in _made if k[:3] == key[:3]]:
+            del _made[old]
         _made[key] = stored(make(), kind)
     return _made[key]
 
@@ -35,7 +47,7 @@ def event_points(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit("s1").alias("sample_id"), "channel", F.col("idx").cast("int").alias("idx"), ((F.col("us") - F.lit(first)) / 1e6).alias("time_s"), "intensity"
         )
 
-    return once(spark, "event-points", sf_dir, make)
+    return once(spark, "event-points", sf_dir, "events", make)
 
 
 def count_points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +60,7 @@ def count_points(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit("s1").alias("sample_id"), "channel", F.col("idx").cast("int").alias("idx"), F.col("l_quantity").alias("intensity"), ((F.col("idx") + 1) * F.lit(1e-4)).alias("time_s")
         )
 
-    return once(spark, "count-points", sf_dir, make)
+    return once(spark, "count-points", sf_dir, "lineitem", make)
 
 
 #: The same in DuckDB.
