@@ -248,8 +248,30 @@ def ward(rows: DataFrame, by: list[str], vector: str, most_rows: int = 1000, blo
     return numbered(every, [F.col("height")], "merge", by).select(*by, F.col("merge").cast("int").alias("merge"), "height")
 
 
-def cut_heights(heights: DataFrame, by: list[str]) -> DataFrame:
-    """MOD8: suggested cuts: half the greatest height, and the middle of the largest step between heights."""
-    w = Window.partitionBy(*by).orderBy("height", "merge")
-    steps = heights.withColumn("__next", F.lead("height").over(w))
-    return steps.groupBy(*by).agg((F.max("height") / 2).alias("half"), F.max_by((F.col("height") + F.col("__next")) / 2, F.round(F.col("__next") - F.col("height"), 9)).alias("largest_step"))
+def cut_heights(heights: DataFrame, by: list[str], top: int = 100) -> DataFrame:
+    """MOD8: suggested cuts of a group's merges (numbered from 0, lowest first): half, largest_step and elbow.
+
+    half is half the greatest height. largest_step lies in the middle of the largest step between neighbouring heights, of
+    equal steps the lowest; it is 0.9 heights where there is one merge only. elbow is the height furthest below the chord
+    of the ``top`` highest, drawn from the highest at (0, 1) to the lowest of them at (1, share of the highest); of equally
+    far ones the highest, the lowest of them where there are two or fewer, 0.9 heights of a single merge, and the least
+    height where all are 0. Only the ``top`` highest merges of a group meet; steps come by an equi-join on the number.
+    """
+    s = heights.groupBy(*by).agg(F.count("*").alias("__n"), F.max("height").alias("__max"), F.min("height").alias("__min"))
+    after = heights.select(*by, (F.col("merge") - 1).alias("merge"), F.col("height").alias("__next"))
+    gap = F.round(F.col("__next") - F.col("height"), 9)
+    steps = heights.join(after, [*by, "merge"]).groupBy(*by).agg(F.max_by((F.col("height") + F.col("__next")) / 2, F.struct(gap, -F.col("merge"))).alias("__step"))
+    k = F.least(F.col("__n"), F.lit(top))
+    last = heights.join(s, by).where(F.col("merge") >= F.col("__n") - k).withColumn("__i", F.col("__n") - 1 - F.col("merge"))
+    low = last.where(F.col("merge") == F.col("__n") - k).select(*by, F.col("height").alias("__low"))
+    x, drop = F.try_divide(F.col("__i"), k - 1), F.try_divide(F.col("__low"), F.col("__max")) - 1
+    far = (x * drop - (F.try_divide(F.col("height"), F.col("__max")) - 1)) / F.sqrt(1 + drop * drop)
+    inner = last.join(low, by).where((F.col("__i") > 0) & (F.col("__i") < k - 1)).withColumn("__far", far)
+    elbows = inner.groupBy(*by).agg(F.max_by("height", F.struct(F.round("__far", 12), -F.col("__i"))).alias("__elbow"))
+    one = F.col("__n") == 1
+    return s.join(steps, by, "left").join(low, by).join(elbows, by, "left").select(
+        *by,
+        (F.col("__max") / 2).alias("half"),
+        F.when(one, 0.9 * F.col("__max")).otherwise(F.col("__step")).alias("largest_step"),
+        F.when(one, 0.9 * F.col("__max")).when(F.col("__max") == 0, F.col("__min")).otherwise(F.coalesce("__elbow", "__low")).alias("elbow"),
+    )

@@ -210,6 +210,13 @@ def mod9_agglomerate(spark, sf_dir):
     return spectra.agglomerate(c, "centroid", "weight", 0.5)
 
 
+@query()
+def mod9_agglomerate_blocks(spark, sf_dir):
+    """Every vector is a cluster of its own: over a block of centroids, merged with the drift guard."""
+    c = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("cluster"), F.lit(1.0).alias("weight"), "embedding")
+    return spectra.agglomerate(c, "embedding", "weight", 0.6, block_rows=200)
+
+
 @query(f"""WITH {COUNT_POINTS}, n AS (SELECT channel, count(*) AS n FROM pts GROUP BY channel), a AS (SELECT channel, n, 0 AS anchor FROM n UNION SELECT channel, n, n - 1 FROM n UNION SELECT channel, n, unnest(range(0, greatest(1, n // 5000))) * 5000 + 2500 FROM n)
 SELECT channel, CAST(anchor AS INTEGER) AS anchor FROM a WHERE anchor < n""")
 def seq18_polyline(spark, sf_dir):
