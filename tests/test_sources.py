@@ -69,6 +69,66 @@ def test_other_csv_layouts(spark, tmp_path):
     assert [r.text for r in src.merge_columns(spark, [c, k]).orderBy("line").collect()] == ["t;x,peak,area,height,duration,points", "0.5;3,1.0,5,3,20,4"]
 
 
+def test_unequal_columns_scans_and_units(spark, tmp_path):
+    head = "C:\\run\\b.d\nIntensity Vs Time,{}\nbatch\nTime [Sec],Ag107,Au197\n"
+    lines = [(0.1, "1", "5"), (0.2, "2", ""), (0.3, "3", "7"), (0.3, "4", "8"), (20.0, "0", "9"), (20.1, "0", "9"), (20.2, "0", "9")]
+    body = "".join(f"{t},{a},{b}\n" for t, a, b in lines)
+    got = rows(src.agilent(spark, put(tmp_path / "u.csv", head.format("CPS") + body), conversion="KEEP_AS_IS"), "sample_id", "channel", "idx", "time_s", "intensity")
+    # Au197 has six values, so all is cut to six rows; the value that is missing lets the later ones move up. A second section keeps Au197 alone.
+    assert got == [("u#0", "Ag107", i, pytest.approx(0.1 * (i + 1)), float(i + 1)) for i in range(4)] + [("u#0", "Au197", i, pytest.approx(0.1 * (i + 1)), v) for i, v in enumerate((5.0, 7.0, 8.0, 9.0))] + [
+        ("u#1", "Au197", i, pytest.approx(20.0 + 0.1 * i), 9.0) for i in range(2)
+    ]
+    even = "".join(f"{0.1 * i:.1f},{i},{2 * i}\n" for i in range(1, 5))
+    scan = rows(src.agilent(spark, put(tmp_path / "s.csv", head.format("CPS") + even), scanned=True), "channel", "time_s", "intensity")
+    assert scan[0] == ("Ag107", pytest.approx(0.05), pytest.approx(0.05)) and scan[-1] == ("Au197", pytest.approx(0.2), pytest.approx(0.4))
+    assert rows(src.agilent(spark, put(tmp_path / "c.csv", head.format("Counts") + even)), "channel", "intensity")[3] == ("Ag107", 4.0)
+    assert rows(src.agilent(spark, put(tmp_path / "n.csv", head.format("?") + even), conversion="CONVERT"), "channel", "intensity")[3] == ("Ag107", pytest.approx(0.4))
+    assert src.agilent(spark, put(tmp_path / "m.csv", head.format("CPS").replace(",Au197", "") + even)).count() == 0
+    with pytest.raises(ValueError):
+        src.agilent(spark, str(tmp_path), conversion="MAYBE")
+
+
+def test_scan_blocks_with_flags_and_counts(spark, tmp_path):
+    block = "x,Processed data,,\n{},,,\n,,Ag107,Au197\n" + "".join(f"{i},{0.2 * i:.1f},{10 * i},{100 * i}\n" for i in range(1, 5))
+    p = put(tmp_path / "j.csv", block.format("one") + block.format("two") + "bad,0.9,n/a,5\n")
+    got = rows(src.analytik_jena(spark, p, trigger=300.0), "sample_id", "channel", "idx", "time_s", "intensity", "over_range")
+    assert got[:2] == [("one", "Ag107", 0, pytest.approx(0.1), 10.0, False), ("one", "Ag107", 1, pytest.approx(0.2), 20.0, False)]
+    assert [r[2] for r in got if r[5]] == [2, 3, 2, 3] and len(got) == 17 and got[-1][:3] == ("two", "Au197", 4)
+    counts = rows(src.analytik_jena(spark, p, trigger=300.0, counts=True), "sample_id", "channel", "idx", "intensity", "over_range")
+    assert counts[3] == ("one", "Ag107", 3, pytest.approx(4.0), False) and counts[7] == ("one", "Au197", 3, pytest.approx(40.0), True)
+    assert {r.over_range for r in src.analytik_jena(spark, p, trigger=-1.0).collect()} == {False}
+    wide = "Processed\nw\n,Time," + ",".join(f"m{i}" for i in range(120)) + "\n0,1.2," + ",".join(map(str, range(120))) + "\n"
+    assert src.analytik_jena(spark, put(tmp_path / "w.csv", wide)).count() == 120
+
+
+def test_lines_of_split_files(spark, tmp_path):
+    """A file of many splits gives the lines, and a layout the points, that reading it in one piece gives."""
+    text = "".join("\n" if i % 7 == 3 else f"{0.1 * i:.1f},{i}\n" if i else "Time,Ag107\n" for i in range(3000))
+    (tmp_path / "a" / "b").mkdir(parents=True)
+    p = put(tmp_path / "a" / "long.csv", text)
+    put(tmp_path / "a" / "b" / "deep.csv", "0.5,1\r\n\r\n0.6,2\r\n")
+    put(tmp_path / "a" / "notes.txt", "no,points\n")
+    whole = {(r.file, r.line): r.text for r in src.numbered_lines(spark, p).collect()}
+    assert len(whole) == sum(1 for i in range(3000) if i % 7 != 3) and {t for (_, k), t in whole.items() if k == 2998} == {"299.8,2998"}
+    points = rows(src.custom_points(spark, p), "channel", "idx", "time_s", "intensity")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "2048")
+        assert spark.read.text(p).rdd.getNumPartitions() > 10
+        assert {(r.file, r.line): r.text for r in src.numbered_lines(spark, p).collect()} == whole
+        assert rows(src.custom_points(spark, p), "channel", "idx", "time_s", "intensity") == points
+        every = src.numbered_lines(spark, str(tmp_path / "a"))
+        assert {r[0].rsplit("/", 1)[1] for r in every.select("file").distinct().collect()} == {"long.csv", "deep.csv", "notes.txt"}
+        assert [(r.line, r.text) for r in every.where("file like '%deep.csv'").orderBy("line").collect()] == [(0, "0.5,1"), (2, "0.6,2")]
+        for found, names in ((dict(depth=1), {"long.csv", "notes.txt"}), (dict(keep=[".csv"]), {"long.csv", "deep.csv"}), (dict(drop=[".csv"]), {"notes.txt"}), (dict(depth=1, keep=[".csv"]), {"long.csv"})):
+            assert {r[0].rsplit("/", 1)[1] for r in src.numbered_lines(spark, str(tmp_path / "a"), **found).select("file").distinct().collect()} == names
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    (tmp_path / "latin.csv").write_bytes("µ,é\n1,2\n".encode("latin-1"))
+    (tmp_path / "wide.csv").write_bytes("µ,é\n\n1,2\n".encode("utf-16"))
+    assert src.numbered_lines(spark, str(tmp_path / "latin.csv"), "ISO-8859-1").orderBy("line").first().text == "µ,é"
+    assert [(r.line, r.text) for r in src.numbered_lines(spark, str(tmp_path / "wide.csv"), "UTF-16").orderBy("line").collect()] == [(0, "µ,é"), (2, "1,2")]
+
+
 def test_time_of_flight_run(spark, tmp_path):
     d = tmp_path / "run"
     d.mkdir()
