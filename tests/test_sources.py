@@ -143,6 +143,43 @@ def test_time_of_flight_run(spark, tmp_path):
     assert nu.busy_channels(p.withColumn("intensity", F.col("intensity") * 10), 0.0, 1).count() == 1
 
 
+def test_run_by_its_index(spark, tmp_path):
+    d = tmp_path / "run"
+    d.mkdir()
+    segments = [{"Num": 1, "AcquisitionPeriodNs": 25_000.0, "AcquisitionTriggerDelayNs": 4.0, "AcquisitionCount": 10}]
+    coefs = {"MassCalCoefficients": [0.0, 1.0], "BlMassCalStartCoef": [-0.1, 0.8], "BlMassCalEndCoef": [-0.1, 0.8]}
+    (d / "run.info").write_text(json.dumps({**coefs, "NumAccumulations1": 2, "NumAccumulations2": 1, "AverageSingleIonArea": 2.0, "SegmentInfo": segments}))
+    centres = [2.0, 4.0, 6.0]  # masses 25, 36, 49
+
+    def record(cycle, acq, signals):
+        return struct.pack("<4i", cycle, 1, acq, len(signals)) + b"".join(struct.pack("<fffB", c, s, 0.0, 0) for c, s in zip(centres, signals, strict=False))
+
+    files = {7: [record(1, 2 * k, [k, 2 * k, 3 * k]) for k in range(1, 4)], 3: [record(1, 8, [8, 8, 8]), record(2, 0, [9, 9]), record(2, 2, [10, 10, 10])], 4: [record(9, 9, [1, 1, 1])], 5: [record(2, 4, [11, 11, 11])]}
+    for n, made in files.items():
+        content = b"".join(made) + (b"\x01\x02" if n == 7 else b"")  # the end of one is cut
+        (d / f"{n}.integ").write_bytes(gzip.compress(content) if n == 3 else content)
+    index = [(7, 1, 1, 2), (3, 1, 1, 8), (4, 1, 1, 0), (8, 1, 1, 0), (5, 2, 1, 4)]  # 4 begins otherwise, 8 is missing
+    (d / "integrated.index").write_text(json.dumps([dict(zip(("FileNum", "FirstCycNum", "FirstSegNum", "FirstAcqNum"), e, strict=True)) for e in index]))
+
+    def event(kind, cycle, acq, edges):
+        return struct.pack("<5iBi", cycle, 1, acq, 0, 0, kind, len(edges)) + struct.pack(f"<{len(edges)}I", *edges)
+
+    # Edges less 0.1 are square roots of masses here. A closing at first, an opening within an opening, and a cut event don't count.
+    (d / "2.autob").write_bytes(event(1, 1, 0, []) + event(0, 1, 4, [5, 6, 7, 8]) + event(0, 1, 6, [5, 8]))
+    (d / "1.autob").write_bytes(event(1, 2, 1, []) + event(0, 2, 2, [7, 5]) + event(1, 2, 4, []) + event(0, 3, 0, [5, 6])[:-2])
+    (d / "autob.index").write_text(json.dumps([{"FileNum": 2}, {"FileNum": 1}]))
+    run = nu.indexed_run(spark, str(d))
+    got = rows(run.points, "channel", "idx", "time_s", "intensity", "mz")
+    signals = [[1, 2, 3], [2, 4, 6], [3, 6, 9], [8, 8, 8], [9, 9], [10, 10, 10], [11, 11, 11]]
+    assert got == sorted((f"mz{c:03d}", i, pytest.approx(5e-5 * (i + 1)), s / 2, [25.0, 36.0, 49.0][c]) for i, of in enumerate(signals) for c, s in enumerate(of))
+    assert rows(run.blanked, "sample_id", "channel", "start_idx", "end_idx") == [("run", "mz000", 2, 5), ("run", "mz002", 2, 5)]
+    left = nu.blanked(run.points, run.blanked)
+    assert left.count() == len(got) - 4 - 3 and left.where("channel = 'mz001'").count() == 7
+    (d / "integrated.index").write_text("[]")
+    with pytest.raises(ValueError):
+        nu.indexed_run(spark, str(d))
+
+
 def test_sinks(spark, tmp_path):
     p = spark.createDataFrame([("s", "a", 0, 1.0), ("s", "b", 0, 2.0)], "sample_id string, channel string, idx int, intensity double")
     assert sinks.raw_table(p, ["a", "b"]).collect()[0][2:] == (1.0, 2.0)
