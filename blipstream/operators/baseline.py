@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scan import TRACE
+from .settle import settled
 
 SLICE = [*TRACE, "slice_idx"]
 #: Thresholds are never below this in protected look-ups.
@@ -53,6 +54,28 @@ def converged(points: DataFrame, z: float = 3.0, offset: float = 0.0, most: int
     return points.select(*SLICE, "intensity").groupBy(*SLICE).applyInPandas(run, "sample_id string, channel string, slice_idx int, location double, spread double, n_kept long, rounds int")
 
 
+def converged_rounds(points: DataFrame, z: float = 3.0, offset: float = 0.0, poisson: bool = False, most: int = 1000) -> DataFrame:
+    """SEQ2a until nothing more is removed, for slices of any length: location, spread, n_kept and rounds; what was removed once stays out.
+
+    Each round is one aggregation of all points (see settle.settled), so a whole trace as one slice is as many tasks as it has
+    blocks; slices that fit into a task are quicker with ``converged``.
+    """
+    values = points.select(*SLICE, F.col("intensity").alias("__x"))
+    first = values.select(*SLICE).distinct().withColumns({"__lo": F.lit(float("-inf")), "__hi": F.lit(float("inf"))})
+    mean, spread = F.coalesce(F.avg("__in"), F.lit(0.0)), F.sqrt(F.avg("__in")) if poisson else F.stddev_samp("__in")
+    wide = z * F.col("spread") + offset
+    done = settled(
+        values,
+        first,
+        [mean.alias("location"), F.coalesce(spread, F.lit(0.0)).alias("spread")],
+        lambda: (F.greatest("__was_lo", F.col("location") - wide), F.least("__was_hi", F.col("location") + wide)),
+        "converged",
+        most + 1,
+        keys=SLICE,
+    )
+    return done.select(*SLICE, "location", "spread", F.col("n").alias("n_kept"), "rounds")
+
+
 def smart_clipped(points: DataFrame, start: float = 1.0, most: float = 10.0, fine: float = 0.1, near_zero: float = 0.1, worst_rsd: float = 1.5) -> DataFrame:
     """SEQ2b: the clipping factor grows by one until the clipped spread reaches 0.05, once more, then backs off finely while the relative spread is too large."""
 

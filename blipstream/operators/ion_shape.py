@@ -1,13 +1,12 @@
 """AGG25, AGG26: the log-sd of single-ion pulses, from the lowest non-zero values, from moments, or a blend of both."""
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.stored import stored
 from .scan import TRACE, numbered
 from .search import spread_over
+from .settle import settled
 
 #: Traces need more zeros than this; more non-zero blanked points than this are used alone.
 LEAST_ZEROS, LEAST_BLANKED = 50, 50
@@ -27,28 +26,6 @@ def unblanked(points: DataFrame, blanked: DataFrame | None) -> DataFrame:
     return marked.join(enough, TRACE, "left").where(F.col("__alone").isNull() | (F.col("__alone") == F.col("__off"))).drop("__off", "__alone")
 
 
-def settled(values: DataFrame, first: DataFrame, stats: list[Column], bounds: Callable[[], tuple[Column, Column]], name: str, rounds: int = MOST_ROUNDS) -> DataFrame:
-    """(trace, stats, n) of the values within an interval [__lo, __hi] per trace that ``bounds`` derives from the stats, again and again until no value changes sides.
-
-    A round is one aggregation of all values and writes one row a trace; it also counts the values that changed sides, so
-    the last round is seen in the one after.
-    """
-    bounded = first.withColumns({"__was_lo": F.lit(float("-inf")), "__was_hi": F.lit(float("-inf"))})
-    for _ in range(rounds):
-        x = F.col("__x")
-        now, was = x.between(F.col("__lo"), F.col("__hi")), x.between(F.col("__was_lo"), F.col("__was_hi"))
-        met = values.join(bounded.select(*TRACE, "__lo", "__hi", "__was_lo", "__was_hi"), TRACE).withColumn("__in", F.when(now, x)).withColumn("__moved", (now != was).cast("long"))
-        of = met.groupBy(*TRACE).agg(F.count("__in").alias("n"), *stats, F.sum("__moved").alias("__moved"), F.first("__lo").alias("__was_lo"), F.first("__hi").alias("__was_hi"))
-        state = stored(of, name)
-        lo, hi = bounds()
-        if state.where((F.col("__moved") > 0) & (F.col("n") >= LEAST_VALUES)).isEmpty():
-            break
-        # A trace that has settled keeps its interval.
-        still = F.col("__moved") == 0
-        bounded = state.select(*TRACE, F.when(still, F.col("__was_lo")).otherwise(lo).alias("__lo"), F.when(still, F.col("__was_hi")).otherwise(hi).alias("__hi"), "__was_lo", "__was_hi")
-    return state.drop("__moved", "__was_lo", "__was_hi")
-
-
 def window_shape(points: DataFrame, rates: DataFrame, clip: float) -> DataFrame:
     """(trace, window): SD of the logarithms of the lowest non-zero values, as many as single pulses are expected among them, within clip SDs of their mean.
 
@@ -61,7 +38,7 @@ def window_shape(points: DataFrame, rates: DataFrame, clip: float) -> DataFrame:
     window = stored(ranked.join(edge, TRACE).where("v <= __edge").select(*TRACE, F.log("v").alias("__x")), "ion-window")
     everything = window.select(*TRACE).distinct().withColumns({"__lo": F.lit(float("-inf")), "__hi": F.lit(float("inf"))})
     stats = [F.avg("__in").alias("__mean"), F.coalesce(F.stddev_pop("__in"), F.lit(0.0)).alias("__sd")]
-    done = settled(window, everything, stats, lambda: (F.col("__mean") - clip * F.col("__sd"), F.col("__mean") + clip * F.col("__sd")), "ion-window-round")
+    done = settled(window, everything, stats, lambda: (F.col("__mean") - clip * F.col("__sd"), F.col("__mean") + clip * F.col("__sd")), "ion-window-round", MOST_ROUNDS, LEAST_VALUES)
     return done.select(*TRACE, F.when((F.col("n") >= LEAST_VALUES) & (F.col("__sd") > 0), F.col("__sd")).alias("window"))
 
 
@@ -72,7 +49,7 @@ def moment_shape(points: DataFrame, rates: DataFrame, trim: float) -> DataFrame:
     stats = [F.count(positive).alias("__k"), F.avg(positive).alias("__mean"), F.coalesce(F.stddev_pop(positive), F.lit(0.0)).alias("__sd"), F.avg("__in").alias("__m"), F.var_pop("__in").alias("__v")]
     everything = rates.select(*TRACE).withColumns({"__lo": F.lit(float("-inf")), "__hi": F.lit(float("inf"))})
     # What was cut once stays cut.
-    done = settled(values, everything, stats, lambda: (F.lit(float("-inf")), F.least(F.col("__was_hi"), F.coalesce(F.col("__mean") + trim * F.col("__sd"), F.lit(float("inf"))))), "ion-moment-round", MOST_ROUNDS + 1)
+    done = settled(values, everything, stats, lambda: (F.lit(float("-inf")), F.least(F.col("__was_hi"), F.coalesce(F.col("__mean") + trim * F.col("__sd"), F.lit(float("inf"))))), "ion-moment-round", MOST_ROUNDS + 1, LEAST_VALUES)
     ratio = F.try_divide(F.col("__v") * F.col("rate"), F.col("__m") * F.col("__m"))
     found = done.join(rates.select(*TRACE, "rate"), TRACE)
     return found.select(*TRACE, F.when((F.col("__k") >= LEAST_VALUES) & (ratio > 1), F.sqrt(F.log(ratio))).alias("moments"))

@@ -2,9 +2,9 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from blipstream.plans import more_queries, report_queries, rolling_queries, signal_queries, table_queries
+from blipstream.plans import method_queries, more_queries, report_queries, rolling_queries, signal_queries, table_queries
 
-MODULES = [signal_queries, table_queries, more_queries, report_queries, rolling_queries]
+MODULES = [signal_queries, table_queries, more_queries, report_queries, rolling_queries, method_queries]
 
 
 def queries():
