@@ -46,6 +46,12 @@ def molar_masses(table: DataFrame) -> DataFrame:
     return table.groupBy("element").agg((F.sum(F.col("exact_mass") * F.col("abundance")) / F.sum("abundance")).alias("molar_mass"), F.max_by("mass_number", "abundance").alias("most_abundant"))
 
 
+def split_signal(counts: DataFrame, table: DataFrame, value: str = "counts") -> DataFrame:
+    """SC13: counts of an element, split over its isotopes by abundance (shares of those listed); elements without isotopes go."""
+    shares = table.join(table.groupBy("element").agg(F.sum("abundance").alias("__all")), "element").select("element", "mass_number", F.try_divide(F.col("abundance"), F.col("__all")).alias("share"))
+    return counts.join(shares, "element").withColumn("isotope_counts", F.col(value) * F.col("share"))
+
+
 def convert(value: Column, family: str, source: str, target: str) -> Column:
     """SC9."""
     return value * (UNITS[family][source] / UNITS[family][target])

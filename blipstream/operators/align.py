@@ -91,6 +91,15 @@ def interferences(isotopes: DataFrame, mass: float, width: float = 0.5, shift: f
     return isotopes.select("element", "mass_number", F.explode(kinds).alias("__k")).select("element", "mass_number", "__k.kind", "__k.at").where(F.abs(F.col("at") - mass) <= width)
 
 
+def interferences_of(wanted: DataFrame, isotopes: DataFrame, width: float = 0.5, shift: float = 15.9949) -> DataFrame:
+    """JOI11 for a column of masses: wanted (mass, more) with the isotopes whose atom, oxide, doubly charged ion or dimer lies within width, by bins of width."""
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), e.alias("at")) for k, e in (("atom", F.col("exact_mass")), ("oxide", F.col("exact_mass") + shift), ("doubly charged", F.col("exact_mass") / 2), ("dimer", F.col("exact_mass") * 2))])
+    species = isotopes.select("element", "mass_number", F.explode(kinds).alias("__k")).select("element", "mass_number", "__k.kind", "__k.at", F.floor(F.col("__k.at") / width).alias("__bin"))
+    b = F.floor(F.col("mass") / width)
+    near = wanted.withColumn("__bin", F.explode(F.array(b - 1, b, b + 1))).join(species, "__bin")
+    return near.where(F.abs(F.col("at") - F.col("mass")) <= width).drop("__bin")
+
+
 def numbered_ratio(a: DataFrame, b: DataFrame) -> DataFrame:
     """SET6: number of shared indices of each overlapping pair."""
     return overlaps(a, b).withColumn("shared", F.least("end_idx", "other_end") - F.greatest("start_idx", "other_start") + 1)

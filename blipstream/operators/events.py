@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .quant import revert
 from .scan import TRACE, numbered, running_sum
 from .search import spread_over
 
@@ -88,10 +89,36 @@ def mad_fence(df: DataFrame, by: list[str], value: str, k: float = 1.5) -> DataF
     return df.join(d, by).where(F.abs(F.col(value) - F.col("__m")) <= k / 2 * F.col("__d")).drop("__m", "__d")
 
 
-def with_overrides(events: DataFrame, overrides: DataFrame, low: float, high: float, value: str) -> DataFrame:
-    """FIL4, FIL10: absolute bounds, replaced for the channels that overrides lists (channel, low, high)."""
-    joined = events.join(overrides, "channel", "left")
-    return joined.where(F.col(value).between(F.coalesce("low", F.lit(low)), F.coalesce("high", F.lit(high)))).drop("low", "high")
+def with_overrides(events: DataFrame, overrides: DataFrame, low: float, high: float, value: str, only_exceptions: bool = False) -> DataFrame:
+    """FIL4, FIL10: absolute bounds, replaced for the channels that overrides lists (channel, low, high); with only_exceptions the other channels keep all their events."""
+    joined = events.join(overrides.withColumn("__own", F.lit(True)), "channel", "left")
+    inside = F.col(value).between(F.coalesce("low", F.lit(low)), F.coalesce("high", F.lit(high)))
+    return joined.where(inside | F.col("__own").isNull() if only_exceptions else inside).drop("low", "high", "__own")
+
+
+def as_counts(bounds: DataFrame, calibration: DataFrame) -> DataFrame:
+    """FIL4: bounds (channel, low, high) in fg as bounds in counts by each channel's calibration, so that events are filtered without being quantified."""
+    given = bounds.join(calibration.select("channel", "strategy", "np_cts_per_fg", "ionic_cts_per_fg", "aerosol_te_pct"), "channel")
+    low, high = (revert(F.col(c), F.col("strategy"), F.col("np_cts_per_fg"), F.col("ionic_cts_per_fg"), F.col("aerosol_te_pct")).alias(c) for c in ("low", "high"))
+    return given.select("channel", low, high)
+
+
+def merged_samples(events: DataFrame, traces: DataFrame, groups: DataFrame) -> DataFrame:
+    """AGG14: (merged_id, channel) of samples merged by groups (sample_id, merged_id): events of all its samples together (n, mean, SD and median of net area), rate by all seconds, raw mean as the plain mean of the samples' means.
+
+    traces has (sample_id, channel, seconds, raw_mean). A sample without events of a channel still lends its seconds and mean.
+    """
+    of = traces.join(groups, "sample_id").groupBy("merged_id", "channel").agg(F.count("*").alias("n_samples"), F.sum("seconds").alias("seconds"), F.avg("raw_mean").alias("raw_mean"))
+    together = events.join(groups, "sample_id").select("merged_id", "channel", "net_area")
+    s = together.groupBy("merged_id", "channel").agg(F.count("*").alias("n"), F.avg("net_area").alias("mean_net_area"), F.stddev_samp("net_area").alias("sd_net_area"))
+    s = s.join(legacy_middle(together, ["merged_id", "channel"], "net_area").withColumnRenamed("middle", "median_net_area"), ["merged_id", "channel"])
+    n = F.coalesce("n", F.lit(0))
+    return of.join(s, ["merged_id", "channel"], "left").withColumn("n", n).withColumn("per_second", F.try_divide(n, F.col("seconds")))
+
+
+def legacy_middle(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """(by, middle): the median by numbers in ranges; no group is sorted whole, and none is held by a task."""
+    return legacy_percentiles(df, by, value, {"middle": 0.5})
 
 
 def gate(events: DataFrame, kind: str, target: float) -> DataFrame:

@@ -1,10 +1,13 @@
-"""A method file run from end to end, with the SQL of its steps."""
+"""A method file run from end to end, look-ups in quantile tables, jittered samples and further variants, with their SQL."""
 
 from pyspark.sql import functions as F
 
-from .inputs import event_points
+from blipstream.functions.distributions import compound_poisson_limit
+from blipstream.operators import events, lookup, quant, sampling, spectra, traces
+
+from .inputs import EVENT_POINTS, event_points, table
 from .method import compile_method
-from .signal_queries import FOUND
+from .signal_queries import FOUND, SQL as SIGNAL_SQL, found
 
 Q, SQL = {}, {}
 
@@ -39,3 +42,102 @@ METHOD = "<root><method>" + "".join(
 def src11_method(spark, sf_dir):
     found = compile_method(METHOD).run(event_points(spark, sf_dir))
     return found.select("channel", "start_idx", "end_idx", F.round("net_area", 6).alias("net_area"))
+
+
+#: A coarse grid of compound-Poisson quantiles.
+MEANS, SHAPES, ALPHAS = (1.0, 5.0, 20.0, 40.0, 80.0, 200.0), (0.3, 0.6), (1e-6, 1e-3)
+GRID = "grid(mean, shape, alpha, v) AS (VALUES " + ", ".join(f"({m}::DOUBLE, {s}::DOUBLE, {a}::DOUBLE, {compound_poisson_limit(m, s, a)!r}::DOUBLE)" for m in MEANS for s in SHAPES for a in ALPHAS) + ")"
+CORNERS = " UNION ALL ".join(
+    f"SELECT channel, part, location, shape, (SELECT v FROM grid g WHERE g.mean = m{i} AND g.shape = {SHAPES[j]} AND g.alpha = {ALPHAS[k]}) * ({'tm' if i else '(1 - tm)'}) * ({'ts' if j else '(1 - ts)'}) * ({'ta' if k else '(1 - ta)'}) AS v FROM c"
+    for i in (0, 1)
+    for j in (0, 1)
+    for k in (0, 1)
+)
+
+
+@query(f"""WITH {EVENT_POINTS}, {GRID}, s AS (SELECT channel, CAST(idx // 150 AS INTEGER) AS part, avg(intensity) AS location, 0.3 + 0.3 * (idx // 150 % 5) / 4.0 AS shape FROM pts GROUP BY channel, idx // 150),
+b AS (SELECT *, (SELECT max(mean) FROM grid WHERE mean <= location) AS m0, (SELECT min(mean) FROM grid WHERE mean > location) AS m1 FROM s), c AS (SELECT *, (location - m0) / (m1 - m0) AS tm, (shape - 0.3) / 0.3 AS ts, (1e-4 - 1e-6) / (1e-3 - 1e-6) AS ta FROM b)
+SELECT channel, part, round(sum(v), 6) AS critical FROM ({CORNERS}) GROUP BY channel, part""")
+def dis6_table_quantiles(spark, sf_dir):
+    """Compound-Poisson limits of short stretches, by eight nodes of a table each."""
+    part = F.floor(F.col("idx") / 150).cast("int")
+    s = event_points(spark, sf_dir).groupBy("channel", part.alias("part")).agg(F.avg("intensity").alias("mean")).withColumn("shape", 0.3 + 0.3 * (F.col("part") % 5) / 4.0).withColumn("alpha", F.lit(1e-4))
+    return lookup.looked_up(s, lookup.compound_grid(spark, MEANS, SHAPES, ALPHAS), "critical").select("channel", "part", F.round("critical", 6).alias("critical"))
+
+
+def jittered_sql(place: str) -> str:
+    return f"""WITH r AS (SELECT o_orderpriority, o_totalprice, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice) - 1 AS r, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders),
+t AS (SELECT DISTINCT o_orderpriority, n, i, CAST(floor(i / 99.0::DOUBLE * (n - 1) + 0.5) AS BIGINT) AS centre FROM r, (SELECT unnest(range(0, 100)) AS i)),
+k AS (SELECT o_orderpriority, i, CASE WHEN n <= 100 THEN i ELSE greatest(0, least(n - 1, centre + {place})) END AS r FROM t)
+SELECT k.o_orderpriority, CAST(i AS INTEGER) AS nth, o_totalprice FROM k JOIN r ON r.o_orderpriority = k.o_orderpriority AND r.r = k.r"""
+
+
+@query(jittered_sql("CAST(floor((i * 0.6180339887::DOUBLE) % 1 * 7) AS BIGINT) - 3"))
+def sc14_golden_jitter(spark, sf_dir):
+    return sampling.quantile_sample(table(spark, sf_dir, "orders"), ["o_orderpriority"], "o_totalprice", 100, 3, "GOLDEN")
+
+
+@query(jittered_sql("i % 7 - 3"))
+def sc14_hashed_jitter(spark, sf_dir):
+    return sampling.quantile_sample(table(spark, sf_dir, "orders"), ["o_orderpriority"], "o_totalprice", 100, 3, "HASHED")
+
+
+@query()
+def sc14_murmur_jitter(spark, sf_dir):
+    """As the others, moved by a hash that SQL doesn't have."""
+    return sampling.quantile_sample(table(spark, sf_dir, "orders"), ["o_orderpriority"], "o_totalprice", 100, 3, "MURMUR")
+
+
+@query("SELECT event_id FROM events WHERE event_type <> 'click' OR value BETWEEN 10 AND 30")
+def fil10_only_exceptions(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("channel"), "value")
+    own = spark.createDataFrame([("click", 10.0, 30.0)], "channel string, low double, high double")
+    return events.with_overrides(e, own, 20.0, 60.0, "value", only_exceptions=True).select("event_id")
+
+
+@query("SELECT event_id FROM events WHERE (event_type = 'click' AND value BETWEEN 5 * 2.0 AND 15 * 2.0) OR (event_type = 'view' AND value BETWEEN 5 * 5.0 / 0.4 AND 15 * 5.0 / 0.4)")
+def fil4_mass_bounds(spark, sf_dir):
+    """Bounds in fg, taken to counts by the calibration of each channel."""
+    e = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("channel"), "value")
+    cal = spark.createDataFrame([("click", "MASS", 2.0, 5.0, 40.0), ("view", "SIZE", 2.0, 5.0, 40.0)], "channel string, strategy string, np_cts_per_fg double, ionic_cts_per_fg double, aerosol_te_pct double")
+    bounds = events.as_counts(spark.createDataFrame([("click", 5.0, 15.0), ("view", 5.0, 15.0)], "channel string, low double, high double"), cal)
+    return events.with_overrides(e.join(bounds.select("channel"), "channel", "left_semi"), bounds, 0.0, 0.0, "value").select("event_id")
+
+
+@query("SELECT event_id, round(ln(value * (1 + event_id % 4)) - ln(1 + 0.25) / (1 + event_id % 4) / 2, 9) AS mu, round(sqrt(ln(1 + 0.25) / (1 + event_id % 4)), 9) AS sigma FROM events WHERE value > 0")
+def sc19_lo_sum(spark, sf_dir):
+    e = table(spark, sf_dir, "events").where("value > 0")
+    made = e.withColumn("s", quant.lognormal_sum_lo(F.col("value"), F.col("value") / 2, 1 + F.col("event_id") % 4))
+    return made.select("event_id", F.round("s.mu", 9).alias("mu"), F.round("s.sigma", 9).alias("sigma"))
+
+
+_DRIFT = SIGNAL_SQL["agg15_drift_factor"].replace("round(range_term * rsd_term * trend_term, 5)", "range_term * rsd_term * trend_term")
+
+
+@query(f"WITH dr AS ({_DRIFT}), ev AS (SELECT channel, count(*) AS n FROM ({FOUND} SELECT channel, start_idx FROM e) GROUP BY channel) SELECT CAST(ceil(avg(n)) AS BIGINT) AS mean_events, round(0.5 * (max(drift) + avg(drift)), 5) AS drift FROM ev JOIN dr USING (channel)")
+def agg16_drift_and_events(spark, sf_dir):
+    """Over the channels: mean events, rounded up, and the middle between the mean and the largest drift factor."""
+    p, _, e = found(spark, sf_dir)
+    short = p.groupBy("sample_id", "channel", F.floor(F.col("idx") / 5).alias("idx")).agg(F.avg("intensity").alias("intensity"))
+    drift = traces.drift_factor(short).select("channel", "drift")
+    return quant.across_channels(e.groupBy("channel").agg(F.count("*").alias("n_events")).join(drift, "channel")).select("mean_events", F.round("drift", 5).alias("drift"))
+
+
+@query("""WITH e AS (SELECT 's' || (user_id % 4) AS sample_id, event_type AS channel, value, epoch_us(ts) / 1e6 AS t FROM events), tr AS (SELECT sample_id, channel, max(t) - min(t) AS seconds, avg(value) AS raw_mean, CASE WHEN sample_id IN ('s0', 's1') THEN 'a' ELSE 'b' END AS merged_id FROM e GROUP BY 1, 2),
+o AS (SELECT merged_id, channel, count(*) AS n_samples, sum(seconds) AS seconds, avg(raw_mean) AS raw_mean FROM tr GROUP BY 1, 2),
+g AS (SELECT CASE WHEN sample_id IN ('s0', 's1') THEN 'a' ELSE 'b' END AS merged_id, channel, count(*) AS n, avg(value) AS m, stddev_samp(value) AS sd, quantile_cont(value, 0.5) AS md FROM e WHERE value > 60 GROUP BY 1, 2)
+SELECT merged_id, channel, n_samples, n, round(seconds, 3) AS seconds, round(n / seconds, 9) AS per_second, round(raw_mean, 7) AS raw_mean, round(m, 7) AS mean_net_area, round(sd, 7) AS sd_net_area, round(md, 7) AS median_net_area FROM o JOIN g USING (merged_id, channel)""")
+def agg14_merged_samples(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.concat(F.lit("s"), F.col("user_id") % 4).alias("sample_id"), F.col("event_type").alias("channel"), F.col("value").alias("net_area"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"))
+    per = e.groupBy("sample_id", "channel").agg((F.max("t") - F.min("t")).alias("seconds"), F.avg("net_area").alias("raw_mean"))
+    groups = spark.createDataFrame([("s0", "a"), ("s1", "a"), ("s2", "b"), ("s3", "b")], "sample_id string, merged_id string")
+    done = events.merged_samples(e.where("net_area > 60"), per, groups)
+    return done.select("merged_id", "channel", "n_samples", "n", F.round("seconds", 3).alias("seconds"), F.round("per_second", 9).alias("per_second"), *(F.round(c, 7).alias(c) for c in ("raw_mean", "mean_net_area", "sd_net_area", "median_net_area")))
+
+
+@query("""WITH x AS (SELECT vec_id, label, unnest(range(0, 64)) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings), k AS (SELECT label, i FROM x WHERE v > 0.3 GROUP BY 1, 2 HAVING count(*) >= 2),
+n AS (SELECT label, string_agg(CAST(i AS VARCHAR), '+' ORDER BY CAST(i AS VARCHAR)) AS population FROM k GROUP BY label) SELECT e.vec_id AS event, e.label AS cluster, coalesce(population, '') AS population FROM embeddings e LEFT JOIN n ON n.label = e.label""")
+def mod10_populations(spark, sf_dir):
+    """Each event in the population of its cluster, named after the channels that stand out in it."""
+    x = table(spark, sf_dir, "embeddings").select(F.col("label").alias("cluster"), F.col("vec_id").alias("event"), F.posexplode("embedding").alias("element", "intensity")).withColumn("intensity", F.col("intensity").cast("double"))
+    return spectra.cluster_spectra(x, 0.3)[1]

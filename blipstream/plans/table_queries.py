@@ -93,20 +93,43 @@ def joi9_nearest(spark, sf_dir):
 ISO = "iso(element, z, mass_number, exact_mass, abundance) AS (VALUES " + ", ".join(f"('{e}', {z}, {m}, {x!r}::DOUBLE, {a!r}::DOUBLE)" for e, z, m, x, a in chemistry.ISOTOPES) + ")"
 
 
-@query(f"WITH {ISO} SELECT mass_number, string_agg(element, ',' ORDER BY element) AS elements FROM iso GROUP BY mass_number HAVING count(*) > 1")
+@query(f"WITH {ISO}, i AS (SELECT mass_number, string_agg(element, ',' ORDER BY element) AS elements FROM iso GROUP BY mass_number HAVING count(*) > 1) SELECT p_partkey, mass_number, elements FROM part JOIN i ON mass_number = p_size")
 def joi10_isobars(spark, sf_dir):
-    return align.isobars(chemistry.isotopes(spark)).select("mass_number", F.array_join("elements", ",").alias("elements"))
+    """The parts whose size, as a mass number, more than one element claims."""
+    shared = align.isobars(chemistry.isotopes(spark)).select("mass_number", F.array_join("elements", ",").alias("elements"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").alias("mass_number")).join(shared, "mass_number")
 
 
 @query(f"""WITH {ISO}, k AS (SELECT element, mass_number, unnest(['atom', 'oxide', 'doubly charged', 'dimer']) AS kind, unnest([exact_mass, exact_mass + 15.9949, exact_mass / 2, exact_mass * 2]) AS at_mass FROM iso)
-SELECT element, mass_number, kind, round(at_mass, 6) AS at_mass FROM k WHERE abs(at_mass - 56.0) <= 0.5""")
+SELECT p_partkey, element, mass_number, kind, round(at_mass, 6) AS at_mass FROM part JOIN k ON abs(at_mass - (p_size + 0.25)) <= 0.5""")
 def joi11_interferences(spark, sf_dir):
-    return align.interferences(chemistry.isotopes(spark), 56.0).select("element", "mass_number", "kind", F.round("at", 6).alias("at_mass"))
+    """What lies within half a mass of each part's size and a quarter."""
+    wanted = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") + 0.25).alias("mass"))
+    return align.interferences_of(wanted, chemistry.isotopes(spark)).select("p_partkey", "element", "mass_number", "kind", F.round("at", 6).alias("at_mass"))
 
 
-@query(f"WITH {ISO} SELECT element, round(sum(exact_mass * abundance) / sum(abundance), 6) AS molar_mass, arg_max(mass_number, abundance) AS most_abundant FROM iso GROUP BY element")
+#: The element that stands for a part, by the last word of its type.
+METAL = {"STANDARD": "Fe", "ECONOMY": "Zn", "MEDIUM": "Cu", "PROMO": "Ti", "LARGE": "Ni", "SMALL": "Ag"}
+METALS = f"metal(word, element) AS (VALUES {', '.join(f'({w!r}, {e!r})' for w, e in METAL.items())}), pm AS (SELECT p_partkey, p_retailprice, element FROM part JOIN metal ON word = string_split(p_type, ' ')[-1])"
+
+
+def part_elements(spark, sf_dir):
+    names = F.create_map(*(F.lit(x) for pair in METAL.items() for x in pair))
+    p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_retailprice").alias("counts"), names[F.element_at(F.split("p_type", " "), -1)].alias("element"))
+    return p.where("element is not null")
+
+
+@query(f"WITH {ISO}, {METALS}, m AS (SELECT element, sum(exact_mass * abundance) / sum(abundance) AS molar_mass, arg_max(mass_number, abundance) AS most_abundant FROM iso GROUP BY element) SELECT p_partkey, element, round(molar_mass, 6) AS molar_mass, most_abundant, round(p_retailprice / molar_mass, 6) AS moles FROM pm JOIN m USING (element)")
 def sc13_molar_mass(spark, sf_dir):
-    return chemistry.molar_masses(chemistry.isotopes(spark)).select("element", F.round("molar_mass", 6).alias("molar_mass"), "most_abundant")
+    """Grams of each part as moles of its metal."""
+    masses = chemistry.molar_masses(chemistry.isotopes(spark))
+    return part_elements(spark, sf_dir).join(masses, "element").select("p_partkey", "element", F.round("molar_mass", 6).alias("molar_mass"), "most_abundant", F.round(F.col("counts") / F.col("molar_mass"), 6).alias("moles"))
+
+
+@query(f"WITH {ISO}, {METALS}, t AS (SELECT element, sum(abundance) AS whole FROM iso GROUP BY element) SELECT p_partkey, element, mass_number, round(p_retailprice * abundance / whole, 6) AS isotope_counts FROM pm JOIN iso USING (element) JOIN t USING (element)")
+def sc13_signal_split(spark, sf_dir):
+    done = chemistry.split_signal(part_elements(spark, sf_dir), chemistry.isotopes(spark))
+    return done.select("p_partkey", "element", "mass_number", F.round("isotope_counts", 6).alias("isotope_counts"))
 
 
 @query("""WITH s AS (SELECT c_custkey, c_acctbal FROM customer), v AS (SELECT c_acctbal, row_number() OVER (ORDER BY c_acctbal) AS a FROM s)
