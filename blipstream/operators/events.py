@@ -4,7 +4,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .quant import revert
-from .scan import TRACE, numbered, running_sum
+from ..plans.stored import stored
+from .scan import TRACE, middles, numbered, running_sum
 from .search import spread_over
 
 
@@ -83,9 +84,9 @@ def iqr_fence(df: DataFrame, by: list[str], value: str, k: float = 1.5) -> DataF
 
 
 def mad_fence(df: DataFrame, by: list[str], value: str, k: float = 1.5) -> DataFrame:
-    """FIL7: median -+ k / 2 * MAD, the MAD unscaled."""
-    m = df.groupBy(*by).agg(F.expr(f"percentile({value}, 0.5)").alias("__m"))
-    d = df.join(m, by).groupBy(*by).agg(F.first("__m").alias("__m"), F.expr(f"percentile(abs({value} - __m), 0.5)").alias("__d"))
+    """FIL7: median -+ k / 2 * MAD, the MAD unscaled; medians by ranges."""
+    m = stored(middles(df, F.col(value), "__m", by), "medians")
+    d = m.join(middles(df.join(m, by), F.abs(F.col(value) - F.col("__m")), "__d", by), by)
     return df.join(d, by).where(F.abs(F.col(value) - F.col("__m")) <= k / 2 * F.col("__d")).drop("__m", "__d")
 
 
@@ -111,16 +112,11 @@ def merged_samples(events: DataFrame, traces: DataFrame, groups: DataFrame) -> D
     of = traces.join(groups, "sample_id").groupBy("merged_id", "channel").agg(F.count("*").alias("n_samples"), F.sum("seconds").alias("seconds"), F.avg("raw_mean").alias("raw_mean"))
     together = events.join(groups, "sample_id").select("merged_id", "channel", "net_area")
     s = together.groupBy("merged_id", "channel").agg(F.count("*").alias("n"), F.avg("net_area").alias("mean_net_area"), F.stddev_samp("net_area").alias("sd_net_area"))
-    s = s.join(legacy_middle(together, ["merged_id", "channel"], "net_area").withColumnRenamed("middle", "median_net_area"), ["merged_id", "channel"])
+    s = s.join(middles(together, F.col("net_area"), "median_net_area", ["merged_id", "channel"]), ["merged_id", "channel"])
     n = F.coalesce("n", F.lit(0))
     return of.join(s, ["merged_id", "channel"], "left").withColumn("n", n).withColumn("per_second", F.try_divide(n, F.col("seconds")))
 
 
-def legacy_middle(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """(by, middle): the median by numbers in ranges; no group is sorted whole, and none is held by a task."""
-    return legacy_percentiles(df, by, value, {"middle": 0.5})
-
-
 def gate(events: DataFrame, kind: str, target: float) -> DataFrame:
     """FIL11 to FIL13: height, area, net_area against a threshold; more or fewer points; peak dominance in percent."""
     tests = {
@@ -197,7 +193,7 @@ def select_channels(df: DataFrame, mode: str, channels: list[str] | None = None)
 def statistics(events: DataFrame) -> DataFrame:
     """AGG7: per trace, mean, SD and median of net area, mean and SD of height and of duration."""
     one = {f"{k}_{c}": f(c) for c in ("net_area", "height", "duration_us") for k, f in (("mean", F.avg), ("sd", F.stddev_samp))}
-    return events.groupBy(*TRACE).agg(F.count("*").alias("n"), *(e.alias(k) for k, e in one.items()), F.expr("percentile(net_area, 0.5)").alias("median_net_area"))
+    return events.groupBy(*TRACE).agg(F.count("*").alias("n"), *(e.alias(k) for k, e in one.items())).join(middles(events, F.col("net_area"), "median_net_area", TRACE), TRACE, "left")
 
 
 def profiles(events: DataFrame, points: DataFrame) -> DataFrame:

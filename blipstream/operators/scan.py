@@ -55,6 +55,21 @@ def numbered(df: DataFrame, order: Sequence[Column], name: str = "idx", keys: Se
     return placed.join(offsets, same).select(*df.columns, (F.col("__place") + F.col("__ahead")).alias(name))
 
 
+def middles(df: DataFrame, value: Column, name: str, by: Sequence[str]) -> DataFrame:
+    """(by, name): the median of value per group, null ones left out; for even numbers the mean of the middle two.
+
+    Values are numbered by ranges and the one or two in the middle picked by an equi-join, so a group's values are never in
+    one task, however many of them differ. Null groups are one group.
+    """
+    ranked = numbered(df.select(*by, value.cast("double").alias("__v")).where("__v is not null"), [F.col("__v")], "__r", by)
+    n = ranked.groupBy(*by).agg(F.count("*").alias("__n"))
+    picks = n.select(*(F.col(c).alias(f"__of_{c}") for c in by), F.explode(F.array_distinct(F.array(F.floor((F.col("__n") - 1) / 2), F.floor(F.col("__n") / 2)))).alias("__at"))
+    same = F.col("__r") == F.col("__at")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__of_{c}"))
+    return ranked.join(picks, same).groupBy(*by).agg(F.avg("__v").alias(name))
+
+
 def haloed(points: DataFrame, before: int, after: int, block: int = BLOCK) -> DataFrame:
     """points with __block: each block of the index also gets the ``before`` points ahead of it and the ``after`` behind, so frames of that reach stay within a block."""
     return points.withColumn("__block", F.explode(F.sequence(F.floor((F.col("idx") - after) / block), F.floor((F.col("idx") + before) / block))))

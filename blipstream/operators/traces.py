@@ -5,7 +5,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scan import TRACE, haloed, in_block, numbered, own, running_sum
+from ..plans.stored import stored
+from .scan import BLOCK, TRACE, haloed, in_block, middles, neighbours, numbered, own
 
 
 def in_order():
@@ -55,40 +56,54 @@ def dwell_times(points: DataFrame) -> DataFrame:
     return points.groupBy(*TRACE).agg(n.alias("n_points"), dt.alias("dt_s"), (last - first + dt).alias("duration_s"))
 
 
-def is_integer(points: DataFrame, first: int = 10_000, limit: float = 0.15) -> DataFrame:
-    """Whether the mean distance of the first non-zero values from whole numbers is below limit. That only the first count is the rule itself."""
-    used = running_sum(points, (F.col("intensity") != 0).cast("long"), "__rank").where(F.col("intensity") != 0).where(F.col("__rank") <= first)
+def is_integer(points: DataFrame, first: int = 10_000, limit: float = 0.15, block: int = BLOCK) -> DataFrame:
+    """Whether the mean distance of the first non-zero values from whole numbers is below limit. That only the first count is the rule itself.
+
+    Blocks of the index are counted first; only those that hold some of the first values are looked at again.
+    """
+    rows = points.where("intensity <> 0").select(*TRACE, "idx", "intensity", F.floor(F.col("idx") / block).alias("__block"))
+    ahead = Window.partitionBy(*TRACE).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = rows.groupBy(*TRACE, "__block").agg(F.count("*").alias("__n")).withColumn("__ahead", F.coalesce(F.sum("__n").over(ahead), F.lit(0))).where(F.col("__ahead") < first)
+    near = rows.join(blocks.drop("__n"), [*TRACE, "__block"])
+    used = near.withColumn("__nth", F.row_number().over(Window.partitionBy(*TRACE, "__block").orderBy("idx"))).where(F.col("__ahead") + F.col("__nth") <= first)
     return used.groupBy(*TRACE).agg((F.avg(F.abs(F.floor(F.col("intensity") + 0.5) - F.col("intensity"))) < limit).alias("is_integer"))
 
 
 def looks_like_counts(points: DataFrame) -> DataFrame:
-    """PRJ5: distinct rounded non-zero values; the three smallest gaps add up to 12 at most, or all gaps to less than 10."""
-    values = points.where("intensity <> 0").select(*TRACE, F.floor(F.col("intensity") + 0.5).alias("v")).distinct()
-    gaps = values.withColumn("gap", F.col("v") - F.lag("v").over(Window.partitionBy(*TRACE).orderBy("v"))).where("gap is not null").select(*TRACE, "gap").distinct()
-    ranked = gaps.withColumn("nth", F.row_number().over(Window.partitionBy(*TRACE).orderBy("gap")))
-    return ranked.groupBy(*TRACE).agg(((F.sum(F.when(F.col("nth") <= 3, F.col("gap"))) <= 12) | (F.sum("gap") < 10)).alias("is_counts"))
+    """PRJ5: distinct rounded non-zero values; the three smallest gaps add up to 12 at most, or all gaps to less than 10.
+
+    Values are numbered by ranges and meet the next one by an equi-join; of the gaps only the three smallest are ranked.
+    """
+    values = numbered(points.where("intensity <> 0").select(*TRACE, F.floor(F.col("intensity") + 0.5).alias("v")).distinct(), [F.col("v")], "idx", TRACE)
+    gaps = neighbours(values, "v", "before").where("before is not null").select(*TRACE, (F.col("v") - F.col("before")).alias("gap")).distinct()
+    least = gaps.withColumn("nth", F.row_number().over(Window.partitionBy(*TRACE).orderBy("gap"))).where("nth <= 3").groupBy(*TRACE).agg(F.sum("gap").alias("__three"))
+    return gaps.groupBy(*TRACE).agg(F.sum("gap").alias("__all")).join(least, TRACE).select(*TRACE, ((F.col("__three") <= 12) | (F.col("__all") < 10)).alias("is_counts"))
 
 
 def trace_stats(points: DataFrame) -> DataFrame:
-    """AGG1: mean, median, sample SD and 1.4826 * MAD; 0 where a statistic has too few values."""
-    first = points.groupBy(*TRACE).agg(F.avg("intensity").alias("mean"), F.expr("percentile(intensity, 0.5)").alias("median"), F.coalesce(F.stddev_samp("intensity"), F.lit(0.0)).alias("sd"))
-    mad = points.join(first.select(*TRACE, "median"), TRACE).groupBy(*TRACE).agg((F.expr("percentile(abs(intensity - median), 0.5)") * 1.4826).alias("mad_sd"))
-    return first.join(mad, TRACE)
+    """AGG1: mean, median, sample SD and 1.4826 * MAD; 0 where a statistic has too few values. Medians by ranges."""
+    median = stored(middles(points, F.col("intensity"), "median", TRACE), "medians")
+    first = points.groupBy(*TRACE).agg(F.avg("intensity").alias("mean"), F.coalesce(F.stddev_samp("intensity"), F.lit(0.0)).alias("sd"))
+    mad = middles(points.join(median, TRACE), F.abs(F.col("intensity") - F.col("median")), "mad_sd", TRACE)
+    return first.join(median, TRACE).join(mad, TRACE).select(*TRACE, "mean", "median", "sd", (F.col("mad_sd") * 1.4826).alias("mad_sd"))
 
 
 def avoid_zero_stats(points: DataFrame) -> DataFrame:
-    """AGG2, AGG3: median that falls back to positive values when 0, median of positive values, square root of the mean, MAD of positive values."""
-    positive = F.expr("percentile(intensity, 0.5) filter (where intensity > 0)")
-    first = points.groupBy(*TRACE).agg(F.expr("percentile(intensity, 0.5)").alias("median"), F.coalesce(positive, F.lit(0.0)).alias("median_non_zero"), F.sqrt(F.avg("intensity")).alias("sqrt_mean"))
-    mad = points.where("intensity > 0").join(first.select(*TRACE, "median_non_zero"), TRACE).groupBy(*TRACE).agg((F.expr("percentile(abs(intensity - median_non_zero), 0.5)") * 1.4826).alias("mad_non_zero"))
-    return first.withColumn("median_avoid_zero", F.when(F.col("median") == 0, F.col("median_non_zero")).otherwise(F.col("median"))).join(mad, TRACE, "left").withColumn("mad_non_zero", F.coalesce("mad_non_zero", F.lit(0.0)))
+    """AGG2, AGG3: median that falls back to positive values when 0, median of positive values, square root of the mean, MAD of positive values. Medians by ranges."""
+    positive = points.where("intensity > 0")
+    every = middles(points, F.col("intensity"), "median", TRACE).join(middles(positive, F.col("intensity"), "median_non_zero", TRACE), TRACE, "left").withColumn("median_non_zero", F.coalesce("median_non_zero", F.lit(0.0)))
+    every = stored(every, "medians")
+    root = points.groupBy(*TRACE).agg(F.sqrt(F.avg("intensity")).alias("sqrt_mean"))
+    mad = middles(positive.join(every, TRACE), F.abs(F.col("intensity") - F.col("median_non_zero")), "mad_non_zero", TRACE)
+    out = every.join(root, TRACE).join(mad, TRACE, "left").withColumn("mad_non_zero", F.coalesce(F.col("mad_non_zero") * 1.4826, F.lit(0.0)))
+    return out.withColumn("median_avoid_zero", F.when(F.col("median") == 0, F.col("median_non_zero")).otherwise(F.col("median"))).select(*TRACE, "median", "median_non_zero", "sqrt_mean", "median_avoid_zero", "mad_non_zero")
 
 
 def mode(points: DataFrame) -> DataFrame:
     """AGG5: most frequent value; of equally frequent ones the one that occurs first."""
     found = points.groupBy(*TRACE, "intensity").agg(F.count("*").alias("n"), F.min("idx").alias("first"))
-    best = Window.partitionBy(*TRACE).orderBy(F.desc("n"), "first")
-    return found.withColumn("nth", F.row_number().over(best)).where("nth = 1").select(*TRACE, F.col("intensity").alias("mode"), "n")
+    best = found.groupBy(*TRACE).agg(F.max_by(F.struct("intensity", "n"), F.struct("n", -F.col("first"))).alias("__m"))
+    return best.select(*TRACE, F.col("__m.intensity").alias("mode"), F.col("__m.n").alias("n"))
 
 
 def rmsd(points: DataFrame) -> DataFrame:
@@ -159,9 +174,9 @@ def time_average(points: DataFrame, width: float, filtered: bool = False, least:
 
 
 def prefilter(points: DataFrame) -> DataFrame:
-    """FIL23: strictly inside median +- MAD of the trace."""
-    s = points.groupBy(*TRACE).agg(F.expr("percentile(intensity, 0.5)").alias("__m"))
-    mad = points.join(s, TRACE).groupBy(*TRACE).agg(F.first("__m").alias("__m"), F.expr("percentile(abs(intensity - __m), 0.5)").alias("__d"))
+    """FIL23: strictly inside median +- MAD of the trace. Medians by ranges."""
+    m = stored(middles(points, F.col("intensity"), "__m", TRACE), "medians")
+    mad = m.join(middles(points.join(m, TRACE), F.abs(F.col("intensity") - F.col("__m")), "__d", TRACE), TRACE)
     return points.join(mad, TRACE).where("intensity > __m - __d and intensity < __m + __d").drop("__m", "__d")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from blipstream.functions import chemistry, parsing
 from blipstream.operators import align, events, kernels, quant, spectra
+from blipstream.operators.scan import middles
 from blipstream.sources import sinks
 
 from .inputs import COUNT_POINTS, EVENT_POINTS, count_points, event_points, table
@@ -72,7 +73,8 @@ def agg11_lod(spark, sf_dir):
 
 @query(f"WITH {EVENT_POINTS} SELECT channel, round(avg(intensity) / 7.69e-5, 4) AS mean_cps, round(quantile_cont(intensity, 0.5) / 7.69e-5, 4) AS median_cps FROM pts GROUP BY channel")
 def agg13_raw_cps(spark, sf_dir):
-    p = event_points(spark, sf_dir).groupBy("channel").agg(F.avg("intensity").alias("m"), F.expr("percentile(intensity, 0.5)").alias("d"))
+    points = event_points(spark, sf_dir)
+    p = points.groupBy("channel").agg(F.avg("intensity").alias("m")).join(middles(points, F.col("intensity"), "d", ["channel"]), "channel")
     return p.select("channel", F.round(F.col("m") / 7.69e-5, 4).alias("mean_cps"), F.round(F.col("d") / 7.69e-5, 4).alias("median_cps"))
 
 

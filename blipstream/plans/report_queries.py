@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from blipstream.functions import chemistry
 from blipstream.operators import baseline, events, quant, traces
-from blipstream.operators.scan import TRACE
+from blipstream.operators.scan import TRACE, middles
 
 from .inputs import EVENT_POINTS, event_points, table
 from .signal_queries import FOUND, found, model_sql
@@ -59,7 +59,8 @@ def agg8_quantified(spark, sf_dir):
     cal = e.select("sample_id", "channel").distinct().select("*", F.lit("SIZE").alias("strategy"), F.lit(1.0).alias("np_cts_per_fg"), F.lit(5.0).alias("ionic_cts_per_fg"), F.lit(40.0).alias("aerosol_te_pct"), F.lit(1.0).alias("mass_fraction"), F.lit(19.3).alias("density_g_cm3"))
     q = quant.quantify(e, cal)
     amol = chemistry.convert(chemistry.convert(F.avg("mass_fg"), "mass", "fg", "g") / 196.9665688, "molar", "mol", "amol")
-    return q.groupBy("channel").agg(F.round(F.avg("mass_fg"), 6).alias("mean_fg"), F.round(F.expr("percentile(mass_fg, 0.5)"), 6).alias("median_fg"), F.round(F.stddev_samp("mass_fg"), 6).alias("sd_fg"), F.round(F.avg("diameter_nm"), 5).alias("mean_nm"), F.round(amol, 6).alias("mean_amol"))
+    means = q.groupBy("channel").agg(F.round(F.avg("mass_fg"), 6).alias("mean_fg"), F.round(F.stddev_samp("mass_fg"), 6).alias("sd_fg"), F.round(F.avg("diameter_nm"), 5).alias("mean_nm"), F.round(amol, 6).alias("mean_amol"))
+    return means.join(middles(q, F.col("mass_fg"), "median_fg", ["channel"]).withColumn("median_fg", F.round("median_fg", 6)), "channel")
 
 
 @query("WITH c AS (" + model_sql("g.location + 3 * g.spread > p.location + 3 * sqrt(p.location)").replace("round(CASE WHEN gauss THEN gl ELSE pl END, 6)", "CASE WHEN gauss THEN gl ELSE pl END").replace("round(CASE WHEN gauss THEN gs ELSE ps END, 6)", "CASE WHEN gauss THEN gs ELSE ps END") + """)

@@ -215,9 +215,9 @@ def seq11_filtered_average(spark, sf_dir):
 
 
 @query(f"""WITH {EVENT_POINTS}, s AS (SELECT channel, quantile_cont(intensity, 0.5) AS m FROM pts GROUP BY channel), d AS (SELECT channel, any_value(m) AS m, quantile_cont(abs(intensity - m), 0.5) AS d FROM pts JOIN s USING (channel) GROUP BY channel)
-SELECT channel, count(*) AS n, round(avg(intensity), 6) AS mean FROM pts JOIN d USING (channel) WHERE intensity > m - d AND intensity < m + d GROUP BY channel""")
+SELECT channel, idx, intensity FROM pts JOIN d USING (channel) WHERE intensity > m - d AND intensity < m + d""")
 def fil23_prefilter(spark, sf_dir):
-    return traces.prefilter(event_points(spark, sf_dir)).groupBy("channel").agg(F.count("*").alias("n"), F.round(F.avg("intensity"), 6).alias("mean"))
+    return traces.prefilter(event_points(spark, sf_dir)).select("channel", "idx", "intensity")
 
 
 @query(f"WITH {COUNT_POINTS} SELECT a.idx, round(a.intensity / b.intensity, 6) AS ratio FROM pts a JOIN pts b ON a.idx = b.idx WHERE a.channel = 'AF' AND b.channel = 'RF' AND b.intensity > 0")
@@ -436,9 +436,9 @@ def counted_p(spark, sf_dir):
     return accumulate.local_p(p.join(p.groupBy("sample_id", "channel").agg(F.avg("intensity").alias("location")), ["sample_id", "channel"]))
 
 
-@query(f"WITH {LOCAL_P} SELECT channel, round(min(p), 12) AS least, round(avg(p), 9) AS mean FROM lp GROUP BY channel")
+@query(f"WITH {LOCAL_P} SELECT channel, idx, round(p, 9) AS p FROM lp")
 def dis1_poisson_p(spark, sf_dir):
-    return counted_p(spark, sf_dir).groupBy("channel").agg(F.round(F.min("p"), 12).alias("least"), F.round(F.avg("p"), 9).alias("mean"))
+    return counted_p(spark, sf_dir).select("channel", "idx", F.round("p", 9).alias("p"))
 
 
 @query(f"WITH {LOCAL_P}, {COMBINED} SELECT idx, k, round(lowest_p, 9) AS lowest_p, round(2 * half, 6) AS h, round(p, 9) AS p FROM cp")
@@ -447,10 +447,9 @@ def snk6_p_values(spark, sf_dir):
 
 
 @query(f"""WITH {LOCAL_P}, {COMBINED}, f AS (SELECT avg(2 * half) AS m, stddev_samp(2 * half) AS s FROM cp WHERE 2 * half < 2 * k + 10 * sqrt(k)), z AS (SELECT idx, k, lowest_p, 2 * half / (s * s / m) AS x, m / (s * s / m) AS a FROM cp, f),
-g AS (SELECT CASE WHEN k = 1 THEN lowest_p ELSE {tail_sql('x', 'exp((a - 1) * ln(greatest(y, 1e-300)) - (y) - lgamma(a))', 1000)} END AS p FROM z) SELECT count(*) AS n, round(avg(p), 4) AS mean, round(stddev_samp(p), 4) AS sd FROM g""")
+g AS (SELECT idx, CASE WHEN k = 1 THEN lowest_p ELSE {tail_sql('x', 'exp((a - 1) * ln(greatest(y, 1e-300)) - (y) - lgamma(a))', 1000)} END AS p FROM z) SELECT idx, round(p, 4) AS p FROM g""")
 def seq5_gamma(spark, sf_dir):
-    p = accumulate.combined_p(counted_p(spark, sf_dir), "GAMMA")
-    return p.agg(F.count("*").alias("n"), F.round(F.avg("p"), 4).alias("mean"), F.round(F.stddev_samp("p"), 4).alias("sd"))
+    return accumulate.combined_p(counted_p(spark, sf_dir), "GAMMA").select("idx", F.round("p", 4).alias("p"))
 
 
 #: Channels with over so many events a minute take part.
@@ -517,11 +516,11 @@ for _kind, (_where, _target) in GATES.items():
 @query(f"""WITH {EVENT_POINTS}, {clip_sql(5)}, {THR}, {RUNS}, v AS (SELECT e.*, area / n_points AS x FROM e), r AS (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY x) AS r, count(*) OVER (PARTITION BY channel) AS n FROM v),
 q AS (SELECT channel, max(CASE WHEN r = least(greatest(floor(0.05 * (n + 1)), 1), n) THEN x END) AS l0, max(CASE WHEN r = least(greatest(floor(0.05 * (n + 1)) + 1, 1), n) THEN x END) AS l1, max(0.05 * (n + 1) - floor(0.05 * (n + 1))) AS lf,
   max(CASE WHEN r = least(greatest(floor(0.95 * (n + 1)), 1), n) THEN x END) AS h0, max(CASE WHEN r = least(greatest(floor(0.95 * (n + 1)) + 1, 1), n) THEN x END) AS h1, max(0.95 * (n + 1) - floor(0.95 * (n + 1))) AS hf FROM r GROUP BY channel)
-SELECT channel, count(*) AS n FROM r JOIN q USING (channel) WHERE x BETWEEN l0 + lf * (l1 - l0) AND h0 + hf * (h1 - h0) GROUP BY channel""")
+SELECT channel, start_idx FROM r JOIN q USING (channel) WHERE x BETWEEN l0 + lf * (l1 - l0) AND h0 + hf * (h1 - h0)""")
 def fil5_percentiles(spark, sf_dir):
     _, _, e = found(spark, sf_dir)
     e = e.withColumn("x", F.col("area") / F.col("n_points"))
-    return events.percentile_roi(e, ["channel"], "x", 0.05, 0.95).groupBy("channel").agg(F.count("*").alias("n"))
+    return events.percentile_roi(e, ["channel"], "x", 0.05, 0.95).select("channel", "start_idx")
 
 
 QUARTILES = """r AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY x) AS r, count(*) OVER (PARTITION BY g) AS n FROM v),
@@ -531,17 +530,17 @@ q AS (SELECT g, any_value(n) AS n, max(CASE WHEN r = floor(0.25 * (n + 1)) THEN
 k AS (SELECT g, n, a0 + af * (a1 - a0) AS q1, m0 + mf * (m1 - m0) AS median, b0 + bf * (b1 - b0) AS q3 FROM q)"""
 
 
-@query(f"WITH v AS (SELECT o_orderpriority AS g, o_totalprice AS x FROM orders), {QUARTILES} SELECT g AS o_orderpriority, count(*) AS n FROM v JOIN k USING (g) WHERE x BETWEEN q1 - 0.3 * (q3 - q1) AND q3 + 0.3 * (q3 - q1) GROUP BY g")
+@query(f"WITH v AS (SELECT o_orderpriority AS g, o_orderkey AS o, o_totalprice AS x FROM orders), {QUARTILES} SELECT o AS o_orderkey FROM v JOIN k USING (g) WHERE x BETWEEN q1 - 0.3 * (q3 - q1) AND q3 + 0.3 * (q3 - q1)")
 def fil6_iqr_fence(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select("o_orderpriority", "o_totalprice")
-    return events.iqr_fence(o, ["o_orderpriority"], "o_totalprice", 0.3).groupBy("o_orderpriority").agg(F.count("*").alias("n"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
+    return events.iqr_fence(o, ["o_orderpriority"], "o_totalprice", 0.3).select("o_orderkey")
 
 
 @query("""WITH m AS (SELECT o_orderpriority AS g, quantile_cont(o_totalprice, 0.5) AS m FROM orders GROUP BY 1), d AS (SELECT g, any_value(m) AS m, quantile_cont(abs(o_totalprice - m), 0.5) AS d FROM orders JOIN m ON g = o_orderpriority GROUP BY g)
-SELECT g AS o_orderpriority, count(*) AS n FROM orders JOIN d ON g = o_orderpriority WHERE abs(o_totalprice - m) <= 0.75 * d GROUP BY g""")
+SELECT o_orderkey FROM orders JOIN d ON g = o_orderpriority WHERE abs(o_totalprice - m) <= 0.75 * d""")
 def fil7_mad_fence(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select("o_orderpriority", "o_totalprice")
-    return events.mad_fence(o, ["o_orderpriority"], "o_totalprice").groupBy("o_orderpriority").agg(F.count("*").alias("n"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
+    return events.mad_fence(o, ["o_orderpriority"], "o_totalprice").select("o_orderkey")
 
 
 @query("SELECT event_id FROM events WHERE value BETWEEN CASE WHEN event_type = 'click' THEN 10 ELSE 20 END AND CASE WHEN event_type = 'click' THEN 30 ELSE 60 END")
@@ -559,7 +558,7 @@ def fil16_over_range(spark, sf_dir):
 
 def remover_sql(by: str) -> str:
     return FOUND + f""", s AS (SELECT channel, {by}(area - greatest(0.1, location) * n_points) AS top FROM e GROUP BY channel), k AS (SELECT channel FROM s WHERE top >= (SELECT quantile_cont(top, 0.5) FROM s))
-SELECT e.channel, count(*) AS n FROM e JOIN k USING (channel) GROUP BY e.channel"""
+SELECT e.channel, e.start_idx FROM e JOIN k USING (channel)"""
 
 
 def removed(spark, sf_dir, by: str):
@@ -568,7 +567,7 @@ def removed(spark, sf_dir, by: str):
     seconds = p.groupBy("sample_id", "channel").agg((F.max("time_s") - F.min("time_s")).alias("seconds"))
     tops = e.groupBy("channel").agg({"max": F.max, "min": F.min}[by]("net_area").alias("top"))
     cut = tops.agg(F.expr("percentile(top, 0.5)")).first()[0]
-    return events.remove_channels(e, seconds, least_net=cut, by=by).groupBy("channel").agg(F.count("*").alias("n"))
+    return events.remove_channels(e, seconds, least_net=cut, by=by).select("channel", "start_idx")
 
 
 @query(remover_sql("max"))
@@ -587,10 +586,10 @@ def fil21_polygon(spark, sf_dir):
     return events.inside_polygon(c, "x", "y", [(10.0, 0.0), (1010.0, 0.0), (10.0, 9000.0)]).select("c_custkey")
 
 
-@query(f"""WITH {COUNT_POINTS}, k AS (SELECT idx FROM pts WHERE channel IN ('AF', 'RF') GROUP BY idx HAVING count(*) = 2 AND bool_and(intensity BETWEEN 10 AND 40)) SELECT channel, count(*) AS n FROM pts JOIN k USING (idx) GROUP BY channel""")
+@query(f"""WITH {COUNT_POINTS}, k AS (SELECT idx FROM pts WHERE channel IN ('AF', 'RF') GROUP BY idx HAVING count(*) = 2 AND bool_and(intensity BETWEEN 10 AND 40)) SELECT channel, idx, intensity FROM pts JOIN k USING (idx)""")
 def fil17_aligned(spark, sf_dir):
     s = count_points(spark, sf_dir).withColumnRenamed("idx", "event_ord")
-    return events.aligned_filter(s, ["AF", "RF"], 10, 40).groupBy("channel").agg(F.count("*").alias("n"))
+    return events.aligned_filter(s, ["AF", "RF"], 10, 40).select("channel", F.col("event_ord").alias("idx"), "intensity")
 
 
 #: Runs above the start threshold as lists, with the background of their trace.

@@ -374,10 +374,10 @@ def sc15_20_parsing(spark, sf_dir):
     return n.select(k, label["mass_number"].alias("mass_number"), label["element"].alias("element"), F.round(parsing.seconds_of_day(F.col("clock")), 6).alias("seconds"), parsing.name_hint(F.col("name"), "nm").alias("nm"))
 
 
-@query(f"WITH {COUNT_POINTS} SELECT idx, max(CASE WHEN channel = 'AF' THEN intensity END) AS af, max(CASE WHEN channel = 'NO' THEN intensity END) AS no FROM pts WHERE channel IN ('AF', 'NO') GROUP BY idx")
+@query(f"WITH {COUNT_POINTS} SELECT idx, {', '.join(f'max(CASE WHEN channel = {c!r} THEN intensity END) AS {c.lower()}' for c in ('AF', 'AO', 'NF', 'NO', 'RF', 'RO'))} FROM pts GROUP BY idx")
 def snk1_raw_table(spark, sf_dir):
-    t = sinks.raw_table(count_points(spark, sf_dir).where(F.col("channel").isin("AF", "NO")), ["AF", "NO"])
-    return t.select("idx", F.col("AF").alias("af"), F.col("NO").alias("no"))
+    names = ["AF", "AO", "NF", "NO", "RF", "RO"]
+    return sinks.raw_table(count_points(spark, sf_dir), names).select("idx", *(F.col(c).alias(c.lower()) for c in names))
 
 
 @query("SELECT n_regionkey, n_name FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal < 0) UNION ALL SELECT r_regionkey, r_name FROM region")
@@ -393,13 +393,13 @@ def srt1_6_top(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(12)
 
 
-@query(FOUND + """, d AS (SELECT e.*, area - greatest(0.1, location) * n_points AS net, (z.time_s - p.time_s) * 1e6 AS us FROM e JOIN pts z ON z.channel = e.channel AND z.idx = e.end_idx LEFT JOIN pts p ON p.channel = e.channel AND p.idx = e.start_idx - 1 WHERE e.start_idx > 0)
+@query(FOUND + """, d AS (SELECT e.*, area - greatest(0.1, location) * n_points AS net, CASE WHEN e.start_idx > 0 THEN z.time_s - p.time_s ELSE n.time_s - s.time_s END * 1e6 AS us FROM e JOIN pts z ON z.channel = e.channel AND z.idx = e.end_idx
+  JOIN pts s ON s.channel = e.channel AND s.idx = e.start_idx LEFT JOIN pts p ON p.channel = e.channel AND p.idx = e.start_idx - 1 LEFT JOIN pts n ON n.channel = e.channel AND n.idx = e.end_idx + 1)
 SELECT channel, count(*) AS n, round(avg(net), 5) AS mean_net_area, round(stddev_samp(net), 5) AS sd_net_area, round(quantile_cont(net, 0.5), 5) AS median_net_area, round(avg(height), 5) AS mean_height, round(stddev_samp(height), 5) AS sd_height,
   round(avg(us) / 1e6, 3) AS mean_duration_s, round(stddev_samp(us) / 1e6, 3) AS sd_duration_s FROM d GROUP BY channel""")
 def agg7_event_statistics(spark, sf_dir):
-    """Over events after the first point, as the rule for index 0 has a query of its own."""
     p, _, e = found(spark, sf_dir)
-    s = events.statistics(events.metrics(e.where("start_idx > 0"), p))
+    s = events.statistics(events.metrics(e, p))
     return s.select(
         "channel", "n", *[F.round(c, 5).alias(c) for c in ("mean_net_area", "sd_net_area", "median_net_area", "mean_height", "sd_height")], *[F.round(F.col(f"{k}_duration_us") / 1e6, 3).alias(f"{k}_duration_s") for k in ("mean", "sd")]
     )
