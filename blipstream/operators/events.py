@@ -25,6 +25,16 @@ def metrics(events: DataFrame, points: DataFrame, dt: float | None = None) -> Da
     ).drop("__before", "__end", "__after", "__start")
 
 
+#: PRJ1: what an event is described by; n_events is that of its trace.
+PARAMETERS = ["area", "net_area", "height", "net_height", "duration_us", "n_points", "bg_per_event", "n_events", "asymmetry", "start_idx", "end_idx", "center_time_s"]
+
+
+def all_parameters(events: DataFrame, points: DataFrame) -> DataFrame:
+    """PRJ1: (trace, event_ord, PARAMETERS) of events that have their net values."""
+    n = events.groupBy(*TRACE).agg(F.count("*").alias("n_events"))
+    return metrics(events, points).join(n, TRACE).select(*TRACE, "event_ord", *PARAMETERS)
+
+
 def net_of_baseline(events: DataFrame, location: DataFrame, clamp: bool = False) -> DataFrame:
     """SEQ7a: background = max(0.1, location) times points; net area and net height."""
     bg = F.greatest(F.lit(0.1), F.col("location")) * F.col("n_points")

@@ -5,6 +5,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.stored import stored
+from .align import broadcast_to_channels
 from .scan import TRACE, haloed
 from .search import spread_over
 
@@ -169,3 +171,8 @@ def background_of_events(events: DataFrame, points: DataFrame, half: float, by:
         (F.col("area") - F.col("__bg")).alias("net_area"),
         (F.greatest(F.lit(0.0), F.col("height")) - F.col("__bg") / F.col("n_points")).alias("net_height"),
     )
+
+
+def realigned(intervals: DataFrame, points: DataFrame, half: float, by: str = "INDEX", location: str = "MEDIAN", clamp: bool = False) -> DataFrame:
+    """JOI7: each aligned interval (sample_id, start_idx, end_idx) as an event of every channel of its sample, with peak, area, height and background of that channel's own points anew; no aligned interval is background on any channel."""
+    return background_of_events(stored(broadcast_to_channels(intervals, points), "aligned"), points, half, by, location, clamp)

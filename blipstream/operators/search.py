@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.stored import stored
+from .kernels import savitzky_golay
 from .scan import TRACE, numbered as in_order, running_sum
 from .traces import is_integer, moving_average
 
@@ -115,3 +116,25 @@ def smooth_search(points: DataFrame, width: int) -> DataFrame:
     """SEQ4c with the trailing average: searches max(ceil(smooth), intensity)."""
     smooth = moving_average(points, width)
     return hysteresis_search(smooth.withColumn("intensity", F.greatest(F.ceil(F.round("smooth", 9)).cast("double"), F.col("intensity"))).drop("smooth"))
+
+
+SMOOTHERS = ("MOAV", "SAVITZKY_GOLAY")
+
+
+def smooth_merge_search(points: DataFrame, width: int, smoother: str = "MOAV") -> DataFrame:
+    """SEQ4c: runs of max(ceil(smooth), intensity) between start and stop become events of the recorded intensities; those stay whose first maximum exceeds the height threshold there.
+
+    The smoother is the trailing mean or the least-squares cubic over ``width`` points (at least two). Runs that touch in an
+    index are merged before heights are tested.
+    """
+    if smoother not in SMOOTHERS:
+        raise ValueError(f"no smoother {smoother!r}")
+    width = max(2, width)
+    seen = rounded(points)
+    if smoother == "MOAV":
+        smooth = moving_average(points, width).select(*TRACE, "idx", "smooth")
+    else:
+        smooth = savitzky_golay(points, width).select(*TRACE, "idx", "smooth")
+    high = seen.drop("gross").join(smooth, [*TRACE, "idx"]).withColumn("intensity", F.greatest(F.ceil(F.round("smooth", 9)).cast("double"), F.col("intensity"))).drop("smooth")
+    runs = hysteresis_points(high).groupBy(*TRACE, "island").agg(F.min("idx").alias("start_idx"), F.max("idx").alias("end_idx")).drop("island")
+    return peaks(merge_intervals(runs), points).where("height > peak_thr").drop("peak_thr")

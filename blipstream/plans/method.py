@@ -183,7 +183,7 @@ def search_of(sliced: DataFrame, slices: DataFrame, p: dict[str, str], model: di
         found = search.window_search(seen, round(float(p["windowWidth"]) * 1e-6 / dt), float(p["windowBonusWidth"]) * 1e-6 / dt)
     elif how == "SPLIT_CORRECTION_SMOOTH":
         dt = traces.dwell_times(points).agg(F.min("dt_s")).first()[0]
-        found = search.smooth_search(points, max(1, round(float(p["smoothGaussianWidth"]) * 1e-6 / dt)))
+        found = search.smooth_merge_search(points, math.ceil(float(p["smoothGaussianWidth"]) * 1e-6 / dt), p.get("rawSmoothType", "MOAV"))
     elif how == "P_VALUE_ACCUMULATION":
         single = float(p["singleComponentPValueThresholdAlphaValue"]) if truth(p, "enableSingleComponentPValueThreshold") else None
         found = accumulate.accumulated_search(accumulate.local_p(points), float(p["pValueStartStopAlphaValue"]), float(p["pValueThresholdAlphaValue"]), single, p.get("pStatistics", "CHI_SQUARE"), points)

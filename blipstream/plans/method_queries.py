@@ -3,11 +3,12 @@
 from pyspark.sql import functions as F
 
 from blipstream.functions.distributions import compound_poisson_limit
-from blipstream.operators import events, lookup, quant, sampling, spectra, traces
+from blipstream.operators import align, events, lookup, quant, rolling, sampling, search, spectra, traces
 
 from .inputs import EVENT_POINTS, event_points, table
-from .method import compile_method
-from .signal_queries import FOUND, SQL as SIGNAL_SQL, found
+from .method import compile_method, with_thresholds
+from .signal_queries import FOUND, OFFSET, SQL as SIGNAL_SQL, Z, clip_sql, found, model
+from .table_queries import COVER, high_runs, runs_sql
 
 Q, SQL = {}, {}
 
@@ -141,3 +142,50 @@ def mod10_populations(spark, sf_dir):
     """Each event in the population of its cluster, named after the channels that stand out in it."""
     x = table(spark, sf_dir, "embeddings").select(F.col("label").alias("cluster"), F.col("vec_id").alias("event"), F.posexplode("embedding").alias("element", "intensity")).withColumn("intensity", F.col("intensity").cast("double"))
     return spectra.cluster_spectra(x, 0.3)[1]
+
+
+@query(f"""WITH {EVENT_POINTS}, {runs_sql('x', 90)}, {COVER}, v AS (SELECT p.channel, start_idx, end_idx, count(*) AS n_points, sum(intensity) AS area, arg_min(idx, row(-intensity, idx)) AS peak FROM m JOIN pts p ON p.idx BETWEEN start_idx AND end_idx GROUP BY 1, 2, 3),
+f AS (SELECT p.* FROM pts p WHERE NOT EXISTS (SELECT 1 FROM m WHERE p.idx BETWEEN m.start_idx AND m.end_idx)),
+b AS (SELECT v.channel, v.start_idx, any_value(n_points) AS n_points, any_value(area) AS area, count(f.idx) AS n, coalesce(quantile_cont(f.intensity, 0.5), 0) AS bg FROM v LEFT JOIN f ON f.channel = v.channel AND f.idx > peak - 40 AND f.idx <= peak + 40 GROUP BY 1, 2)
+SELECT channel, start_idx, n_points, n AS n_bg, round(bg, 7) AS bg_median, round(area - bg * n_points, 6) AS net_area FROM b""")
+def joi7_background(spark, sf_dir):
+    m = align.by_coverage(high_runs(spark, sf_dir, 90))
+    done = rolling.realigned(m, event_points(spark, sf_dir), 40)
+    return done.select("channel", "start_idx", "n_points", "n_bg", F.round("bg_median", 7).alias("bg_median"), F.round("net_area", 6).alias("net_area"))
+
+
+@query(FOUND + """, c AS (SELECT channel, count(*) AS n_events FROM e GROUP BY channel) SELECT e.channel, CAST(row_number() OVER (PARTITION BY e.channel ORDER BY start_idx) - 1 AS INTEGER) AS event_ord, round(area, 5) AS area, round(area - greatest(0.1, location) * n_points, 5) AS net_area, height,
+  round(greatest(0, height) - greatest(0.1, location), 5) AS net_height, round(CASE WHEN e.start_idx > 0 THEN z.time_s - p.time_s ELSE n.time_s - s.time_s END * 1e6, 0) AS duration_us, n_points, round(greatest(0.1, location) * n_points, 5) AS bg_per_event, n_events,
+  round(CASE WHEN n_points <= 2 THEN 1.0 ELSE 2.0 * (end_idx - peak_idx) / greatest(1, end_idx - start_idx) END, 6) AS asymmetry, start_idx, end_idx, round(m.time_s, 6) AS center_time_s
+FROM e JOIN c ON c.channel = e.channel JOIN pts z ON z.channel = e.channel AND z.idx = e.end_idx LEFT JOIN pts p ON p.channel = e.channel AND p.idx = e.start_idx - 1 LEFT JOIN pts n ON n.channel = e.channel AND n.idx = e.end_idx + 1
+JOIN pts s ON s.channel = e.channel AND s.idx = e.start_idx JOIN pts m ON m.channel = e.channel AND m.idx = (e.start_idx + e.end_idx) // 2""")
+def prj1_all_parameters(spark, sf_dir):
+    p, _, e = found(spark, sf_dir)
+    done = events.all_parameters(e, p)
+    digits = {"area": 5, "net_area": 5, "net_height": 5, "bg_per_event": 5, "duration_us": 0, "asymmetry": 6, "center_time_s": 6}
+    return done.select("channel", "event_ord", *(F.round(c, digits[c]).alias(c) if c in digits else F.col(c) for c in events.PARAMETERS))
+
+
+@query(f"""WITH {EVENT_POINTS}, {clip_sql(5)}, t AS (SELECT p.channel, idx, intensity, greatest(0.1, location) + {OFFSET} AS s, greatest(0.1, location + {Z} * spread) AS h FROM pts p JOIN b USING (channel)),
+u AS (SELECT *, greatest(ceil(round(avg(intensity) OVER (PARTITION BY channel ORDER BY idx ROWS BETWEEN 3 PRECEDING AND CURRENT ROW), 9)), intensity) AS y FROM t),
+g AS (SELECT *, sum(CASE WHEN y < s THEN 1 ELSE 0 END) OVER (PARTITION BY channel ORDER BY idx ROWS UNBOUNDED PRECEDING) AS island FROM u),
+r AS (SELECT channel, min(idx) AS start_idx, max(idx) AS end_idx, count(*) AS n_points, sum(intensity) AS area, max(intensity) AS height, arg_min(h, row(-intensity, idx)) AS h FROM g WHERE y >= s GROUP BY channel, island)
+SELECT channel, start_idx, end_idx, n_points, round(area, 6) AS area, height FROM r WHERE height > h""")
+def seq4c_smooth_merge(spark, sf_dir):
+    p, b = model(spark, sf_dir)
+    return search.smooth_merge_search(with_thresholds(p, b, OFFSET, Z), 4).select("channel", "start_idx", "end_idx", "n_points", F.round("area", 6).alias("area"), "height")
+
+
+#: The weights of a cubic over five points at its middle.
+CUBIC = (-3, 12, 17, 12, -3)
+NEAR = " + ".join(f"{w} * (SELECT q.intensity FROM t q WHERE q.channel = t.channel AND q.idx = CASE WHEN t.idx + {k} < 0 THEN -(t.idx + {k}) WHEN t.idx + {k} > n - 1 THEN 2 * (n - 1) - (t.idx + {k}) ELSE t.idx + {k} END)" for k, w in zip(range(-2, 3), CUBIC, strict=True))
+
+
+@query(f"""WITH {EVENT_POINTS}, {clip_sql(5)}, t AS MATERIALIZED (SELECT p.channel, idx, intensity, greatest(0.1, location) + {OFFSET} AS s, greatest(0.1, location + {Z} * spread) AS h, count(*) OVER (PARTITION BY p.channel) AS n FROM pts p JOIN b USING (channel)),
+u AS (SELECT *, greatest(ceil(round(({NEAR}) / 35.0, 9)), intensity) AS y FROM t),
+g AS (SELECT *, sum(CASE WHEN y < s THEN 1 ELSE 0 END) OVER (PARTITION BY channel ORDER BY idx ROWS UNBOUNDED PRECEDING) AS island FROM u),
+r AS (SELECT channel, min(idx) AS start_idx, max(idx) AS end_idx, count(*) AS n_points, sum(intensity) AS area, max(intensity) AS height, arg_min(h, row(-intensity, idx)) AS h FROM g WHERE y >= s GROUP BY channel, island)
+SELECT channel, start_idx, end_idx, n_points, round(area, 6) AS area, height FROM r WHERE height > h""")
+def seq4c_cubic(spark, sf_dir):
+    p, b = model(spark, sf_dir)
+    return search.smooth_merge_search(with_thresholds(p, b, OFFSET, Z), 5, "SAVITZKY_GOLAY").select("channel", "start_idx", "end_idx", "n_points", F.round("area", 6).alias("area"), "height")
