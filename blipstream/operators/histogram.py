@@ -38,9 +38,12 @@ def shimazaki(df: DataFrame, by: list[str], value: str, bins: list[int]) -> Data
     return cost.withColumn("nth", F.row_number().over(best)).where("nth = 1").select(*by, "k", "w", "cost")
 
 
-def histogram(df: DataFrame, by: list[str], value: str, width: float) -> DataFrame:
-    """HIS2 to HIS4: counts on bins that all groups share, at most MOST_BINS, with relative frequency, density and the running share."""
-    b = df.agg(F.min(value).alias("__lo"), F.max(value).alias("__hi")).withColumn("__n", F.greatest(F.lit(1), F.least(F.lit(MOST_BINS), F.ceil((F.col("__hi") - F.col("__lo")) / width))))
+def histogram(df: DataFrame, by: list[str], value: str, width: float, most_bins: int = MOST_BINS) -> DataFrame:
+    """HIS2 to HIS4: counts on bins that all groups share, with relative frequency, density and the running share.
+
+    There are at most ``most_bins`` bins, of the width given: where the values reach further, the last bin holds the rest.
+    """
+    b = df.agg(F.min(value).alias("__lo"), F.max(value).alias("__hi")).withColumn("__n", F.greatest(F.lit(1), F.least(F.lit(most_bins), F.ceil((F.col("__hi") - F.col("__lo")) / width))))
     binned = df.crossJoin(F.broadcast(b)).withColumn("bin", F.least(F.col("__n") - 1, F.floor((F.col(value) - F.col("__lo")) / width)).cast("int"))  # one row
     counts = binned.groupBy(*by, "bin").agg(F.count("*").alias("n"), (F.first("__lo") + (F.col("bin") + 0.5) * width).alias("centre"))
     whole, upto = Window.partitionBy(*by), Window.partitionBy(*by).orderBy("bin")

@@ -100,7 +100,7 @@ def multi_particles(event_points: DataFrame, z: float = 1.0, z_segment: float =
     out; the rest, or with ``raw`` the intensities before, are smoothed by a trailing mean over ``period``. A segment
     ends where the sign changes; a fall too small for its length ends it too, even if the next difference falls as well.
     The last segment doesn't count unless a fall ends it. Events of three points or fewer are one particle. An event is
-    a short array, folded by built-in functions.
+    an array, folded by built-in functions: the longest one must fit into a task.
     """
     root = "sqrt({0} + 0.5D)"
 
@@ -136,7 +136,7 @@ def multi_populations(counted: DataFrame, pooled: bool = False) -> DataFrame:
 
 
 def peak_asymmetry(event_points: DataFrame, at: float = 0.1) -> DataFrame:
-    """SEQ17: back width over front width at a tenth of the height, interpolated; null if a side doesn't fall that low. An event is a short array."""
+    """SEQ17: back width over front width at a tenth of the height, interpolated; null if a side doesn't fall that low. An event is an array: the longest one must fit into a task."""
     events = event_points.groupBy(*TRACE, "island").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "intensity"))), lambda p: p["intensity"].cast("double")).alias("__y"))
     y = F.col("__y")
     top = F.array_position(y, F.array_max(y)).cast("int")

@@ -181,7 +181,9 @@ def ward(rows: DataFrame, by: list[str], vector: str, most_rows: int = 1000, blo
     While a group has over ``most_rows`` clusters, a round on Spark finds the nearest neighbour of each, in cells of two
     blocks of about ``block_rows``, and merges all pairs that are each other's nearest, which Ward's distance allows in
     any order. What is left of a group is finished in one task by nearest-neighbour chains. Comparisons grow with the
-    square of a group, memory doesn't. Ties go to the smaller numbers of a pair. Groups must not be null.
+    square of a group, memory doesn't. Ties go to the smaller numbers of a pair. Groups must not be null. Rounds follow
+    from how many pairs are each other's nearest: of points in general a third or so merge at once, but points that grow
+    apart one by one (1.06**i) merge a pair or two a round.
     """
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     keys = ", ".join(f"{c} {kinds[c]}" for c in by)

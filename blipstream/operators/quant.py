@@ -72,3 +72,12 @@ def calibrated(standards: DataFrame, ionic: DataFrame) -> DataFrame:
 def across_channels(per_channel: DataFrame) -> DataFrame:
     """AGG16: over channels (n_events, drift): mean events, rounded up, and the drift halfway between mean and largest."""
     return per_channel.agg(F.ceil(F.avg("n_events")).alias("mean_events"), (0.5 * (F.max("drift") + F.avg("drift"))).alias("drift"))
+
+
+def number_calibrated(standards: DataFrame) -> DataFrame:
+    """MOD5: per channel, the number efficiency in percent: the slope through the origin of detected over delivered particles per second.
+
+    standards has (channel, particles_per_l, flow_ml_min, n_events, seconds) of particle calibrators.
+    """
+    rates = standards.select("channel", (F.col("particles_per_l") * F.col("flow_ml_min") / 60_000).alias("delivered"), F.try_divide(F.col("n_events"), F.col("seconds")).alias("detected"))
+    return slope_only(rates, ["channel"], "delivered", "detected").select("channel", (100 * F.col("slope")).alias("number_te_pct"))

@@ -192,6 +192,23 @@ def channel_sum(points: DataFrame, groups: Column) -> DataFrame:
     return points.groupBy("sample_id", groups.alias("channel"), "idx").agg(F.sum("intensity").alias("intensity"))
 
 
+def element_sum(points: DataFrame, channels: DataFrame, exclude_isobars: bool = False, selected: list[str] | None = None) -> DataFrame:
+    """SEQ14: (sample_id, channel, idx, time_s, intensity, n_isotopes) with one channel per element, the sum of its isotopes by index, named by a sum sign before the element.
+
+    channels has (channel, element, mass_number); of an element and mass only the first channel by name counts. Masses that
+    two elements of the table claim can be left out, and so can channels that aren't ``selected``.
+    """
+    first = channels.groupBy("element", "mass_number").agg(F.min("channel").alias("channel"))
+    if exclude_isobars:
+        claimed = channels.groupBy("mass_number").agg(F.count_distinct("element").alias("__k")).where("__k < 2").select("mass_number")
+        first = first.join(claimed, "mass_number")
+    if selected is not None:
+        first = first.where(F.col("channel").isin(selected))
+    named = points.join(first.select("channel", "element"), "channel")
+    summed = named.groupBy("sample_id", F.concat(F.lit("Σ"), "element").alias("channel"), "idx")
+    return summed.agg(F.min("time_s").alias("time_s"), F.sum("intensity").alias("intensity"), F.count("*").alias("n_isotopes"))
+
+
 def renumbered(points: DataFrame) -> DataFrame:
     """idx without gaps."""
     return numbered(points.withColumnRenamed("idx", "__was"), [F.col("__was")], "idx", TRACE).drop("__was")

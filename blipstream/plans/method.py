@@ -170,7 +170,8 @@ def search_of(sliced: DataFrame, slices: DataFrame, p: dict[str, str], model: di
     offset = float(p.get("startStopOffset", 0.5))
     for name, key, more in (("start_thr", "startCriterium", offset), ("stop_thr", "stopCriterium", offset), ("height_thr", "heightFilter", 0.0)):
         slices = thresholds.with_limit(slices, name, *criterion(p, key), more, **model)
-    points = stored(thresholds.onto_points(sliced, slices, ["location", "spread", "start_thr", "stop_thr", "height_thr"]), "with-thresholds")
+    points = thresholds.onto_points(sliced, slices, ["location", "spread", "start_thr", "stop_thr", "height_thr"])
+    points = stored(points.join(slices.select(*baseline.SLICE, "distr"), baseline.SLICE), "with-thresholds")
     how = p.get("searchAlgorithm", "SPLIT_CORRECTION")
     seen = search.rounded(points)
     if how == "SIMPLE":
@@ -186,7 +187,7 @@ def search_of(sliced: DataFrame, slices: DataFrame, p: dict[str, str], model: di
         found = search.smooth_merge_search(points, math.ceil(float(p["smoothGaussianWidth"]) * 1e-6 / dt), p.get("rawSmoothType", "MOAV"))
     elif how == "P_VALUE_ACCUMULATION":
         single = float(p["singleComponentPValueThresholdAlphaValue"]) if truth(p, "enableSingleComponentPValueThreshold") else None
-        found = accumulate.accumulated_search(accumulate.local_p(points), float(p["pValueStartStopAlphaValue"]), float(p["pValueThresholdAlphaValue"]), single, p.get("pStatistics", "CHI_SQUARE"), points)
+        found = accumulate.accumulated_search(thresholds.model_p(points, model["poisson"], model["shape"]), float(p["pValueStartStopAlphaValue"]), float(p["pValueThresholdAlphaValue"]), single, p.get("pStatistics", "CHI_SQUARE"), points)
     else:
         raise ValueError(f"no search {how!r}")
     found = stored(search.numbered(found.select(*TRACE, "start_idx", "end_idx", "peak_idx", "n_points", "area", "height")), "found")
@@ -213,7 +214,7 @@ def gate_of(found: DataFrame, sliced: DataFrame, slices: DataFrame, points: Data
     """Events that pass a gating set. Limits are those of the background at the event's peak, not protected from below."""
     kind = p["gatingOption"]
     if kind == "ACCUMULATED_P":
-        return thresholds.accumulated_gate(found, points, float(p["pValueAccumulationAlpha"]))
+        return thresholds.accumulated_gate(found, points, float(p["pValueAccumulationAlpha"]), poisson=model["poisson"], shape=model["shape"])
     if kind in LIMITED:
         how, key = {"ALPHA": ("ALPHA", "alphaValue"), "Z_VALUE": ("FACTOR", "zValue"), "CUSTOM_VALUE": ("CUSTOM_VALUE", "absoluteCutoff")}[p.get("measureOfSignificance", "ALPHA")]
         limited = thresholds.with_limit(slices, "__gate", how, float(p[key]), protected=False, **model)

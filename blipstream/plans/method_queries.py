@@ -3,9 +3,11 @@
 from pyspark.sql import functions as F
 
 from blipstream.functions.distributions import compound_poisson_limit
-from blipstream.operators import align, events, lookup, quant, rolling, sampling, search, spectra, traces
+from blipstream.functions import parsing
+from blipstream.operators import align, events, lookup, quant, rolling, sampling, search, spectra, thresholds, traces
+from blipstream.sources import nu, sinks
 
-from .inputs import EVENT_POINTS, event_points, table
+from .inputs import COUNT_POINTS, EVENT_POINTS, count_points, event_points, table
 from .method import compile_method, with_thresholds
 from .signal_queries import FOUND, OFFSET, SQL as SIGNAL_SQL, Z, clip_sql, found, model
 from .table_queries import COVER, high_runs, runs_sql
@@ -189,3 +191,50 @@ SELECT channel, start_idx, end_idx, n_points, round(area, 6) AS area, height FRO
 def seq4c_cubic(spark, sf_dir):
     p, b = model(spark, sf_dir)
     return search.smooth_merge_search(with_thresholds(p, b, OFFSET, Z), 5, "SAVITZKY_GOLAY").select("channel", "start_idx", "end_idx", "n_points", F.round("area", 6).alias("area"), "height")
+
+
+#: The isotopes that the channels of the count traces stand for: two elements claim mass 50.
+CHANNELS = [("AF", "Ti", 48), ("RF", "Ti", 50), ("NO", "Cr", 50), ("NF", "Cr", 52), ("AO", "Cr", 52)]
+CHANNEL_SQL = "ch(channel, element, mass) AS (VALUES " + ", ".join(map(str, CHANNELS)) + ")"
+
+
+@query(f"WITH {COUNT_POINTS}, {CHANNEL_SQL} SELECT 'Σ' || element AS channel, idx, CAST(sum(intensity) AS DOUBLE) AS intensity, count(*) AS n_isotopes FROM pts JOIN ch USING (channel) WHERE mass <> 50 AND channel <> 'NF' GROUP BY element, idx")
+def seq14_element_sum(spark, sf_dir):
+    """Sums without the mass that two elements claim; of two channels of one mass the first counts."""
+    channels = spark.createDataFrame(CHANNELS, "channel string, element string, mass_number int")
+    return traces.element_sum(count_points(spark, sf_dir), channels, exclude_isobars=True).select("channel", "idx", "intensity", "n_isotopes")
+
+
+@query(f"WITH {COUNT_POINTS} SELECT channel, count(*) FILTER (WHERE intensity > 45) AS n FROM pts GROUP BY channel HAVING count(*) FILTER (WHERE intensity > 45) > 500")
+def src10_busy_channels(spark, sf_dir):
+    return nu.busy_channels(count_points(spark, sf_dir), 45.0, 500).select("channel", "n")
+
+
+@query("SELECT p_brand AS channel, round(100 * sum((p_retailprice * 1e6 * p_size / 60000) * (p_partkey / 10.0)) / sum(pow(p_retailprice * 1e6 * p_size / 60000, 2)), 9) AS number_te_pct FROM part GROUP BY p_brand")
+def mod5_number_efficiency(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select(F.col("p_brand").alias("channel"), (F.col("p_retailprice") * 1e6).alias("particles_per_l"), F.col("p_size").cast("double").alias("flow_ml_min"), F.col("p_partkey").alias("n_events"), F.lit(10.0).alias("seconds"))
+    return quant.number_calibrated(p).select("channel", F.round("number_te_pct", 9).alias("number_te_pct"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'IONIC' ELSE 'PARTICLE' END AS sample_type, CASE WHEN p_size % 3 > 0 THEN CAST(p_size + 0.5 AS DOUBLE) END AS diameter_nm, CASE WHEN p_size % 3 = 0 THEN CAST(p_size AS DOUBLE) * 1000 END AS concentration_ug_l, p_size / 1000.0::DOUBLE AS flow_ml_min FROM part")
+def sc20_names(spark, sf_dir):
+    """What made-up file names say: a particle size or a concentration, and a flow."""
+    k = F.col("p_size").cast("string")
+    name = F.concat(F.lit("run1_"), F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("c"), k, F.lit("ppm"))).otherwise(F.concat(F.lit("D"), k, F.lit("p5nm"))), F.lit("_x_q"), k, F.lit("E0ulmin_5"))
+    made = table(spark, sf_dir, "part").select("p_partkey", parsing.name_conditions(parsing.name_blocks(name)).alias("c"))
+    return made.select("p_partkey", "c.sample_type", "c.diameter_nm", "c.concentration_ug_l", "c.flow_ml_min")
+
+
+@query(f"WITH {EVENT_POINTS}, {clip_sql(5)} SELECT p.channel, p.idx, CASE WHEN p.intensity > location + 1.2815515655446004 * spread THEN 1 ELSE 0 END AS below_a_tenth FROM pts p JOIN b USING (channel)")
+def dis2_model_p(spark, sf_dir):
+    """Which points have a p below a tenth by the model of their trace; p itself needs a special function that SQL lacks."""
+    p, b = model(spark, sf_dir)
+    joined = p.join(b.select("sample_id", "channel", "location", "spread"), ["sample_id", "channel"]).withColumn("distr", F.lit("GAUSSIAN"))
+    return thresholds.model_p(joined).select("channel", "idx", (F.col("p") < 0.1).cast("int").alias("below_a_tenth"))
+
+
+@query("""WITH r AS (SELECT 'n' || c_nationkey AS sample_id, c_acctbal AS area, c_custkey AS id, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS row, dense_rank() OVER (ORDER BY 'n' || c_nationkey) AS line FROM customer)
+SELECT sample_id, CAST(row AS INTEGER) AS row, CAST(row + 1 AS DOUBLE) AS cycle_ms, line * 20.0::DOUBLE AS x_um, (row + 1) * 20.0::DOUBLE AS y_um, area AS "0area", CAST(id AS DOUBLE) AS "1id" FROM r""")
+def snk8_lines(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select(F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("sample_id"), F.col("c_acctbal").alias("area"), F.col("c_custkey").alias("id"), F.lit(1).alias("frame"))
+    return sinks.lpc_lines(c, "id")
