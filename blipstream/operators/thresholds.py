@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from blipstream.functions.distributions import compound_poisson_tail, poisson_mid_ps
 
 from .accumulate import LEAST_P, p_gate
-from .baseline import PROTECTED, SLICE, interpolated, limits, normal_tail, poisson_limit, z_of
+from .baseline import PROTECTED, interpolated, limits, normal_tail, poisson_limit, z_of
 from .kernels import compound_limits
 from .scan import TRACE
 
