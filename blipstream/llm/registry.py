@@ -89,7 +89,7 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_dedup(table(spark, sf_dir, "documents"))
-    return done.select("doc_id", "n_chunks", "n_cut", "chars_cut", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    return done.select("doc_id", "n_chunks", "n_cut", "lines_cut", "chars_cut", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 OP5_SQL = rf"""
@@ -97,15 +97,18 @@ WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM docume
 h AS (SELECT *, list_transform(lines, lambda l: ('0x' || substr(md5(l), 1, 7))::BIGINT) AS hash FROM d),
 e AS (SELECT *, list_filter(range(1, len(lines) + 1), lambda i: i = len(lines)
   OR ((hash[i] + CASE WHEN i > 1 THEN {ROLL[0]} * hash[i - 1] ELSE 0 END + CASE WHEN i > 2 THEN {ROLL[1]} * hash[i - 2] ELSE 0 END) % {ROLL[2]}) % 4 = 0) AS ends FROM h),
-c AS (SELECT *, list_transform(range(1, len(ends) + 1), lambda k: array_to_string(lines[(CASE WHEN k = 1 THEN 1 ELSE ends[k - 1] + 1 END):ends[k]], chr(10))) AS chunks FROM e),
-x AS (SELECT doc_id, unnest(range(1, len(chunks) + 1)) AS k, unnest(chunks) AS chunk, len(chunks) AS n_chunks FROM c),
-o AS (SELECT *, (SELECT count(*) FROM unnest(string_split(chunk, chr(10))) AS u(l) WHERE trim(l, ' ') <> '') >= 2 AS multi,
-  row_number() OVER (PARTITION BY chunk ORDER BY doc_id, k) AS nth FROM x),
-r AS (SELECT doc_id, max(n_chunks) AS n_chunks, count(*) FILTER (WHERE multi AND nth > 1) AS n_cut,
-  string_agg(CASE WHEN NOT (multi AND nth > 1) THEN chunk END, chr(10) ORDER BY k) AS kept FROM o GROUP BY doc_id)
-SELECT a.doc_id, CAST(coalesce(r.n_chunks, 0) AS BIGINT) AS n_chunks, CAST(coalesce(r.n_cut, 0) AS BIGINT) AS n_cut,
+c AS (SELECT *, list_filter(range(1, len(lines) + 1), lambda i: trim(lines[i], ' ') <> '') AS nonblank FROM e),
+x AS (SELECT doc_id, lines, CASE WHEN k = 1 THEN 1 ELSE ends[k - 1] + 1 END AS f, ends[k] AS t FROM (SELECT *, unnest(range(1, len(ends) + 1)) AS k FROM c)
+  WHERE len(list_filter(nonblank, lambda i: i <= ends[k] AND i > CASE WHEN k = 1 THEN 0 ELSE ends[k - 1] END)) >= 2
+  UNION SELECT doc_id, lines, nonblank[k], nonblank[k + 1] FROM (SELECT *, unnest(range(1, len(nonblank))) AS k FROM c)),
+o AS (SELECT doc_id, f, t, row_number() OVER (PARTITION BY array_to_string(lines[f:t], chr(10)) ORDER BY doc_id, f) AS nth FROM x),
+n AS (SELECT doc_id, count(*) AS n_cut FROM o WHERE nth > 1 GROUP BY doc_id),
+g AS (SELECT DISTINCT doc_id, unnest(range(f, t + 1)) AS p FROM o WHERE nth > 1),
+l AS (SELECT doc_id, unnest(range(1, len(lines) + 1)) AS p, unnest(lines) AS line FROM d),
+r AS (SELECT doc_id, count(g.p) AS lines_cut, string_agg(CASE WHEN g.p IS NULL THEN line END, chr(10) ORDER BY p) AS kept FROM l LEFT JOIN g USING (doc_id, p) GROUP BY doc_id)
+SELECT a.doc_id, CAST(coalesce(len(c.ends), 0) AS BIGINT) AS n_chunks, CAST(coalesce(n.n_cut, 0) AS BIGINT) AS n_cut, CAST(coalesce(r.lines_cut, 0) AS BIGINT) AS lines_cut,
   CAST(length(coalesce(a.text, '')) - length(coalesce(r.kept, '')) AS BIGINT) AS chars_cut, sha256(coalesce(r.kept, '')) AS kept_sha256
-FROM documents a LEFT JOIN r USING (doc_id)
+FROM documents a LEFT JOIN r USING (doc_id) LEFT JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
 
@@ -202,7 +205,8 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORDERS = ", ".join(f"('{''.join(o)}')" for o in permutations("ABCDE"))
 OP13_SQL = rf"""
-WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS words FROM documents),
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS words FROM documents),
 g AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
 x AS (SELECT d.doc_id, part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
   (CASE WHEN len(words) < 50 THEN 'A' ELSE '' END) || (CASE WHEN 100 * len(list_distinct(words)) < 65 * len(words) THEN 'B' ELSE '' END)
