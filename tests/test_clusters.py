@@ -80,3 +80,16 @@ def test_suggested_cuts(spark):
     assert set(got) == set(groups)
     for g, hs in groups.items():
         assert got[g] == pytest.approx(cuts_plainly([float(h) for h in hs])), g
+
+
+def test_many_like_pairs_merge_in_few_rounds(spark, monkeypatch):
+    """Near copies whose cosines lie close together: with all like pairs at hand their merges are sure at once, as one by one."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(60, 16))
+    x = [centres[i % 60] + rng.normal(size=16) * 0.05 for i in range(150)]
+    rounds, plain = [], spectra.likest_pairs
+    monkeypatch.setattr(spectra, "likest_pairs", lambda *a: rounds.append(1) or plain(*a))
+    df = spark.createDataFrame([(i, v.tolist(), 1.0) for i, v in enumerate(x)], "cluster long, v array<double>, n double")
+    got = [r.merged for r in sorted(spectra.agglomerate(df, "v", "n", 0.9, most_pairs=20).collect())]
+    assert got == merged_plainly(x, [1.0] * 150, 0.9, True) and len(set(got)) == 60
+    assert len(rounds) <= 4
