@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.stored import stored
 from .scan import TRACE
 from .settle import settled
 
@@ -24,7 +25,8 @@ def z_of(alpha: float) -> float:
 def clipped(points: DataFrame, rounds: int = 5, z: float = 3.0, poisson: bool = False, offset: float = 0.0) -> DataFrame:
     """SEQ2a with a fixed number of rounds: location and spread per slice after removing what lies outside location -+ z * spread, offset wider.
 
-    Each round aggregates what the rounds before kept; only one row per slice goes back to the points.
+    Each round aggregates what the rounds before kept; only one row per slice goes back to the points. It is written first,
+    so that Spark knows how small it is and sends a few rows to all points, instead of all points of a slice to one task.
     """
     spread = F.sqrt(F.avg("intensity")) if poisson else F.coalesce(F.stddev_samp("intensity"), F.lit(0.0))
     stats = [F.avg("intensity").alias("location"), spread.alias("spread"), F.count("*").alias("n_kept")]
@@ -33,7 +35,7 @@ def clipped(points: DataFrame, rounds: int = 5, z: float = 3.0, poisson: bool =
     for _ in range(rounds):
         # What all rounds so far kept is an interval, so each round needs one row per slice from the one before.
         bounds = model.select(*SLICE, F.greatest("__lo", F.col("location") - wide).alias("__lo"), F.least("__hi", F.col("location") + wide).alias("__hi"))
-        inside = points.join(bounds, SLICE).where("intensity between __lo and __hi")
+        inside = points.join(stored(bounds, "clip-bounds"), SLICE).where("intensity between __lo and __hi")
         model = inside.groupBy(*SLICE).agg(*stats, F.first("__lo").alias("__lo"), F.first("__hi").alias("__hi"))
     return model.drop("__lo", "__hi")
 
