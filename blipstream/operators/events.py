@@ -38,7 +38,7 @@ def all_parameters(events: DataFrame, points: DataFrame) -> DataFrame:
 def net_of_baseline(events: DataFrame, location: DataFrame, clamp: bool = False) -> DataFrame:
     """SEQ7a: background = max(0.1, location) times points; net area and net height."""
     bg = F.greatest(F.lit(0.1), F.col("location")) * F.col("n_points")
-    net = events.join(location, TRACE).withColumn("bg_per_event", F.least(bg, F.col("area")) if clamp else bg)
+    net = events.join(F.broadcast(location), TRACE).withColumn("bg_per_event", F.least(bg, F.col("area")) if clamp else bg)
     return net.withColumn("net_area", F.col("area") - F.col("bg_per_event")).withColumn("net_height", F.greatest(F.lit(0.0), F.col("height")) - F.col("bg_per_event") / F.col("n_points"))
 
 
@@ -66,6 +66,21 @@ def net_of_window(events: DataFrame, points: DataFrame, half: int, block: int =
     return both.withColumn("bg_mean", F.when(n > 0, (F.col("__s1") - F.coalesce("__s0", F.lit(0))).cast("double") / n).otherwise(0.0)).drop("__hi", "__lo", "__s1", "__c1", "__s0", "__c0", "__last")
 
 
+def sums_in_time(peaks: DataFrame, free: DataFrame, half: float, value: str) -> DataFrame:
+    """SEQ7c: (trace, start_idx, n, total) of the free points with a time in (t - half, t + half] of each peak (start_idx, t); value is a decimal.
+
+    Both ends of a window are marks among the points in order of time, each behind the points of its own time; what lies
+    between is the difference of two running sums, so work grows with points and peaks, not with what windows hold.
+    """
+    ends = F.array(*(F.struct((F.col("t") + s * half).alias("at"), F.lit(s).alias("sign")) for s in (-1, 1)))
+    marks = peaks.select(*TRACE, "start_idx", F.explode(ends).alias("__e")).select(*TRACE, "__e.at", F.lit(1).alias("kind"), "start_idx", "__e.sign", F.lit(None).cast(free.schema[value].dataType).alias("y"))
+    none = F.lit(None).cast("int")
+    points = free.select(*TRACE, F.col("time_s").alias("at"), F.lit(0).alias("kind"), none.alias("start_idx"), none.alias("sign"), F.col(value).alias("y"))
+    placed = stored(numbered(points.unionByName(marks), [F.col("at"), F.col("kind")], "idx", TRACE), "in-time")
+    both = running_sum(running_sum(placed, F.coalesce("y", F.lit(0).cast(free.schema[value].dataType)), "__sum"), (F.col("kind") == 0).cast("long"), "__count").where("kind = 1")
+    return both.groupBy(*TRACE, "start_idx").agg(F.sum(F.col("sign") * F.col("__count")).alias("n"), F.sum(F.when(F.col("sign") > 0, F.col("__sum")).otherwise(-F.col("__sum"))).alias("total"))
+
+
 def legacy_percentiles(df: DataFrame, by: list[str], value: str, at: dict[str, float]) -> DataFrame:
     """Percentiles at position p * (n + 1), clamped to the ends, one column per name; values are numbered by ranges, no group is sorted whole."""
     ranked = numbered(df.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("__v")), [F.col("__v")], "__r", by)

@@ -28,16 +28,13 @@ def query(sql: str | None = None):
 c AS (SELECT e.channel, e.start_idx, p.time_s AS t FROM e JOIN pts p ON p.channel = e.channel AND p.idx = e.peak_idx)
 SELECT c.channel, c.start_idx, count(q.idx) AS n, round(coalesce(avg(q.intensity), 0), 7) AS bg_mean FROM c LEFT JOIN q ON q.channel = c.channel AND q.time_s > c.t - 20000 AND q.time_s <= c.t + 20000 GROUP BY 1, 2""")
 def seq7c_time_background(spark, sf_dir):
-    """Background points by time around the peak: both sides meet in time bins of the window's width."""
+    """Background points by time around the peak, from running sums along time."""
     p, _, e = found(spark, sf_dir)
     half = 20000.0
-    free = stored(events.background(p, e), "background").select(*TRACE, "time_s", F.col("intensity").cast("decimal(28,6)").alias("y"), F.floor(F.col("time_s") / half).alias("bin"))
+    free = events.background(p, e).select(*TRACE, "time_s", F.col("intensity").cast("decimal(28,6)").alias("y"))
     peak = e.select(*TRACE, "start_idx", F.col("peak_idx").alias("idx")).join(p.select(*TRACE, "idx", F.col("time_s").alias("t")), [*TRACE, "idx"])
-    near = peak.withColumn("bin", F.explode(F.sequence(F.floor(F.col("t") / half) - 1, F.floor(F.col("t") / half) + 1)))
-    hit = near.join(free, [*TRACE, "bin"]).where((F.col("time_s") > F.col("t") - half) & (F.col("time_s") <= F.col("t") + half))
-    s = hit.groupBy(*TRACE, "start_idx").agg(F.count("*").alias("n"), F.sum("y").cast("double").alias("total"))
-    out = peak.join(s, [*TRACE, "start_idx"], "left")
-    return out.select("channel", "start_idx", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.round(F.coalesce(F.col("total") / F.col("n"), F.lit(0.0)), 7).alias("bg_mean"))
+    out = events.sums_in_time(stored(peak, "peaks"), free, half, "y")
+    return out.select("channel", "start_idx", F.col("n").cast("long").alias("n"), F.round(F.coalesce(F.try_divide(F.col("total").cast("double"), F.col("n")), F.lit(0.0)), 7).alias("bg_mean"))
 
 
 @query(f"""WITH {EVENT_POINTS}, b AS (SELECT channel, idx // 200 AS blk, quantile_cont(intensity, 0.5) AS m FROM pts GROUP BY 1, 2), d AS (SELECT p.channel, p.idx // 200 AS blk, quantile_cont(abs(intensity - m), 0.5) AS d FROM pts p JOIN b ON b.channel = p.channel AND b.blk = p.idx // 200 GROUP BY 1, 2),

@@ -25,3 +25,19 @@ def test_clipping_sends_bounds_to_the_points(points):
     made = baseline.clipped(points.withColumn("slice_idx", F.lit(0)), 3)
     assert joins_by_trace(made) == 0
     assert {r.channel: r.n_kept for r in made.collect()} == {"c0": 20_000, "c1": 20_000}
+
+
+@pytest.mark.parametrize("made", [search.rounded, lambda p: traces.segment(p, 5000), lambda p: with_thresholds(p, p.groupBy("sample_id", "channel").agg(F.avg("intensity").alias("location"), F.stddev("intensity").alias("spread")), 0.5, 1.0)])
+def test_rows_of_traces_go_to_the_points(points, made):
+    assert joins_by_trace(made(points)) == 0
+
+
+def test_sums_in_time_have_open_starts_and_closed_ends(spark):
+    """Points at both ends of the window, equal times, a window without points; and no row per pair of peak and point."""
+    from blipstream.operators import events
+
+    times = [0.0, 1.0, 1.0, 2.0, 3.0, 3.0, 9.0]
+    free = spark.createDataFrame([("s", "c", t, str(10**k)) for k, t in enumerate(times)], "sample_id string, channel string, time_s double, v string").select("sample_id", "channel", "time_s", F.col("v").cast("decimal(28,6)").alias("y"))
+    peaks = spark.createDataFrame([("s", "c", i, t) for i, t in enumerate([2.0, 0.5, 6.0, 3.0])], "sample_id string, channel string, start_idx int, t double")
+    got = {r.start_idx: (r.n, float(r.total)) for r in events.sums_in_time(peaks, free, 1.0, "y").collect()}
+    assert got == {i: (len(k), float(sum(10**j for j in k))) for i, k in enumerate([[j for j, x in enumerate(times) if t - 1 < x <= t + 1] for t in (2.0, 0.5, 6.0, 3.0)])}
