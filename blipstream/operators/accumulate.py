@@ -27,7 +27,7 @@ def prescreened(points: DataFrame, per_minute: float) -> DataFrame:
     """The points of channels with more events a minute, by a hysteresis search with their start_thr, stop_thr and height_thr."""
     span = points.groupBy(*TRACE).agg((F.max("time_s") - F.min("time_s")).alias("__seconds"))
     rates = hysteresis_search(rounded(points)).groupBy(*TRACE).agg(F.count("*").alias("__events")).join(span, TRACE)
-    return points.join(rates.where(F.col("__events") / F.col("__seconds") > per_minute / 60).select(*TRACE), TRACE, "left_semi")
+    return points.join(F.broadcast(rates.where(F.col("__events") / F.col("__seconds") > per_minute / 60).select(*TRACE)), TRACE, "left_semi")
 
 
 def combined_p(points: DataFrame, how: str = "CHI_SQUARE") -> DataFrame:

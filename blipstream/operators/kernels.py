@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from blipstream.functions import distributions as dist
 
+from ..plans.stored import stored
 from .baseline import SLICE
 from .scan import TRACE
 
@@ -80,7 +81,8 @@ def poisson_p(points: DataFrame, mean: str = "location") -> DataFrame:
         return pd.Series(dist.poisson_mid_ps(y.to_numpy(), m.to_numpy()))
 
     keyed = points.withColumn("__y", F.round("intensity", 3)).withColumn("__m", F.greatest(F.lit(0.01), F.round(mean, 2)))
-    return keyed.join(keyed.select("__y", "__m").distinct().withColumn("p", p("__y", "__m")), ["__y", "__m"]).drop("__y", "__m")
+    known = stored(keyed.select("__y", "__m").distinct().withColumn("p", p("__y", "__m")), "poisson-p")
+    return keyed.join(known, ["__y", "__m"]).drop("__y", "__m")
 
 
 def savitzky_golay(points: DataFrame, width: int, order: int = 3, block: int = 1 << 16) -> DataFrame:

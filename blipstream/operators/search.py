@@ -14,7 +14,7 @@ EVENT = [*TRACE, "event_ord"]
 def rounded(points: DataFrame) -> DataFrame:
     """Searches see integer traces rounded, half up; measures stay those of the recorded values, which are kept as gross."""
     kinds = is_integer(points).where("is_integer")
-    joined = points.withColumn("gross", F.col("intensity")).join(kinds, TRACE, "left")
+    joined = points.withColumn("gross", F.col("intensity")).join(F.broadcast(kinds), TRACE, "left")
     return joined.withColumn("intensity", F.when(F.col("is_integer"), F.floor(F.col("intensity") + 0.5).cast("double")).otherwise(F.col("intensity"))).drop("is_integer")
 
 
@@ -91,7 +91,7 @@ def window_search(points: DataFrame, widen: int, bonus: float) -> DataFrame:
     """SEQ4b: each point at or above start is widened on both sides, more if it is low; overlapping results fuse; the height is tested at the merged peak."""
     n = points.groupBy(*TRACE).agg(F.max("idx").alias("__last"))
     extra = F.ceil(F.least(F.lit(1.0), F.greatest(F.lit(1.0), F.col("start_thr")) / F.greatest(F.lit(1.0), F.col("intensity"))) * bonus)
-    wide = points.where("intensity >= start_thr").join(n, TRACE).select(
+    wide = points.where("intensity >= start_thr").join(F.broadcast(n), TRACE).select(
         *TRACE, F.greatest(F.lit(0), F.col("idx") - widen - extra).cast("int").alias("start_idx"), F.least("__last", F.col("idx") + widen + extra).cast("int").alias("end_idx")
     )
     merged = merge_intervals(wide)

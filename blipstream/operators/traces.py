@@ -30,7 +30,7 @@ def segment(points: DataFrame, length: int, merge_below: int = 100) -> DataFrame
     """SEQ0: slice_idx of each point; a tail of fewer than merge_below points joins the slice before."""
     n = points.groupBy(*TRACE).agg(F.count("*").alias("__n"))
     slices = F.greatest(F.lit(1), F.floor(F.col("__n") / length) + F.when(F.col("__n") % length >= merge_below, 1).otherwise(0))
-    return points.join(n, TRACE).withColumn("slice_idx", F.least(F.floor(F.col("idx") / length), slices - 1).cast("int")).drop("__n")
+    return points.join(F.broadcast(n), TRACE).withColumn("slice_idx", F.least(F.floor(F.col("idx") / length), slices - 1).cast("int")).drop("__n")
 
 
 def rebin(points: DataFrame, k: int) -> DataFrame:
@@ -64,7 +64,7 @@ def is_integer(points: DataFrame, first: int = 10_000, limit: float = 0.15, bloc
     rows = points.where("intensity <> 0").select(*TRACE, "idx", "intensity", F.floor(F.col("idx") / block).alias("__block"))
     ahead = Window.partitionBy(*TRACE).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = rows.groupBy(*TRACE, "__block").agg(F.count("*").alias("__n")).withColumn("__ahead", F.coalesce(F.sum("__n").over(ahead), F.lit(0))).where(F.col("__ahead") < first)
-    near = rows.join(blocks.drop("__n"), [*TRACE, "__block"])
+    near = rows.join(F.broadcast(blocks.drop("__n")), [*TRACE, "__block"])  # at most ``first`` blocks a trace
     used = near.withColumn("__nth", F.row_number().over(Window.partitionBy(*TRACE, "__block").orderBy("idx"))).where(F.col("__ahead") + F.col("__nth") <= first)
     return used.groupBy(*TRACE).agg((F.avg(F.abs(F.floor(F.col("intensity") + 0.5) - F.col("intensity"))) < limit).alias("is_integer"))
 

@@ -55,7 +55,7 @@ class Method:
 def with_thresholds(points: DataFrame, location: DataFrame, offset: float, z: float) -> DataFrame:
     """Start and stop at the mean plus offset, height at mean + z * spread; one row per trace joins the points."""
     level = F.greatest(F.lit(baseline.PROTECTED), F.col("location"))
-    joined = points.join(location.select("sample_id", "channel", "location", "spread"), ["sample_id", "channel"])
+    joined = points.join(F.broadcast(location.select("sample_id", "channel", "location", "spread")), ["sample_id", "channel"])
     return joined.withColumn("start_thr", level + offset).withColumn("stop_thr", level + offset).withColumn("height_thr", F.greatest(F.lit(baseline.PROTECTED), F.col("location") + z * F.col("spread")))
 
 

@@ -229,7 +229,7 @@ def sc20_names(spark, sf_dir):
 def dis2_model_p(spark, sf_dir):
     """Which points have a p below a tenth by the model of their trace; p itself needs a special function that SQL lacks."""
     p, b = model(spark, sf_dir)
-    joined = p.join(b.select("sample_id", "channel", "location", "spread"), ["sample_id", "channel"]).withColumn("distr", F.lit("GAUSSIAN"))
+    joined = p.join(F.broadcast(b.select("sample_id", "channel", "location", "spread")), ["sample_id", "channel"]).withColumn("distr", F.lit("GAUSSIAN"))
     return thresholds.model_p(joined).select("channel", "idx", (F.col("p") < 0.1).cast("int").alias("below_a_tenth"))
 
 

@@ -433,7 +433,7 @@ COMBINED = f"""hh AS (SELECT idx, count(*) AS k, min(p) AS lowest_p, sum(-ln(p))
 
 def counted_p(spark, sf_dir):
     p = count_points(spark, sf_dir)
-    return accumulate.local_p(p.join(p.groupBy("sample_id", "channel").agg(F.avg("intensity").alias("location")), ["sample_id", "channel"]))
+    return accumulate.local_p(p.join(F.broadcast(p.groupBy("sample_id", "channel").agg(F.avg("intensity").alias("location"))), ["sample_id", "channel"]))
 
 
 @query(f"WITH {LOCAL_P} SELECT channel, idx, round(p, 9) AS p FROM lp")
