@@ -4,7 +4,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from blipstream.functions import distributions as dist
@@ -14,6 +14,12 @@ from .baseline import SLICE
 from .scan import TRACE
 
 
+def by_slice(points: DataFrame) -> GroupedData:
+    """Slices dealt to as many tasks as a shuffle has: their few bytes would otherwise be put together into one, though each is work in Python."""
+    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return points.select(*SLICE, "intensity").repartition(tasks, *SLICE).groupBy(*SLICE)
+
+
 def rosner(points: DataFrame, alpha: float = 0.05, fraction: float = 0.02) -> DataFrame:
     """SEQ2c: generalised ESD per slice; nothing is removed where nothing is significant."""
 
@@ -38,7 +44,7 @@ def rosner(points: DataFrame, alpha: float = 0.05, fraction: float = 0.02) -> Da
             kept = kept[:-1] if kept[-1] - kept.mean() >= kept.mean() - kept[0] else kept[1:]
         return pd.DataFrame([[*key, gone, kept.mean() if n else 0.0, kept.std(ddof=1) if len(kept) > 1 else 0.0]], columns=[*SLICE, "n_outliers", "location", "spread"])
 
-    return points.select(*SLICE, "intensity").groupBy(*SLICE).applyInPandas(run, "sample_id string, channel string, slice_idx int, n_outliers int, location double, spread double")
+    return by_slice(points).applyInPandas(run, "sample_id string, channel string, slice_idx int, n_outliers int, location double, spread double")
 
 
 def truncated_poisson(points: DataFrame) -> DataFrame:
@@ -60,7 +66,7 @@ def truncated_poisson(points: DataFrame) -> DataFrame:
             lam = 0.5
         return pd.DataFrame([[*key, lam]], columns=[*SLICE, "mean"])
 
-    return points.select(*SLICE, "intensity").groupBy(*SLICE).applyInPandas(run, "sample_id string, channel string, slice_idx int, mean double")
+    return by_slice(points).applyInPandas(run, "sample_id string, channel string, slice_idx int, mean double")
 
 
 def compound_limits(baselines: DataFrame, shape: float, alpha: float) -> DataFrame:

@@ -41,3 +41,12 @@ def test_sums_in_time_have_open_starts_and_closed_ends(spark):
     peaks = spark.createDataFrame([("s", "c", i, t) for i, t in enumerate([2.0, 0.5, 6.0, 3.0])], "sample_id string, channel string, start_idx int, t double")
     got = {r.start_idx: (r.n, float(r.total)) for r in events.sums_in_time(peaks, free, 1.0, "y").collect()}
     assert got == {i: (len(k), float(sum(10**j for j in k))) for i, k in enumerate([[j for j, x in enumerate(times) if t - 1 < x <= t + 1] for t in (2.0, 0.5, 6.0, 3.0)])}
+
+
+def test_slices_stay_dealt_over_tasks(spark):
+    """Slices of few bytes aren't put together into one task."""
+    from blipstream.operators import kernels
+
+    p = spark.range(20_000).select(F.lit("s").alias("sample_id"), F.lit("c").alias("channel"), F.floor(F.col("id") / 500).cast("int").alias("slice_idx"), F.pmod(F.col("id") * 7919, F.lit(101)).cast("double").alias("intensity"))
+    for made in (kernels.rosner(p), kernels.truncated_poisson(p)):
+        assert made.select(F.spark_partition_id().alias("task")).distinct().count() > 1
