@@ -170,55 +170,108 @@ def composition(spectra: DataFrame) -> DataFrame:
 
 
 def ward_distances(one: np.ndarray, n_one: np.ndarray, two: np.ndarray, n_two: np.ndarray) -> np.ndarray:
-    """Ward's distance between clusters, from centroids and sizes."""
+    """Ward's distance between clusters, from centroids and sizes; the same from either side."""
     square = (one * one).sum(1)[:, None] + (two * two).sum(1)[None] - 2 * one @ two.T
-    return np.sqrt(np.maximum(0, square) * 2 * n_one[:, None] * n_two[None] / (n_one[:, None] + n_two[None]))
+    return np.sqrt(np.maximum(0, square) * (2 * (n_one[:, None] * n_two[None]) / (n_one[:, None] + n_two[None])))
 
 
-def ward(rows: DataFrame, by: list[str], vector: str, most_rows: int = 1000, block_rows: int = 500) -> DataFrame:
+def ward_nearest(x: np.ndarray, n: np.ndarray, ids: np.ndarray, mine: np.ndarray, asks: np.ndarray, tile: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+    """(distance, id) of the nearest of each cluster among the pairs in which one asks, infinite where there is none.
+
+    Where clusters are of two blocks, pairs are those across. Ties go to the smaller id. Each pair is evaluated once, tile by
+    tile, so both sides see one distance and memory doesn't grow with the square of the clusters.
+    """
+    best, other = np.full(len(ids), np.inf), np.full(len(ids), np.iinfo(np.int64).max)
+
+    def better(at: np.ndarray, d: np.ndarray, to: np.ndarray) -> None:
+        won = (d < best[at]) | ((d == best[at]) & (to < other[at]) & np.isfinite(d))
+        best[at[won]], other[at[won]] = d[won], to[won]
+
+    def meet(one: np.ndarray, two: np.ndarray) -> None:
+        if len(one) and len(two):
+            d = ward_distances(x[one], n[one], x[two], n[two])
+            if one is two:
+                d = np.minimum(d, d.T)
+                np.fill_diagonal(d, np.inf)
+            else:
+                at = d.argmin(0)
+                better(two, d[at, np.arange(len(two))], ids[one][at])
+            at = d.argmin(1)
+            better(one, d[np.arange(len(one)), at], ids[two][at])
+
+    order = np.argsort(ids)  # the first least of a row is that of the smallest id
+    groups = [order[mine[order] == m] for m in np.unique(mine)]
+    asking, known = ([[g[k : k + tile] for k in range(0, len(g), tile)] for g in (g[asks[g] == wanted] for g in groups)] for wanted in (True, False))
+    for i in range(len(groups)):
+        j = i if len(groups) == 1 else 1 - i
+        for k, one in enumerate(asking[i]):
+            for two in [*(asking[j][k:] if i == j else asking[j] if i < j else []), *known[j]]:
+                meet(one, two)
+    return best, other
+
+
+def ward_blocks(groups: int, cells: int) -> int:
+    """The fewest blocks a group that give so many cells (pairs of blocks, each with itself too) over all groups."""
+    return next(b for b in range(1, cells + 1) if groups * b * (b + 1) >= 2 * cells)
+
+
+def ward(rows: DataFrame, by: list[str], vector: str, most_rows: int = 1000, block_rows: int = 50_000, least_cells: int = 48) -> DataFrame:
     """MOD7: merge heights of Ward linkage per group: (by, merge, height), lowest first.
 
     While a group has over ``most_rows`` clusters, a round on Spark finds the nearest neighbour of each, in cells of two
-    blocks of about ``block_rows``, and merges all pairs that are each other's nearest, which Ward's distance allows in
-    any order. What is left of a group is finished in one task by nearest-neighbour chains. Comparisons grow with the
-    square of a group, memory doesn't. Ties go to the smaller numbers of a pair. Groups must not be null. Rounds follow
-    from how many pairs are each other's nearest: of points in general a third or so merge at once, but points that grow
-    apart one by one (1.06**i) merge a pair or two a round.
+    blocks, and merges all pairs that are each other's nearest, which Ward's distance allows in any order. A merged cluster
+    is never nearer to others than the nearer of its parts was, so only merged clusters, and those whose nearest was merged,
+    ask anew. What is left of a group is finished in one task by nearest-neighbour chains. Ties go to the smaller numbers of
+    a pair. Groups must not be null.
+
+    Comparisons grow with the square of a group. A cluster is sent once per block of its group and round. Blocks are as many
+    as give ``least_cells`` cells over all large groups, so what is shuffled grows with the rows; only where they would hold
+    over ``block_rows`` clusters there are more of them, which keeps the memory of a task. Rounds follow from how many pairs are each other's
+    nearest: of points in general a third or so merge at once, but points that grow apart one by one (1.06**i) merge a pair
+    or two a round.
     """
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     keys = ", ".join(f"{c} {kinds[c]}" for c in by)
-    nodes = stored(rows.select(*by, F.monotonically_increasing_id().alias("id"), F.lit(1.0).alias("n"), F.col(vector).cast("array<double>").alias("c")), "ward")
+    unknown = {"other": F.lit(None).cast("long"), "d": F.lit(None).cast("double")}
+    nodes = stored(rows.select(*by, F.monotonically_increasing_id().alias("id"), F.lit(1.0).alias("n"), F.col(vector).cast("array<double>").alias("c")).withColumns(unknown), "ward")
     heights = None
 
     def nearest(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        x, n, ids, mine = np.stack(part["c"].to_numpy()), part["n"].to_numpy(), part["id"].to_numpy(), part["mine"].to_numpy()
-        d = ward_distances(x, n, x, n)
-        if len(set(mine)) > 1:
-            d[mine[:, None] == mine[None]] = np.inf
-        np.fill_diagonal(d, np.inf)
-        low, high = np.minimum(ids[:, None], ids[None]), np.maximum(ids[:, None], ids[None])
-        best = [min(zip(d[i][at], low[i][at], high[i][at], ids[at], strict=True)) for i in range(len(ids)) for at in [np.flatnonzero(d[i] == d[i].min())]]
-        keep = [i for i, x_ in enumerate(best) if np.isfinite(x_[0])]
-        names = list(key)[: len(by)]
-        return pd.DataFrame([[*names, ids[i], best[i][3], best[i][0]] for i in keep], columns=[*by, "id", "other", "d"])
+        was, mine = part["d"].to_numpy(float, na_value=np.inf), part["mine"].to_numpy()
+        asks = part["other"].isna().to_numpy() & (key[-2] == key[-1] or mine.min() < mine.max())
+        d, other = ward_nearest(np.stack(part["c"].to_numpy()), part["n"].to_numpy(), part["id"].to_numpy(), mine, asks)
+        found = pd.DataFrame({**dict(zip(by, key, strict=False)), "id": part["id"], "other": other, "d": d})
+        return found[np.isfinite(d) & (d <= was)]
 
     while True:
-        large = stored(nodes.groupBy(*by).count().where(F.col("count") > most_rows).select(*by, F.ceil(F.col("count") / block_rows).alias("blocks")), "ward-large")
-        if large.isEmpty():
+        large = stored(nodes.groupBy(*by).count().where(F.col("count") > most_rows), "ward-large")
+        groups = large.count()
+        if groups == 0:
             break
+        large = large.select(*by, F.greatest(F.lit(ward_blocks(groups, least_cells)), F.ceil(F.col("count") / block_rows)).alias("blocks"))
         dealt = nodes.join(large, by).withColumn("mine", F.pmod(F.xxhash64("id"), "blocks")).withColumn("met", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        cells = dealt.withColumn("i", F.least("mine", "met")).withColumn("j", F.greatest("mine", "met")).select(*by, "i", "j", "id", "n", "c", "mine")
+        cells = dealt.withColumn("i", F.least("mine", "met")).withColumn("j", F.greatest("mine", "met")).select(*by, "i", "j", "id", "n", "c", "mine", "other", "d")
         found = cells.groupBy(*by, "i", "j").applyInPandas(nearest, f"{keys}, id long, other long, d double")
-        order = F.struct("d", F.least("id", "other"), F.greatest("id", "other"))
-        best = stored(found.groupBy(*by, "id").agg(F.min_by("other", order).alias("other"), F.min("d").alias("d")), "ward-nearest")
+        every = found.unionByName(nodes.where("other is not null").join(large, by, "left_semi").select(*by, "id", "other", "d"))
+        best = stored(every.groupBy(*by, "id").agg(F.min(F.struct("d", "other")).alias("b")).select(*by, "id", "b.other", "b.d"), "ward-nearest")
         back = best.select(*by, F.col("id").alias("other"), F.col("other").alias("id"))
         pairs = stored(best.where("id < other").join(back, [*by, "id", "other"]), "ward-pairs")
-        two = nodes.select(*by, F.col("id").alias("other"), F.col("n").alias("m"), F.col("c").alias("e"))
-        total = F.col("n") + F.col("m")
-        centre = F.zip_with("c", "e", lambda x, y: (x * F.col("n") + y * F.col("m")) / total)
-        merged = pairs.join(nodes, [*by, "id"]).join(two, [*by, "other"]).select(*by, "id", total.alias("__n"), centre.alias("__c")).withColumnsRenamed({"__n": "n", "__c": "c"})
-        gone = pairs.select(*by, F.explode(F.array("id", "other")).alias("id"))
-        nodes = stored(nodes.join(gone, [*by, "id"], "left_anti").unionByName(merged), "ward")
+        if pairs.isEmpty():
+            # Rounding may differ between rounds and leave like distances in a ring; when all ask at once it can't.
+            nodes = nodes.withColumns(unknown)
+            continue
+        into = pairs.select(*by, F.explode(F.array("id", "other")).alias("__id"), F.col("id").alias("into")).withColumnRenamed("__id", "id")
+        gone = into.select(*by, F.col("id").alias("other"), F.lit(True).alias("lost"))
+        now = best.join(into, [*by, "id"], "left").join(gone, [*by, "other"], "left")
+        kept = now.where("into is null").select(*by, "id", *(F.when(F.col("lost").isNull(), F.col(c)).alias(c) for c in unknown))
+        stay = nodes.drop("other", "d").join(kept, [*by, "id"])
+        small = nodes.join(large, by, "left_anti")
+        one, two = F.col("two")[0], F.col("two")[1]
+        total = one["n"] + two["n"]
+        centre = F.transform(F.arrays_zip(one["c"].alias("x"), two["c"].alias("y")), lambda z: (z["x"] * one["n"] + z["y"] * two["n"]) / total)
+        both = nodes.join(into, [*by, "id"]).groupBy(*by, "into").agg(F.sort_array(F.collect_list(F.struct("id", "n", "c"))).alias("two"))
+        merged = both.select(*by, F.col("into").alias("id"), total.alias("n"), centre.alias("c")).withColumns(unknown)
+        nodes = stored(stay.unionByName(merged).unionByName(small), "ward")
         level = pairs.select(*by, F.col("d").alias("height"))
         heights = level if heights is None else heights.unionByName(level)
 

@@ -93,3 +93,34 @@ def test_many_like_pairs_merge_in_few_rounds(spark, monkeypatch):
     got = [r.merged for r in sorted(spectra.agglomerate(df, "v", "n", 0.9, most_pairs=20).collect())]
     assert got == merged_plainly(x, [1.0] * 150, 0.9, True) and len(set(got)) == 60
     assert len(rounds) <= 4
+
+
+def test_asking_clusters_find_their_nearest():
+    """Pairs without an asking side are left out, of two blocks only pairs across count, ties go to the smaller id, and tiles don't matter."""
+    rng = np.random.default_rng(5)
+    x, n, ids = np.round(rng.normal(size=(60, 2)), 1), rng.integers(1, 4, 60).astype(float), rng.permutation(60) + 1000
+    d = models.ward_distances(x, n, x, n)
+    d = np.minimum(d, d.T)
+    for mine in (np.zeros(60, int), rng.integers(0, 2, 60)):
+        for asks in (np.ones(60, bool), rng.random(60) < 0.3, np.zeros(60, bool)):
+            got = [models.ward_nearest(x, n, ids, mine, asks, tile) for tile in (7, 1024)]
+            for k in range(60):
+                met = [(d[k, j], ids[j]) for j in range(60) if j != k and (asks[j] or asks[k]) and (mine[j] != mine[k] or mine.min() == mine.max())]
+                for best, other in got:
+                    assert best[k] == pytest.approx(min(met)[0], abs=1e-6) if met else np.isinf(best[k])
+                    assert not met or d[k, list(ids).index(other[k])] == pytest.approx(min(met)[0], abs=1e-6)
+
+
+def test_ward_by_rounds_sends_clusters_to_few_blocks(spark, monkeypatch):
+    """A cluster goes to as many blocks as cells need, not to more of them in a longer group; heights are those of one task, copies included."""
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(330, 6))
+    rows = [("a", x.tolist()) for x in [*v, *v[:10]]] + [("b", x.tolist()) for x in v[:150] + 1]
+    df = spark.createDataFrame(rows, "g string, v array<double>").repartition(3).cache()
+    seen, plain = [], models.stored
+    monkeypatch.setattr(models, "stored", lambda made, name: seen.append(name) or plain(made, name))
+    one = [(r.g, r.merge, round(r.height, 5)) for r in models.ward(df, ["g"], "v").orderBy("g", "merge").collect()]
+    assert seen.count("ward-nearest") == 0
+    two = [(r.g, r.merge, round(r.height, 5)) for r in models.ward(df, ["g"], "v", most_rows=120, least_cells=12).orderBy("g", "merge").collect()]
+    assert one == two and len(one) == 339 + 149 and 2 <= seen.count("ward-nearest") < 12
+    assert models.ward_blocks(1, 12) == 5 and models.ward_blocks(2, 12) == 3 and models.ward_blocks(100, 12) == 1
