@@ -11,6 +11,16 @@ TRACE = ["sample_id", "channel"]
 BLOCK = 1 << 16
 
 
+def tasks_of(df: DataFrame) -> int:
+    """The session's number of shuffle partitions. Given as a number, Spark keeps it; else it puts partitions together until they hold a share of all rows each, and what a task sorts grows with the input."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def dealt(df: DataFrame, *by: str) -> DataFrame:
+    """df dealt by keys to as many tasks as the session has shuffle partitions, for windows and groups over these keys."""
+    return df.repartition(tasks_of(df), *by)
+
+
 def running_sum(df: DataFrame, value: Column, name: str, keys: list[str] | None = None, order: str = "idx", block: int = BLOCK) -> DataFrame:
     """df with the inclusive running sum of value along order, per trace.
 
@@ -35,13 +45,13 @@ def neighbours(df: DataFrame, column: str, name: str, by: int = -1, keys: list[s
 def numbered(df: DataFrame, order: Sequence[Column], name: str = "idx", keys: Sequence[str] = ()) -> DataFrame:
     """df with each row's number (from 0) in ``order`` within keys, without a window over a whole key.
 
-    Rows are dealt by ranges of (keys, order), sorted and written once with their place. A row's number is its
+    Rows are dealt by ranges of (keys, order), one a shuffle partition, sorted and written once with their place. A row's number is its
     place in its range, less the first place of its key there, plus the key's rows in earlier ranges: a table of
     one row per key and range. Rows that tie in all of order keep any order among themselves, the same one in
     every later read.
     """
     by = [*(F.col(k).asc_nulls_first() for k in keys), *order]
-    placed = stored(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__at", F.monotonically_increasing_id()), "numbered")
+    placed = stored(df.repartitionByRange(tasks_of(df), *by).sortWithinPartitions(*by).withColumn("__at", F.monotonically_increasing_id()), "numbered")
     placed = placed.withColumn("__range", F.shiftright("__at", 33)).withColumn("__place", F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)))
     ahead = Window.partitionBy(*(keys or [F.lit(1)])).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (

@@ -3,12 +3,15 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from blipstream.operators.scan import numbered
+from blipstream.operators.scan import dealt, numbered
 
 
 def raw_table(points: DataFrame, channels: list[str]) -> DataFrame:
-    """SNK1: one column per channel; channels are given, so the pivot needs no pass of its own."""
-    return points.groupBy("sample_id", "idx").pivot("channel", channels).agg(F.first("intensity"))
+    """SNK1: one column per channel; channels are given, so the pivot needs no pass of its own.
+
+    A point is alone in its channel at its index, so each column takes what is there of its channel; points are dealt by index once.
+    """
+    return dealt(points, "sample_id", "idx").groupBy("sample_id", "idx").agg(*(F.first(F.when(F.col("channel") == c, F.col("intensity")), ignorenulls=True).alias(c) for c in channels))
 
 
 def population_table(events: DataFrame) -> DataFrame:

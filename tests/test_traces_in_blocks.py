@@ -50,3 +50,32 @@ def test_slices_stay_dealt_over_tasks(spark):
     p = spark.range(20_000).select(F.lit("s").alias("sample_id"), F.lit("c").alias("channel"), F.floor(F.col("id") / 500).cast("int").alias("slice_idx"), F.pmod(F.col("id") * 7919, F.lit(101)).cast("double").alias("intensity"))
     for made in (kernels.rosner(p), kernels.truncated_poisson(p)):
         assert made.select(F.spark_partition_id().alias("task")).distinct().count() > 1
+
+
+@pytest.fixture
+def many_tasks(spark):
+    """More shuffle partitions than rows of so few bytes would be left in, if Spark put them together."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    yield 16
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_ranges_of_numbers_stay_apart(spark, many_tasks):
+    from blipstream.operators import scan
+
+    made = scan.numbered(spark.range(20_000).select("id", (F.col("id") % 3).alias("k")), [F.col("id").desc()], "n", ["k"])
+    assert len(made.inputFiles()) == many_tasks
+    assert {(r.k, r.n): r.id for r in made.collect()} == {(k, n): x for k in range(3) for n, x in enumerate(sorted(range(k, 20_000, 3), reverse=True))}
+
+
+def test_raw_table_stays_dealt_over_tasks(points, many_tasks):
+    """Also indices that a channel lacks, channels that aren't asked for, and values that are null."""
+    from blipstream.sources import sinks
+
+    p = points.where("idx < 3000 or channel = 'c1'").withColumns({"intensity": F.when(F.col("idx") != 7, F.col("intensity")), "sample_id": F.concat(F.lit("s"), F.col("idx") % 1)})
+    made = sinks.raw_table(p, ["c1", "c0", "c9"])
+    assert made.columns == ["sample_id", "idx", "c1", "c0", "c9"]
+    assert made.select(F.spark_partition_id().alias("task")).distinct().count() == many_tasks
+    want = {i: ((float((2 * i + 1) * 7919 % 101), float(2 * i * 7919 % 101) if i < 3000 else None) if i != 7 else (None, None)) for i in range(20_000)}
+    assert {r.idx: (r.c1, r.c0) for r in made.collect()} == want and made.where("c9 is not null").isEmpty()
