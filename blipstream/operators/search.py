@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ..plans.stored import stored
 from .kernels import savitzky_golay
-from .scan import TRACE, numbered as in_order, running_sum
+from .scan import TRACE, dealt, numbered as in_order, running_sum
 from .traces import is_integer, moving_average
 
 EVENT = [*TRACE, "event_ord"]
@@ -36,7 +36,7 @@ def keyed_runs(points: DataFrame) -> DataFrame:
     """
     brk = (F.col("intensity") < F.col("start_thr")) & ((F.col("intensity") < F.col("stop_thr")) | (F.col("intensity") <= 0))
     marked = running_sum(points, brk.cast("long"), "__count").withColumn("__break", brk)
-    keyed = marked.withColumn("island", F.col("__count") - F.col("__break").cast("long")).drop("__count")
+    keyed = dealt(marked.withColumn("island", F.col("__count") - F.col("__break").cast("long")).drop("__count"), *TRACE, "island")
     first = F.min(F.when(~F.col("__break") & (F.col("intensity") >= F.col("start_thr")), F.col("idx")))
     return keyed.withColumn("__open", first.over(Window.partitionBy(*TRACE, "island")))
 

@@ -79,3 +79,15 @@ def test_raw_table_stays_dealt_over_tasks(points, many_tasks):
     assert made.select(F.spark_partition_id().alias("task")).distinct().count() == many_tasks
     want = {i: ((float((2 * i + 1) * 7919 % 101), float(2 * i * 7919 % 101) if i < 3000 else None) if i != 7 else (None, None)) for i in range(20_000)}
     assert {r.idx: (r.c1, r.c0) for r in made.collect()} == want and made.where("c9 is not null").isEmpty()
+
+
+def test_runs_and_sums_stay_dealt_over_tasks(points, many_tasks):
+    """Runs of a trace, and blocks of a running sum, aren't put together into a task; results are those of any dealing."""
+    from blipstream.operators import scan
+
+    p = points.withColumn("sample_id", F.concat(F.lit("s"), F.col("idx") % 1)).withColumns({"start_thr": F.lit(60.0), "stop_thr": F.lit(40.0), "height_thr": F.lit(80.0)})
+    keyed = search.keyed_runs(p)
+    assert keyed.select(F.spark_partition_id().alias("task")).distinct().count() == many_tasks
+    summed = scan.running_sum(p, F.col("idx").cast("long"), "total", block=100)
+    assert "REPARTITION_BY_NUM" in summed._jdf.queryExecution().executedPlan().toString()
+    assert summed.where("total <> idx * (idx + 1L) div 2").isEmpty() and summed.count() == 40_000
