@@ -9,10 +9,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .shared import bound_batches
+
 #: Splits text into words before any merge; white space is the Unicode property.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-#: Words and pairs that a worker keeps; beyond that it starts anew, which costs time only.
-KEPT_WORDS, KEPT_PAIRS = 700_000, 1_000_000
+#: Words and pairs that a task keeps; beyond that it starts anew, which costs time only.
+KEPT_WORDS, KEPT_PAIRS = 250_000, 250_000
 NEVER = 1 << 60
 
 
@@ -51,7 +53,7 @@ class Bpe:
         # A token is proposed only if its own bytes merge to it.
         self.own = {b: self.id_of[b] for b, ids in zip(self.id_of, self.merge(list(self.id_of)), strict=True) if ids == [self.id_of[b]]}
         self.forget()
-        self.pairs: dict[int, bool] = {}
+        self.forget_pairs()
         self.lengths = np.zeros(self.size, np.int64)
         for i, b in self.bytes_of.items():
             self.lengths[i] = len(b)
@@ -120,6 +122,9 @@ class Bpe:
         self.kept, self.first = np.zeros(0, "<u4"), np.zeros(1, np.int64)
         self.keep(list(self.added.values()), [[i] for i in self.added.values()])
 
+    def forget_pairs(self) -> None:
+        self.pairs: dict[int, bool] = {}
+
     def keep(self, words: list, ids: list[list[int]]) -> None:
         self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
         self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))])
@@ -160,7 +165,7 @@ class Bpe:
         if len(self.known) > KEPT_WORDS:
             self.forget()
         if len(self.pairs) > KEPT_PAIRS:
-            self.pairs = {}
+            self.forget_pairs()
         each = list(map(self.pieces, texts))
         pieces = list(chain.from_iterable(each))
         new = list(set(pieces) - self.known.keys())
@@ -221,6 +226,10 @@ def bpe_round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: s
                     [id_col, "ids", "n_tokens", "decoded"],
                 )
                 at = end
+        # The worker goes on to other stages, which need the memory.
+        bpe.forget()
+        bpe.forget_pairs()
 
+    bound_batches(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids binary, n_tokens long, decoded string")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import components
 from .exchange import BLOCKS, answer, answered, blocks, bucket_keys, grouped, holders, key_of
-from .shared import materialise
+from .shared import bound_batches, materialise
 from .words import mix, shingle_hashes, text_bytes, window_rows, word_hashes
 
 #: One segment in so many also takes one-deletion neighbourhoods.
@@ -228,6 +228,7 @@ def gathered(df: DataFrame, id_col: str, text_col: str, width: int, percent: int
                 [batch.column(names.index("__id")).cast(pa.int64()), batch.column(names.index("__grp")), pa.array([sequence(t) for t in batch.column(names.index("__text")).to_pylist()], pa.binary())], ["__id", "__grp", "__digest"]
             )
 
+    bound_batches(df.sparkSession)
     ids = materialise(rows.mapInArrow(digested, "__id long, __grp int, __digest binary"), "shingle-ids")
     # Written out, so that joins with it stay plain and Spark can split a huge class of copies.
     copies = materialise(

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import bound_batches
 from .words import shingle_hashes, text_bytes, word_hashes
 
 #: Kinds of bytes: those of each string, then all else (kind 0, of which bytes over 127 are kind 1).
@@ -231,6 +232,7 @@ def quality_scorer(
     how: Boosting = Boosting(),
 ) -> Callable[[Column], Column]:
     """Trains on the labelled rows of df and gives the function of a text column that scores it; see score_quality."""
+    bound_batches(df.sparkSession)
     # At most most_train_rows rows of a few numbers reach the driver.
     rows = train_rows(df, labels, id_col, text_col, label_col, most_train_rows).collect()
     model = fit(np.array([r["__features"] for r in rows], float).reshape(len(rows), len(NAMES)), np.array([r["__label"] for r in rows], float), how)

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialise
+from .shared import bound_batches, materialise
 
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?((?-i:[A-Za-z0-9+/_.=-]+))", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -127,6 +127,7 @@ def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 ["__id", "base", "found"],
             )
 
+    bound_batches(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
     scanned = materialise(df.select(id_col, text_col).mapInArrow(run, f"__id {kind}, base array<{SPAN}>, found array<{CANDIDATE}>"), "secret-spans")
     # One row per encoding, power of two and hundredth: at most 4 * 32 * CELLS.

@@ -9,12 +9,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import materialise
+from .shared import bound_batches, materialise
 from .words import mix
 
 BLOCK_BITS = 12
 #: Texts that are Python strings at once while scoring.
 SLICE_ROWS = 500
+#: Characters (or one longer text) whose n-grams are arrays at once, some 100 bytes a character.
+PART_CHARS = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -52,7 +54,7 @@ def batches_of(texts: list[str], chars: int):
 
 def presence(texts: list[str], grams: Grams):
     """Sorted distinct features of each text."""
-    for a, b in batches_of(texts, 1 << 18):
+    for a, b in batches_of(texts, PART_CHARS):
         parts = list(features(texts[a:b], grams))
         keys = np.concatenate([(r.astype(np.uint64) << np.uint64(32)) | f for f, r in parts])
         keys = np.unique(keys)
@@ -137,6 +139,7 @@ def toxicity_scorer(
     """Trains on the labelled rows of df and gives the function of a text column that scores it; see score_toxicity."""
     if keep > 1 << 16:
         raise ValueError("features are numbered in 16 bits: keep at most 65536")
+    bound_batches(df.sparkSession)
     train = materialise(train_rows(df, labels, id_col, text_col, label_col, most_train_rows), "toxicity-train").repartition(16, "__id")
     ratios = log_count_ratios(train, grams, min_rows, keep)
     chosen, ratio = np.array(sorted(ratios), np.int64), np.array([ratios[f] for f in sorted(ratios)])
@@ -159,7 +162,7 @@ def toxicity_scorer(
 
     def score(texts: list[str]) -> np.ndarray:
         total = np.full(len(texts), bias)
-        for a, b in batches_of(texts, 1 << 18):
+        for a, b in batches_of(texts, PART_CHARS):
             keys = [(r[hit].astype(np.uint64) << np.uint64(32)) | f[hit] for f, r in features(texts[a:b], grams) for hit in [chosen_flag[f]]]
             keys = np.unique(np.concatenate(keys))
             total[a:b] += np.bincount((keys >> np.uint64(32)).astype(np.int64), table[(keys & np.uint64(0xFFFFFFFF)).astype(np.int64)], minlength=b - a)

@@ -2,10 +2,12 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -16,7 +18,8 @@ from blipstream.llm.chat_format import PART, format_chat, masked, read_back
 from blipstream.llm.mixing import flight, mix_rows, mix_sources
 from blipstream.llm.search import Index, bm25_top_k
 from blipstream.llm.secret_scan import ALPHABETS, encoding, least_cell, randomness_p, scan_secrets
-from blipstream.llm.toxicity import score_toxicity, train_rows
+from blipstream.llm.shared import BATCH_BYTES
+from blipstream.llm.toxicity import Grams, presence, score_toxicity, train_rows
 from blipstream.operators.components import components
 
 from .helpers import awkward, frame, text, vocabulary, words_of
@@ -322,6 +325,35 @@ def test_toxicity_without_labels(spark):
     assert score_toxicity(frame(spark, awkward()).limit(0), labels).count() == 0
 
 
+def test_toxicity_batches_are_bounded_by_bytes(spark):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.nbytes]})
+
+    own, labels = spark.conf.get(BATCH_BYTES, None), spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    long = spark.range(3000, numPartitions=1).selectExpr("repeat('x', 10000 + id % 2) as text")
+    try:
+        spark.conf.unset(BATCH_BYTES)
+        score_toxicity(frame(spark, [(1, "a"), (2, "b")]), labels, keep=16, steps=1)
+        got = [r.n for r in long.mapInArrow(sizes, "n long").collect()]
+        assert max(got) < 5 << 20 and sum(got) >= 30_000_000
+        spark.conf.set(BATCH_BYTES, "9m")
+        score_toxicity(frame(spark, [(1, "a"), (2, "b")]), labels, keep=16, steps=1)
+        assert spark.conf.get(BATCH_BYTES) == "9m"
+    finally:
+        spark.conf.set(BATCH_BYTES, own) if own else spark.conf.unset(BATCH_BYTES)
+
+
+def test_toxicity_features_take_bounded_memory():
+    texts = ["".join(random.Random(i).choices("abcdefgh ", k=4000)) for i in range(150)]
+    tracemalloc.start()
+    for _ in presence(texts, Grams()):
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 << 20
+
+
 def expected_search(rows, every, k, n_terms):
     docs = [(i, [w.lower() for w in words_of(t)]) for i, t in rows]
     df = Counter(w for _, ws in docs for w in set(ws))
@@ -412,6 +444,16 @@ def test_bpe_equals_library(spark):
     assert bpe_round_trip(frame(spark, rows).limit(0), PATH).count() == 0
 
 
+def test_bpe_leaves_no_words_in_a_worker(spark):
+    def known(batches):
+        for _ in batches:
+            yield pa.RecordBatch.from_pydict({"n": [len(load(PATH).known) - len(load(PATH).added) + len(load(PATH).pairs)]})
+
+    rows = [(i, text(random.Random(i), vocabulary(), 30)) for i in range(64)]
+    bpe_round_trip(frame(spark, rows).repartition(4), PATH).collect()
+    assert {r.n for r in spark.range(64, numPartitions=4).mapInArrow(known, "n long").collect()} == {0}
+
+
 def test_bpe_forgets_safely():
     bpe = load(PATH)
     first = bpe.encode(["some words, repeated words"])[0].tolist()
