@@ -16,7 +16,7 @@ from tokenizers import Tokenizer
 from blipstream.llm.bpe import bpe_round_trip, load
 from blipstream.llm.chat_format import PART, format_chat, masked, read_back
 from blipstream.llm.mixing import flight, mix_rows, mix_sources
-from blipstream.llm.search import Index, bm25_top_k
+from blipstream.llm.search import Asked, Index, bm25_top_k
 from blipstream.llm.secret_scan import ALPHABETS, encoding, least_cell, randomness_p, scan_secrets
 from blipstream.llm.shared import BATCH_BYTES
 from blipstream.llm.toxicity import Grams, presence, score_toxicity, train_rows
@@ -430,6 +430,48 @@ def test_pruned_search_equals_scoring_all():
             assert ids.tolist() == [i for _, i in best] and found == pytest.approx([-s for s, _ in best])
 
 
+def test_queries_searched_together_equal_scoring_all(monkeypatch):
+    """Some lists are in the table and some aren't; queries are packed, put together and searched in several steps, and not by their own shard; few postings are read."""
+    rng = np.random.default_rng(22)
+    row, term = np.divmod(np.unique(rng.integers(0, 900, 40000) * 2000 + (2000 * rng.random(40000) ** 3).astype(int)), 2000)
+    order = np.lexsort((row, term))
+    row, term = row[order], term[order]
+    cut = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]]))
+    tf = rng.integers(1, 6, len(row))
+    part = {"ids": rng.permutation(900).astype(np.int64), "length": np.bincount(row, tf, 900), "term": term[cut].astype(np.uint64) << np.uint64(40), "held": np.diff(np.append(cut, len(term))), "start": np.append(cut, len(term)), "row": row, "tf": tf}
+    index, read = Index(part, 900, part["length"].mean()), []
+    assert 0 < len(index.single) < len(index.term)
+    index.grp, index.usable = 7, part["ids"] % 13 > 0
+    wanted = [np.sort(rng.choice(part["term"], n, replace=False)) for n in rng.integers(0, 300, 60)] + [np.array([1], np.uint64)]
+    score = np.zeros((len(wanted), 900))
+    for q, terms in enumerate(wanted):
+        for t in index.found(terms):
+            at = slice(part["start"][t], part["start"][t + 1])
+            score[q, row[at]] += index.idf[t] * index.impact[at]
+    score = np.round(np.where(index.usable, score, 0), 9)
+    theta = np.where(np.arange(len(wanted)) % 3 > 0, np.sort(score, axis=1)[:, -4], 0.0)
+    homes = np.where(np.arange(len(wanted)) % 5 > 0, 1, 7)
+    monkeypatch.setattr("blipstream.llm.search.CELLS", 9000)
+    monkeypatch.setattr(Index, "shares", lambda self, lists, by, m, f=Index.shares: read.append(int((self.start[lists + 1] - self.start[lists]).sum())) or f(self, lists, by, m))
+    some = [Asked.of_terms([q], [theta[q]], [wanted[q]], int(homes[q])) for q in range(len(wanted))]
+    asked = Asked.together([Asked.unpacked(x.packed()) for x in some])
+    asked = Asked.unpacked(asked.packed())
+    asked.ask(index, 5)
+    for q in range(len(wanted)):
+        best = sorted((-s, i) for s, i in zip(score[q].tolist(), part["ids"].tolist(), strict=True) if s > 0 and s >= theta[q] and homes[q] != 7)[:5]
+        mine = asked.best[0] == q
+        assert asked.best[1][mine].tolist() == [i for _, i in best] and asked.best[2][mine] == pytest.approx([-s for s, _ in best])
+    assert sum(read) < 0.9 * sum(int((part["start"][index.found(w) + 1] - part["start"][index.found(w)]).sum()) for w in wanted)
+
+
+def test_words_of_one_shard_stay_there(spark):
+    """Queries whose words only they have find themselves alone, in whatever shard they are."""
+    rows = [(i, f"own{i} also{i} " + ("shared" if i % 2 else "")) for i in range(60)]
+    got = sorted((r.query_id, r["rank"], r.doc_id, r.score) for r in bm25_top_k(frame(spark, rows), every=10, k=3, group_bytes=100).collect())
+    want = expected_search(rows, 10, 3, None)
+    assert [g[:3] for g in got] == [w[:3] for w in want] and [g[:3] for g in got] == [(q, 1, q) for q in range(0, 60, 10)]
+
+
 def test_bpe_equals_library(spark):
     rng = random.Random(10)
     parts = [*"abcdeth ing'sRS.,!?0123456789\n\t \r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0 　 éßñ日本語🙂́١Ⅷ²ſK\x00", "<|endoftext|>", "'ll", "  ", " the"]
