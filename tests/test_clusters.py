@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from blipstream.operators import models, spectra
 
@@ -95,6 +96,29 @@ def test_many_like_pairs_merge_in_few_rounds(spark, monkeypatch):
     assert len(rounds) <= 4
 
 
+def test_pairs_of_packed_blocks(spark, monkeypatch):
+    """Several blocks and tasks, with and without counting first, and with ties, give the likest pairs of all; no round writes the vectors again."""
+    rng = np.random.default_rng(9)
+    v = np.round(rng.normal(size=(70, 4)), 1)
+    v[50:60] = v[:10]
+    u = spectra.unit(v)
+    s = np.einsum("ik,jk->ij", u, u)
+    want = sorted((-round(s[i, j], 9), i, j) for i in range(70) for j in range(i + 1, 70) if s[i, j] >= 0.8)
+    nodes = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, c array<double>").repartition(4).cache()
+    monkeypatch.setattr(spectra, "PACKED", 20)
+    for most, held in ((len(want) + 5, 200_000), (15, 1)):
+        monkeypatch.setattr(spectra, "MOST_PAIRS", held)
+        got = [(-round(r["s"], 9), r["a"], r["b"]) for r in spectra.likest_pairs(nodes, 70, 0.8, most, 7)]
+        assert [g[0] for g in got] == [w[0] for w in want[:most]] and set(got) <= set(want)
+    monkeypatch.setattr(spectra, "MOST_PAIRS", 200_000)
+    seen, plain = [], spectra.stored
+    monkeypatch.setattr(spectra, "stored", lambda made, name: seen.append(name) or plain(made, name))
+    df = nodes.where("id between 38 and 61").select(F.col("id").alias("cluster"), F.col("c").alias("v"), F.lit(1.0).alias("n"))
+    got = [r.merged - 38 for r in sorted(spectra.agglomerate(df, "v", "n", 0.97, False, most_pairs=300, block_rows=7).collect())]
+    assert got == merged_plainly(list(v[38:62]), [1.0] * 24, 0.97, False)
+    assert seen and set(seen) == {"agglomerate-new"}
+
+
 def test_asking_clusters_find_their_nearest():
     """Pairs without an asking side are left out, of two blocks only pairs across count, ties go to the smaller id, and tiles don't matter."""
     rng = np.random.default_rng(5)
